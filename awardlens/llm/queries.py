@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import queries_decontamination, queries_mixing
+from . import queries_decontamination, queries_mixing, queries_pii
 
-MODULES = (queries_mixing, queries_decontamination)
+MODULES = (queries_mixing, queries_pii, queries_decontamination)
 
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
