@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import queries_decontamination, queries_mixing, queries_pii
+from . import queries_decontamination, queries_mixing, queries_pii, queries_secrets, queries_warc
 
-MODULES = (queries_mixing, queries_pii, queries_decontamination)
+MODULES = (queries_mixing, queries_warc, queries_pii, queries_decontamination, queries_secrets)
 
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
