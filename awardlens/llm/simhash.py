@@ -35,6 +35,7 @@ LEAST_SAMPLE = 16  # sampled fingerprints to a leaf
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 20, 6
 NEAR, LEVELS = 18, 3
+BROADCAST_ROWS = 1_000_000  # ids and digests of dropped rows, under 64 MB; more are joined by a shuffle
 
 
 def shingle_hashes(text: str | None, words: int) -> tuple[np.ndarray, bytes]:
@@ -219,16 +220,15 @@ def _signatures(docs: DataFrame, id_col: str, text_col: str, words: int, bands:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for i, text in zip(batch["s_id"], batch["s_text"], strict=True):
+            for text in batch["s_text"]:
                 hashes, joined = shingle_hashes(text, words)
                 bins = minima(hashes, bands * rows).reshape(bands, rows) if len(hashes) else np.zeros((0, rows), np.uint64)
                 keys = [xxhash.xxh64_intdigest(b.tobytes(), k) - (1 << 63) for k, b in enumerate(bins)]
-                out.append((i, xxhash.xxh3_128_hexdigest(joined), fingerprint(hashes), keys))
-            frame = pd.DataFrame(out, columns=["s_id", "sequence", "fp", "bands"])
-            yield frame.astype({"s_id": batch["s_id"].dtype})
+                out.append((xxhash.xxh3_128_hexdigest(joined), fingerprint(hashes), keys))
+            yield pd.DataFrame({"s_id": batch["s_id"], "s_hash": batch["s_hash"], "sequence": [r[0] for r in out], "fp": [r[1] for r in out], "bands": [r[2] for r in out]})
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("s_id"), F.col(text_col).alias("s_text")).mapInPandas(run, f"s_id {kind}, sequence string, fp long, bands array<long>")
+    return docs.select(F.col(id_col).alias("s_id"), F.md5(text_col).alias("s_hash"), F.col(text_col).alias("s_text")).mapInPandas(run, f"s_id {kind}, s_hash string, sequence string, fp long, bands array<long>")
 
 
 def _candidates(signed: DataFrame) -> DataFrame:
@@ -255,7 +255,7 @@ def _shingle_sets(docs: DataFrame, words: int) -> DataFrame:
 
 
 def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """(id, sequence, group_id) per row: documents linked by a similarity of their shingle sets share the least id.
+    """(id, text_md5, group_key, group_id) per row: documents linked by a similarity of their shingle sets share the least id.
 
     Texts with equal lower-cased word sequences are one class (null and wordless texts make one). Null ids are passed over
     in minima. Repeated rows stay. Other columns are left out.
@@ -269,9 +269,28 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     sets = cut(sets.groupBy("node").agg(F.min_by("shingles", F.size("shingles")).alias("shingles")), "simhash-sets")
     both = pairs.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("b")), "v")
     common = F.size(F.array_intersect("a", "b"))
-    links = both.filter(common >= F.lit(similarity) * (F.size("a") + F.size("b") - common)).select("u", "v")
+    links = cut(both.filter(common >= F.lit(similarity) * (F.size("a") + F.size("b") - common)).select("u", "v"), "simhash-links")
     roots = cut(components(links), "simhash-roots")
     joined = classes.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     least = joined.groupBy("root").agg(F.min("least").alias("group_id"))
-    named = cut(joined.join(least, "root").select(F.col("node").alias("sequence"), "group_id"), "simhash-groups")
-    return signed.select(F.col("s_id").alias(id_col), "sequence").join(named, "sequence").select(id_col, "sequence", "group_id")
+    named = cut(joined.join(least, "root").select(F.col("node").alias("sequence"), F.col("root").alias("group_key"), "group_id"), "simhash-groups")
+    return signed.select(F.col("s_id").alias(id_col), F.col("s_hash").alias("text_md5"), "sequence").join(named, "sequence").select(id_col, "text_md5", "group_key", "group_id")
+
+
+def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """The rows of ``docs`` that stay when one document of each group does: that of least id (nulls last), then of least text digest.
+
+    Of rows that repeat both id and text one stays. All columns are kept.
+    """
+    groups = cut(near_duplicate_groups(docs, id_col, text_col, words, similarity).withColumn("text_md5", F.coalesce("text_md5", F.lit(""))), "simhash-members")
+    order = F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("i"), F.col("text_md5").alias("t"))
+    first = groups.groupBy("group_key").agg(F.min(order).alias("first"))
+    twice = groups.groupBy("group_key", id_col, "text_md5").agg(F.count(F.lit(1)).alias("n"))
+    gone = twice.join(first, "group_key").filter(~(F.col(id_col).eqNullSafe(F.col("first.i")) & (F.col("text_md5") == F.col("first.t"))))
+    gone = cut(gone.select(F.col(id_col).alias("g_id"), F.col("text_md5").alias("g_md5")), "simhash-gone")
+    match = F.col(id_col).eqNullSafe(gone["g_id"]) & (F.coalesce(F.md5(text_col), F.lit("")) == gone["g_md5"])
+    out = docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, match, "left_anti")
+    if twice.filter("n > 1").isEmpty():
+        return out
+    kept = out.withColumn("g_row", F.struct(F.col(id_col), F.coalesce(F.md5(text_col), F.lit(""))))
+    return kept.dropDuplicates(["g_row"]).drop("g_row")
