@@ -56,7 +56,7 @@ def pareto_mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sourc
 
     ``size_col`` counts words; null or negative counts as 0. Rows of size 0 take nothing. A null source is a source of
     its own. Null ids share one random number and are ranked by size; repeated rows are ranked one after another, so
-    each may be taken on its own. Weights below 0 or null count as 0. Columns of ``docs`` keep their names, except that
+    each may be taken on its own. Weights below 0 or null count as 0, which takes nothing. Columns of ``docs`` keep their names, except that
     columns named like an added one (or starting with ``m_``) are replaced. Empty tables give empty results.
     """
     keep = [c for c in docs.columns if c not in {"source_size", "target", "copies", "taken"} and not c.startswith("m_")]
@@ -69,7 +69,7 @@ def pareto_mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sourc
     planned = rows.join(stats, F.col(source_col).eqNullSafe(F.col("m_source")), "inner").withColumn("m_wanted", wanted).withColumn("m_whole", F.floor("m_wanted").cast("long"))
     part = F.least(F.greatest(F.col("m_wanted") - F.col("m_whole"), F.lit(1e-12)), F.lit(1 - 1e-12))
     u = uniform(F.col(id_col), seed)
-    planned = planned.withColumn("m_q", F.when(F.col("m_whole") < cap, (u / (1 - u)) / (part / (1 - part))))
+    planned = planned.withColumn("m_q", F.when((F.col("m_whole") < cap) & (F.col("m_weight") > 0), (u / (1 - u)) / (part / (1 - part))))
     buckets = F.floor(F.col("m_rows") / BUCKET_ROWS) + 1
     planned = planned.withColumn("m_bucket", F.when(F.col("m_q").isNotNull(), F.floor(buckets * (F.col("m_q") / (1 + F.col("m_q"))))).otherwise(F.lit(-1)).cast("long"))
 
