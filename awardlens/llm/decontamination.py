@@ -17,6 +17,7 @@ from .common import ascii_lower, cut
 #: Fixed value: what counts as a word of a lower-cased text.
 TERM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 10
+BROADCAST_KEYS = 1_000_000  # ids and hashes of documents with diagonals, 16 MB; more are joined by a shuffle
 
 
 def terms(text: Column) -> Column:
@@ -80,7 +81,14 @@ def phrase_matches(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", te
     found = cut(found, "decon-diagonals")
 
     rows = docs.select(*[F.col(f"`{c}`") for c in keep])
-    rows = rows.join(found, F.col(id_col).eqNullSafe(found["p_id"]) & (F.xxhash64(text_col) == found["p_hash"]), "left")
+    match = lambda side: F.col(id_col).eqNullSafe(side["p_id"]) & (F.xxhash64(text_col) == side["p_hash"])
+    if found.count() <= BROADCAST_KEYS:  # the texts of documents without any diagonal needn't move
+        keys = F.broadcast(found.select("p_id", "p_hash"))
+        others = rows.join(keys, match(keys), "left_anti").withColumn("p_found", F.lit(None).cast(found.schema["p_found"].dataType))
+        some = rows.join(keys, match(keys), "left_semi")
+        rows = some.join(found, match(found), "inner").select(*[F.col(f"`{c}`") for c in keep], "p_found").unionByName(others)
+    else:
+        rows = rows.join(found, match(found), "left")
     # the generator keeps the optimiser from repeating the split for every word that is compared
     rows = rows.withColumn("p_words", F.explode(F.array(terms(F.col(text_col)))))
 

@@ -35,7 +35,7 @@ LEAST_SAMPLE = 16  # sampled fingerprints to a leaf
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 20, 6
 NEAR, LEVELS = 18, 3
-BROADCAST_ROWS = 1_000_000  # ids and digests of dropped rows, under 64 MB; more are joined by a shuffle
+BROADCAST_ROWS = 1_000_000  # ids and digests of rows to drop or to compare, under 64 MB; more are joined by a shuffle
 
 
 def shingle_hashes(text: str | None, words: int) -> tuple[np.ndarray, bytes]:
@@ -264,7 +264,8 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     classes = cut(signed.groupBy(F.col("sequence").alias("node")).agg(F.min("s_id").alias("least"), F.first("fp").alias("fp"), F.first("bands").alias("bands")), "simhash-classes")
     pairs = cut(_candidates(classes), "simhash-pairs")
     wanted = cut(pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct().join(classes.select("node", "least"), "node"), "simhash-wanted")
-    texts = docs.select(F.col(id_col).alias("s_id"), F.col(text_col).alias("s_text")).join(wanted, F.col("s_id").eqNullSafe(wanted["least"])).select("node", "s_text")
+    few = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
+    texts = docs.select(F.col(id_col).alias("s_id"), F.col(text_col).alias("s_text")).join(few, F.col("s_id").eqNullSafe(wanted["least"])).select("node", "s_text")
     sets = _shingle_sets(texts, words)
     sets = cut(sets.groupBy("node").agg(F.min_by("shingles", F.size("shingles")).alias("shingles")), "simhash-sets")
     both = pairs.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("b")), "v")
