@@ -4,7 +4,7 @@ A state emits a class: one of the most frequent words (the end of a text among t
 its last bytes, in which the word has its add-one share. So P(text) is a sum over all state paths, times the shares of the
 rarer words, and texts with unseen words have a probability too.
 
-Word counts cover all training documents. Up to ``KNOWN`` words go to the workers with their counts; the counts of all
+Word counts cover all training documents. At most ``KNOWN`` words go to the workers with their counts; the counts of all
 others are joined in by a shuffle. Each round of Baum-Welch is one job: tasks add up expected counts over their documents,
 sums by cell of the model are made by Spark, and the driver holds the model only, whose size is fixed.
 """
@@ -31,6 +31,7 @@ BUCKETS, SUFFIX = 1024, 3
 STATES, ROUNDS = 8, 2
 SEED_DOCS = 2048  # documents whose clusters the emissions start from
 POOL, LONG = 1 << 19, 2000  # tokens that are handled together; longer texts are pooled apart
+BANDS = 16  # frequency bands to a doubling
 COUNTED = 200_000  # distinct words that a task holds while counting
 SCALE = float(1 << 20)  # expected counts are summed as whole multiples of 1 / SCALE, so that their order has no effect
 END = b""
@@ -79,11 +80,19 @@ class Vocabulary:
 
 
 def vocabulary(counts: DataFrame, known: int = KNOWN, frequent: int = FREQUENT) -> Vocabulary:
+    """At most ``known`` words: the most frequent ones, down to the least band of frequencies that fits whole.
+
+    Bands are counted first, so that no task gathers every partition's candidates.
+    """
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
-    top = counts.filter(F.octet_length("word") <= WORD_BYTES).orderBy(F.col("word") != F.lit(END), F.desc("n"), "word").limit(known).toArrow()
-    words, n = top["word"].to_pylist(), top["n"].to_numpy()
-    if not words:
-        words, n = [END], np.zeros(1, np.int64)
+    short = counts.filter(F.octet_length("word") <= WORD_BYTES).withColumn("band", F.floor(F.log2("n") * BANDS).cast("int"))
+    bands = short.groupBy("band").agg(F.count(F.lit(1)).alias("v")).orderBy(F.desc("band")).collect()
+    fits = [b["band"] for b, total_v in zip(bands, np.cumsum([b["v"] for b in bands]), strict=True) if total_v < known]
+    edge = fits[-1] if fits else 1 << 30
+    top = short.filter((F.col("band") >= edge) | (F.col("word") == F.lit(END))).select("word", "n").toArrow()
+    found = dict(zip(top["word"].to_pylist(), top["n"].to_pylist(), strict=True))
+    words = [END, *sorted((w for w in found if w != END), key=lambda w: (-found[w], w))]
+    n = np.array([found.get(w, 0) for w in words], np.int64)
     frequent = min(frequent, len(words))
     classes = np.array([*range(frequent), *(frequent + bucket(w) for w in words[frequent:])], np.uint16)
     suffix = F.when(F.octet_length("word") > SUFFIX, F.substring("word", -SUFFIX, SUFFIX)).otherwise(F.col("word"))
@@ -219,7 +228,9 @@ def _rows(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[object, np.ndarray]
 
 def first_model(training: DataFrame, vocab: Vocabulary, states: int, seed_docs: int = SEED_DOCS) -> Model:
     """A model whose states are clusters of at most ``seed_docs`` documents (those with the smallest hashes); Baum-Welch goes on from it."""
-    sample = training.select("ids", F.xxhash64("ids").alias("h")).orderBy("h").limit(seed_docs).toArrow()["ids"].to_pylist()
+    share = min(1.0, 1.2 * seed_docs / max(1, training.count()))
+    hashed = training.select("ids", F.pmod(F.xxhash64("ids"), F.lit(1 << 40)).alias("h")).filter(F.col("h") <= int(share * (1 << 40)))
+    sample = hashed.orderBy("h").limit(seed_docs).toArrow()["ids"].to_pylist()
     texts = [np.frombuffer(x, "<u2") for x in sample]
     emits, rng = np.zeros((vocab.size, states)), np.random.default_rng(11)
     top = min(2000, vocab.size)
