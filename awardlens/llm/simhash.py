@@ -7,9 +7,9 @@ give a forest of their links, not all pairs, so that large groups of near copies
 
 Similar documents (share of common word shingles 0.8 and more): at that similarity fingerprints differ in 10 of 64 bits and
 more, and a tree prunes nothing at such a radius, as unrelated ones lie 32 apart, give or take 4. Documents therefore meet
-in shards of equal minimum-hash bands; in each shard a vantage point is taken and members are parted by their distance from
-it: those near it are candidates, the others go to the next level with a vantage point of their own. Candidates are
-then verified on their whole shingle sets.
+in shards of equal minimum-hash bands. In each shard vantage points are compared with all members on whole shingle sets; then
+so are all two members that aren't connected by then, save those that sizes or the triangle inequality rule out. Documents that
+share a band are thus linked whenever they are similar; those that share none (0.2 % at 0.8, fewer above) aren't compared.
 """
 
 from __future__ import annotations
@@ -31,10 +31,10 @@ SAMPLE = 16384
 LEAF = 4096
 LEAST_SAMPLE = 16  # sampled fingerprints to a leaf
 
-#: The near-duplicate groups' parameters: shingle words, similarity, bands and their minima, the vantage points' radius and levels.
+#: The near-duplicate groups' parameters: shingle words, similarity, bands and their minima, rounds of vantage points.
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 20, 6
-NEAR, LEVELS = 18, 3
+ROUNDS = 2  # of vantage points in each shard, before the members that are left are compared with each other
 BROADCAST_ROWS = 1_000_000  # ids and digests of rows to drop or to compare, under 64 MB; more are joined by a shuffle
 
 
@@ -224,26 +224,66 @@ def _signatures(docs: DataFrame, id_col: str, text_col: str, words: int, bands:
                 hashes, joined = shingle_hashes(text, words)
                 bins = minima(hashes, bands * rows).reshape(bands, rows) if len(hashes) else np.zeros((0, rows), np.uint64)
                 keys = [xxhash.xxh64_intdigest(b.tobytes(), k) - (1 << 63) for k, b in enumerate(bins)]
-                out.append((xxhash.xxh3_128_hexdigest(joined), fingerprint(hashes), keys))
-            yield pd.DataFrame({"s_id": batch["s_id"], "s_hash": batch["s_hash"], "sequence": [r[0] for r in out], "fp": [r[1] for r in out], "bands": [r[2] for r in out]})
+                out.append((xxhash.xxh3_128_hexdigest(joined), keys))
+            yield pd.DataFrame({"s_id": batch["s_id"], "s_hash": batch["s_hash"], "sequence": [r[0] for r in out], "bands": [r[1] for r in out]})
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("s_id"), F.md5(text_col).alias("s_hash"), F.col(text_col).alias("s_text")).mapInPandas(run, f"s_id {kind}, s_hash string, sequence string, fp long, bands array<long>")
+    return docs.select(F.col(id_col).alias("s_id"), F.md5(text_col).alias("s_hash"), F.col(text_col).alias("s_text")).mapInPandas(run, f"s_id {kind}, s_hash string, sequence string, bands array<long>")
 
 
-def _candidates(signed: DataFrame) -> DataFrame:
-    """(u, v): classes near a vantage point of one of their shards. Shards of one member are dropped early."""
-    members = signed.select("node", "fp", F.posexplode("bands").alias("band", "key")).withColumn("shell", F.lit("").cast("string"))
-    found = None
-    for level in range(LEVELS):
-        shard = ["band", "key", "shell"]
-        points = members.groupBy(*shard).agg(F.min_by(F.struct("node", "fp"), "node").alias("point"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-        near = members.join(points, shard).withColumn("d", F.bit_count(F.col("fp").bitwiseXOR(F.col("point.fp")))).filter("node <> point.node")
-        near = cut(near.select(*shard, "node", "fp", "d", F.col("point.node").alias("v")), "simhash-near")
-        close = near.filter(F.col("d") <= NEAR).select(F.col("node").alias("u"), "v")
-        found = close if found is None else found.union(close)
-        members = near.filter(F.col("d") > NEAR).select("node", "fp", "band", "key", F.concat("shell", F.lit("/"), F.floor(F.col("d") / NEAR).cast("string")).alias("shell"))
-    return found.distinct()
+def _shards(classes: DataFrame) -> DataFrame:
+    """(node, shard): the classes of every shard of two members or more; a shard's members have one band in common."""
+    dealt = classes.select("node", F.posexplode("bands").alias("band", "key")).select("node", F.xxhash64("band", "key").alias("shard"))
+    shared = dealt.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    return dealt.join(shared.select("shard"), "shard")
+
+
+def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(u, v, common, whole): sizes of the intersection and the union of both classes' shingle sets."""
+    both = pairs.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("b")), "v")
+    common = F.size(F.array_intersect("a", "b"))
+    return both.select("u", "v", common.alias("common"), (F.size("a") + F.size("b") - common).alias("whole"))
+
+
+def _rooted(members: DataFrame, links: DataFrame) -> DataFrame:
+    roots = components(links)
+    return members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+
+def _links(shards: DataFrame, sets: DataFrame, similarity: float, rounds: int = ROUNDS) -> DataFrame:
+    """(u, v): verified links such that all linked pairs that share a shard are connected.
+
+    In each round a shard has another vantage point, and the members not yet connected with it are compared with it on their whole
+    sets. In the end every two members that aren't connected are compared, unless bounds show that they can't be linked:
+    their sizes, and, as the share of unequal shingles is a metric, their distances from a vantage point.
+    """
+    linked = F.col("common") >= F.lit(similarity) * F.col("whole")
+    apart = 1 - similarity + 1e-9
+    members = cut(shards.join(sets.select("node", F.size("shingles").alias("n")), "node"), "simhash-members")
+    gaps, links = [], None
+    for k in range(rounds):
+        rooted = members if links is None else _rooted(members, links)
+        root = F.col("node" if links is None else "root")
+        points = rooted.groupBy("shard").agg(F.min_by(F.struct(F.col("node").alias("v"), root.alias("v_root")), F.struct(F.xxhash64("node", F.lit(k)), "node")).alias("p")).select("shard", "p.*")
+        met = cut(rooted.join(points, "shard").filter(root != F.col("v_root")).select("shard", F.col("node").alias("u"), "v"), "simhash-met")
+        seen = cut(_compared(met.select("u", "v").distinct(), sets), "simhash-seen")
+        found = seen.filter(linked).select("u", "v")
+        links = cut(found if links is None else links.union(found), "simhash-links")
+        gap = met.join(seen, ["u", "v"]).select("shard", F.col("u").alias("node"), (1 - F.col("common") / F.col("whole")).alias(f"d{k}"))
+        members = cut(members.join(gap, ["shard", "node"], "left"), "simhash-members")
+        gaps.append(f"d{k}")
+    rooted = cut(_rooted(members, links), "simhash-rooted")
+    # shards in which all members are connected are done
+    open_ = rooted.groupBy("shard").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("shard")
+    left = cut(rooted.join(open_, "shard").select("shard", F.struct("node", "root", "n", *gaps).alias("m")), "simhash-left")
+    a, b = F.col("a"), F.col("b")
+    may = (F.col("a.node") < F.col("b.node")) & (F.col("a.root") != F.col("b.root"))
+    may &= F.least("a.n", "b.n") >= F.lit(similarity) * F.greatest("a.n", "b.n")
+    for g in gaps:
+        may &= F.coalesce(F.abs(a[g] - b[g]) <= apart, F.lit(True))
+    rest = left.select("shard", F.col("m").alias("a")).join(left.select("shard", F.col("m").alias("b")), "shard").filter(may)
+    rest = cut(rest.select(F.col("a.node").alias("u"), F.col("b.node").alias("v")).distinct(), "simhash-rest")
+    return cut(links.union(_compared(rest, sets).filter(linked).select("u", "v")), "simhash-links")
 
 
 def _shingle_sets(docs: DataFrame, words: int) -> DataFrame:
@@ -261,16 +301,14 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     in minima. Repeated rows stay. Other columns are left out.
     """
     signed = cut(_signatures(docs, id_col, text_col, words, BANDS, ROWS), "simhash-signatures")
-    classes = cut(signed.groupBy(F.col("sequence").alias("node")).agg(F.min("s_id").alias("least"), F.first("fp").alias("fp"), F.first("bands").alias("bands")), "simhash-classes")
-    pairs = cut(_candidates(classes), "simhash-pairs")
-    wanted = cut(pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct().join(classes.select("node", "least"), "node"), "simhash-wanted")
+    classes = cut(signed.groupBy(F.col("sequence").alias("node")).agg(F.min("s_id").alias("least"), F.first("bands").alias("bands")), "simhash-classes")
+    shards = cut(_shards(classes), "simhash-shards")
+    wanted = cut(shards.select("node").distinct().join(classes.select("node", "least"), "node"), "simhash-wanted")
     few = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
     texts = docs.select(F.col(id_col).alias("s_id"), F.col(text_col).alias("s_text")).join(few, F.col("s_id").eqNullSafe(wanted["least"])).select("node", "s_text")
     sets = _shingle_sets(texts, words)
     sets = cut(sets.groupBy("node").agg(F.min_by("shingles", F.size("shingles")).alias("shingles")), "simhash-sets")
-    both = pairs.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("b")), "v")
-    common = F.size(F.array_intersect("a", "b"))
-    links = cut(both.filter(common >= F.lit(similarity) * (F.size("a") + F.size("b") - common)).select("u", "v"), "simhash-links")
+    links = _links(shards, sets, similarity)
     roots = cut(components(links), "simhash-roots")
     joined = classes.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     least = joined.groupBy("root").agg(F.min("least").alias("group_id"))

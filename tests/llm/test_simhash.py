@@ -102,3 +102,38 @@ def test_near_duplicates_one_of_each_group_stays(spark):
     assert kept.count(0) == 1 and kept.count(5000) == 1 and 5001 not in kept and 6000 not in kept
     assert set(range(60)) <= set(kept)
     assert S.without_near_duplicates(docs).columns == docs.columns
+
+
+def test_all_links_in_a_shard_of_partly_similar_members_are_found(spark):
+    rng = np.random.default_rng(8)
+    held = np.zeros((1500, 3000), np.float32)
+    held[0, rng.choice(3000, 300, replace=False)] = 1
+    for i in range(1, len(held)):  # each from an earlier one by 10 to 60 changes; up to 33 leave them linked
+        held[i] = held[rng.integers(max(0, i - 300), i)]
+        k = int(rng.integers(10, 61))
+        out, new = rng.choice(np.flatnonzero(held[i]), k, replace=False), rng.choice(np.flatnonzero(held[i] == 0), k, replace=False)
+        held[i, out], held[i, new] = 0, 1
+    common = held @ held.T
+    linked = common >= 0.8 * (600 - common)
+    label = np.arange(len(held))
+    while (least := np.where(linked, label[None], len(held)).min(axis=1)).tolist() != label.tolist():
+        label = least
+    names = [f"{i:05d}" for i in range(len(held))]
+    sets = spark.createDataFrame([(n, np.flatnonzero(h).tolist()) for n, h in zip(names, held, strict=True)], "node string, shingles array<long>")
+    shard = spark.createDataFrame([(n, 1) for n in names], "node string, shard long")
+    got = {r["node"]: r["root"] for r in components(S._links(shard, sets, 0.8)).collect()}
+    assert 50 < len(set(label.tolist())) < 1450
+    assert [got.get(n, n) for n in names] == [names[k] for k in label]
+
+
+def test_repeated_passages_do_not_hide_equal_shingle_sets(spark):
+    rng = random.Random(6)
+    rows = []
+    for i in range(30):
+        first, second = (" ".join(f"w{rng.randrange(5000)}" for _ in range(60)) for _ in range(2))
+        rows += [(10 * i, f"{first} {first} {first} {first} {first} {first} {second}"), (10 * i + 1, f"{first} {first} {second} {second} {second} {second} {second}")]
+    texts = dict(rows)
+    assert all(similarity(texts[10 * i], texts[10 * i + 1]) > 0.9 for i in range(30))
+    assert any((plain_fingerprint(texts[10 * i], 5) ^ plain_fingerprint(texts[10 * i + 1], 5)).bit_count() > 18 for i in range(30))
+    kept = S.without_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r["doc_id"] for r in kept.collect()) == [10 * i for i in range(30)]
