@@ -301,13 +301,15 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     in minima. Repeated rows stay. Other columns are left out.
     """
     signed = cut(_signatures(docs, id_col, text_col, words, BANDS, ROWS), "simhash-signatures")
-    classes = cut(signed.groupBy(F.col("sequence").alias("node")).agg(F.min("s_id").alias("least"), F.first("bands").alias("bands")), "simhash-classes")
+    classes = cut(signed.groupBy(F.col("sequence").alias("node")).agg(F.min("s_id").alias("least"), F.min(F.struct(F.col("s_id").isNull().alias("n"), F.col("s_id").alias("i"), F.col("s_hash").alias("h"))).alias("one"), F.first("bands").alias("bands")), "simhash-classes")
     shards = cut(_shards(classes), "simhash-shards")
-    wanted = cut(shards.select("node").distinct().join(classes.select("node", "least"), "node"), "simhash-wanted")
+    wanted = cut(shards.select("node").distinct().join(classes.select("node", F.col("one.i").alias("w_id"), F.col("one.h").alias("w_hash")), "node"), "simhash-wanted")
     few = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
-    texts = docs.select(F.col(id_col).alias("s_id"), F.col(text_col).alias("s_text")).join(few, F.col("s_id").eqNullSafe(wanted["least"])).select("node", "s_text")
+    # one text of each class: ids may be null or repeated with other texts, so the text's digest is compared as well
+    match = (F.md5("s_text") == wanted["w_hash"]) & F.col("s_id").eqNullSafe(wanted["w_id"])
+    texts = docs.select(F.col(id_col).alias("s_id"), F.col(text_col).alias("s_text")).join(few, match).select("node", "s_text")
     sets = _shingle_sets(texts, words)
-    sets = cut(sets.groupBy("node").agg(F.min_by("shingles", F.size("shingles")).alias("shingles")), "simhash-sets")
+    sets = cut(sets.groupBy("node").agg(F.first("shingles").alias("shingles")), "simhash-sets")
     links = _links(shards, sets, similarity)
     roots = cut(components(links), "simhash-roots")
     joined = classes.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import hashlib
 import random
 
 import numpy as np
@@ -137,3 +138,27 @@ def test_repeated_passages_do_not_hide_equal_shingle_sets(spark):
     assert any((plain_fingerprint(texts[10 * i], 5) ^ plain_fingerprint(texts[10 * i + 1], 5)).bit_count() > 18 for i in range(30))
     kept = S.without_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted(r["doc_id"] for r in kept.collect()) == [10 * i for i in range(30)]
+
+
+def test_null_and_repeated_ids_over_different_texts(spark):
+    rng = random.Random(12)
+    ids, texts = [], []
+    for i in range(40):
+        words = [f"w{rng.randrange(4000)}" for _ in range(150)]
+        for _ in range(2):
+            edited = list(words)
+            edited[rng.randrange(150)] = "edit"
+            ids.append(None if i % 2 else 7)
+            texts.append(" ".join(edited))
+    ids += [None, 7, 7, None]
+    texts += ["one short text", "another short text", texts[0], texts[2]]
+    docs = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string")
+    keys = {}
+    for r in S.near_duplicate_groups(docs).collect():
+        keys.setdefault(r["text_md5"], set()).add(r["group_key"])
+    key = [keys[hashlib.md5(t.encode()).hexdigest()] for t in texts]
+    assert all(len(k) == 1 for k in key)
+    for a in range(len(texts)):
+        for b in range(a):
+            assert (key[a] == key[b]) == (similarity(texts[a], texts[b]) >= 0.8), (a, b)
+    assert S.without_near_duplicates(docs).count() == 42
