@@ -1,6 +1,6 @@
 """Quality classifier from weak labels.
 
-Overlapping heuristic labellers, and hand-made labels where there are any, vote on whether a document should go, or have no
+Overlapping heuristic labellers (one by abusive words, which are counted from the labels), and hand-made labels where there are any, vote on whether a document should go, or have no
 opinion. How often each is right is estimated by expectation-maximisation over the counts of vote patterns, which cover
 all documents and are few. The posteriors of a bounded sample then train a linear scorer over hashed
 words and bucketed measures, and the scorer decides on every document, with or without votes.
@@ -26,21 +26,27 @@ LEAST_DOCS = 4  # a hashed feature counts if so many sampled documents have it
 THRESHOLD = 0.5
 CACHED_WORDS = 1 << 20
 
-#: Abusive words, one of the labellers.
-INSULTS = frozenset(b"trash pathetic idiot worthless disgusting stupid clown scum loser moron".split())
+BLOCK = 1000  # words within which distinct ones are counted
+
+#: Abusive words: in so many toxic documents, and such a share of them, and so often in toxic ones among all labelled documents.
+TOXIC_DOCS, TOXIC_SHARE, TOXIC_PRECISION = 4, 0.05, 0.9
+BROADCAST_ROWS = 1_000_000
 PLAIN = bytes(c for c in range(256) if c >= 128 or chr(c).isalnum() or chr(c).isspace())
 TRIM = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 LABELLERS = ("symbols", "shouting", "stutter", "variety", "lines", "insults", "plain", "label")
 
 
 def measures(data: bytes, words: list[bytes]) -> dict[str, float]:
-    """Shares: of symbols in the text, shouted words, words that repeat the one before, distinct words, repeated lines."""
+    """Shares: of symbols in the text, shouted words, words that repeat the one before, distinct words, repeated lines.
+
+    Distinct words are those of each block of 1000 words, over all blocks, so that long texts are not less varied by their length.
+    """
     n, lines = max(1, len(words)), data.split(b"\n")
     return {
         "symbols": len(data.translate(None, PLAIN)) / max(1, len(data)),
         "shouting": sum(map(bytes.isupper, words)) / n,
         "stutter": sum(map(eq, words, words[1:])) / n,
-        "variety": len(set(words)) / n if n < 2000 else len(set(words[:1000] + words[-1000:])) / 2000,
+        "variety": sum(len(set(words[i : i + BLOCK])) for i in range(0, len(words), BLOCK)) / n,
         "lines": 1 - len(set(lines)) / len(lines),
     }
 
@@ -62,12 +68,17 @@ class _Features(dict):
         return value
 
 
-def features(data: bytes, cache: _Features) -> tuple[np.ndarray, str]:
-    """Distinct hashed features of a text (UTF-8), and the heuristics' votes."""
+def _plain(words: set[bytes]) -> set[bytes]:
+    return {w.lower().strip(TRIM) for w in words if len(w) < 24} - {b""}
+
+
+def features(data: bytes, cache: _Features, abusive: frozenset[bytes] = frozenset()) -> tuple[np.ndarray, str]:
+    """Distinct hashed features of a text (UTF-8), and the heuristics' votes; ``abusive`` words count as insults."""
     words = data.split()
     m = measures(data, words)
     distinct = set(words)
-    insults = len(INSULTS.intersection(w.lower().strip(TRIM) for w in distinct if len(w) < 24)) if any(x in data.lower() for x in INSULTS) else 0
+    low = data.lower()
+    insults = len(abusive & _plain(distinct)) if any(x in low for x in abusive) else 0
     ids = set(map(cache.__getitem__, distinct))
     ids.update(zlib.crc32(f"\0{k}={min(20, int(v * 20))}".encode()) % DIMENSIONS for k, v in m.items())
     ids.add(zlib.crc32(f"\0words={len(words).bit_length()}".encode()) % DIMENSIONS)
@@ -78,13 +89,43 @@ def _bytes(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
 
 
-def heuristic_votes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def abusive_words(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> frozenset[bytes]:
+    """Words that toxic documents have in common and others lack, by counts over all labelled documents; none without such labels."""
+    marked = cut(labels.filter(F.col(id_col).isNotNull() & F.col("toxic").isNotNull()).groupBy(F.col(id_col).alias("l_id")).agg(F.max("toxic").alias("toxic")), "quality-toxic")
+    toxic = marked.filter("toxic = 1").select("l_id")
+    few = F.broadcast(toxic) if toxic.count() <= BROADCAST_ROWS else toxic
+    texts = docs.select(F.col(id_col).alias("q_id"), F.col(text_col).alias("q_text"))
+
+    def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"words": [[b"", *_plain(set(_bytes(t).split()))] for t in batch["q_text"]]})  # b"" counts documents
+
+    found = texts.join(few, F.col("q_id") == F.col("l_id"), "left_semi").mapInPandas(spread, "words array<binary>")
+    counts = cut(found.select(F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= TOXIC_DOCS), "quality-words")
+    total = counts.filter(F.length("word") == 0).agg(F.max("n")).first()[0]
+    if not total:
+        return frozenset()
+    often = {bytes(r["word"]): r["n"] for r in counts.filter((F.length("word") > 0) & (F.col("n") >= TOXIC_SHARE * total)).collect()}
+    names = sorted(often)
+    place = {w: k for k, w in enumerate(names)}
+
+    def hits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"q_id": batch["q_id"], "at": [sorted(place[w] for w in place.keys() & _plain(set(_bytes(t).split()))) for t in batch["q_text"]]})
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    others = texts.mapInPandas(hits, f"q_id {kind}, at array<int>").join(marked.filter("toxic <> 1"), F.col("q_id") == F.col("l_id"), "left_semi")
+    elsewhere = {r["k"]: r["n"] for r in others.select(F.explode("at").alias("k")).groupBy("k").agg(F.count(F.lit(1)).alias("n")).collect()}
+    return frozenset(w for k, w in enumerate(names) if often[w] >= TOXIC_PRECISION * (often[w] + elsewhere.get(k, 0)))
+
+
+def heuristic_votes(docs: DataFrame, id_col: str, text_col: str, abusive: frozenset[bytes] = frozenset()) -> DataFrame:
     """(id, votes) per row."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cache = _Features()
         for batch in batches:
-            yield pd.DataFrame({"q_id": batch["q_id"], "votes": [features(_bytes(t), cache)[1] for t in batch["q_text"]]})
+            yield pd.DataFrame({"q_id": batch["q_id"], "votes": [features(_bytes(t), cache, abusive)[1] for t in batch["q_text"]]})
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("q_id"), F.col(text_col).alias("q_text")).mapInPandas(run, f"q_id {kind}, votes string")
@@ -171,7 +212,8 @@ def sampled(docs: DataFrame, key: Column, most: int) -> DataFrame:
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = SAMPLE_DOCS) -> tuple[Accuracies, Scorer, DataFrame]:
     """The labellers' accuracies over all documents, the scorer, and (q_id, pattern) per row."""
-    found = heuristic_votes(docs, id_col, text_col)
+    abusive = abusive_words(docs, labels, id_col, text_col)
+    found = heuristic_votes(docs, id_col, text_col, abusive)
     marked = label_votes(labels, id_col)
     voted = cut(found.join(marked, found["q_id"] == marked["l_id"], "left").select("q_id", F.concat("votes", F.coalesce(F.col("label").cast("string"), F.lit("-"))).alias("pattern")), "quality-votes")
     counts = voted.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).orderBy("pattern").collect()
@@ -180,7 +222,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cache = _Features()
         for batch in batches:
-            made = [features(_bytes(t), cache) for t in batch["q_text"]]
+            made = [features(_bytes(t), cache, abusive) for t in batch["q_text"]]
             yield pd.DataFrame({"q_id": batch["q_id"], "votes": [m[1] for m in made], "ids": [m[0] for m in made]})
 
     kind = docs.schema[id_col].dataType.simpleString()

@@ -64,3 +64,31 @@ def test_without_labels_nulls_and_empty_tables(spark):
     odd = spark.createDataFrame([(None, 1, 0), (9, None, None), (1, 1, None), (1, 0, 1)], "doc_id long, quality int, toxic int")
     assert {(r["l_id"], r["label"]) for r in Q.label_votes(odd, "doc_id").collect()} == {(9, None), (1, 1)}
     assert Q.accepted(docs.limit(0), none).count() == 0
+
+
+def test_variety_covers_all_words_at_every_length():
+    def variety(words):
+        return Q.measures(b" ".join(words), words)["variety"]
+
+    fresh = [b"w%d" % i for i in range(20_000)]
+    assert variety(fresh[:1000] + [b"same", b"phrase"] * 9000 + fresh[1000:2000]) < 0.2
+    assert variety(fresh) == 1.0 and variety(fresh[:500] * 2) == 0.5
+    drawn = [fresh[k] for k in np.random.default_rng(1).integers(0, 2000, 6000)]
+    assert abs(variety(drawn[:1999]) - variety(drawn[:2000])) < 0.01 and abs(variety(drawn[:2000]) - variety(drawn)) < 0.02
+
+
+def test_abusive_words_come_from_the_labels(spark):
+    rng = random.Random(3)
+    docs, labels = [], []
+    for i in range(200):
+        text = rng.choices([f"word{k}" for k in range(60)], k=40)
+        if i % 10 == 0:
+            text.insert(rng.randrange(40), "Zounderkite," if i % 20 else "(gobermouch)")
+        docs.append((i, " ".join(text)))
+        labels.append((i, 1, int(i % 10 == 0)))
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    abusive = Q.abusive_words(d, lab, "doc_id", "text")
+    assert abusive == {b"zounderkite", b"gobermouch"}
+    assert Q.features(b"what a zounderkite", Q._Features(), abusive)[1][5] == "1"
+    assert Q.abusive_words(d, lab.limit(0), "doc_id", "text") == frozenset()
