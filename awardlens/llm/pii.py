@@ -14,12 +14,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh
+
 ROUNDS = 8
-KEY = "public-demo-key"
 MARK, ESCAPE = "\u0001\u0002", "\u0001\u0003"
 
 #: The formats. Dates are within 1900-2099; phone numbers have ten digits, grouped 3-3-4.
-EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]{1,63}\.)+[A-Za-z]{2,24}"
+#: Groups are repeated a bounded number of times (a domain has 127 labels at most): the JVM matches each repetition of a
+#: group one call deeper, so that an unbounded one would overflow the stack on long texts.
+EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]{1,63}\.){1,126}[A-Za-z]{2,24}"
 IPV4 = r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?!\w|\.\d)"
 SSN = r"(?<![\w-])(?!000|666|9\d\d)\d{3}-(?!00)\d{2}-(?!0000)\d{4}(?![\w-])"
 PHONE = r"(?<![\w+])(?:\+?1[ .-]?)?(?:\(\d{3}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\w)"
@@ -155,7 +158,7 @@ def _email(value: Column, key: str) -> Column:
     return F.concat(F.lit("u"), F.substring(F.sha2(F.concat_ws(":", F.lit(key), F.lit("email"), F.lower(value)), 256), 1, 16), F.lit("@redacted.invalid"))
 
 
-def pseudonym(value: Column, key: str = KEY, inverse: bool = False) -> Column:
+def pseudonym(value: Column, key: str, inverse: bool = False) -> Column:
     """The pseudonym of one value that :data:`ANY` matched; values that fail their validation stay."""
     whole = lambda pattern: value.rlike(f"^(?:{pattern})$")
     slash = F.coalesce(_date(value, "MM/dd/yyyy", key, inverse), _date(value, "dd/MM/yyyy", key, inverse), value)
@@ -171,20 +174,25 @@ def pseudonym(value: Column, key: str = KEY, inverse: bool = False) -> Column:
     )
 
 
-def pseudonymise(docs: DataFrame, text_col: str = "text", key: str = KEY, inverse: bool = False) -> DataFrame:
+def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", inverse: bool = False) -> DataFrame:
     """``docs`` with its text pseudonymised and a column pii_values: how many values were replaced.
 
-    Rows and their other columns stay; a column named pii_values is replaced. A null text stays null with 0 values, an
-    empty one empty. Any text may hold the marker characters used inside; they come back unchanged. Numbers that fail
+    ``key`` is the caller's secret; there is none by default, as whoever knows it can reverse the pseudonyms.
+    Rows and their other columns stay, whatever they are called; a column named pii_values is replaced. A null text stays
+    null with 0 values, an empty one empty. Texts may be of any length; repeated rows get equal results, an empty table
+    an empty one. Any text may hold the marker characters used inside; they come back unchanged. Numbers that fail
     their check (Luhn, calendar, octets) are no personal data here and stay. ``inverse`` brings permuted values back;
     e-mail digests can't be reversed, and a slashed date that is only valid day first may come back month first.
     """
+    if not key:
+        raise ValueError("pseudonyms need a key")
     keep = [c for c in docs.columns if c != "pii_values"]
+    parts, fresh_parts = fresh(keep, "pii_parts", "pii_new")
     text = F.col(f"`{text_col}`")
     marked = F.regexp_replace(F.regexp_replace(text, "\u0001", ESCAPE), ANY, f"{MARK}$0{MARK}")
-    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.when(text.rlike("[0-9@]"), F.split(marked, MARK)).alias("pii_parts"))
-    found = F.size("pii_parts") > 1
-    rows = rows.withColumn("pii_new", F.when(found, F.transform("pii_parts", lambda s, i: F.when(i % 2 == 1, pseudonym(s, key, inverse)).otherwise(s))))
-    changed = F.size(F.filter(F.zip_with("pii_parts", "pii_new", lambda x, y: x != y), lambda x: x))
-    new = F.regexp_replace(F.array_join("pii_new", ""), ESCAPE, "\u0001")
+    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.when(text.rlike("[0-9@]"), F.split(marked, MARK)).alias(parts))
+    found = F.size(parts) > 1
+    rows = rows.withColumn(fresh_parts, F.when(found, F.transform(parts, lambda s, i: F.when(i % 2 == 1, pseudonym(s, key, inverse)).otherwise(s))))
+    changed = F.size(F.filter(F.zip_with(parts, fresh_parts, lambda x, y: x != y), lambda x: x))
+    new = F.regexp_replace(F.array_join(fresh_parts, ""), ESCAPE, "\u0001")
     return rows.select(*[F.when(found, new).otherwise(text).alias(c) if c == text_col else F.col(f"`{c}`") for c in keep], F.when(found, changed).otherwise(0).cast("long").alias("pii_values"))

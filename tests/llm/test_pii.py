@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import datetime
 import hashlib
 import re
 
@@ -9,7 +10,11 @@ from pyspark.sql import functions as F
 from awardlens.llm import pii as P
 
 
-def plain_feistel(kind, left, right, a, b, key=P.KEY):
+KEY = "a key of the tests"
+SF = "/root/testdata/sf0.001"
+
+
+def plain_feistel(kind, left, right, a, b, key=KEY):
     for i in range(P.ROUNDS):
         if i % 2 == 0:
             left = (left + int(hashlib.sha256(f"{key}:{kind}:{i}:{right}".encode()).hexdigest()[:15], 16) % a) % a
@@ -24,7 +29,7 @@ def luhn(d):
 
 def run(spark, *texts, inverse=False, **extra):
     docs = spark.createDataFrame([(i, t, "k") for i, t in enumerate(texts)], "doc_id int, text string, pii_values string")
-    return {r["doc_id"]: r for r in P.pseudonymise(docs, inverse=inverse).collect()}
+    return {r["doc_id"]: r for r in P.pseudonymise(docs, KEY, inverse=inverse).collect()}
 
 
 def test_matches_a_plain_version(spark):
@@ -51,9 +56,9 @@ def test_equal_values_stay_linked_across_layouts_and_documents(spark):
 
 def test_dates_are_a_bijection_and_come_back(spark):
     days = spark.range(0, P.DAYS, 7).select(F.col("id").alias("doc_id"), F.date_format(F.date_add(F.lit("1900-01-01").cast("date"), F.col("id").cast("int")), "yyyy-MM-dd").alias("text"))
-    out = P.pseudonymise(days)
+    out = P.pseudonymise(days, KEY)
     assert out.select("text").distinct().count() == days.count()
-    assert P.pseudonymise(out, inverse=True).select("doc_id", "text").exceptAll(days).count() == 0
+    assert P.pseudonymise(out, KEY, inverse=True).select("doc_id", "text").exceptAll(days).count() == 0
     assert out.filter(F.col("text").between("1900-01-01", "2099-12-31")).count() == days.count()
 
 
@@ -68,4 +73,104 @@ def test_marks_in_texts_and_round_trip(spark):
     r = run(spark, *texts)
     back = run(spark, *[r[i]["text"] for i in range(3)], inverse=True)
     assert [back[i]["text"] for i in range(3)] == texts and all(r[i]["text"] != t for i, t in enumerate(texts))
-    assert P.pseudonymise(spark.createDataFrame([], "doc_id int, text string")).count() == 0
+    assert P.pseudonymise(spark.createDataFrame([], "doc_id int, text string"), KEY).count() == 0
+
+
+def plain_value(v, key=KEY):
+    """A matched value's pseudonym, digit by digit in Python."""
+    digits = re.sub("[^0-9]", "", v)
+
+    def refill(new):
+        left = iter(new)
+        return "".join(next(left) if c in "0123456789" else c for c in v)
+
+    def date(layout):
+        try:
+            day = datetime.datetime.strptime(v, layout).date()
+        except ValueError:
+            return None
+        n, first = (day - datetime.date(1900, 1, 1)).days, True
+        while first or n >= P.DAYS:
+            left, right = plain_feistel("date", n // P.DAY_FACTORS[1], n % P.DAY_FACTORS[1], *P.DAY_FACTORS, key)
+            n, first = left * P.DAY_FACTORS[1] + right, False
+        return (datetime.date(1900, 1, 1) + datetime.timedelta(days=n)).strftime(layout)
+
+    whole = lambda pattern: re.fullmatch(pattern, v, re.ASCII)
+    if "@" in v:
+        return "u" + hashlib.sha256(f"{key}:email:{v.lower()}".encode()).hexdigest()[:16] + "@redacted.invalid"
+    if whole(P.IPV4):
+        a, b, c, d = map(int, v.split("."))
+        left, right = plain_feistel("ipv4", a * 256 + b, c * 256 + d, 65536, 65536, key)
+        return f"{left // 256}.{left % 256}.{right // 256}.{right % 256}"
+    if whole(P.SSN):
+        area = int(digits[:3])
+        left, right = plain_feistel("ssn", (area - (2 if area > 666 else 1)) * 99 + int(digits[3:5]) - 1, int(digits[5:]) - 1, 898 * 99, 9999, key)
+        area = left // 99 + 1
+        return refill(f"{area + (area >= 666):03d}{left % 99 + 1:02d}{right + 1:04d}")
+    if whole(P.PHONE):
+        left, right = plain_feistel("phone", int(digits[-10:-4]), int(digits[-4:]), 10**6, 10**4, key)
+        return refill(f"{digits[:-10]}{left:06d}{right:04d}")
+    if whole(P.ISO_DATE):
+        return date("%Y-%m-%d") or v
+    if whole(P.SLASH_DATE):
+        return date("%m/%d/%Y") or date("%d/%m/%Y") or v
+    if whole(P.DOT_DATE):
+        return date("%d.%m.%Y") or v
+    if not luhn(digits):
+        return v
+    half = (len(digits) - 2) // 2
+    rest = len(digits) - 2 - half
+    left, right = plain_feistel("card", int(digits[1 : 1 + half]), int(digits[1 + half : -1]), 10**half, 10**rest, key)
+    front = f"{digits[0]}{left:0{half}d}{right:0{rest}d}"
+    return refill(front + next(c for c in "0123456789" if luhn(front + c)))
+
+
+def plain_text(text, key=KEY):
+    pieces, changed, at = [], 0, 0
+    for m in re.finditer(P.ANY, text, re.ASCII):
+        new = plain_value(m.group(), key)
+        changed += new != m.group()
+        pieces += [text[at : m.start()], new]
+        at = m.end()
+    return "".join(pieces) + text[at:], changed
+
+
+def test_query_on_whole_texts_matches_a_plain_version(spark):
+    from awardlens.llm.queries_pii import op6_pseudonyms, session_key
+
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    found = {r["doc_id"]: (r["text"], r["pii_values"]) for r in op6_pseudonyms(spark, SF).collect()}
+    key = session_key(spark)
+    assert found == {i: (None, 0) if t is None else plain_text(t, key) for i, t in texts.items()}
+    assert sum(n for _, n in found.values()) > 0
+
+
+def test_layouts_match_a_plain_version(spark):
+    texts = [
+        "on 31.12.1999 and 12/31/1999, 31/12/1999 or 02/30/2000; 1999-12-31", "mail a.b+c@d-e.example.org, X@y.co.", "12345678901234567890 4111-1111-1111-1111 378282246310005 3782 822463 10005",
+        "+1 (301) 555-3824 301.555.3824 1-301-555-3824", "(123-45-6789) 078-05-1120 899-99-9999 665-01-0001 667-01-0001", "0.0.0.0 255.255.255.255, 8.8.8.8.", "2000-02-29 29.02.2000 29.02.1900 1900-01-01 2099-12-31",
+    ]
+    r = run(spark, *texts)
+    assert {i: (x["text"], x["pii_values"]) for i, x in r.items()} == dict(enumerate(map(plain_text, texts)))
+
+
+LONG = ["x@" + "a." * 500_000, "x@" + "a-" * 500_000, "a." * 500_000 + "@b", "@a" * 500_000, "1." * 500_000, "1-" * 500_000, "12/" * 330_000, "4111 " * 200_000, "9" * 1_000_000, "(301) " * 160_000, "a@b.c" * 200_000, "-" * 1_000_000]
+
+
+def test_long_runs_of_every_pattern_do_not_overflow_the_stack(spark):
+    r = run(spark, *LONG, "x@" + "a." * 5000 + " 4111111111111111", "x@" + "a." * 125 + "com")
+    for i, t in enumerate(LONG):
+        assert r[i]["text"] == plain_text(t)[0]
+    assert r[len(LONG)]["pii_values"] == 1 and r[len(LONG) + 1]["text"].endswith("@redacted.invalid")
+
+
+def test_clashing_columns_repeated_rows_and_keys(spark):
+    rows = [(1, "mail a@b.cd", "p", "n"), (1, "mail a@b.cd", "p", "n"), (None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, pii_parts string, PII_NEW string")
+    out = P.pseudonymise(docs, KEY)
+    assert out.columns == [*docs.columns, "pii_values"]
+    got = sorted(map(tuple, out.collect()), key=str)
+    assert got[0] == got[1] and got[0][2:] == ("p", "n", 1) and got[2] == (None, None, None, None, 0)
+    assert P.pseudonymise(docs, "another key").exceptAll(out).count() == 2
+    with pytest.raises(ValueError):
+        P.pseudonymise(docs, "")
