@@ -6,7 +6,7 @@ number over the odds of their inclusion probability, and the first ones that fil
 The gap that the first too long one leaves is filled with the next in rank that fit.
 
 The cut of a source is found from sums over buckets of the rank, so that no task has to sort a whole source; rows are
-ranked one by one only within the bucket in which the cut falls.
+ranked only within the bucket in which the cut falls, and there by parts of about ``BUCKET_ROWS`` rows, whose sums come first.
 """
 
 from __future__ import annotations
@@ -56,40 +56,51 @@ def pareto_mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sourc
 
     ``size_col`` counts words; null or negative counts as 0. Rows of size 0 take nothing. A null source is a source of
     its own. Null ids share one random number and are ranked by size; repeated rows are ranked one after another, so
-    each may be taken on its own. Weights below 0 or null count as 0, which takes nothing. Columns of ``docs`` keep their names, except that
-    columns named like an added one (or starting with ``m_``) are replaced. Empty tables give empty results.
+    each may be taken on its own. Where a document's expected copies are whole, nothing is sampled. Weights below 0 or null count as 0, which takes nothing. Columns of ``docs`` keep their names, except that
+    columns named like an added one are replaced. Empty tables give empty results.
     """
-    keep = [c for c in docs.columns if c not in {"source_size", "target", "copies", "taken"} and not c.startswith("m_")]
-    weight = F.greatest(F.coalesce(F.col(weight_col).cast("double"), F.lit(0.0)), F.lit(0.0)) if weight_col else F.lit(1.0)
-    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.greatest(F.coalesce(F.col(size_col).cast("long"), F.lit(0)), F.lit(0)).alias("m_words"), weight.alias("m_weight"))
-    stats = cut(source_targets(rows, source_col, "m_words", cycle, cap), "mix-sources")
+    keep = [c for c in docs.columns if c not in {"source_size", "target", "copies", "taken"}]
+    weight = F.greatest(F.coalesce(F.col(f"`{weight_col}`").cast("double"), F.lit(0.0)), F.lit(0.0)) if weight_col else F.lit(1.0)
+    words = F.greatest(F.coalesce(F.col(f"`{size_col}`").cast("long"), F.lit(0)), F.lit(0))
+    # the caller's columns travel in one struct, so that none can clash with those used here
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("m_row"), F.col(f"`{id_col}`").alias("m_id"), F.col(f"`{source_col}`").alias("m_of"), words.alias("m_words"), weight.alias("m_weight"))
+    stats = cut(source_targets(rows, "m_of", "m_words", cycle, cap), "mix-sources")
 
     per_word = F.when(F.col("m_weighted") > 0, F.col("m_target") / F.col("m_weighted")).otherwise(F.lit(0.0))
     wanted = F.least(F.col("m_weight") * per_word, F.lit(float(cap)))
-    planned = rows.join(stats, F.col(source_col).eqNullSafe(F.col("m_source")), "inner").withColumn("m_wanted", wanted).withColumn("m_whole", F.floor("m_wanted").cast("long"))
-    part = F.least(F.greatest(F.col("m_wanted") - F.col("m_whole"), F.lit(1e-12)), F.lit(1 - 1e-12))
-    u = uniform(F.col(id_col), seed)
-    planned = planned.withColumn("m_q", F.when((F.col("m_whole") < cap) & (F.col("m_weight") > 0), (u / (1 - u)) / (part / (1 - part))))
+    planned = rows.join(stats, F.col("m_of").eqNullSafe(F.col("m_source")), "inner").withColumn("m_wanted", wanted).withColumn("m_whole", F.floor("m_wanted").cast("long"))
+    fraction = F.col("m_wanted") - F.col("m_whole")
+    part = F.least(F.greatest(fraction, F.lit(1e-12)), F.lit(1 - 1e-12))
+    u = uniform(F.col("m_id"), seed)
+    planned = planned.withColumn("m_part", F.when((F.col("m_whole") < cap) & (F.col("m_weight") > 0) & (fraction > 0), part))
+    planned = planned.withColumn("m_q", (u / (1 - u)) / (F.col("m_part") / (1 - F.col("m_part"))))
     buckets = F.floor(F.col("m_rows") / BUCKET_ROWS) + 1
     planned = planned.withColumn("m_bucket", F.when(F.col("m_q").isNotNull(), F.floor(buckets * (F.col("m_q") / (1 + F.col("m_q"))))).otherwise(F.lit(-1)).cast("long"))
 
-    sums = planned.groupBy("m_rank", "m_bucket").agg(F.sum(F.when(F.col("m_bucket") >= 0, F.col("m_words")).otherwise(0)).alias("m_in"), F.sum(F.col("m_whole") * F.col("m_words")).alias("m_sure"), F.first("m_target").alias("m_t"))
+    sums = planned.groupBy("m_rank", "m_bucket").agg(F.sum(F.when(F.col("m_bucket") >= 0, F.col("m_words")).otherwise(0)).alias("m_in"), F.sum(F.col("m_whole") * F.col("m_words")).alias("m_sure"), F.first("m_target").alias("m_t"), F.sum("m_part").alias("m_parts"), F.count("m_part").alias("m_drawn"))
     source = Window.partitionBy("m_rank")
     sums = sums.withColumns({"m_before": F.coalesce(F.sum("m_in").over(source.orderBy("m_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "m_need": F.col("m_t") - F.sum("m_sure").over(source)})
     crossing = (F.col("m_before") <= F.col("m_need")) & (F.col("m_bucket") >= 0)
-    cuts = cut(sums.groupBy("m_rank").agg(F.max(F.when(crossing, F.col("m_bucket"))).alias("m_cut"), F.max_by("m_before", F.when(crossing, F.col("m_bucket"))).alias("m_base"), F.first("m_need").alias("m_left")), "mix-cuts")
+    cuts = cut(sums.groupBy("m_rank").agg(F.max(F.when(crossing, F.col("m_bucket"))).alias("m_cut"), F.max_by("m_before", F.when(crossing, F.col("m_bucket"))).alias("m_base"), F.first("m_need").alias("m_left"), (F.sum("m_parts") / F.sum("m_drawn")).alias("m_mean")), "mix-cuts")
 
     ready = planned.join(cuts, "m_rank", "inner")
     inside = ready.filter(F.col("m_bucket") == F.col("m_cut"))
-    order = Window.partitionBy("m_rank").orderBy("m_q", "m_words", F.col(id_col).asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
-    inside = inside.withColumns({"m_gap": F.col("m_left") - F.col("m_base"), "m_more": F.lit(0).cast("long")})
+    # by the source's mean odds the ranks of all its documents spread evenly over the parts
+    even = F.col("m_q") * F.col("m_mean") / (1 - F.col("m_mean"))
+    inside = inside.withColumns({"m_gap": F.col("m_left") - F.col("m_base"), "m_more": F.lit(0).cast("long"), "m_piece": F.floor(buckets * (even / (1 + even)))})
+    pieces = Window.partitionBy("m_rank").orderBy("m_piece").rowsBetween(Window.unboundedPreceding, -1)
+    order = Window.partitionBy("m_rank", "m_piece").orderBy("m_q", "m_words", F.col("m_id").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
     for k in range(FILLS):
         fits = F.when((F.col("m_more") == 0) & ((F.col("m_words") <= F.col("m_gap")) if k else F.lit(True)), F.col("m_words"))
-        ahead = F.coalesce(F.sum("m_fits").over(order), F.lit(0))
+        inside = inside.withColumn("m_fits", fits)
+        before = inside.groupBy("m_rank", "m_piece").agg(F.sum("m_fits").alias("m_sum")).withColumn("m_ahead", F.coalesce(F.sum("m_sum").over(pieces), F.lit(0))).drop("m_sum")
+        ahead = F.col("m_ahead") + F.coalesce(F.sum("m_fits").over(order), F.lit(0))
         closer = ahead + F.col("m_fits") / (2 if k == FILLS - 1 else 1) <= F.col("m_gap")
-        inside = inside.withColumn("m_fits", fits).withColumn("m_new", F.coalesce(closer, F.lit(False)).cast("long"))
-        inside = inside.withColumns({"m_gap": F.col("m_gap") - F.sum(F.col("m_new") * F.col("m_words")).over(source), "m_more": F.col("m_more") + F.col("m_new")})
+        inside = inside.join(before, ["m_rank", "m_piece"]).withColumn("m_new", F.coalesce(closer, F.lit(False)).cast("long"))
+        inside = cut(inside.drop("m_ahead", "m_fits"), "mix-inside")
+        used = inside.groupBy("m_rank").agg(F.sum(F.col("m_new") * F.col("m_words")).alias("m_used"))
+        inside = inside.join(used, "m_rank").withColumns({"m_gap": F.col("m_gap") - F.col("m_used"), "m_more": F.col("m_more") + F.col("m_new")}).drop("m_used", "m_new")
     outside = ready.filter(~F.coalesce(F.col("m_bucket") == F.col("m_cut"), F.lit(False))).withColumn("m_more", (F.coalesce(F.col("m_bucket") < F.col("m_cut"), F.lit(False)) & (F.col("m_bucket") >= 0)).cast("long"))
-    out = outside.unionByName(inside.drop("m_gap", "m_fits", "m_new"))
+    out = outside.unionByName(inside.drop("m_gap", "m_piece"))
     copies = F.col("m_whole") + F.col("m_more")
-    return out.select(*[F.col(f"`{c}`") for c in keep], F.col("m_size").alias("source_size"), F.col("m_target").alias("target"), copies.alias("copies"), (copies * F.col("m_words")).alias("taken"))
+    return out.select("m_row.*", F.col("m_size").alias("source_size"), F.col("m_target").alias("target"), copies.alias("copies"), (copies * F.col("m_words")).alias("taken"))

@@ -68,6 +68,33 @@ def test_empty_and_wordless_tables(spark):
     assert [r["taken"] for r in pareto_mix(zero).collect()] == [0, 0]
 
 
+def test_one_source_is_taken_whole_and_no_window_holds_it(spark, monkeypatch):
+    from awardlens.llm import mixing
+
+    seen = []
+    plain = mixing.cut
+    monkeypatch.setattr(mixing, "cut", lambda df, name: (seen.append((name, plain(df, name))), seen[-1][1])[1])
+    docs = spark.createDataFrame([(i, "only", 1 + i % 9) for i in range(20_000)], "doc_id long, source string, size long")
+    rows = pareto_mix(docs).collect()
+    assert all(r["copies"] == 1 for r in rows)
+    assert all(t.count() == 0 for name, t in seen if name == "mix-inside")
+    # next to whole copies: nearly all ranks are in the last bucket, and its pieces stay small
+    seen.clear()
+    docs = spark.createDataFrame([(i, "a", 1.0 if i else 40.0, 10) for i in range(20_000)], "doc_id long, source string, w double, size long")
+    rows = pareto_mix(docs, weight_col="w").collect()
+    assert sum(r["taken"] for r in rows) == pytest.approx(200_000, rel=0.01)
+    for name, t in seen:
+        if name == "mix-inside" and t.count():
+            assert t.groupBy("m_rank", "m_piece").count().agg(F.max("count")).first()[0] < 4 * mixing.BUCKET_ROWS
+
+
+def test_columns_named_like_scratch_ones_stay(spark):
+    docs = spark.createDataFrame([(i, "s", 3, f"q{i}", "t", i) for i in range(50)], "doc_id long, source string, size long, m_q string, target string, `m.row` long")
+    out = pareto_mix(docs)
+    assert out.columns == ["doc_id", "source", "size", "m_q", "m.row", "source_size", "target", "copies", "taken"]
+    assert sorted((r["doc_id"], r["m_q"], r["m.row"]) for r in out.collect()) == [(i, f"q{i}", i) for i in range(50)]
+
+
 def test_query_matches_its_sql(spark, tmp_path):
     docs = spark.createDataFrame([(i, s, " ".join("w" * n) if n % 5 else None) for i, s, n in ROWS], "doc_id long, source string, text string")
     docs.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
