@@ -7,13 +7,15 @@ give a forest of their links, not all pairs, so that large groups of near copies
 
 Similar documents (share of common word shingles 0.8 and more): at that similarity fingerprints differ in 10 of 64 bits and
 more, and a tree prunes nothing at such a radius, as unrelated ones lie 32 apart, give or take 4. Documents therefore meet
-in shards of equal minimum-hash bands. In each shard vantage points are compared with all members on whole shingle sets; then
-so are all two members that aren't connected by then, save those that sizes or the triangle inequality rule out. Documents that
-share a band are thus linked whenever they are similar; those that share none (0.2 % at 0.8, fewer above) aren't compared.
+in shards of equal minimum-hash bands. In each shard vantage points are compared with all members on whole shingle sets; of the
+members that aren't connected by then, those that share one of their rarest shingles are compared, save those that sizes or
+the triangle inequality rule out. Documents that share a band are thus linked whenever they are similar; those that share
+none (0.2 % at 0.8, fewer above) are compared if both are left over in shards and share a rare shingle.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, fresh
 from .components import components
 
 SEED = 42
@@ -35,6 +37,7 @@ LEAST_SAMPLE = 16  # sampled fingerprints to a leaf
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 20, 6
 ROUNDS = 2  # of vantage points in each shard, before the members that are left are compared with each other
+BLOCK = 1024  # members of a shingle that one task compares with all others
 BROADCAST_ROWS = 1_000_000  # ids and digests of rows to drop or to compare, under 64 MB; more are joined by a shuffle
 
 
@@ -110,9 +113,9 @@ class Tree:
         self.children[node] = (self._grow(points[inside], near, rng), self._grow(points[~inside], leaves - near, rng))
         return node
 
-    def route(self, points: np.ndarray, radius: int = RADIUS) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(leaf, indexes of points, whether it is their home). Points visit beyond a boundary from inside only."""
-        waiting = [(self.root, np.arange(len(points)), np.ones(len(points), bool))]
+    def route(self, points: np.ndarray, at_home: np.ndarray, radius: int = RADIUS) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(leaf, indexes of points, whether it is their home). Points at home visit beyond a boundary from inside only; visitors go wherever they are near."""
+        waiting = [(self.root, np.arange(len(points)), at_home)]
         while waiting:
             node, at, home = waiting.pop()
             if not len(at):
@@ -163,16 +166,23 @@ def forest(points: np.ndarray, home: np.ndarray, radius: int = RADIUS) -> np.nda
 
 
 def hamming_links(fps: DataFrame, radius: int = RADIUS, sample: int = SAMPLE, leaf: int = LEAF) -> DataFrame:
-    """Edges (u, v) between fingerprints (column fp, distinct) such that all within the radius of each other are connected."""
+    """Edges (u, v) between fingerprints (column fp, distinct) such that all within the radius of each other are connected.
+
+    A tree has at most ``sample`` / 16 leaves. Leaves that are still more than four times ``leaf`` large are split again, each
+    by a tree on a sample of its own members, until none is, or its members can't be told apart any further.
+    """
     total = fps.count()
     seen = np.array([r["fp"] for r in fps.orderBy(F.xxhash64("fp"), "fp").limit(sample).collect()], np.int64).view(np.uint64)
-    tree = Tree(seen, min(-(-total // leaf), max(1, len(seen) // LEAST_SAMPLE)), np.random.default_rng(3))
-
-    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            points = batch["fp"].to_numpy(np.int64).view(np.uint64)
-            for k, at, home in tree.route(points, radius):
-                yield pd.DataFrame({"leaf": np.full(len(at), k), "fp": points[at].view(np.int64), "home": home})
+    dealt = _dealt(fps.select(F.lit(0).cast("long").alias("leaf"), "fp", F.lit(True).alias("home")), {0: _tree(seen, total, leaf, np.random.default_rng(3))}, radius)
+    before: dict[int, int] = {}
+    while total > leaf:
+        dealt = cut(dealt, "simhash-dealt")
+        sizes = {r["leaf"]: r["n"] for r in dealt.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 4 * leaf).collect()}
+        sizes = {k: n for k, n in sizes.items() if before.get(k) != n}
+        if not sizes:
+            break
+        dealt = _dealt(dealt, _trees(dealt, sizes, sample, leaf), radius)
+        before = sizes
 
     def link(group: pd.DataFrame) -> pd.DataFrame:
         points = group["fp"].to_numpy(np.int64)
@@ -180,10 +190,44 @@ def hamming_links(fps: DataFrame, radius: int = RADIUS, sample: int = SAMPLE, le
         tied = label != np.arange(len(points))
         return pd.DataFrame({"u": points[tied], "v": points[label[tied]]})
 
-    dealt = fps.select("fp").mapInPandas(deal, "leaf long, fp long, home boolean")
     return dealt.groupBy("leaf").applyInPandas(link, "u long, v long")
 
 
+def _tree(seen: np.ndarray, total: int, leaf: int, rng: np.random.Generator) -> Tree:
+    return Tree(seen, min(-(-total // leaf), max(1, len(seen) // LEAST_SAMPLE)), rng)
+
+
+def _trees(dealt: DataFrame, sizes: dict[int, int], sample: int, leaf: int) -> dict[int, Tree]:
+    """A tree for each leaf of ``sizes`` (leaf, rows), on about ``sample`` of its members, thinned by hash. At most 12 KB each come back."""
+    share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, int(min(1.0, sample / n) * (1 << 40)))])
+    thinned = dealt.filter(F.pmod(F.xxhash64("fp"), F.lit(1 << 40)) <= F.try_element_at(share, F.col("leaf")))
+
+    def grow(group: pd.DataFrame) -> pd.DataFrame:
+        k = int(group["leaf"].iloc[0])
+        made = _tree(np.sort(group["fp"].to_numpy(np.int64).view(np.uint64)), sizes[k], leaf, np.random.default_rng((3, k & 0x7FFFFFFF)))
+        return pd.DataFrame({"leaf": [k], "tree": [pickle.dumps(made)]})
+
+    return {r["leaf"]: pickle.loads(r["tree"]) for r in thinned.groupBy("leaf").applyInPandas(grow, "leaf long, tree binary").collect()}
+
+
+def _dealt(rows: DataFrame, trees: dict[int, Tree], radius: int) -> DataFrame:
+    """Rows (leaf, fp, home) of leaves that have a tree dealt to that tree's leaves, whose numbers are hashes of both; others stay."""
+
+    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for old, group in batch.groupby("leaf"):
+                tree = trees.get(int(old))
+                if tree is None:
+                    yield group
+                    continue
+                points = group["fp"].to_numpy(np.int64).view(np.uint64)
+                for k, at, home in tree.route(points, group["home"].to_numpy(bool), radius):
+                    number = xxhash.xxh64_intdigest(f"{old}:{k}") - (1 << 63) if tree.leaves > 1 else old
+                    yield pd.DataFrame({"leaf": np.full(len(at), number, np.int64), "fp": points[at].view(np.int64), "home": home})
+
+    return rows.mapInPandas(deal, "leaf long, fp long, home boolean")
+
+
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int = RADIUS) -> DataFrame:
     """(id, fp, component_id) per row: the least id reachable over links of ``radius`` or fewer bits, the row's own included.
 
@@ -254,13 +298,14 @@ def _links(shards: DataFrame, sets: DataFrame, similarity: float, rounds: int =
     """(u, v): verified links such that all linked pairs that share a shard are connected.
 
     In each round a shard has another vantage point, and the members not yet connected with it are compared with it on their whole
-    sets. In the end every two members that aren't connected are compared, unless bounds show that they can't be linked:
-    their sizes, and, as the share of unequal shingles is a metric, their distances from a vantage point.
+    sets. Of the members that are left unconnected, those that share one of their rarest shingles are compared in the end (see
+    :func:`_rest`), but for pairs that the triangle inequality rules out: the share of unequal shingles is a metric, so that
+    linked members lie about equally far from a vantage point.
     """
     linked = F.col("common") >= F.lit(similarity) * F.col("whole")
     apart = 1 - similarity + 1e-9
-    members = cut(shards.join(sets.select("node", F.size("shingles").alias("n")), "node"), "simhash-members")
-    gaps, links = [], None
+    members = cut(shards, "simhash-members")
+    gaps, links = None, None
     for k in range(rounds):
         rooted = members if links is None else _rooted(members, links)
         root = F.col("node" if links is None else "root")
@@ -269,23 +314,41 @@ def _links(shards: DataFrame, sets: DataFrame, similarity: float, rounds: int =
         seen = cut(_compared(met.select("u", "v").distinct(), sets), "simhash-seen")
         found = seen.filter(linked).select("u", "v")
         links = cut(found if links is None else links.union(found), "simhash-links")
-        gap = met.join(seen, ["u", "v"]).select("shard", F.col("u").alias("node"), (1 - F.col("common") / F.col("whole")).alias(f"d{k}"))
-        members = cut(members.join(gap, ["shard", "node"], "left"), "simhash-members")
-        gaps.append(f"d{k}")
+        gap = met.join(seen, ["u", "v"]).select(F.col("u").alias("node"), F.xxhash64("shard", F.lit(k)).alias("point"), (1 - F.col("common") / F.col("whole")).alias("d"))
+        gaps = gap if gaps is None else gaps.union(gap)
     rooted = cut(_rooted(members, links), "simhash-rooted")
     # shards in which all members are connected are done
     open_ = rooted.groupBy("shard").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("shard")
-    left = cut(rooted.join(open_, "shard").select("shard", F.struct("node", "root", "n", *gaps).alias("m")), "simhash-left")
-    a, b = F.col("a"), F.col("b")
-    may = (F.col("a.node") < F.col("b.node")) & (F.col("a.root") != F.col("b.root"))
-    may &= F.least("a.n", "b.n") >= F.lit(similarity) * F.greatest("a.n", "b.n")
-    for g in gaps:
-        may &= F.coalesce(F.abs(a[g] - b[g]) <= apart, F.lit(True))
-    rest = left.select("shard", F.col("m").alias("a")).join(left.select("shard", F.col("m").alias("b")), "shard").filter(may)
-    rest = cut(rest.select(F.col("a.node").alias("u"), F.col("b.node").alias("v")).distinct(), "simhash-rest")
+    left = cut(rooted.join(open_, "shard").select("node", "root").distinct(), "simhash-left")
+    rest = _rest(left, sets, similarity)
+    far = cut(gaps.join(left.select("node"), "node", "left_semi").groupBy("node").agg(F.map_from_entries(F.collect_set(F.struct("point", "d"))).alias("gaps")), "simhash-gaps")
+    both = rest.join(far.select(F.col("node").alias("u"), F.col("gaps").alias("a")), "u", "left").join(far.select(F.col("node").alias("v"), F.col("gaps").alias("b")), "v", "left")
+    ruled_out = F.exists(F.map_keys("a"), lambda point: F.abs(F.col("a")[point] - F.try_element_at("b", point)) > apart)
+    rest = cut(both.filter(~F.coalesce(ruled_out, F.lit(False))).select("u", "v"), "simhash-rest")
     return cut(links.union(_compared(rest, sets).filter(linked).select("u", "v")), "simhash-links")
 
 
+def _rest(left: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(u, v): the pairs of ``left`` (node, root) of unequal roots that may be similar, each once.
+
+    In one order of all shingles, the rarest first, similar sets have one in common among the first of each: of n shingles the
+    first n - similarity * n + 1. Documents that share a template only have these among what is their own. Shingles of one
+    document come first in that order and are never joined. The members of a shingle meet in blocks of ``BLOCK``, so that
+    a frequent one is no single task's work.
+    """
+    each = left.join(sets, "node").select("node", "root", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
+    often = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
+    shared = each.join(often, "shingle").groupBy("node", "root", "n").agg(F.sort_array(F.collect_list(F.struct("c", "shingle"))).alias("s"))
+    first = F.col("n") - F.ceil(F.col("n") * F.lit(similarity - 1e-9)) + 1 - (F.col("n") - F.size("s"))
+    met = cut(shared.select("node", "root", "n", F.explode(F.slice("s", F.lit(1), F.greatest(first, F.lit(0)).cast("int"))).alias("x")).select("node", "root", "n", "x.shingle"), "simhash-rare")
+    blocks = met.groupBy("shingle").agg(F.count(F.lit(1)).alias("c"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("shingle", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks"))
+    met = met.join(blocks, "shingle")
+    a = met.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).select("shingle", "block", F.col("node").alias("u"), F.col("root").alias("u_root"), F.col("n").alias("u_n"))
+    b = met.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("shingle", "block", F.col("node").alias("v"), F.col("root").alias("v_root"), F.col("n").alias("v_n"))
+    may = (F.col("u") < F.col("v")) & (F.col("u_root") != F.col("v_root")) & (F.least("u_n", "v_n") >= F.lit(similarity) * F.greatest("u_n", "v_n"))
+    return a.join(b, ["shingle", "block"]).filter(may).select("u", "v").distinct()
+
+
 def _shingle_sets(docs: DataFrame, words: int) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -333,5 +396,6 @@ def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: s
     out = docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, match, "left_anti")
     if twice.filter("n > 1").isEmpty():
         return out
-    kept = out.withColumn("g_row", F.struct(F.col(id_col), F.coalesce(F.md5(text_col), F.lit(""))))
-    return kept.dropDuplicates(["g_row"]).drop("g_row")
+    (once,) = fresh(docs.columns, "g_row")
+    kept = out.withColumn(once, F.struct(F.col(id_col), F.coalesce(F.md5(text_col), F.lit(""))))
+    return kept.dropDuplicates([once]).drop(once)

@@ -58,6 +58,26 @@ def test_every_link_is_found_through_shards_and_boundaries(spark):
     assert all(roots.get(p, p) == want[p] for p in fps)
 
 
+def test_large_leaves_are_split_again(spark, monkeypatch):
+    rng = np.random.default_rng(19)
+    points = set(rng.integers(0, 1 << 63, 1500, dtype=np.int64).tolist())
+    for p in list(points)[:500]:
+        points.add(p ^ (1 << int(rng.integers(0, 63))) ^ (1 << int(rng.integers(0, 63))))
+    fps = sorted(points)
+    split = []
+    plain = S._trees
+    monkeypatch.setattr(S, "_trees", lambda dealt, sizes, *rest: (split.append(sizes), plain(dealt, sizes, *rest))[1])
+    edges = S.hamming_links(spark.createDataFrame([(p,) for p in fps], "fp long"), sample=64, leaf=16)
+    roots = {r["node"]: r["root"] for r in components(edges).collect()}
+    array = np.array(fps, np.int64).view(np.uint64)
+    linked = np.bitwise_count(array[:, None] ^ array[None]) <= 2
+    label = np.arange(len(fps))
+    while (least := np.where(linked, label[None], len(fps)).min(axis=1)).tolist() != label.tolist():
+        label = least
+    assert len(split) > 1
+    assert [roots.get(p, p) for p in fps] == [fps[k] for k in label]
+
+
 def test_null_ids_repeated_rows_and_empty_tables(spark):
     docs = spark.createDataFrame([(None, "a b c d"), (7, "a b c d"), (7, "a b c d"), (None, "q r s t u v w x y z")], "doc_id long, text string")
     rows = sorted((str(r["doc_id"]), str(r["component_id"])) for r in S.simhash_components(docs).collect())
@@ -162,3 +182,23 @@ def test_null_and_repeated_ids_over_different_texts(spark):
         for b in range(a):
             assert (key[a] == key[b]) == (similarity(texts[a], texts[b]) >= 0.8), (a, b)
     assert S.without_near_duplicates(docs).count() == 42
+
+
+def test_rare_shingles_meet_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(S, "BLOCK", 3)
+    rng = np.random.default_rng(3)
+    held = [set(rng.choice(14, int(rng.integers(4, 13)), replace=False).tolist()) for _ in range(150)]
+    held = [set(x) for x in {frozenset(h) for h in held}]
+    names = [f"{i:03d}" for i in range(len(held))]
+    sets = spark.createDataFrame([(n, sorted(h)) for n, h in zip(names, held, strict=True)], "node string, shingles array<long>")
+    left = spark.createDataFrame([(n, n) for n in names], "node string, root string")
+    got = {(r["u"], r["v"]) for r in S._rest(left, sets, 0.8).collect()}
+    want = {(a, b) for a, x in zip(names, held, strict=True) for b, y in zip(names, held, strict=True) if a < b and len(x & y) >= 0.8 * len(x | y)}
+    assert len(want) > 5 and want <= got
+
+
+def test_clashing_columns_and_ties(spark):
+    docs = spark.createDataFrame([(1, "a b c", "x", 7), (1, "a b c", "y", 8), (2, "A b c", "z", 9)], "doc_id long, text string, g_row string, s_id long")
+    out = S.without_near_duplicates(docs)
+    assert out.columns == docs.columns and [r["doc_id"] for r in out.collect()] == [1]
+    assert {(r["doc_id"], r["component_id"]) for r in S.simhash_components(docs).collect()} == {(1, 1), (2, 1)}
