@@ -3,6 +3,8 @@ from __future__ import annotations
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from awardlens.llm import decontamination as D
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -12,7 +14,7 @@ def split(text):
     return WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
 
 
-def plain(docs, bench, window=10, slop=0):
+def plain(docs, bench, window=10):
     out = []
     for _, text in docs:
         w, hit, items = split(text), set(), set()
@@ -21,7 +23,7 @@ def plain(docs, bench, window=10, slop=0):
             n = min(window, len(b))
             for j in range(len(b) - n + 1 if b else 0):
                 for i in range(len(w) - n + 1):
-                    if sum(x == y for x, y in zip(w[i : i + n], b[j : j + n], strict=True)) >= max(n - slop, 1):
+                    if w[i : i + n] == b[j : j + n]:
                         hit |= set(range(i, i + n))
                         items.add(item)
         out.append((len(w), hit, items))
@@ -46,19 +48,57 @@ def tables(spark):
     return docs, bench, frames
 
 
-def check(spark, slop):
+def test_phrases_match_brute_force(spark):
     docs, bench, (d, b) = tables(spark)
-    got = sorted((r["doc_id"] if r["doc_id"] is not None else -1, r["d_words"], sorted(r["d_hits"]), sorted(r["d_items"])) for r in D.phrase_matches(d, b, slop=slop).collect())
-    want = sorted((i if i is not None else -1, n, sorted(h), sorted(s)) for (i, _), (n, h, s) in zip(docs, plain(docs, bench, slop=slop), strict=True))
-    assert got == want
+    got = sorted((r["doc_id"] if r["doc_id"] is not None else -1, r["d_words"], sorted(r["d_hits"]), sorted(r["d_items"])) for r in D.phrase_matches(d, b).collect())
+    assert got == sorted((i if i is not None else -1, n, sorted(h), sorted(s)) for (i, _), (n, h, s) in zip(docs, plain(docs, bench), strict=True))
 
 
-def test_phrases_match_brute_force(spark):
-    check(spark, 0)
+def test_proximity_matches_brute_force(spark):
+    docs, bench, (d, b) = tables(spark)
+    index = D.build_index(d)
+    hashes = {(r["doc_id"], r["h"]): r["text"] for r in d.select("doc_id", F.xxhash64("text").alias("h"), "text").collect()}
+    got = {(hashes[r["p_id"], r["p_hash"]], r["item_id"], r["start"], r["at"]) for r in D.proximity_matches(index, b, window=4, within=7).collect()}
+    want = set()
+    for _, text in docs:
+        w = split(text)
+        for item, passage in bench:
+            words = split(passage)
+            n = min(4, len(words))
+            for j in range(len(words) - n + 1 if words else 0):
+                need = set(words[j : j + n])
+                at = [i for i in range(len(w)) if w[i] in need and need <= set(w[i : i + 7])]
+                if at:
+                    want.add((text, item, j, at[0]))
+    assert len(want) > 100 and got == want
 
 
-def test_proximity_matches_brute_force(spark):
-    check(spark, 2)
+def test_a_stored_index_serves_another_test_set(spark, tmp_path):
+    docs, bench, (d, b) = tables(spark)
+    D.build_index(d, path=f"{tmp_path}/index")
+    index = spark.read.parquet(f"{tmp_path}/index")
+    assert index.columns == list(D.POSTING) and index.count() == sum(len(split(t)) for _, t in docs)
+    few = b.filter("item_id <> 0")
+    got = sorted((r["d_words"], len(r["d_hits"])) for r in D.phrase_matches(d, few, index=index).collect())
+    assert got == sorted((n, len(h)) for n, h, _ in plain(docs, [x for x in bench if x[0] != 0]))
+
+
+def test_shuffles_give_the_same_as_broadcasts(spark, monkeypatch):
+    docs, bench, (d, b) = tables(spark)
+    monkeypatch.setattr(D, "BROADCAST_ROWS", -1)
+    monkeypatch.setattr(D, "BROADCAST_BYTES", -1)
+    got = sorted((r["d_words"], len(r["d_hits"])) for r in D.phrase_matches(d, b).collect())
+    assert got == sorted((n, len(h)) for n, h, _ in plain(docs, bench))
+    assert D.decontaminate(d, b).count() == sum(not h for _, h, _ in plain(docs, bench))
+
+
+def test_clashing_columns_stay(spark):
+    _, _, (d, b) = tables(spark)
+    odd = d.select(F.col("doc_id").alias("p_id"), "text", *[F.lit(k).alias(c) for k, c in enumerate(("p_words", "p_found", "p_hash", "d_hash", "term", "i.x"))])
+    out = D.phrase_matches(odd, b, id_col="p_id")
+    assert out.columns == [*odd.columns, "d_words", "d_items", "d_hits"]
+    assert {tuple(r)[2:8] for r in out.collect()} == {(0, 1, 2, 3, 4, 5)}
+    assert D.decontaminate(odd, b, id_col="p_id").columns == odd.columns
 
 
 def test_decontaminated_documents_and_empty_tables(spark):
