@@ -168,8 +168,8 @@ def forest(points: np.ndarray, home: np.ndarray, radius: int = RADIUS) -> np.nda
 def hamming_links(fps: DataFrame, radius: int = RADIUS, sample: int = SAMPLE, leaf: int = LEAF) -> DataFrame:
     """Edges (u, v) between fingerprints (column fp, distinct) such that all within the radius of each other are connected.
 
-    A tree has at most ``sample`` / 16 leaves. Leaves that are still more than four times ``leaf`` large are split again, each
-    by a tree on a sample of its own members, until none is, or its members can't be told apart any further.
+    A tree has at most ``sample`` / 16 leaves. Leaves that are home to more than four times ``leaf`` are split again, each by
+    a tree on a sample of its own members, until none is, or its members can't be told apart any further.
     """
     total = fps.count()
     seen = np.array([r["fp"] for r in fps.orderBy(F.xxhash64("fp"), "fp").limit(sample).collect()], np.int64).view(np.uint64)
@@ -177,7 +177,7 @@ def hamming_links(fps: DataFrame, radius: int = RADIUS, sample: int = SAMPLE, le
     before: dict[int, int] = {}
     while total > leaf:
         dealt = cut(dealt, "simhash-dealt")
-        sizes = {r["leaf"]: r["n"] for r in dealt.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 4 * leaf).collect()}
+        sizes = {r["leaf"]: r["n"] for r in dealt.filter("home").groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 4 * leaf).collect()}
         sizes = {k: n for k, n in sizes.items() if before.get(k) != n}
         if not sizes:
             break
@@ -200,7 +200,7 @@ def _tree(seen: np.ndarray, total: int, leaf: int, rng: np.random.Generator) ->
 def _trees(dealt: DataFrame, sizes: dict[int, int], sample: int, leaf: int) -> dict[int, Tree]:
     """A tree for each leaf of ``sizes`` (leaf, rows), on about ``sample`` of its members, thinned by hash. At most 12 KB each come back."""
     share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, int(min(1.0, sample / n) * (1 << 40)))])
-    thinned = dealt.filter(F.pmod(F.xxhash64("fp"), F.lit(1 << 40)) <= F.try_element_at(share, F.col("leaf")))
+    thinned = dealt.filter("home").filter(F.pmod(F.xxhash64("fp"), F.lit(1 << 40)) <= F.try_element_at(share, F.col("leaf")))
 
     def grow(group: pd.DataFrame) -> pd.DataFrame:
         k = int(group["leaf"].iloc[0])
