@@ -1,10 +1,9 @@
 """Secret scans: fixed patterns, and a linear-chain conditional random field that finds secrets of other looks.
 
-The field tags tokens as B (a secret begins), I (inside) or O. Its features are the token's shape, the words beside it and
-features of its file. It is trained by gradient steps on the conditional log-likelihood, on a bounded sample of documents
-labelled by the fixed patterns, and decodes by Viterbi. B and I are open to tokens of 8 or more secret characters with
-a digit only; as all other tokens are O, a document's best path falls into independent stretches around such tokens, and
-only these are decoded: the result is that of decoding the whole text.
+The field tags every token of a text as B (a secret begins), I (inside) or O. Its features are the token's shape, the kinds
+of the tokens beside it and features of its file. It is trained by gradient steps on the conditional log-likelihood, on a
+bounded sample of chunks labelled by the fixed patterns, and decodes whole token sequences by Viterbi; stretches in which
+a bound shows that the best path is O throughout needn't be walked. Scores of a distinct token are computed once.
 """
 
 from __future__ import annotations
@@ -26,15 +25,17 @@ KINDS = ("assign", "access", "hex", "crf")
 NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
 LEAST = {"assign": 6, "access": 20, "hex": 24}
 
-TOKEN = re.compile(r"[A-Za-z0-9+/_.=-]+|[^\sA-Za-z0-9+/_.=-]")
-SECRET_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-")
+TOKEN = re.compile(r"[A-Za-z0-9+/_.-]+(?:={1,2}(?![A-Za-z0-9+/_.=-]))?|[^\s\x00-\x7F]+|\S")
 CONTEXT_WORDS = frozenset("password passwd pwd secret token key apikey api_key auth bearer credential private access login pass".split())
 HEX_TABLE = bytes(ord("x") if chr(i) in "0123456789abcdef" else ord(" ") for i in range(256))
-DIGIT_TABLE = bytes(ord("0") if chr(i) in "0123456789" else ord(" ") for i in range(256))
-CANDIDATE, BESIDE = 8, 3
-FEATURES = 4096
+BESIDE = (-3, -2, -1, 1)  # neighbours whose kind is a feature
+FEATURES, MASKED = 4096, 0  # feature 0 has no weight: it stands for a masked one
+OWN, FILE = 10, 2
 O, B, I = 0, 1, 2
-SAMPLE_DOCS = 16384
+NEVER = -1e6
+SAMPLE_DOCS, POSITIVE_CHUNKS, OTHER_CHUNKS, CHUNK = 16384, 1024, 2048, 32
+CACHED_TOKENS, CACHED_LENGTH = 1 << 18, 64
+LOOKALIKE = 16  # an unlabelled mixed token of so many characters may or may not be a secret
 Span = tuple[int, str, int]
 
 
@@ -54,86 +55,122 @@ def base_spans(text: str) -> list[Span]:
     return sorted(out, key=lambda s: (s[0], KINDS.index(s[1])))
 
 
-def candidates(text: str) -> list[tuple[int, int]]:
-    """Runs of 8 or more secret characters that hold a digit."""
-    marks, at, out = text.encode("latin-1", "replace").translate(DIGIT_TABLE), 0, []
-    while (at := marks.find(b"0", at)) >= 0:
-        start = at
-        while start and text[start - 1] in SECRET_CHARS:
-            start -= 1
-        m = TOKEN.match(text, start)
-        if m.end() - start >= CANDIDATE:
-            out.append((start, m.end()))
-        at = m.end()
-    return out
+def value_spans(text: str) -> list[tuple[int, int]]:
+    """The secrets themselves in the fixed patterns' matches: of an assignment the value alone."""
+    out = []
+    for start, kind, end in base_spans(text):
+        m = ASSIGN.match(text, start) if kind == "assign" else None
+        out.append(m.span(2) if m else (start, end))
+    return sorted(set(out))
+
+
+def _hashed(name: str) -> int:
+    return 1 + int.from_bytes(hashlib.blake2b(name.encode("utf-8", "surrogatepass"), digest_size=4).digest(), "little") % (FEATURES - 1)
 
 
-def _shape(token: str) -> list[str]:
+def shape(token: str) -> list[str]:
+    """The ``OWN`` features of a token by itself; the last two are among the fixed patterns' own cues."""
     n = len(token)
     digits, upper = sum(c.isdigit() for c in token), sum(c.isupper() for c in token)
     lower = sum(c.islower() for c in token)
     turns = sum(a.isdigit() != b.isdigit() for a, b in zip(token, token[1:], strict=False))
     classes = "".join(c for c, k in (("d", digits), ("u", upper), ("l", lower), ("p", n - digits - upper - lower)) if k)
     return [
-        f"classes={classes}", f"size={min(n // 4, 12)}", f"digits={digits * 5 // n}", f"turns={min(turns * 4 // n, 3)},{turns > 4}",
-        f"distinct={len(set(token)) * 5 // n}", f"hex={all(c in '0123456789abcdef' for c in token)}", f"head={token[:4] if token[:4].isupper() else ''}",
-        f"number={all(c.isdigit() or c in '.-/' for c in token)}", f"dots={min(token.count('.'), 4)}",
+        "any", f"classes={classes}", f"size={min(n // 4, 12)}", f"digits={digits * 5 // n}", f"turns={min(turns * 4 // n, 3)},{turns > 4}",
+        f"distinct={len(set(token)) * 5 // n}", f"number={all(c.isdigit() or c in '.-/' for c in token)}", f"dots={min(token.count('.'), 4)}",
+        f"hex={all(c in '0123456789abcdef' for c in token)}", f"head={token[:4] if token[:4].isupper() else ''}",
     ]
 
 
-def features(tokens: list[str], k: int, file: list[str]) -> np.ndarray:
-    """Hashed features of token k: its shape, the tokens beside it and the file's."""
-    names = _shape(tokens[k])
-    for d in (*range(-BESIDE, 0), 1):
-        other = tokens[k + d].lower() if 0 <= k + d < len(tokens) else ""
-        if d == -1 or d == 1:
-            names.append(f"beside{d}={other if len(other) == 1 else 'word' if other else ''}")
-        if d < 0 and any(w in CONTEXT_WORDS for w in re.split(r"[^a-z_]+", other)):
-            names.append("named")
-    names += file
-    return np.array([int.from_bytes(hashlib.blake2b(x.encode("utf-8", "surrogatepass"), digest_size=4).digest(), "little") % FEATURES for x in names])
+def kind_of(token: str) -> str:
+    """What a token is to its neighbours."""
+    if len(token) == 1 and not token.isalnum():
+        return token if token.isascii() else "other"
+    if any(w in CONTEXT_WORDS for w in re.split(r"[^a-z]+", token.lower()) if w) or token.lower() in CONTEXT_WORDS:
+        return "named"
+    digit, letter = any(c.isdigit() for c in token), any(c.isalpha() for c in token)
+    return "mixed" if digit and letter else "number" if digit else "word" if token.isascii() else "other"
 
 
-def file_features(text: str, runs: list[tuple[int, int]]) -> list[str]:
+def file_features(text: str, mixed: int) -> list[str]:
+    """The ``FILE`` features of a whole text: assignments to a line, and how many mixed tokens it has."""
     lines = text.count("\n") + 1
-    return [f"assignments={min((text.count('=') + text.count(':')) * 4 // lines, 4)}", f"candidates={min(len(runs), 5)}"]
-
-
-Stretch = tuple[list[np.ndarray], list[tuple[int, int]]]
-
-
-def stretches(text: str) -> list[Stretch]:
-    """Features and places of the tokens that may be secret, those that follow one another in one list."""
-    runs = candidates(text)
-    file = file_features(text, runs)
-    out: list[Stretch] = []
-    last = -1
-    for start, end in runs:
-        left = max(0, start - 80)
-        before = [m.group() for m in TOKEN.finditer(text, left, start)][-BESIDE:]
-        after = TOKEN.search(text, end, min(len(text), end + 80))
-        f = features([*before, text[start:end], *([after.group()] if after else [])], len(before), file)
-        if out and not text[last:start].strip():
-            out[-1][0].append(f)
-            out[-1][1].append((start, end))
-        else:
-            out.append(([f], [(start, end)]))
-        last = end
+    return [f"assignments={min((text.count('=') + text.count(':')) * 4 // lines, 4)}", f"mixed={min(mixed, 5)}"]
+
+
+class Tokens(dict):
+    """Numbers of distinct tokens, with their own features and kinds: computed once for each token, not each place."""
+
+    def __init__(self) -> None:
+        self.generation = 0
+        self.clear()
+
+    def clear(self) -> None:
+        super().clear()
+        self.generation += 1
+        self.kinds: dict[str, int] = {"": 0}
+        self.own, self.kind, self.lookalike = [], [], []
+
+    def __missing__(self, token: str) -> int:
+        value = len(self.own)
+        self.own.append([_hashed(x) for x in shape(token)])
+        kind = kind_of(token)
+        self.kind.append(self.kinds.setdefault(kind, len(self.kinds)))
+        self.lookalike.append(kind == "mixed" and len(token) >= LOOKALIKE)
+        if len(token) <= CACHED_LENGTH:
+            self[token] = value
+        return value
+
+    def numbers(self, text: str) -> np.ndarray:
+        if len(self.own) > CACHED_TOKENS:
+            self.clear()
+        found = TOKEN.findall(text)
+        return np.fromiter(map(self.__getitem__, found), np.int64, len(found))
+
+
+def neighbours(kinds: np.ndarray) -> np.ndarray:
+    """(tokens, len(BESIDE)): the kinds at each distance, 0 beyond either end."""
+    n = len(kinds)
+    padded = np.concatenate((np.zeros(3, kinds.dtype), kinds, np.zeros(3, kinds.dtype)))
+    return np.stack([padded[3 + d : 3 + d + n] for d in BESIDE], axis=1)
+
+
+def feature_ids(text: str, tokens: Tokens) -> np.ndarray:
+    """(tokens, OWN + len(BESIDE) + FILE): hashed features of every token of a text."""
+    numbers = tokens.numbers(text)
+    table = np.array([[_hashed(f"{d}={k}") for d in BESIDE] for k in tokens.kinds], np.int64)
+    kinds = np.array([tokens.kind[k] for k in numbers.tolist()], np.int64)
+    beside, own = neighbours(kinds), np.array([tokens.own[k] for k in numbers.tolist()], np.int64).reshape(-1, OWN)
+    file = np.array([_hashed(x) for x in file_features(text, int((kinds == tokens.kinds.get("mixed", -1)).sum()))])
+    return np.concatenate((own, np.stack([table[beside[:, j], j] for j in range(len(BESIDE))], axis=1), np.broadcast_to(file, (len(numbers), FILE))), axis=1)
+
+
+def allowed_labels(text: str, tokens: Tokens) -> np.ndarray:
+    """(tokens): the labels that a token may have in training, as bits: B or I within a fixed pattern's secret, else O; any for look-alikes."""
+    places = [m.span() for m in TOKEN.finditer(text)]
+    numbers = tokens.numbers(text)
+    out = np.array([7 if tokens.lookalike[k] else 1 << O for k in numbers.tolist()], np.uint8)
+    spans, k, last = value_spans(text), 0, None
+    for t, (start, end) in enumerate(places):
+        while k < len(spans) and spans[k][1] <= start:
+            k += 1
+        hit = spans[k] if k < len(spans) and spans[k][0] < end else None
+        if hit is not None:
+            out[t] = 1 << (I if hit == last else B)
+        last = hit
     return out
 
 
 class Field:
-    """weights[feature, label] and moves[label, label]; every stretch begins and ends beside an O."""
+    """weights[feature, label] and moves[label, label]; every text begins and ends beside an O, and a secret begins with B."""
 
     def __init__(self) -> None:
         self.weights, self.moves = np.zeros((FEATURES, 3)), np.zeros((3, 3))
-        self.moves[O, I] = -1e6  # a secret begins with B
-
-    def scores(self, stretch: list[np.ndarray]) -> np.ndarray:
-        return np.array([self.weights[f].sum(axis=0) for f in stretch])
+        self.moves[O, I] = NEVER
 
-    def viterbi(self, stretch: list[np.ndarray]) -> list[int]:
-        s, n = self.scores(stretch), len(stretch)
+    def viterbi(self, s: np.ndarray) -> list[int]:
+        """The best labels of tokens with scores s (tokens, labels)."""
+        n = len(s)
         best, back = self.moves[O] + s[0], np.zeros((n, 3), dtype=int)
         for t in range(1, n):
             paths = best[:, None] + self.moves
@@ -144,101 +181,202 @@ class Field:
             path.append(int(back[t, path[-1]]))
         return path[::-1]
 
-    def gradient(self, stretch: list[np.ndarray], gold: list[int]) -> tuple[np.ndarray, np.ndarray]:
-        """Of the log-likelihood: by token and label, and by move, from forward and backward sums."""
-        s, n = self.scores(stretch), len(stretch)
-        fore, rear = np.empty((n, 3)), np.empty((n, 3))
-        fore[0], rear[-1] = self.moves[O] + s[0], self.moves[:, O]
+    def open_stretches(self, s: np.ndarray) -> list[tuple[int, int]]:
+        """The stretches outside which the best path of the whole text is O.
+
+        Labels other than O in a row gain over all O no more than the sum of their best scores against O and of the best
+        move at each step. A token is O if every row of tokens that holds it gains nothing by that bound.
+        """
+        step = max(self.moves[a, b] for a in range(3) for b in range(3) if (a, b) not in ((O, O), (O, I))) - self.moves[O, O]
+        total = np.concatenate(([0.0], np.cumsum(np.maximum(s[:, B], s[:, I]) - s[:, O] + step)))
+        gain = np.maximum.accumulate(total[:0:-1])[::-1] - np.minimum.accumulate(total[:-1])
+        open_ = np.concatenate(([0], (gain + step > -1e-9).astype(np.int8), [0]))
+        edges = np.flatnonzero(np.diff(open_))
+        return list(zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True))
+
+    def decode(self, s: np.ndarray) -> list[tuple[int, int]]:
+        """The secrets of a text as (first token, end), from the best path over its whole token sequence."""
+        out: list[tuple[int, int]] = []
+        for a, b in self.open_stretches(s):
+            for t, y in enumerate(self.viterbi(s[a:b]), a):
+                if y == B:
+                    out.append((t, t + 1))
+                elif y == I:
+                    out[-1] = (out[-1][0], t + 1)
+        return out
+
+    def marginals(self, s: np.ndarray, real: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Expected labels (chunks, tokens, 3) and summed moves of many chunks at once, from forward and backward sums.
+
+        ``s`` has the scores, minus infinity (nearly) where a label isn't allowed; tokens that aren't ``real`` follow the others.
+        """
+        c, n, _ = s.shape
+        fore, rear = np.empty((c, n, 3)), np.empty((c, n, 3))
+        fore[:, 0] = self.moves[O] + s[:, 0]
         for t in range(1, n):
-            fore[t] = np.logaddexp.reduce(fore[t - 1][:, None] + self.moves, axis=0) + s[t]
+            went = np.logaddexp.reduce(fore[:, t - 1, :, None] + self.moves, axis=1) + s[:, t]
+            fore[:, t] = np.where(real[:, t, None], went, fore[:, t - 1])
+        rear[:, -1] = self.moves[:, O]
         for t in range(n - 2, -1, -1):
-            rear[t] = np.logaddexp.reduce(self.moves + (s[t + 1] + rear[t + 1])[None], axis=1)
-        total = np.logaddexp.reduce(fore[-1] + rear[-1])
-        tokens, moves = -np.exp(fore + rear - total), np.zeros((3, 3))
-        moves[O] += tokens[0]
-        moves[:, O] += tokens[-1]
+            came = np.logaddexp.reduce(self.moves + (s[:, t + 1] + rear[:, t + 1])[:, None], axis=2)
+            rear[:, t] = np.where(real[:, t + 1, None], came, rear[:, t + 1])
+        total = np.logaddexp.reduce(fore[:, -1] + self.moves[:, O], axis=1)
+        tokens = np.exp(fore + rear - total[:, None, None]) * real[:, :, None]
+        moves = np.zeros((3, 3))
+        moves[O] += tokens[:, 0].sum(axis=0)
+        moves[:, O] += np.exp(fore[:, -1] + self.moves[:, O] - total[:, None]).sum(axis=0)
         for t in range(1, n):
-            moves -= np.exp(fore[t - 1][:, None] + self.moves + (s[t] + rear[t])[None] - total)
-        for t, y in enumerate(gold):
-            tokens[t, y] += 1
-            moves[gold[t - 1] if t else O, y] += 1
-        moves[gold[-1], O] += 1
+            both = np.exp(fore[:, t - 1, :, None] + self.moves + (s[:, t] + rear[:, t])[:, None] - total[:, None, None])
+            moves += (both * real[:, t, None, None]).sum(axis=0)
         return tokens, moves
 
-    def fit(self, examples: list[tuple[list[np.ndarray], list[int]]], rounds: int = 6, rate: float = 0.2, decay: float = 1e-4) -> Field:
-        """Adaptive gradient steps over the examples in a fixed shuffled order."""
-        seen, seen_moves = np.full((FEATURES, 3), 1e-2), np.full((3, 3), 1e-2)
-        order = np.random.default_rng(7)
+    def gradient(self, ids: np.ndarray, allowed: np.ndarray, real: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of the likelihood of the allowed labels, for tokens and moves: their expectation less that over all labels."""
+        s = self.weights[ids].sum(axis=2)
+        bits = (allowed[:, :, None] >> np.arange(3)) & 1
+        kept, kept_moves = self.marginals(np.where(bits == 1, s, NEVER), real)
+        free, free_moves = self.marginals(s, real)
+        return kept - free, kept_moves - free_moves
+
+    def fit(self, ids: np.ndarray, allowed: np.ndarray, real: np.ndarray, rounds: int = 40, rate: float = 0.4, decay: float = 1e-3) -> Field:
+        """Adaptive gradient steps over chunks (features, allowed labels, which tokens are real) at once; none leave it untrained."""
+        if not len(ids):
+            self.weights[:, O] = 1.0
+            return self
+        seen, seen_moves, flat = np.full((FEATURES, 3), 1e-6), np.full((3, 3), 1e-6), ids[real]
         for _ in range(rounds):
-            for k in order.permutation(len(examples)):
-                stretch, gold = examples[k]
-                tokens, moves = self.gradient(stretch, gold)
-                for f, g in zip(stretch, tokens, strict=True):
-                    step = g[None] - decay * self.weights[f]
-                    seen[f] += step**2
-                    self.weights[f] += rate * step / np.sqrt(seen[f])
-                seen_moves += moves**2
-                self.moves += rate * moves / np.sqrt(seen_moves)
-                self.moves[O, I] = -1e6
+            tokens, moves = self.gradient(ids, allowed, real)
+            each = np.repeat(tokens[real], flat.shape[1], axis=0)
+            step = np.stack([np.bincount(flat.ravel(), each[:, y], FEATURES) for y in range(3)], axis=1) / len(ids) - decay * self.weights / 10
+            step[MASKED] = 0
+            seen += step**2
+            self.weights += rate * step / np.sqrt(seen)
+            moves = moves / len(ids)
+            moves[O, I] = 0
+            seen_moves += moves**2
+            self.moves += rate * moves / np.sqrt(seen_moves)
         return self
 
 
-def labels(places: list[tuple[int, int]], spans: list[Span]) -> list[int]:
-    """B or I for a token that overlaps a span (I: one that an earlier token of the stretch overlaps as well), else O."""
-    out, last = [], None
-    for start, end in places:
-        hit = next((s for s in spans if s[0] < end and start < s[2]), None)
-        out.append(O if hit is None else I if hit == last else B)
-        last = hit
-    return out
+def chunks(text: str, tokens: Tokens, pick: int) -> Iterator[tuple[bool, np.ndarray, np.ndarray]]:
+    """(whether it holds a labelled secret, features, allowed labels) of at most ``CHUNK`` tokens: around each secret, and one other place."""
+    allowed = allowed_labels(text, tokens)
+    if not len(allowed):
+        return
+    ids = feature_ids(text, tokens)
+
+    def part(a: int) -> tuple[np.ndarray, np.ndarray]:
+        own = allowed[a : a + CHUNK].copy()
+        if own[0] == 1 << I:
+            own[0] = 7  # its beginning isn't in the chunk
+        return ids[a : a + CHUNK], own
+
+    for t in np.flatnonzero(allowed == 1 << B).tolist():
+        yield True, *part(max(0, t - CHUNK // 3))
+    other = part(pick % max(1, len(allowed) - CHUNK + 1))
+    if not np.isin(other[1], (1 << B, 1 << I)).any():
+        yield False, *other
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = SAMPLE_DOCS) -> Field:
-    """A field trained on the documents with digits among a hashed sample of about ``sample_docs``, and not above that.
+    """A field trained on chunks of about ``sample_docs`` documents, those with the smallest hashes.
 
-    The sample is thinned by hash before it is ordered, so that what meets in one task is bounded at any size.
+    At most ``POSITIVE_CHUNKS`` chunks with a secret of the fixed patterns and ``OTHER_CHUNKS`` without one meet at the
+    driver, each of at most ``CHUNK`` tokens. Unlabelled look-alikes of secrets may have any label. Chunks with a
+    secret also count with the words before masked, and with what the patterns themselves look for masked, so that shape and
+    context each have to suffice. Nulls and empty texts have no tokens; repeated rows have one hash and come in together; of
+    equal hashes those with the least features stand first. An empty table, or one without tokens, gives a field that finds nothing.
     """
-    text = F.col(text_col)
+    text, one = F.col(f"`{text_col}`"), F.lit(1 << 40)
     share = min(1.0, sample_docs / max(1, docs.count()))
-    rows = docs.select(text.alias("t"), F.pmod(F.xxhash64(F.col(id_col), text), F.lit(1 << 40)).alias("h")).filter(F.col("h") <= int(share * (1 << 40)))
-    rows = rows.filter(F.col("t").rlike("[0-9]")).orderBy("h", "t").limit(sample_docs)
+    rows = docs.select(F.pmod(F.xxhash64(F.col(f"`{id_col}`"), text), one).alias("h"), text.alias("t")).filter(F.col("h") <= int(share * (1 << 40)))
+
+    def cut_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tokens = Tokens()
+        for batch in batches:
+            for h, t in zip(batch["h"], batch["t"], strict=True):
+                found = [(h, k, secret, ids.astype("<u2").tobytes(), allowed.tobytes()) for k, (secret, ids, allowed) in enumerate(chunks(t or "", tokens, int(h)))]
+                if found:
+                    yield pd.DataFrame(found, columns=["h", "k", "secret", "ids", "allowed"])
+
+    made = rows.mapInPandas(cut_up, "h long, k int, secret boolean, ids binary, allowed binary")
+    order = (F.xxhash64("h", "k"), "ids")
+    table = made.filter("secret").orderBy(*order).limit(POSITIVE_CHUNKS).union(made.filter("not secret").orderBy(*order).limit(OTHER_CHUNKS)).toArrow().to_pylist()
+    width = OWN + len(BESIDE) + FILE
     examples = []
-    for row in rows.select("t").toLocalIterator():
-        spans = base_spans(row["t"])
-        examples += [(f, labels(places, spans)) for f, places in stretches(row["t"])]
-    return Field().fit(examples)
-
-
-def crf_spans(text: str, field: Field) -> list[Span]:
-    out: list[Span] = []
-    for f, places in stretches(text):
-        for (start, end), y in zip(places, field.viterbi(f), strict=True):
-            if y == B:
-                out.append((start, "crf", end))
-            elif y == I:
-                out[-1] = (out[-1][0], "crf", end)
-    return out
+    for row in table:
+        ids, allowed = np.frombuffer(row["ids"], "<u2").reshape(-1, width).astype(np.int64), np.frombuffer(row["allowed"], np.uint8)
+        examples.append((ids, allowed))
+        if row["secret"]:
+            inside = (allowed & (1 << O)) == 0
+            unnamed, unshaped = ids.copy(), ids.copy()
+            unnamed[:, OWN : OWN + 3] = MASKED
+            unshaped[inside, OWN - 2 : OWN] = MASKED
+            examples += [(unnamed, allowed), (unshaped, allowed)]
+    ids, allowed, real = np.zeros((len(examples), CHUNK, width), np.int64), np.full((len(examples), CHUNK), 7, np.uint8), np.zeros((len(examples), CHUNK), bool)
+    for k, (x, y) in enumerate(examples):
+        ids[k, : len(x)], allowed[k, : len(x)], real[k, : len(x)] = x, y, True
+    return Field().fit(ids, allowed, real)
+
+
+class Tagger:
+    """A field applied to texts, with the scores of distinct tokens and kinds kept."""
+
+    def __init__(self, field: Field) -> None:
+        self.field, self.tokens = field, Tokens()
+        self.own, self.beside, self.kinds, self.known, self.generation = np.zeros((0, 3)), np.zeros((len(BESIDE), 0, 3)), np.zeros(0, np.int64), 0, 0
+
+    def _learn(self) -> None:
+        w, tokens = self.field.weights, self.tokens
+        n = len(tokens.own)
+        if self.generation != tokens.generation:
+            self.generation, self.known, self.beside = tokens.generation, 0, np.zeros((len(BESIDE), 0, 3))
+        if self.known < n:
+            if len(self.own) < n:
+                self.own, self.kinds = np.resize(self.own, (2 * n, 3)), np.resize(self.kinds, 2 * n)
+            new = np.array(tokens.own[self.known :], np.int64)
+            self.own[self.known : n] = w[new].sum(axis=1)
+            self.kinds[self.known : n] = tokens.kind[self.known :]
+            self.known = n
+        if self.beside.shape[1] != len(tokens.kinds):
+            self.beside = np.array([[w[_hashed(f"{d}={k}")] for k in tokens.kinds] for d in BESIDE])
+
+    def scores(self, text: str) -> np.ndarray:
+        """(tokens, labels) of the whole text."""
+        numbers = self.tokens.numbers(text)
+        self._learn()
+        kinds = self.kinds[numbers]
+        s = self.own[numbers]
+        for j, column in enumerate(neighbours(kinds).T):
+            s += self.beside[j][column]
+        mixed = int((kinds == self.tokens.kinds.get("mixed", -1)).sum())
+        return s + self.field.weights[[_hashed(x) for x in file_features(text, mixed)]].sum(axis=0)
+
+    def spans(self, text: str) -> list[Span]:
+        s = self.scores(text)
+        found = self.field.decode(s) if len(s) else []
+        if not found:
+            return []
+        places = [m.span() for m in TOKEN.finditer(text)]
+        return [(places[a][0], "crf", places[b - 1][1]) for a, b in found]
 
 
 def scan(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs``' id and secrets, an array of (kind, start, end) in code points by start, then kind; end is exclusive.
 
-    Kinds are those of the fixed patterns and crf for what the field adds: its spans that overlap no other. Null and empty
-    texts have no secrets; repeated rows and null ids stay as they are. Other columns are left out.
+    Kinds are those of the fixed patterns, and crf for every span that the field tags, whether or not a pattern has it too.
+    Null and empty texts have no secrets; repeated rows and null ids stay as they are. Other columns are left out.
     """
     weights, moves = field.weights, field.moves
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = Field()
         own.weights, own.moves = weights, moves
+        tagger = Tagger(own)
         for batch in batches:
-            found = []
-            for text in batch["s_text"]:
-                spans = base_spans(text or "")
-                more = [c for c in crf_spans(text or "", own) if not any(s[0] < c[2] and c[0] < s[2] for s in spans)]
-                found.append([{"kind": k, "start": a, "end": b} for a, k, b in sorted(spans + more, key=lambda s: (s[0], KINDS.index(s[1])))])
-            yield pd.DataFrame({"s_id": batch["s_id"], "secrets": found})
+            found = [sorted(base_spans(t or "") + tagger.spans(t or ""), key=lambda s: (s[0], KINDS.index(s[1]))) for t in batch["s_text"]]
+            yield pd.DataFrame({"s_id": batch["s_id"], "secrets": [[{"kind": k, "start": a, "end": b} for a, k, b in spans] for spans in found]})
 
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("s_id"), F.col(text_col).alias("s_text"))
+    rows = docs.select(F.col(f"`{id_col}`").alias("s_id"), F.col(f"`{text_col}`").alias("s_text"))
     return rows.mapInPandas(run, f"s_id {kind}, secrets array<struct<kind:string,start:int,end:int>>").withColumnRenamed("s_id", id_col)
