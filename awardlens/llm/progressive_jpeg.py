@@ -22,6 +22,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh
+
 UNIT = 576
 BATCH_BYTES = 4 << 20
 MCU_ROW = 4095  # most blocks of 16 pixels in a row
@@ -437,62 +439,77 @@ def padded(text: bytes) -> bytes:
 
 
 ENCODED = "n_bytes long, media binary"
-DECODED = "media binary, height int, width int, rgb binary, payload binary, feature string"
+DECODED = "height int, width int, rgb binary, payload binary, feature string, error string"
+
+
+def _limited(batch: pd.DataFrame, sizes: list[int]) -> Iterator[slice]:
+    """Slices of a batch of about ``BATCH_BYTES`` each, so that memory follows the largest row, not the batch."""
+    held, start = 0, 0
+    for i, n in enumerate(sizes, 1):
+        held += n
+        if held >= BATCH_BYTES or i == len(batch):
+            yield slice(start, i)
+            held, start = 0, i
 
 
 def encode_texts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` without its text, with n_bytes and media: the text's UTF-8 bytes as a progressive JPEG file.
 
     Null counts as empty. All rows stay, repeated ones too; equal texts give equal files. Columns named like an added one
-    are replaced.
+    are replaced, all others stay whatever they are called.
     """
     keep = [f for f in docs.schema.fields if f.name not in {text_col, "n_bytes", "media"}]
+    (source,) = fresh([*(f.name for f in keep), "n_bytes", "media"], "j_text")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows, held, start = [], 0, 0
-            for i, text in enumerate(batch["j_text"], 1):
-                data = (text or "").encode("utf-8", "surrogatepass")
-                rows.append((len(data), encode(padded(data))))
-                held += len(data)
-                if held >= BATCH_BYTES or i == len(batch):
-                    out = batch.iloc[start:i].drop(columns="j_text")
-                    yield out.assign(n_bytes=[r[0] for r in rows], media=[r[1] for r in rows])
-                    rows, held, start = [], 0, i
+            data = [(t or "").encode("utf-8", "surrogatepass") for t in batch[source]]
+            for part in _limited(batch, [len(x) for x in data]):
+                yield batch.iloc[part].drop(columns=source).assign(n_bytes=[len(x) for x in data[part]], media=[encode(padded(x)) for x in data[part]])
 
     kinds = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in keep] + [ENCODED])
-    return docs.select(*[F.col(f"`{f.name}`") for f in keep], F.col(f"`{text_col}`").alias("j_text")).mapInPandas(run, kinds)
+    return docs.select(*[F.col(f"`{f.name}`") for f in keep], F.col(f"`{text_col}`").alias(source)).mapInPandas(run, kinds)
 
 
 def decode_media(files: DataFrame, media_col: str = "media", tensors: bool = True) -> DataFrame:
-    """``files`` with height, width, rgb (the tensor's bytes, row by row), payload (null if the file holds none) and feature.
+    """``files`` with height, width, rgb (the tensor's bytes, row by row), payload (null if the file holds none), feature and error.
 
-    A null file gives nulls; a file that is no progressive JPEG raises an error in its task. ``tensors=False`` leaves rgb
-    null where only what follows from it is wanted. Columns named like an added one are replaced; all rows stay.
+    A null file gives nulls; a file that is no progressive JPEG, or a damaged one, gives nulls and what is wrong with it.
+    ``tensors=False`` leaves rgb null where only what follows from it is wanted. Columns named like an added one are
+    replaced, all others stay whatever they are called; all rows stay.
     """
-    added = {"height", "width", "rgb", "payload", "feature"}
-    keep = [f for f in files.schema.fields if f.name not in added and f.name != media_col]
+    names = ["height", "width", "rgb", "payload", "feature", "error"]
+    keep = [f for f in files.schema.fields if f.name not in names]
 
     def decoded(data: bytes | None) -> tuple:
         if data is None:
             return (None,) * 6
-        height, width, arrays, parts, quantisers, comments = coefficients(data)
-        image = rgb(height, width, arrays, parts, quantisers)
-        return data, height, width, image.tobytes() if tensors else None, held_payload(arrays, comments), feature(image)
+        try:
+            height, width, arrays, parts, quantisers, comments = coefficients(data)
+            image = rgb(height, width, arrays, parts, quantisers)
+            return height, width, image.tobytes() if tensors else None, held_payload(arrays, comments), feature(image), None
+        except (ValueError, IndexError, KeyError, TypeError, OverflowError, ZeroDivisionError, MemoryError) as e:  # what damaged files lead to
+            return (None,) * 5 + (f"{type(e).__name__}: {e}"[:200],)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["media", "height", "width", "rgb", "payload", "feature"]
         for batch in batches:
-            rows, held, start = [], 0, 0
-            for i, data in enumerate(batch["j_media"], 1):
-                rows.append(decoded(data))
-                held += len(data or b"")
-                if held >= BATCH_BYTES or i == len(batch):
-                    out = batch.iloc[start:i].drop(columns="j_media").reset_index(drop=True)
-                    yield pd.concat([out, pd.DataFrame(rows, columns=names).astype({"height": "Int32", "width": "Int32"})], axis=1)
-                    rows, held, start = [], 0, i
+            for part in _limited(batch, [len(x or b"") for x in batch[media_col]]):
+                out = batch.iloc[part].reset_index(drop=True)
+                rows = pd.DataFrame([decoded(x) for x in out[media_col]], columns=names)
+                yield pd.concat([out, rows.astype({"height": "Int32", "width": "Int32"})], axis=1)
 
     kinds = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in keep] + [DECODED])
-    out = files.select(*[F.col(f"`{f.name}`") for f in keep], F.col(f"`{media_col}`").alias("j_media")).mapInPandas(run, kinds)
-    return out.withColumnRenamed("media", media_col)
+    return files.select(*[F.col(f"`{f.name}`") for f in keep]).mapInPandas(run, kinds)
 
+
+def store_media(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
+    """``docs`` with its texts as media files, written to ``path``/media, read back, decoded, and stored with their tensors in ``path``/tensors.
+
+    The table of tensors is returned, as read. It takes about 1.5 bytes of media and 2.3 of pixels for a byte of text.
+    """
+    files = encode_texts(docs, text_col)
+    files.write.parquet(f"{path}/media")
+    stored = docs.sparkSession.read.schema(files.schema).parquet(f"{path}/media")
+    decoded = decode_media(stored)
+    decoded.write.parquet(f"{path}/tensors")
+    return docs.sparkSession.read.schema(decoded.schema).parquet(f"{path}/tensors")

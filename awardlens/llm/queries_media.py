@@ -1,4 +1,4 @@
-"""Query op1: the whole documents table through progressive JPEG files."""
+"""Query op1: the whole documents table through progressive JPEG files, each with its RGB tensor."""
 
 from __future__ import annotations
 
@@ -11,7 +11,7 @@ from .progressive_jpeg import decode_media, encode_texts
 
 def op1_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = encode_texts(read(spark, sf_dir, "documents").select("doc_id", "text"))
-    found = decode_media(files, tensors=False)
+    found = decode_media(files)
     return found.select(
         "doc_id",
         "n_bytes",
@@ -21,6 +21,9 @@ def op1_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.octet_length("media").cast("long").alias("media_bytes"),
         F.sha2("media", 256).alias("media_sha256"),
         "feature",
+        "height",
+        "width",
+        "rgb",
     )
 
 

@@ -134,3 +134,59 @@ def test_columns(spark, tmp_path):
     for r in op1_progressive_jpeg(spark, str(tmp_path)).collect():
         payload = J.padded((texts[r["doc_id"]] or "").encode())
         assert (r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
+        media = J.encode(payload)
+        assert (r["media_bytes"], r["media_sha256"]) == (len(media), hashlib.sha256(media).hexdigest())
+        assert len(r["rgb"]) == 3 * r["height"] * r["width"]
+
+
+def plain_feature(rgb, height, width):
+    """The feature as told, pixel by pixel."""
+    pixel = lambda y, x: rgb[3 * (y * width + x) : 3 * (y * width + x) + 3]
+    total = sum(rgb)
+    bits = 0
+    for i in range(8):
+        for j in range(8):
+            rows, columns = range(i * height // 8, (i + 1) * height // 8), range(j * width // 8, (j + 1) * width // 8)
+            bits = bits << 1 | (64 * sum(sum(pixel(y, x)) for y in rows for x in columns) > total)
+    mean = bytes(sum(rgb[c::3]) // (height * width) for c in range(3))
+    return f"{bits:016x}-{mean.hex()}-{width}x{height}"
+
+
+def test_tensors_and_features_match_a_plain_version(spark, tmp_path):
+    spark.createDataFrame([(1, "The quick brown fox é " * 20), (2, "")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    for r in op1_progressive_jpeg(spark, str(tmp_path)).collect():
+        payload = J.padded(("The quick brown fox é " * 20 if r["doc_id"] == 1 else "").encode())
+        height, width, arrays, parts, quantisers, _ = J.coefficients(J.encode(payload))
+        planes = []
+        for a, p in zip(arrays, parts, strict=True):
+            plane = np.zeros((a.shape[0] * 8, a.shape[1] * 8))
+            for y in range(a.shape[0]):
+                for x in range(a.shape[1]):
+                    block = np.zeros(64)
+                    block[J.ZIGZAG] = a[y, x] * quantisers[p.quantiser]
+                    plane[8 * y : 8 * y + 8, 8 * x : 8 * x + 8] = plain_inverse(block.reshape(8, 8))
+            plane = np.clip(np.rint(plane) + 128, 0, 255)
+            v, h = max(q.v for q in parts) // p.v, max(q.h for q in parts) // p.h
+            planes.append([[plane[i // v, j // h] for j in range(width)] for i in range(height)])
+        y, cb, cr = (np.array(x) for x in planes)
+        want = np.clip(np.rint(np.stack([y + 1.402 * (cr - 128), y - 0.344136 * (cb - 128) - 0.714136 * (cr - 128), y + 1.772 * (cb - 128)], axis=2)), 0, 255)
+        got = np.frombuffer(bytes(r["rgb"]), np.uint8).reshape(height, width, 3)
+        assert (r["height"], r["width"]) == (height, width) and np.abs(got - want).max() <= 2
+        assert r["feature"] == plain_feature(bytes(r["rgb"]), height, width)
+
+
+def test_damaged_files_become_error_rows(spark):
+    good = J.encode(J.padded(b"text " * 300))
+    cuts = [good[:n] for n in range(0, len(good), 97)] + [good[:300] + bytes([good[300] ^ 255]) + good[301:], b"no image", b""]
+    rows = J.decode_media(spark.createDataFrame([(i, bytearray(c)) for i, c in enumerate([good, *cuts])], "id long, media binary")).collect()
+    by = {r["id"]: r for r in rows}
+    assert len(by) == len(cuts) + 1 and by[0]["error"] is None and bytes(by[0]["payload"])[:1500] == b"text " * 300
+    assert by[1]["error"] and by[1]["rgb"] is None and by[len(cuts)]["error"]
+
+
+def test_stored_tensors_and_clashing_columns(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "one", "a", 3), (1, "one", "a", 3), (None, None, None, None)], "doc_id long, text string, j_text string, error int")
+    out = J.store_media(docs, f"{tmp_path}/store")
+    assert out.columns == ["doc_id", "j_text", "n_bytes", "media", "height", "width", "rgb", "payload", "feature", "error"]
+    assert out.count() == 3 and spark.read.parquet(f"{tmp_path}/store/media").count() == 3
+    assert {(r["doc_id"], r["j_text"], r["error"], bytes(r["payload"])[:3]) for r in out.collect()} == {(1, "a", None, b"one"), (None, None, None, b"\xff" * 3)}
