@@ -59,3 +59,27 @@ def test_too_little_for_a_dictionary_and_broken_archives(spark):
     with pytest.raises(ValueError):
         list(W.read_records(data[8:]))
     assert W.read_archives(W.write_archives(pages(spark, []))).count() == 0
+
+
+def test_text_ids_dates_and_clashing_columns(spark):
+    rows = [("a/1\r\nX: y", "u", "same", "2024-05-06T07:08:09Z", "v"), ("b", "u", "same", None, "w"), ("é", None, "other", None, "x"), (None, "u", "same", None, "z")]
+    docs = spark.createDataFrame(rows, "page_id string, url string, html string, w_date string, v_page string")
+    written = W.write_archives(docs, date_col="w_date")
+    out = W.read_archives(written, "string").collect()
+    assert sorted((str(r["page_id"]), r["record_type"], r["refers_to"], r["error"]) for r in out) == [("None", "revisit", "b", None), ("a/1\r\nX: y", "revisit", "b", None), ("b", "response", None, None), ("é", "response", None, None)]
+    dates = [f["warc-date"] for r in written.collect() for f, _ in W.read_records(bytes(r["archive"]))]
+    assert sorted(dates) == ["2024-05-06T07:08:09Z", *[W.DATE] * 3]
+
+
+def test_shuffled_revisits_and_broken_archives_become_rows(spark, monkeypatch):
+    rows = [(i, "u", f"page {i % 7}") for i in range(60)]
+    monkeypatch.setattr(W, "BROADCAST_ROWS", -1)
+    written = W.write_archives(pages(spark, rows).coalesce(1))
+    out = W.read_archives(written).collect()
+    assert {r["page_id"]: r["refers_to"] for r in out} == {i: None if i + 7 >= 60 else max(k for k in range(60) if k % 7 == i % 7) for i in range(60)}
+    ((archive, offsets),) = [(bytes(r["archive"]), r["offsets"]) for r in written.collect()]
+    broken = spark.createDataFrame([(bytearray(archive[: len(archive) * 2 // 3]), offsets), (bytearray(b"nothing"), [0]), (bytearray(b""), [0]), (None, None)], W.ARCHIVES)
+    got = W.read_archives(broken).collect()
+    errors = [r for r in got if r["error"]]
+    assert len(errors) == 3 and all(r["page_id"] is None for r in errors)
+    assert {r["page_id"] for r in got if not r["error"]} <= set(range(60))
