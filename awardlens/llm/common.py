@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-WORD = r"[^\x20\x09-\x0D]+"
+WORD, SPACE = r"[^\x20\x09-\x0D]+", r"[\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -69,7 +69,8 @@ def ascii_lower(text: Column) -> Column:
 
 
 def word_count(text: Column) -> Column:
-    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+    """How many words a text has. Splitting between them is much faster than counting matches; only the ends can be empty."""
+    return F.when(text.isNotNull(), F.size(F.array_remove(F.split(text, SPACE), ""))).otherwise(0).cast("long")
 
 
 def sql_lower(text: str) -> str:
