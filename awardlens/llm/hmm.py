@@ -28,7 +28,8 @@ KNOWN = 1 << 18  # words whose counts are broadcast, of at most WORD_BYTES each
 WORD_BYTES = 64
 FREQUENT = 8192  # words that are a class of their own
 BUCKETS, SUFFIX = 1024, 3
-STATES, ROUNDS = 8, 2
+STATES, ROUNDS = 8, 3
+GAIN = 0.002  # Baum-Welch ends when a round gains less in log10 per token
 SEED_DOCS = 2048  # documents whose clusters the emissions start from
 POOL, LONG = 1 << 19, 2000  # tokens that are handled together; longer texts are pooled apart
 BANDS = 16  # frequency bands to a doubling
@@ -187,8 +188,8 @@ class Pool:
         out[self.order] = np.bincount(rank, np.log10(scale), len(self.order))
         return out
 
-    def expected(self, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Expected counts of starts, moves and emissions."""
+    def expected(self, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+        """Expected counts of starts, moves and emissions, and the texts' log10 probability."""
         alpha, scale = self.forward(model)
         ahead = model.emits[self.ids] / scale[:, None]  # becomes emission times backward probability over scale
         beta = np.ones_like(alpha)
@@ -199,7 +200,7 @@ class Pool:
         moves = model.moves * (alpha[self.before].T @ ahead[self.after])
         gamma = alpha * beta
         emits = np.stack([np.bincount(self.ids, gamma[:, k], len(model.emits)) for k in range(gamma.shape[1])], axis=1)
-        return gamma[: self.active[0]].sum(axis=0), moves, emits
+        return gamma[: self.active[0]].sum(axis=0), moves, emits, float(np.log10(scale).sum())
 
 
 def pools(rows: Iterator[tuple[object, np.ndarray]]) -> Iterator[tuple[list, Pool]]:
@@ -250,26 +251,39 @@ def first_model(training: DataFrame, vocab: Vocabulary, states: int, seed_docs:
     return Model.estimated(np.ones(states), np.eye(states) * 1000, emits)
 
 
-def baum_welch(training: DataFrame, model: Model) -> Model:
-    """One round over all rows of ``training`` (row_key, ids)."""
+def baum_welch(training: DataFrame, model: Model) -> tuple[Model, float]:
+    """One round over all rows of ``training`` (row_key, ids): the new model, and the mean log10 per token by the old one."""
     states, size = len(model.start), len(model.emits)
 
     def summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros((1 + states + size, states))
+        total, log10, tokens = np.zeros((1 + states + size, states)), 0.0, 0
         for _, pool in pools(_rows(batches)):
-            start, moves, emits = pool.expected(model)
+            start, moves, emits, likelihood = pool.expected(model)
+            log10, tokens = log10 + likelihood, tokens + len(pool.ids)
             total[0] += start
             total[1 : 1 + states] += moves
             total[1 + states :] += emits
-        cells = np.rint(total.ravel() * SCALE).astype(np.int64)
+        cells = np.rint(np.append(total.ravel(), (log10, tokens)) * SCALE).astype(np.int64)
         there = np.flatnonzero(cells)
         yield pd.DataFrame({"cell": there, "n": cells[there]})
 
     sums = training.select("row_key", "ids").mapInPandas(summed, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    total = np.zeros((1 + states + size) * states)
+    total = np.zeros((1 + states + size) * states + 2)
     total[sums["cell"].to_numpy()] = sums["n"].to_numpy() / SCALE
-    total = total.reshape(-1, states)
-    return Model.estimated(total[0], total[1 : 1 + states], total[1 + states :])
+    log10, tokens = total[-2:]
+    total = total[:-2].reshape(-1, states)
+    return Model.estimated(total[0], total[1 : 1 + states], total[1 + states :]), log10 / max(1.0, tokens)
+
+
+def trained(training: DataFrame, vocab: Vocabulary, states: int, rounds: int) -> Model:
+    """The model after ``rounds`` rounds of Baum-Welch, or after the first one that gained less than ``GAIN``."""
+    model, before = first_model(training, vocab, states), -np.inf
+    for _ in range(rounds):
+        better, mean = baum_welch(training, model)
+        if mean - before < GAIN:
+            break
+        model, before = better, mean
+    return model
 
 
 def _forward(encoded: DataFrame, model: Model) -> DataFrame:
@@ -283,28 +297,27 @@ def _forward(encoded: DataFrame, model: Model) -> DataFrame:
 def hmm_scores(docs: DataFrame, held_out: Column, text_col: str = "text", states: int = STATES, rounds: int = ROUNDS, known: int = KNOWN) -> DataFrame:
     """``docs`` without its text, with held_out, n_tokens, n_known, train_tokens, base_score and score (log10).
 
-    Rows where ``held_out`` isn't true train the model. A null text is an empty one: its only token is the end. Rows stay,
-    repeated ones too. With no training rows all counts are 0 and the model is uniform. Columns of ``docs`` named like an
-    added one are replaced. The longest text counts, not the longest batch: texts are pooled by their tokens.
+    Rows where ``held_out`` isn't true train the model, by at most ``rounds`` rounds of Baum-Welch, fewer if the likelihood
+    hardly rises any more. A null text is an empty one: its only token is the end. Rows stay, repeated ones too. With no
+    training rows all counts are 0 and the model is uniform; an empty table stays empty. Columns of ``docs`` named like
+    an added one are replaced, all others stay whatever they are called. The longest text counts, not the longest batch:
+    texts are pooled by their tokens.
     """
-    added = {"held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "row_key", "n_seen", "seen_log", "share_log", "ids", "rare", "h_held"}
-    keep = [c for c in docs.columns if c not in added and c != text_col]
-    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(held_out, F.lit(False)).alias("h_held"), F.col(f"`{text_col}`").alias(text_col))
-    counts = cut(word_counts(rows.filter(~F.col("h_held")), text_col), "hmm-counts")
+    keep = [c for c in docs.columns if c not in {"held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", text_col}]
+    # the caller's columns go by numbers here, so that none can clash
+    rows = docs.select(*[F.col(f"`{c}`").alias(f"h_{k}") for k, c in enumerate(keep)], F.coalesce(held_out, F.lit(False)).alias("held"), F.col(f"`{text_col}`").alias("text"))
+    counts = cut(word_counts(rows.filter(~F.col("held")), "text"), "hmm-counts")
     vocab = vocabulary(counts, known)
-    encoded = cut(encode(rows, text_col, vocab).withColumn("row_key", F.monotonically_increasing_id()), "hmm-encoded")
-    training = encoded.filter(~F.col("h_held"))
-    model = first_model(training, vocab, states)
-    for _ in range(rounds):
-        model = baum_welch(training, model)
+    encoded = cut(encode(rows, "text", vocab).withColumn("row_key", F.monotonically_increasing_id()), "hmm-encoded")
+    model = trained(encoded.filter(~F.col("held")), vocab, states, rounds)
 
     rare = encoded.select("row_key", F.explode("rare").alias("word")).groupBy("row_key", "word").agg(F.count(F.lit(1)).alias("k"))
     rare = rare.join(counts, "word").groupBy("row_key").agg(F.sum(F.col("k") * F.log10(F.col("n") + 1.0)).alias("rare_log"), F.sum("k").alias("n_rare"))
     out = encoded.drop("ids", "rare").join(_forward(encoded, model), "row_key").join(rare, "row_key", "left")
     rare_log = F.coalesce("rare_log", F.lit(0.0))
     return out.select(
-        *[F.col(f"`{c}`") for c in keep],
-        F.col("h_held").alias("held_out"),
+        *[F.col(f"h_{k}").alias(c) for k, c in enumerate(keep)],
+        F.col("held").alias("held_out"),
         "n_tokens",
         (F.col("n_seen") + F.coalesce("n_rare", F.lit(0))).alias("n_known"),
         F.lit(vocab.tokens).cast("long").alias("train_tokens"),
