@@ -1,7 +1,7 @@
 """Quality classifier from weak labels.
 
-Overlapping heuristic labellers (one by abusive words, which are counted from the labels), and hand-made labels where there are any, vote on whether a document should go, or have no
-opinion. How often each is right is estimated by expectation-maximisation over the counts of vote patterns, which cover
+Overlapping heuristic labellers (one by abusive words, which are counted from the labels), and hand-made labels where
+there are any, vote on whether a document should go, or have no opinion. How often each is right is estimated by expectation-maximisation over the counts of vote patterns, which cover
 all documents and are few. The posteriors of a bounded sample then train a linear scorer over hashed
 words and bucketed measures, and the scorer decides on every document, with or without votes.
 """
@@ -18,9 +18,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, fresh
 
-SAMPLE_DOCS = 8192  # most documents that the scorer is fitted on
+SAMPLE_DOCS, SAMPLE_FEATURES = 8192, 1 << 23  # most documents, and their features, that the scorer is fitted on
 DIMENSIONS = 1 << 20
 LEAST_DOCS = 4  # a hashed feature counts if so many sampled documents have it
 THRESHOLD = 0.5
@@ -72,17 +72,18 @@ def _plain(words: set[bytes]) -> set[bytes]:
     return {w.lower().strip(TRIM) for w in words if len(w) < 24} - {b""}
 
 
-def features(data: bytes, cache: _Features, abusive: frozenset[bytes] = frozenset()) -> tuple[np.ndarray, str]:
-    """Distinct hashed features of a text (UTF-8), and the heuristics' votes; ``abusive`` words count as insults."""
-    words = data.split()
-    m = measures(data, words)
-    distinct = set(words)
+def vote(data: bytes, words: list[bytes], m: dict[str, float], abusive: frozenset[bytes] = frozenset()) -> str:
+    """The heuristics' votes on a text of these words and measures; ``abusive`` words count as insults."""
     low = data.lower()
-    insults = len(abusive & _plain(distinct)) if any(x in low for x in abusive) else 0
-    ids = set(map(cache.__getitem__, distinct))
+    return votes(m, len(abusive & _plain(set(words))) if any(x in low for x in abusive) else 0)
+
+
+def feature_ids(words: list[bytes], m: dict[str, float], cache: _Features) -> np.ndarray:
+    """Distinct hashed features: the words, the measures in steps, and the length."""
+    ids = set(map(cache.__getitem__, set(words)))
     ids.update(zlib.crc32(f"\0{k}={min(20, int(v * 20))}".encode()) % DIMENSIONS for k, v in m.items())
     ids.add(zlib.crc32(f"\0words={len(words).bit_length()}".encode()) % DIMENSIONS)
-    return np.fromiter(ids, np.int32, len(ids)), votes(m, insults)
+    return np.fromiter(ids, np.int32, len(ids))
 
 
 def _bytes(text: str | None) -> bytes:
@@ -94,7 +95,7 @@ def abusive_words(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
     marked = cut(labels.filter(F.col(id_col).isNotNull() & F.col("toxic").isNotNull()).groupBy(F.col(id_col).alias("l_id")).agg(F.max("toxic").alias("toxic")), "quality-toxic")
     toxic = marked.filter("toxic = 1").select("l_id")
     few = F.broadcast(toxic) if toxic.count() <= BROADCAST_ROWS else toxic
-    texts = docs.select(F.col(id_col).alias("q_id"), F.col(text_col).alias("q_text"))
+    texts = docs.select(F.col(f"`{id_col}`").alias("q_id"), F.col(f"`{text_col}`").alias("q_text"))
 
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -123,12 +124,12 @@ def heuristic_votes(docs: DataFrame, id_col: str, text_col: str, abusive: frozen
     """(id, votes) per row."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cache = _Features()
         for batch in batches:
-            yield pd.DataFrame({"q_id": batch["q_id"], "votes": [features(_bytes(t), cache, abusive)[1] for t in batch["q_text"]]})
+            texts = [(data, data.split()) for data in map(_bytes, batch["q_text"])]
+            yield pd.DataFrame({"q_id": batch["q_id"], "votes": [vote(data, words, measures(data, words), abusive) for data, words in texts]})
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("q_id"), F.col(text_col).alias("q_text")).mapInPandas(run, f"q_id {kind}, votes string")
+    return docs.select(F.col(f"`{id_col}`").alias("q_id"), F.col(f"`{text_col}`").alias("q_text")).mapInPandas(run, f"q_id {kind}, votes string")
 
 
 def label_votes(labels: DataFrame, id_col: str) -> DataFrame:
@@ -204,32 +205,45 @@ def fit_scorer(rows: list[np.ndarray], targets: np.ndarray, rounds: int = 60, ra
 
 
 def sampled(docs: DataFrame, key: Column, most: int) -> DataFrame:
-    """At most ``most`` rows, about that many if there are more: those with the smallest hashes of ``key``."""
+    """About ``most`` rows, somewhat more, with q_hash: those with the smallest hashes of ``key``."""
     share = min(1.0, 1.1 * most / max(1, docs.count()))
-    h = F.pmod(key, F.lit(1 << 40))
-    return docs.withColumn("q_hash", h).filter(F.col("q_hash") <= int(share * (1 << 40))).orderBy("q_hash").limit(most).drop("q_hash")
+    return docs.withColumn("q_hash", F.pmod(key, F.lit(1 << 40))).filter(F.col("q_hash") <= int(share * (1 << 40)))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = SAMPLE_DOCS) -> tuple[Accuracies, Scorer, DataFrame]:
-    """The labellers' accuracies over all documents, the scorer, and (q_id, pattern) per row."""
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = SAMPLE_DOCS, sample_features: int = SAMPLE_FEATURES) -> tuple[Accuracies, Scorer, DataFrame]:
+    """The labellers' accuracies over all documents, the scorer, and (q_id, pattern) per row.
+
+    The scorer is fitted on the documents of the smallest hashes, at most ``sample_docs`` with ``sample_features`` features
+    altogether; features are computed where the texts are, and only they meet. Null and empty texts count like others;
+    repeated rows have one hash and come in, or stay out, together; labels of unknown or null ids have no effect, of several
+    for one id the worse counts. Empty tables give a scorer that keeps all.
+    """
     abusive = abusive_words(docs, labels, id_col, text_col)
     found = heuristic_votes(docs, id_col, text_col, abusive)
     marked = label_votes(labels, id_col)
-    voted = cut(found.join(marked, found["q_id"] == marked["l_id"], "left").select("q_id", F.concat("votes", F.coalesce(F.col("label").cast("string"), F.lit("-"))).alias("pattern")), "quality-votes")
+    pattern = F.concat("votes", F.coalesce(F.col("label").cast("string"), F.lit("-"))).alias("pattern")
+    voted = cut(found.join(marked, found["q_id"] == marked["l_id"], "left").select("q_id", pattern), "quality-votes")
     counts = voted.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).orderBy("pattern").collect()
     model = estimate([r["pattern"] for r in counts], np.array([r["n"] for r in counts], float))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cache = _Features()
         for batch in batches:
-            made = [features(_bytes(t), cache, abusive) for t in batch["q_text"]]
-            yield pd.DataFrame({"q_id": batch["q_id"], "votes": [m[1] for m in made], "ids": [m[0] for m in made]})
+            made = []
+            for data in map(_bytes, batch["q_text"]):
+                words = data.split()
+                m = measures(data, words)
+                made.append((vote(data, words, m, abusive), feature_ids(words, m, cache)))
+            yield pd.DataFrame({"q_id": batch["q_id"], "q_hash": batch["q_hash"], "votes": [m[0] for m in made], "ids": [m[1] for m in made]})
 
     kind = docs.schema[id_col].dataType.simpleString()
-    chosen = sampled(docs.select(F.col(id_col).alias("q_id"), F.col(text_col).alias("q_text")), F.xxhash64("q_id", "q_text"), sample_docs)
-    rows = chosen.mapInPandas(run, f"q_id {kind}, votes string, ids array<int>")
-    rows = rows.join(marked, rows["q_id"] == marked["l_id"], "left").select("q_id", F.concat("votes", F.coalesce(F.col("label").cast("string"), F.lit("-"))).alias("pattern"), "ids")
-    table = rows.toArrow().to_pandas().sort_values(["q_id", "pattern"], kind="stable")
+    chosen = sampled(docs.select(F.col(f"`{id_col}`").alias("q_id"), F.col(f"`{text_col}`").alias("q_text")), F.xxhash64("q_id", "q_text"), sample_docs)
+    rows = cut(chosen.mapInPandas(run, f"q_id {kind}, q_hash long, votes string, ids array<int>"), "quality-sample")
+    sizes = rows.select("q_hash", F.size("ids").alias("n")).orderBy("q_hash", "n").toArrow()
+    fits = np.flatnonzero((np.arange(1, sizes.num_rows + 1) <= sample_docs) & (np.cumsum(sizes["n"].to_numpy()) <= sample_features))
+    edge = sizes["q_hash"].to_numpy()[fits[-1]] if len(fits) else -1
+    few = rows.filter(F.col("q_hash") <= int(edge))
+    table = few.join(marked, few["q_id"] == marked["l_id"], "left").select("q_hash", "q_id", pattern, "ids").toArrow().to_pandas().sort_values(["q_hash", "q_id", "pattern"], kind="stable")
     return model, fit_scorer([np.asarray(x, np.int64) for x in table["ids"]], model.posterior(table["pattern"].tolist())), voted
 
 
@@ -244,12 +258,17 @@ def score(docs: DataFrame, scorer: Scorer, text_col: str = "text") -> DataFrame:
         weights[used] = values
         own, cache = Scorer(weights, bias), _Features()
         for batch in batches:
-            yield batch.assign(bad_score=[own.score(features(_bytes(t), cache)[0]) for t in batch[text_col]])
+            texts = [(data, data.split()) for data in map(_bytes, batch[text_col])]
+            yield batch.assign(bad_score=[own.score(feature_ids(words, measures(data, words), cache)) for data, words in texts])
 
     return docs.select(*[F.col(f"`{f.name}`") for f in fields]).mapInPandas(run, ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + ["bad_score double"]))
 
 
 def accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` whose score is below ``threshold``, with their columns. Labels may be empty or hold unknown ids."""
+    """The rows of ``docs`` whose score is below ``threshold``, with all their columns. Labels may be empty or hold unknown ids."""
     _, scorer, _ = train(docs, labels, id_col, text_col)
-    return score(docs, scorer, text_col).filter(F.col("bad_score") < threshold).drop("bad_score")
+    (name,) = fresh(docs.columns, "bad_score")
+    if name == "bad_score":
+        return score(docs, scorer, text_col).filter(F.col("bad_score") < threshold).drop("bad_score")
+    scored = score(docs.withColumnRenamed("bad_score", name), scorer, text_col)
+    return scored.filter(F.col("bad_score") < threshold).drop("bad_score").withColumnRenamed(name, "bad_score")
