@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 from ..functions.expressions import FULL_AND_OPEN, is_modification, json_details, share_of
 from ..functions.schemas import RESULT
+from ..sources.scratch import written
+from .quantiles import exact_quantile
 from .results import positive_awards, result
 
 FEATURES = ["log_total_dollars", "award_count", "unique_agencies_count", "naics_diversity", "competition_ratio", "modification_frequency", "entity_age_days"]
@@ -118,18 +120,21 @@ def anomaly_scores(points: DataFrame, n: int, trees: int = TREES, sample: int =
 def detect_isolation_outlier(awards: DataFrame, entities: DataFrame, as_of: str, contamination: float = CONTAMINATION, trees: int = TREES, sample: int = SAMPLE, seed: int = SEED) -> DataFrame:
     """Recipients below the score that a share of ``contamination`` lies under, scored 0 to 1 over the whole population.
 
-    Under 20 recipients the share is one recipient's at least. One recipient, or none, gives an empty result.
+    Under 20 recipients the share is one recipient's at least. One recipient, or none, gives an empty result. Awards without
+    a recipient or a positive amount are passed over, repeated ones count each; other columns have no effect. Features and
+    scores are written once each; the edge is found from bucket counts.
     """
     spark = awards.sparkSession
-    features = imputed(recipient_features(awards, entities, as_of))
+    features = written(imputed(written(recipient_features(awards, entities, as_of), "isolation-ages")), "isolation-features")
     n = features.count()
     if n < 2:
         return spark.createDataFrame([], RESULT)
     share = contamination if n >= 20 else max(1 / n, contamination)
-    raw = anomaly_scores(scaled(features), n, trees, sample, seed)
-    ends = raw.agg(F.percentile("raw", F.lit(share)).alias("edge"), F.min("raw").alias("least"), F.max("raw").alias("most"))
-    rows = raw.crossJoin(F.broadcast(ends)).filter(F.col("raw") < F.col("edge"))
-    score = F.when(F.col("most") > F.col("least"), (F.col("most") - F.col("raw")) / (F.col("most") - F.col("least"))).otherwise(0.0)
-    rows = rows.withColumn("score", score).join(features, "uei")
+    raw = written(anomaly_scores(written(scaled(features), "isolation-points"), n, trees, sample, seed), "isolation-raw")
+    edge = exact_quantile(raw, "raw", share)
+    ends = raw.agg(F.min("raw").alias("least"), F.max("raw").alias("most")).first()
+    span = ends["most"] - ends["least"]
+    score = (F.lit(ends["most"]) - F.col("raw")) / F.lit(span) if span > 0 else F.lit(0.0)
+    rows = raw.filter(F.col("raw") < edge).withColumn("score", score).join(features, "uei")
     details = json_details(feature_vector=F.struct(*FEATURES), raw_anomaly_score=F.col("raw"), contamination_param=F.lit(share))
     return result(rows, "isolation", details)

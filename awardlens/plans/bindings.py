@@ -50,9 +50,10 @@ def awards(spark: SparkSession, sf_dir: str, pulls: bool = False) -> DataFrame:
 
 
 def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _table(spark, sf_dir, "customer").filter("c_custkey % 7 <> 0")
+    """Customers as entities. Every seventh registers under another id than its awards have, so that some awards have no entity."""
+    rows = _table(spark, sf_dir, "customer")
     registered = F.when(F.col("c_custkey") % 10 != 0, F.date_add(F.lit("1995-01-01").cast("date"), (F.col("c_custkey") * 37 % 2400).cast("int")))
-    made = {"uei": F.concat(F.lit("C"), F.col("c_custkey").cast("string")), "legal_business_name": F.col("c_name"), "registration_date": registered, "last_pulled_at": registered.cast("timestamp_ntz")}
+    made = {"uei": F.concat(F.when(F.col("c_custkey") % 7 == 0, "X").otherwise("C"), F.col("c_custkey").cast("string")), "legal_business_name": F.col("c_name"), "registration_date": registered, "last_pulled_at": registered.cast("timestamp_ntz")}
     return rows.select(*[made.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in ENTITIES])
 
 
@@ -68,5 +69,5 @@ pulls AS (SELECT l_orderkey || '-' || l_linenumber AS pull_id, l_partkey, l_supp
 awards AS (SELECT * EXCLUDE (pull_id, l_partkey, l_suppkey) FROM pulls),
 positive AS (SELECT * FROM awards WHERE recipient_uei IS NOT NULL AND total_obligation > 0)"""
 
-ENTITIES_SQL = """entities AS (SELECT 'C' || c_custkey AS uei, c_name AS legal_business_name,
-  CASE WHEN c_custkey % 10 = 0 THEN NULL ELSE DATE '1995-01-01' + (c_custkey * 37 % 2400)::INT END AS registration_date FROM customer WHERE c_custkey % 7 <> 0)"""
+ENTITIES_SQL = """entities AS (SELECT CASE WHEN c_custkey % 7 = 0 THEN 'X' ELSE 'C' END || c_custkey AS uei, c_name AS legal_business_name,
+  CASE WHEN c_custkey % 10 = 0 THEN NULL ELSE DATE '1995-01-01' + (c_custkey * 37 % 2400)::INT END AS registration_date FROM customer)"""

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +15,7 @@ from ..operators.results import all_detectors, top
 from ..sources.csv_awards import apply_policy, map_awards, scan_csv
 from ..sources.json_records import award_records, entity_records
 from ..sources.listing import latest_snapshot, prime_files
+from ..sources.scratch import scratch_path, written
 from .bindings import AS_OF, AWARDS_SQL, ENTITIES_SQL, NEW_AWARDS_FROM, awards, entities
 from .incremental import agency_policy, build_snapshot, capped_date_chunks, fiscal_windows, load_windows, refresh_list, seed_plan
 from .store import append_ignore, ranked_per_key, upsert_replace
@@ -72,12 +71,12 @@ def isolation_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def detector_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a, e = awards(spark, sf_dir), entities(spark, sf_dir)
+    a, e = written(awards(spark, sf_dir), "awards"), entities(spark, sf_dir)
     return all_detectors(detect_benford(a), detect_mod_growth(a), detect_new_entity_sole_source(a, e), detect_isolation_outlier(a, e, AS_OF))
 
 
 def top_entities_by_detector(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a, e = awards(spark, sf_dir), entities(spark, sf_dir)
+    a, e = written(awards(spark, sf_dir), "awards"), entities(spark, sf_dir)
     frames = (detect_benford(a), detect_mod_growth(a), detect_new_entity_sole_source(a, e))
     return all_detectors(*[top(f.withColumn("score", F.round("score", 6))) for f in frames]).select("uei", "detector", "score")
 
@@ -127,8 +126,10 @@ def seed_plan_of_years(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def capped_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = awards(spark, sf_dir).withColumn("kind", F.upper("award_type"))
-    return capped_date_chunks(rows, "award_date", "kind", "1998-01-01", "2002-12-31", "x", cap=3000, most_splits=6)
+    """The window is that of the awards, so that every one is in a chunk."""
+    rows = written(awards(spark, sf_dir).select(F.upper("award_type").alias("kind"), "award_date"), "award-dates")
+    ends = rows.agg(F.min("award_date").alias("a"), F.max("award_date").alias("b")).first()
+    return capped_date_chunks(rows, "award_date", "kind", str(ends["a"]), str(ends["b"]), "x")
 
 
 def policy_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -172,13 +173,19 @@ def json_entity_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def csv_award_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The awards written as CSV with archive headers, scanned again and mapped."""
-    names = {"contract_award_unique_key": "award_id", "recipient_uei": "recipient_uei", "awarding_agency_name": "awarding_agency", "type_of_contract_pricing": "award_type", "current_total_value_of_award": "total_obligation", "action_date": "award_date", "extent_competed": "competition_type", "modification_number": "modification_number"}
-    base = (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/awardlens").rstrip("/")
-    path = f"{base}/csv-{uuid.uuid4().hex}"
-    awards(spark, sf_dir).select(*[F.col(c).cast("string").alias(name) for name, c in names.items()], F.lit("x").alias("number_of_offers_received"), F.lit("unused").alias("other")).write.option("header", True).csv(path)
+    """The awards written as CSV with archive headers, descriptions with line breaks and quotes among them, scanned again and mapped."""
+    names = {
+        "contract_award_unique_key": "award_id", "recipient_uei": "recipient_uei", "awarding_agency_name": "awarding_agency", "type_of_contract_pricing": "award_type",
+        "current_total_value_of_award": "total_obligation", "action_date": "award_date", "extent_competed": "competition_type", "modification_number": "modification_number",
+    }
+    path = scratch_path(spark, "csv")
+    text = F.concat(F.lit('line one\nsays "two", of '), F.col("award_id")).alias("award_description")
+    raw = awards(spark, sf_dir).select(*[F.col(c).cast("string").alias(name) for name, c in names.items()], text, F.lit("x").alias("number_of_offers_received"), F.lit("unused").alias("other"))
+    raw.write.option("header", True).option("escape", '"').csv(path)
     out = map_awards(scan_csv(spark, path), "FILLED", _stamp())
-    return out.select("award_id", "recipient_uei", "awarding_agency", "award_type", "total_obligation", "award_date", "competition_type", "number_of_offers", "modification_number")
+    return out.select(
+        "award_id", "recipient_uei", "awarding_agency", "award_type", "award_description", "total_obligation", "award_date", "competition_type", "number_of_offers", "modification_number", "pulled_at"
+    )
 
 
 def latest_snapshot_by_agency(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -210,17 +217,21 @@ _X = "(ks * sqrt(n))"
 _HIGH = f"2 * list_sum(list_transform(range(1, 21), lambda k: (CASE WHEN k % 2 = 1 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END) * exp(-2.0::DOUBLE * k * k * {_X} * {_X})))"
 _LOW = f"1 - sqrt(2 * pi()) / {_X} * list_sum(list_transform(range(1, 21), lambda k: exp(-((2 * k - 1) * (2 * k - 1))::DOUBLE * pi() * pi() / 8 / ({_X} * {_X}))))"
 _BENFORD_SQL = f"ksd AS (SELECT *, GREATEST({_GAPS}) AS ks FROM hist WHERE n >= 30), pv AS (SELECT *, CASE WHEN {_X} <= 0 THEN 1.0::DOUBLE WHEN {_X} < 0.5 THEN {_LOW} ELSE {_HIGH} END AS p FROM ksd), benford AS (SELECT uei, n, ROUND(ks, 6) AS ks_statistic, ROUND(p, 6) AS p_value, ROUND(GREATEST(0.0::DOUBLE, LEAST(1.0::DOUBLE, 1 - p)), 6) AS score FROM pv)"
-_RATIOS_SQL = """ranked AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY parent_award_id ORDER BY (modification_number = '0') DESC NULLS LAST, modification_number ASC NULLS LAST, award_id) AS rn FROM positive WHERE parent_award_id IS NOT NULL),
-sums AS (SELECT parent_award_id, SUM(total_obligation) AS final_value FROM ranked GROUP BY 1),
-ratios AS (SELECT parent_award_id, recipient_uei AS uei, naics_code, total_obligation AS initial_value, final_value, final_value / total_obligation AS growth_ratio FROM ranked JOIN sums USING (parent_award_id) WHERE rn = 1)"""
+_RATIOS_SQL = """contract AS (
+  SELECT parent_award_id, SUM(total_obligation) AS value, arg_min({'w': recipient_uei, 'c': naics_code, 'v': total_obligation},
+    (CASE WHEN modification_number = '0' THEN 'a' WHEN modification_number IS NULL THEN 'c' ELSE 'b' || modification_number END) || chr(1) || award_id) AS start
+  FROM positive WHERE parent_award_id IS NOT NULL GROUP BY parent_award_id),
+ratios AS (SELECT parent_award_id, start.w AS uei, start.c AS naics_code, start.v AS initial_value, value AS final_value, value / start.v AS growth_ratio FROM contract)"""
 _GROWTH_SQL = """peers AS (SELECT *, AVG(growth_ratio) OVER w AS m, STDDEV_SAMP(growth_ratio) OVER w AS s FROM ratios WINDOW w AS (PARTITION BY naics_code)),
 zs AS (SELECT *, CASE WHEN s > 0 THEN (growth_ratio - m) / s ELSE 0 END AS z FROM peers),
 worst AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY uei ORDER BY z DESC, parent_award_id) AS rn FROM zs WHERE z > 2),
 growth AS (SELECT uei, parent_award_id AS worst_award_id, ROUND(growth_ratio, 6) AS growth_ratio, naics_code, ROUND(m, 6) AS naics_avg_ratio, ROUND(z, 6) AS z_score, ROUND(1 / (1 + exp(2 - z)), 6) AS score FROM worst WHERE rn = 1)"""
-_FRESH_SQL = """early AS (SELECT a.award_id, a.recipient_uei AS uei, award_date, total_obligation, competition_type, registration_date, date_diff('day', registration_date, award_date)::INT AS days_gap
-  FROM positive a JOIN entities e ON e.uei = a.recipient_uei WHERE (upper(competition_type) LIKE '%NOT COMPETED%' OR upper(competition_type) LIKE '%NOT AVAILABLE%' OR upper(competition_type) LIKE '%SOLE SOURCE%') AND date_diff('day', registration_date, award_date) BETWEEN 0 AND 180),
-scored AS (SELECT *, GREATEST(0.0::DOUBLE, LEAST(1.0::DOUBLE, (1.0 - days_gap / 180::DOUBLE) * (log10(total_obligation) / 7.0))) AS sc FROM early),
-fresh AS (SELECT uei, ROUND(sc, 6) AS score, days_gap, registration_date, award_date, ROUND(total_obligation, 6) AS total_obligation, competition_type FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY uei ORDER BY sc DESC, award_id) AS rn FROM scored) WHERE rn = 1)"""
+_FRESH_SQL = """near AS (SELECT registration_date AS since, p.*, award_date - registration_date AS gap FROM entities, positive p WHERE recipient_uei = uei
+    AND award_date BETWEEN registration_date AND registration_date + 180 AND regexp_matches(competition_type, 'not competed|not available|sole source', 'i')),
+rated AS (SELECT *, LEAST(1.0::DOUBLE, GREATEST(0.0::DOUBLE, log10(total_obligation) * (180 - gap) / 1260.0::DOUBLE)) AS rate FROM near),
+chosen AS (SELECT recipient_uei, arg_min(rated, {'a': -rate, 'b': award_id}) AS x FROM rated GROUP BY recipient_uei),
+fresh AS (SELECT recipient_uei AS uei, ROUND(x.rate, 6) AS score, x.gap::INT AS days_gap, x.since AS registration_date, x.award_date AS award_date,
+  ROUND(x.total_obligation, 6) AS total_obligation, x.competition_type AS competition_type FROM chosen)"""
 _FEATURES_SQL = f"""feats AS (SELECT recipient_uei AS uei, log10(GREATEST(SUM(total_obligation), 1.0)) AS log_total_dollars, COUNT(*)::DOUBLE AS award_count, COUNT(DISTINCT awarding_agency)::DOUBLE AS unique_agencies_count, COUNT(DISTINCT naics_code)::DOUBLE AS naics_diversity,
   AVG(CASE WHEN upper(competition_type) LIKE '%FULL AND OPEN%' THEN 1.0::DOUBLE ELSE 0 END) AS competition_ratio, AVG(CASE WHEN modification_number IS NOT NULL AND modification_number <> '0' THEN 1.0::DOUBLE ELSE 0 END) AS modification_frequency FROM positive GROUP BY 1),
 features AS (SELECT f.*, date_diff('day', registration_date, DATE '{AS_OF}')::DOUBLE AS entity_age_days FROM feats f LEFT JOIN entities e USING (uei)),
@@ -233,9 +244,10 @@ def _oracle(*parts: str, select: str) -> str:
 
 _POLICY_ROWS = "policy(name, short, types, least, mode) AS (VALUES ('FRANCE', 'FR', ['DELIVERY ORDER'], 25000.0, 'archive'), ('CHINA', 'CN', NULL, 0.0, 'paginate'), ('BRAZIL', 'BR', ['DEFINITIVE CONTRACT'], 0.0, 'paginate'), ('NOWHERE', 'NW', NULL, 0.0, 'paginate'))"
 _CHUNKS_SQL = """daily AS (SELECT upper(award_type) AS g, award_date AS day, COUNT(*) AS n FROM awards GROUP BY 1, 2),
-chunks(g, label, s, e, depth) AS (SELECT DISTINCT g, 'x', DATE '1998-01-01', DATE '2002-12-31', 0 FROM daily
+ends AS (SELECT MIN(day) AS a, MAX(day) AS b FROM daily),
+chunks(g, label, s, e, depth) AS (SELECT DISTINCT g, 'x', a, b, 0 FROM daily, ends
   UNION ALL SELECT c.g, c.label || h.h, CASE WHEN h.h = 'a' THEN c.s ELSE c.s + ((c.e - c.s) // 2)::INT + 1 END, CASE WHEN h.h = 'a' THEN c.s + ((c.e - c.s) // 2)::INT ELSE c.e END, c.depth + 1
-  FROM chunks c, (VALUES ('a'), ('b')) h(h) WHERE c.depth < 6 AND c.e > c.s AND (SELECT COALESCE(SUM(n), 0) FROM daily d WHERE d.g = c.g AND d.day BETWEEN c.s AND c.e) >= 3000),
+  FROM chunks c, (VALUES ('a'), ('b')) h(h) WHERE c.depth < 12 AND c.e > c.s AND (SELECT COALESCE(SUM(n), 0) FROM daily d WHERE d.g = c.g AND d.day BETWEEN c.s AND c.e) >= 10000),
 counted AS (SELECT c.*, (SELECT COALESCE(SUM(n), 0) FROM daily d WHERE d.g = c.g AND d.day BETWEEN c.s AND c.e) AS r FROM chunks c)"""
 
 ORACLES = {
@@ -257,13 +269,13 @@ ORACLES = {
     "snapshot_build": _oracle(ENTITIES_SQL, select=f"SELECT uei, DATE '{AS_OF}' AS snapshot_date, CASE WHEN registration_date >= DATE '1998-01-01' THEN upper(legal_business_name) ELSE legal_business_name END AS legal_business_name FROM entities"),
     "high_watermark_windows": _oracle(AWARDS_SQL, _POLICY_ROWS, "newest AS (SELECT awarding_agency AS name, MAX(award_date) AS m FROM awards GROUP BY 1)", select=f"SELECT short, 'incr_{AS_OF}' AS label, m - 7 AS start, DATE '{AS_OF}' AS \"end\", 'paginate' AS mode FROM policy JOIN newest USING (name) UNION ALL SELECT short, y::VARCHAR, make_date(y - 1, 10, 1), make_date(y, 9, 30), mode FROM policy ANTI JOIN newest USING (name), (SELECT unnest({YEARS}) AS y)"),
     "seed_plan": _oracle(AWARDS_SQL, _POLICY_ROWS, "years AS (SELECT DISTINCT year(award_date + INTERVAL 3 MONTH)::INT AS y FROM awards)", select="SELECT short, y::VARCHAR AS label, make_date(y - 1, 10, 1) AS start, make_date(y, 9, 30) AS \"end\", mode FROM policy, years"),
-    "capped_date_chunks": _oracle(AWARDS_SQL, _CHUNKS_SQL, select="SELECT g AS \"group\", label, s AS start, e AS \"end\", depth::INT AS depth, r::BIGINT AS rows, r >= 3000 AS capped FROM counted WHERE NOT (r >= 3000 AND e > s AND depth < 6)"),
+    "capped_date_chunks": _oracle(AWARDS_SQL, _CHUNKS_SQL, select="SELECT g AS \"group\", label, s AS start, e AS \"end\", depth::INT AS depth, r::BIGINT AS rows, r >= 10000 AS capped FROM counted WHERE NOT (r >= 10000 AND e > s AND depth < 12)"),
     "policy_filter": _oracle(AWARDS_SQL, _POLICY_ROWS, select="SELECT award_id, awarding_agency, award_type, total_obligation FROM awards LEFT JOIN policy ON awarding_agency = name WHERE (types IS NULL OR list_contains(types, upper(award_type))) AND (COALESCE(least, 0) <= 0 OR COALESCE(total_obligation, 0) >= least)"),
     "award_type_counts": _oracle(AWARDS_SQL, select="SELECT award_type, COUNT(*)::BIGINT AS n FROM awards GROUP BY 1"),
     "joined_sample_count": _oracle(AWARDS_SQL, ENTITIES_SQL, select="SELECT awarding_agency, COUNT(*)::BIGINT AS n, COUNT(DISTINCT uei)::BIGINT AS n_entities FROM awards JOIN entities ON uei = recipient_uei GROUP BY 1"),
     "json_award_mapping": _oracle(AWARDS_SQL, select="SELECT award_id, parent_award_id, recipient_uei, CASE WHEN awarding_agency = 'FRANCE' THEN 'FILLED' ELSE awarding_agency END AS awarding_agency, award_type, naics_code, lower(naics_code) AS naics_description, ROUND(CASE WHEN modification_number = '0' OR total_obligation IS NULL THEN total_obligation * 2 ELSE total_obligation END, 2) AS total_obligation, NULL::DATE AS period_of_performance_start, award_date, NULL::INT AS number_of_offers, modification_number FROM awards"),
     "json_entity_mapping": _oracle(ENTITIES_SQL, select="SELECT uei, legal_business_name, 'TX' AS physical_state, 'Small, ' || substr(uei, 2, 1) AS business_type, registration_date FROM entities"),
-    "csv_award_mapping": _oracle(AWARDS_SQL, select="SELECT award_id, recipient_uei, awarding_agency, award_type, total_obligation, award_date, competition_type, NULL::INT AS number_of_offers, modification_number FROM awards"),
+    "csv_award_mapping": _oracle(AWARDS_SQL, select=f"SELECT award_id, recipient_uei, awarding_agency, award_type, 'line one' || chr(10) || 'says \"two\", of ' || award_id AS award_description, total_obligation, award_date, competition_type, NULL::INT AS number_of_offers, modification_number, TIMESTAMP '{AS_OF}' AS pulled_at FROM awards"),
     "latest_snapshot": _oracle(AWARDS_SQL, select="SELECT awarding_agency, strftime(MAX(award_date) FILTER (award_type = 'DELIVERY ORDER'), '%Y%m%d') AS latest FROM awards GROUP BY 1"),
     "prime_file_selection": """WITH f AS (SELECT c_custkey % 50 AS snapshot, ['Contracts_PrimeAwardSummaries_', 'Contracts_Subawards_', 'Contracts_'][(CASE WHEN c_custkey % 50 < 25 THEN c_custkey % 3 ELSE 1 + c_custkey % 2 END + 1)::INT] || c_custkey || CASE WHEN c_custkey % 11 = 0 THEN '.txt' ELSE '.csv' END AS file_name FROM customer),
 p AS (SELECT *, bool_or(file_name LIKE '%PrimeAward%') OVER (PARTITION BY snapshot) AS any_prime FROM f WHERE file_name LIKE '%.csv')

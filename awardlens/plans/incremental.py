@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.expressions import fiscal_year_end, fiscal_year_start, midpoint
 from ..functions.schemas import SNAPSHOTS
+from ..sources.scratch import written
 
 POLICY = "code string, name string, short string, award_types array<string>, award_amount_min double, seed_strategy string"
 LOOKBACK_DAYS, STALE_DAYS = 7, 30
@@ -52,10 +51,29 @@ def load_windows(policy: DataFrame, awards: DataFrame, windows: DataFrame, today
     return known.unionByName(seed_plan(joined.filter("newest is null"), windows))
 
 
-def rows_in_windows(rows: DataFrame, windows: DataFrame, agency: str = "awarding_agency") -> DataFrame:
-    """Rows whose award date lies in a window of their agency (column name); windows are few."""
-    w = windows.select(F.col("name").alias("w_name"), "start", "end")
-    return rows.join(w, (F.col(agency) == F.col("w_name")) & F.col("award_date").between(F.col("start"), F.col("end")), "left_semi")
+def rows_in_windows(rows: DataFrame, windows: DataFrame, policy: DataFrame, agency: str = "awarding_agency") -> DataFrame:
+    """Rows of an agency of ``policy`` whose award date lies in one of its windows, as :func:`load_windows` or :func:`seed_plan` gives them.
+
+    Both are configuration, a row per agency and window. A row in several windows comes once; rows without a date, or of an
+    agency without windows, are left out.
+    """
+    w = windows.join(policy.select("short", F.col("name").alias("w_name")), "short").select("w_name", F.col("start").alias("w_start"), F.col("end").alias("w_end"))
+    return rows.join(w, (F.col(agency) == F.col("w_name")) & F.col("award_date").between(F.col("w_start"), F.col("w_end")), "left_semi")
+
+
+def write_worklist(recipients: DataFrame, path: str) -> DataFrame:
+    """The distinct recipients of ``recipients`` (uei) in order, written to ``path`` and read back; null and empty ones are left out.
+
+    Sorted files have ranges of their own, one after another, so that the sort is nobody's single task.
+    """
+    recipients.select("uei").filter(F.col("uei") != "").distinct().orderBy("uei").write.mode("overwrite").parquet(path)
+    return recipients.sparkSession.read.schema("uei string").parquet(path)
+
+
+def recipient_sample(awards: DataFrame, n: int) -> DataFrame:
+    """(uei): at most ``n`` distinct recipients, those of the smallest digests, so that reruns agree. A limit is what it is for."""
+    uei = F.col("recipient_uei").alias("uei")
+    return awards.select(uei).filter(F.col("uei") != "").distinct().orderBy(F.md5("uei"), "uei").limit(n)
 
 
 def refresh_list(recipients: DataFrame, entities: DataFrame, awards: DataFrame, as_of: Column, stale_days: int = STALE_DAYS) -> DataFrame:
@@ -80,22 +98,35 @@ def build_snapshot(fresh: DataFrame, cached: DataFrame, day: Column) -> DataFram
 def capped_date_chunks(rows: DataFrame, day: str, group: str, start: str, end: str, label: str, cap: int = CAP, most_splits: int = MOST_SPLITS) -> DataFrame:
     """(group, label, start, end, depth, rows, capped): each group's window, halved while a part has ``cap`` rows and more.
 
-    The left half's label gains an a, the right one's a b. A day by itself, or a part at the last depth, stays and is
-    marked. Rows are counted by day once; each round then works on these counts.
+    The left half's label gains an a, the right one's a b. A day by itself, or a part at the last depth, stays and is marked.
+    Rows are counted by day once; every day then knows its part at every depth, so that the parts of all depths are counted
+    together. A group whose rows have no day within the window has one empty part; a null group is one of its own.
     """
-    daily = rows.filter(F.col(day).isNotNull()).groupBy(F.col(group).alias("group"), F.col(day).alias("day")).agg(F.count(F.lit(1)).alias("n"))
-    now = rows.select(F.col(group).alias("group")).distinct().select("group", F.lit(label).alias("label"), F.lit(start).cast("date").alias("start"), F.lit(end).cast("date").alias("end"))
-    done: list[DataFrame] = []
-    for depth in range(most_splits + 1):
-        inside = now.alias("c").join(daily.alias("d"), F.col("c.group").eqNullSafe(F.col("d.group")) & F.col("d.day").between(F.col("c.start"), F.col("c.end")), "left")
-        counted = inside.groupBy("c.group", "c.label", "c.start", "c.end").agg(F.coalesce(F.sum("d.n"), F.lit(0)).alias("rows")).withColumns({"depth": F.lit(depth), "capped": F.col("rows") >= cap, "middle": midpoint("start", "end")})
-        splits = F.col("capped") & F.col("middle").isNotNull() & F.lit(depth < most_splits)
-        counted = counted.persist()
-        done.append(counted.filter(~splits).select("group", "label", "start", "end", "depth", "rows", "capped"))
-        parent = counted.filter(splits)
-        if depth == most_splits or parent.isEmpty():
-            break
-        left = parent.select("group", F.concat("label", F.lit("a")).alias("label"), "start", F.col("middle").alias("end"))
-        right = parent.select("group", F.concat("label", F.lit("b")).alias("label"), F.date_add("middle", 1).alias("start"), "end")
-        now = left.unionByName(right)
-    return reduce(DataFrame.unionByName, done)
+    dated = F.col(day).between(F.lit(start).cast("date"), F.lit(end).cast("date"))
+    daily = rows.groupBy(F.col(group).alias("group"), F.when(dated, F.col(day)).cast("date").alias("day")).agg(F.count(F.lit(1)).alias("n"))
+    root = F.struct(F.lit(label).alias("label"), F.lit(start).cast("date").alias("start"), F.lit(end).cast("date").alias("end"), F.lit(0).alias("depth"))
+
+    def half(part: Column, left: Column | bool) -> Column:
+        middle = midpoint(part["start"], part["end"])
+        return F.struct(
+            F.concat(part["label"], F.when(left, "a").otherwise("b")).alias("label"),
+            F.when(left, part["start"]).otherwise(F.date_add(middle, 1)).alias("start"),
+            F.when(left, middle).otherwise(part["end"]).alias("end"),
+            (part["depth"] + 1).alias("depth"),
+        )
+
+    def deeper(parts: Column, _: Column) -> Column:
+        last = F.element_at(parts, -1)
+        return F.when(last["start"] < last["end"], F.concat(parts, F.array(half(last, F.col("day") <= midpoint(last["start"], last["end"]))))).otherwise(parts)
+
+    below = F.sequence(F.lit(1), F.lit(most_splits)) if most_splits else F.array().cast("array<int>")
+    parts = daily.withColumn("part", F.explode(F.when(F.col("day").isNotNull(), F.aggregate(below, F.array(root), deeper)).otherwise(F.array(root))))
+    counted = parts.groupBy("group", "part").agg(F.sum(F.when(F.col("day").isNotNull(), F.col("n")).otherwise(0)).alias("rows"))
+    splits = (F.col("rows") >= cap) & (F.col("part.depth") < most_splits) & (F.col("part.start") < F.col("part.end"))
+    counted = written(counted.withColumn("splits", splits), "date-parts")
+    halves = counted.filter("splits").select("group", F.explode(F.array(half(F.col("part"), F.lit(True)), half(F.col("part"), F.lit(False)))).alias("part"))
+    offered = halves.unionByName(counted.filter("part.depth = 0").select("group", "part"))
+    known = counted.select(F.col("group").alias("k_group"), F.col("part").alias("k_part"), "rows", "splits")
+    leaves = offered.join(known, F.col("group").eqNullSafe(F.col("k_group")) & (F.col("part") == F.col("k_part")), "left").filter(~F.coalesce("splits", F.lit(False)))
+    count = F.coalesce("rows", F.lit(0)).cast("long")
+    return leaves.select("group", "part.label", "part.start", "part.end", "part.depth", count.alias("rows"), (count >= cap).alias("capped"))

@@ -1,7 +1,8 @@
 """Keyed tables on versioned Parquet: replace and ignore upserts that can be repeated.
 
 A version is a folder that is written whole and then named in a pointer table; readers take the newest pointer, so that a
-table is never overwritten while it is read, and a failed job leaves the version before.
+table is never overwritten while it is read, and a failed job leaves the version before. Of two loads that publish the same
+version one is told to run again.
 """
 
 from __future__ import annotations
@@ -59,7 +60,7 @@ class Store:
 
     def _version(self, table: str) -> tuple[int, str] | None:
         try:
-            row = self.spark.read.schema("version long, folder string").parquet(f"{self.root}/{table}/_pointers_").orderBy(F.desc("version")).first()
+            row = self.spark.read.schema("version long, folder string").parquet(f"{self.root}/{table}/_pointers_").orderBy(F.desc("version"), "folder").first()
         except AnalysisException:
             return None
         return (row["version"], row["folder"]) if row else None
@@ -70,6 +71,8 @@ class Store:
         aligned(rows, TABLES[table]).write.parquet(f"{self.root}/{table}/{folder}")
         pointer = self.spark.createDataFrame([(now[0] + 1 if now else 1, folder)], "version long, folder string")
         pointer.coalesce(1).write.mode("append").parquet(f"{self.root}/{table}/_pointers_")
+        if self._version(table)[1] != folder:  # readers see the other one; ours was made from the version before it
+            raise RuntimeError(f"another load of {table} was published at the same time; load again")
 
     def read(self, table: str) -> DataFrame:
         """The newest version, or an empty table."""

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions.expressions import AWARD_TYPES, award_date, column
 from ..functions.schemas import AWARDS
+from .landing import land_labelled
+from .listing import prime_files
 
 #: The source columns of each target column, the first that a file has is taken.
 CANDIDATES = {
@@ -34,8 +36,17 @@ CANDIDATES = {
 
 
 def scan_csv(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """All columns as text: inference would make numbers of ids. Columns that aren't used later aren't parsed."""
-    return spark.read.option("header", True).option("mode", "PERMISSIVE").option("escape", '"').option("multiLine", False).csv(path)
+    """All columns as text: inference would make numbers of ids. Columns that aren't used later aren't parsed.
+
+    Quoted values may hold line breaks, commas and doubled quotes, so that a file is read by one task; archives come in
+    members of bounded size. Rows that are too short have nulls at their end.
+    """
+    return spark.read.option("header", True).option("mode", "PERMISSIVE").option("escape", '"').option("multiLine", True).csv(path)
+
+
+def csv_header(spark: SparkSession, path: str) -> tuple[str, ...]:
+    """The columns that a file's first line names; none for an empty file."""
+    return tuple(spark.read.option("header", True).option("escape", '"').csv(path).columns)
 
 
 def map_awards(raw: DataFrame, agency: str | Column, pulled_at: Column, metric: str = "mapping") -> DataFrame:
@@ -85,8 +96,32 @@ def apply_policy(awards: DataFrame, policy: DataFrame) -> DataFrame:
 
 
 def archive_awards(spark: SparkSession, files: list[tuple[str, str]], policy: DataFrame, pulled_at: Column) -> DataFrame:
-    """The awards of CSV archives, given as (path, agency name): one job over all files and agencies."""
-    frames = [map_awards(scan_csv(spark, path), agency, pulled_at, f"mapping-{k}") for k, (path, agency) in enumerate(files)]
+    """The awards of CSV archives, given as (path, agency name): one job over all files and agencies.
+
+    Files of one agency and header are read together, so that the plan grows with these and not with the files. Empty files
+    are passed over; without any file with columns the result is empty. Rows without an id are counted under a metric per
+    group, mapping-0 and so on, and left out; repeated rows stay.
+    """
+    groups: dict[tuple[str, tuple[str, ...]], list[str]] = {}
+    for path, agency in files:
+        header = csv_header(spark, path)
+        if header:
+            groups.setdefault((agency, header), []).append(path)
+    frames = [map_awards(scan_csv(spark, paths), agency, pulled_at, f"mapping-{k}") for k, ((agency, _), paths) in enumerate(sorted(groups.items()))]
     if not frames:
         return spark.createDataFrame([], AWARDS)
     return apply_policy(reduce(DataFrame.unionByName, frames), policy)
+
+
+def archive_job(spark: SparkSession, members: DataFrame, policy: DataFrame, pulled_at: Column, landing: str, label: str) -> dict[str, int]:
+    """Archives' CSV members to landed awards: members are chosen, mapped, filtered and written by agency under ``label``.
+
+    ``members`` has a row per file: snapshot (its archive), file_name, path, agency and length in bytes. It is a listing, so its
+    rows fit on the driver. Rows of an agency without a policy pass whole and land under the agency's name. The rows
+    landed are returned by agency; an archive without a usable member lands a typed empty table.
+    """
+    chosen = prime_files(members).filter("length > 0").select("path", "agency").distinct().orderBy("path").collect()
+    awards = archive_awards(spark, [(r["path"], r["agency"]) for r in chosen], policy, pulled_at)
+    shorts = policy.select(F.col("name").alias("s_name"), "short")
+    named = awards.join(shorts, F.col("awarding_agency") == F.col("s_name"), "left").withColumn("agency_short", F.coalesce("short", "awarding_agency"))
+    return land_labelled(named.withColumn("load_label", F.lit(label)), landing)

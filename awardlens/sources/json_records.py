@@ -52,8 +52,11 @@ def _offers(key: str) -> Column:
     return F.when(v.kind == "STRING", blank_to_null(v.text).try_cast("int")).otherwise(v.text.try_cast("double").try_cast("int"))
 
 
-def award_records(records: DataFrame, agency: str, pulled_at: Column, line: str = "value") -> DataFrame:
-    """Awards of a column of JSON text. Text that is no JSON, and records without an id, are left out."""
+def award_records(records: DataFrame, agency: str, pulled_at: Column, line: str = "value", metric: str = "json") -> DataFrame:
+    """Awards of a column of JSON text. Text that is no JSON, and records without an id, are left out.
+
+    The latter are observed under ``metric`` as dropped. Nulls are no records; repeated ones stay; other columns are left out.
+    """
     naics, kind = F.col("v_naics"), F.schema_of_variant(F.try_variant_get("v", '$["NAICS"]', "variant"))
     nested = kind.startswith("OBJECT")
     # the generator keeps the optimiser from repeating the parse in every column
@@ -82,7 +85,7 @@ def award_records(records: DataFrame, agency: str, pulled_at: Column, line: str
         "modification_number": first_there("Mod Number", "modification_number"),
         "pulled_at": pulled_at.cast("timestamp_ntz"),
     }
-    return rows.select(*[made[f.name].cast(f.dataType).alias(f.name) for f in AWARDS]).filter(F.col("award_id").isNotNull())
+    return rows.select(*[made[f.name].cast(f.dataType).alias(f.name) for f in AWARDS]).observe(metric, F.count_if(F.col("award_id").isNull()).alias("dropped")).filter(F.col("award_id").isNotNull())
 
 
 def _either(*paths: str) -> Column:

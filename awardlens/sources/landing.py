@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions.schemas import AWARDS, AWARDS_LANDING, aligned
+from .scratch import written
 
 
 def read_or_empty(spark: SparkSession, path: str | list[str], schema: StructType, skip_corrupt: bool = False) -> DataFrame:
@@ -46,3 +47,35 @@ def write_typed(df: DataFrame, path: str, schema: StructType, partition_by: tupl
 def row_count(spark: SparkSession, path: str) -> int:
     """Rows of a Parquet dataset; no column is read, so the footers answer."""
     return spark.read.parquet(path).count()
+
+
+def awards_name(short: str, label: str, kind: str = "") -> str:
+    """The name of a landed window of an agency: kind is empty, archive or bulk."""
+    return f"awards_{short}_{label}{f'_{kind}' if kind else ''}.parquet"
+
+
+def snapshots_name(day: str) -> str:
+    return f"entity_snapshots_{day}.parquet"
+
+
+def land(df: DataFrame, base: str, name: str, schema: StructType) -> int:
+    """Write under ``base``/``name`` in table types; the rows written."""
+    path = f"{base.rstrip('/')}/{name}"
+    write_typed(df, path, schema)
+    return row_count(df.sparkSession, path)
+
+
+def land_labelled(awards: DataFrame, base: str) -> dict[str, int]:
+    """Write awards (with agency_short and load_label) of any number of agencies and windows in one job, a folder for each.
+
+    The rows written come back by agency. Only the folders that ``awards`` has rows for are replaced, so that a window can be
+    loaded again; no rows leave a typed empty table.
+    """
+    spark, path = awards.sparkSession, f"{base.rstrip('/')}/awards_labelled.parquet"
+    columns = [F.col(f.name).try_cast(f.dataType).alias(f.name) for f in AWARDS]
+    rows = written(awards.select(*columns, "agency_short", "load_label"), "landed")
+    if rows.isEmpty():
+        write_typed(spark.createDataFrame([], AWARDS), f"{base.rstrip('/')}/{awards_name('none', 'empty')}", AWARDS)
+        return {}
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("agency_short", "load_label").parquet(path)
+    return {r["agency_short"]: r["n"] for r in rows.groupBy("agency_short").agg(F.count(F.lit(1)).alias("n")).collect()}
