@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -28,13 +29,17 @@ LEAST = {"assign": 6, "access": 20, "hex": 24}
 TOKEN = re.compile(r"[A-Za-z0-9+/_.-]+(?:={1,2}(?![A-Za-z0-9+/_.=-]))?|[^\s\x00-\x7F]+|\S")
 CONTEXT_WORDS = frozenset("password passwd pwd secret token key apikey api_key auth bearer credential private access login pass".split())
 HEX_TABLE = bytes(ord("x") if chr(i) in "0123456789abcdef" else ord(" ") for i in range(256))
+CLASS_TABLE = bytes(ord("d" if chr(i).isdigit() and i < 128 else "u" if chr(i).isupper() else "l" if chr(i).islower() else "p") for i in range(256))
+SHAPE = ("classes", "size", "digits", "turns", "distinct", "number", "dots", "hex", "head")
+BESIDE_LETTERS = re.compile("[^a-z]+")
+DIGIT_RUN = re.compile(rb"d+")
 BESIDE = (-3, -2, -1, 1)  # neighbours whose kind is a feature
 FEATURES, MASKED = 4096, 0  # feature 0 has no weight: it stands for a masked one
 OWN, FILE = 10, 2
 O, B, I = 0, 1, 2
 NEVER = -1e6
 SAMPLE_DOCS, POSITIVE_CHUNKS, OTHER_CHUNKS, CHUNK = 16384, 1024, 2048, 32
-CACHED_TOKENS, CACHED_LENGTH = 1 << 18, 64
+CACHED_TOKENS, CACHED_LENGTH = 1 << 19, 64
 LOOKALIKE = 16  # an unlabelled mixed token of so many characters may or may not be a secret
 Span = tuple[int, str, int]
 
@@ -64,31 +69,38 @@ def value_spans(text: str) -> list[tuple[int, int]]:
     return sorted(set(out))
 
 
+@lru_cache(1 << 16)
 def _hashed(name: str) -> int:
     return 1 + int.from_bytes(hashlib.blake2b(name.encode("utf-8", "surrogatepass"), digest_size=4).digest(), "little") % (FEATURES - 1)
 
 
-def shape(token: str) -> list[str]:
-    """The ``OWN`` features of a token by itself; the last two are among the fixed patterns' own cues."""
+def signature(token: str) -> tuple:
+    """All that a token's features say, with ``OWN`` - 1 parts; the last two are among the fixed patterns' own cues."""
     n = len(token)
-    digits, upper = sum(c.isdigit() for c in token), sum(c.isupper() for c in token)
-    lower = sum(c.islower() for c in token)
-    turns = sum(a.isdigit() != b.isdigit() for a, b in zip(token, token[1:], strict=False))
-    classes = "".join(c for c, k in (("d", digits), ("u", upper), ("l", lower), ("p", n - digits - upper - lower)) if k)
-    return [
-        "any", f"classes={classes}", f"size={min(n // 4, 12)}", f"digits={digits * 5 // n}", f"turns={min(turns * 4 // n, 3)},{turns > 4}",
-        f"distinct={len(set(token)) * 5 // n}", f"number={all(c.isdigit() or c in '.-/' for c in token)}", f"dots={min(token.count('.'), 4)}",
-        f"hex={all(c in '0123456789abcdef' for c in token)}", f"head={token[:4] if token[:4].isupper() else ''}",
-    ]
+    hexadecimal, head = not token.strip("0123456789abcdef"), token[:4] if token[:4].isupper() else ""
+    if token.isalpha() and token.isascii():
+        classes = "l" if token.islower() else "u" if token.isupper() else "ul"
+        return classes, min(n // 4, 12), 0, 0, len(set(token)) * 5 // n, False, 0, hexadecimal, head
+    kinds = token.encode("latin-1", "replace").translate(CLASS_TABLE)
+    classes = "".join(c for c in "dulp" if c.encode() in kinds)
+    digits, runs = kinds.count(b"d"), len(DIGIT_RUN.findall(kinds))
+    turns = 2 * runs - (kinds[:1] == b"d") - (kinds[-1:] == b"d")  # between a digit and another character
+    return classes, min(n // 4, 12), digits * 5 // n, min(turns * 4 // n, 3) + 4 * (turns > 4), len(set(token)) * 5 // n, not token.strip("0123456789.-/"), min(token.count("."), 4), hexadecimal, head
+
+
+def shape(token: str) -> list[str]:
+    """The ``OWN`` features of a token by itself."""
+    return ["any", *(f"{name}={x}" for name, x in zip(SHAPE, signature(token), strict=True))]
 
 
 def kind_of(token: str) -> str:
     """What a token is to its neighbours."""
     if len(token) == 1 and not token.isalnum():
         return token if token.isascii() else "other"
-    if any(w in CONTEXT_WORDS for w in re.split(r"[^a-z]+", token.lower()) if w) or token.lower() in CONTEXT_WORDS:
+    low = token.lower()
+    if low in CONTEXT_WORDS or (not low.isalpha() and not CONTEXT_WORDS.isdisjoint(BESIDE_LETTERS.split(low))):
         return "named"
-    digit, letter = any(c.isdigit() for c in token), any(c.isalpha() for c in token)
+    digit, letter = any(map(str.isdigit, token)), any(map(str.isalpha, token))
     return "mixed" if digit and letter else "number" if digit else "word" if token.isascii() else "other"
 
 
@@ -99,30 +111,28 @@ def file_features(text: str, mixed: int) -> list[str]:
 
 
 class Tokens(dict):
-    """Numbers of distinct tokens, with their own features and kinds: computed once for each token, not each place."""
+    """Distinct tokens' numbers; tokens that features don't tell apart have one. Features are computed once for each number."""
 
     def __init__(self) -> None:
-        self.generation = 0
-        self.clear()
-
-    def clear(self) -> None:
-        super().clear()
-        self.generation += 1
+        super().__init__()
         self.kinds: dict[str, int] = {"": 0}
+        self.forms: dict[tuple, int] = {}
         self.own, self.kind, self.lookalike = [], [], []
 
     def __missing__(self, token: str) -> int:
-        value = len(self.own)
-        self.own.append([_hashed(x) for x in shape(token)])
         kind = kind_of(token)
-        self.kind.append(self.kinds.setdefault(kind, len(self.kinds)))
-        self.lookalike.append(kind == "mixed" and len(token) >= LOOKALIKE)
+        form = (signature(token), kind, kind == "mixed" and len(token) >= LOOKALIKE)
+        value = self.forms.setdefault(form, len(self.own))
+        if value == len(self.own):
+            self.own.append([_hashed(x) for x in shape(token)])
+            self.kind.append(self.kinds.setdefault(kind, len(self.kinds)))
+            self.lookalike.append(form[2])
         if len(token) <= CACHED_LENGTH:
             self[token] = value
         return value
 
     def numbers(self, text: str) -> np.ndarray:
-        if len(self.own) > CACHED_TOKENS:
+        if len(self) > CACHED_TOKENS:
             self.clear()
         found = TOKEN.findall(text)
         return np.fromiter(map(self.__getitem__, found), np.int64, len(found))
@@ -206,33 +216,32 @@ class Field:
         return out
 
     def marginals(self, s: np.ndarray, real: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Expected labels (chunks, tokens, 3) and summed moves of many chunks at once, from forward and backward sums.
+        """Expected labels (chunks, tokens, 3) and summed moves of many chunks at once, from scaled forward and backward sums.
 
         ``s`` has the scores, minus infinity (nearly) where a label isn't allowed; tokens that aren't ``real`` follow the others.
         """
         c, n, _ = s.shape
+        e, move = np.exp(s - s.max(axis=2, keepdims=True)), np.exp(self.moves - self.moves.max())
+        share = lambda x, axes: x / x.sum(axis=axes, keepdims=True)
         fore, rear = np.empty((c, n, 3)), np.empty((c, n, 3))
-        fore[:, 0] = self.moves[O] + s[:, 0]
+        fore[:, 0] = share(move[O] * e[:, 0], 1)
         for t in range(1, n):
-            went = np.logaddexp.reduce(fore[:, t - 1, :, None] + self.moves, axis=1) + s[:, t]
-            fore[:, t] = np.where(real[:, t, None], went, fore[:, t - 1])
-        rear[:, -1] = self.moves[:, O]
+            fore[:, t] = np.where(real[:, t, None], share(fore[:, t - 1] @ move * e[:, t], 1), fore[:, t - 1])
+        rear[:, -1] = move[:, O]
         for t in range(n - 2, -1, -1):
-            came = np.logaddexp.reduce(self.moves + (s[:, t + 1] + rear[:, t + 1])[:, None], axis=2)
-            rear[:, t] = np.where(real[:, t + 1, None], came, rear[:, t + 1])
-        total = np.logaddexp.reduce(fore[:, -1] + self.moves[:, O], axis=1)
-        tokens = np.exp(fore + rear - total[:, None, None]) * real[:, :, None]
-        moves = np.zeros((3, 3))
+            rear[:, t] = np.where(real[:, t + 1, None], share((e[:, t + 1] * rear[:, t + 1]) @ move.T, 1), rear[:, t + 1])
+        tokens = share(fore * rear, 2) * real[:, :, None]
+        both = share(fore[:, :-1, :, None] * move * (e[:, 1:] * rear[:, 1:])[:, :, None], (2, 3))
+        moves = (both * real[:, 1:, None, None]).sum(axis=(0, 1))
         moves[O] += tokens[:, 0].sum(axis=0)
-        moves[:, O] += np.exp(fore[:, -1] + self.moves[:, O] - total[:, None]).sum(axis=0)
-        for t in range(1, n):
-            both = np.exp(fore[:, t - 1, :, None] + self.moves + (s[:, t] + rear[:, t])[:, None] - total[:, None, None])
-            moves += (both * real[:, t, None, None]).sum(axis=0)
+        moves[:, O] += share(fore[:, -1] * move[:, O], 1).sum(axis=0)
         return tokens, moves
 
     def gradient(self, ids: np.ndarray, allowed: np.ndarray, real: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Of the likelihood of the allowed labels, for tokens and moves: their expectation less that over all labels."""
-        s = self.weights[ids].sum(axis=2)
+        s = np.zeros((*ids.shape[:2], 3))
+        for k in range(ids.shape[2]):
+            s += self.weights[ids[:, :, k]]
         bits = (allowed[:, :, None] >> np.arange(3)) & 1
         kept, kept_moves = self.marginals(np.where(bits == 1, s, NEVER), real)
         free, free_moves = self.marginals(s, real)
@@ -243,11 +252,11 @@ class Field:
         if not len(ids):
             self.weights[:, O] = 1.0
             return self
-        seen, seen_moves, flat = np.full((FEATURES, 3), 1e-6), np.full((3, 3), 1e-6), ids[real]
+        seen, seen_moves, columns = np.full((FEATURES, 3), 1e-6), np.full((3, 3), 1e-6), np.ascontiguousarray(ids[real].T)
         for _ in range(rounds):
             tokens, moves = self.gradient(ids, allowed, real)
-            each = np.repeat(tokens[real], flat.shape[1], axis=0)
-            step = np.stack([np.bincount(flat.ravel(), each[:, y], FEATURES) for y in range(3)], axis=1) / len(ids) - decay * self.weights / 10
+            own = tokens[real]
+            step = np.stack([sum(np.bincount(column, own[:, y], FEATURES) for column in columns) for y in range(3)], axis=1) / len(ids) - decay * self.weights / 10
             step[MASKED] = 0
             seen += step**2
             self.weights += rate * step / np.sqrt(seen)
@@ -324,13 +333,11 @@ class Tagger:
 
     def __init__(self, field: Field) -> None:
         self.field, self.tokens = field, Tokens()
-        self.own, self.beside, self.kinds, self.known, self.generation = np.zeros((0, 3)), np.zeros((len(BESIDE), 0, 3)), np.zeros(0, np.int64), 0, 0
+        self.own, self.beside, self.kinds, self.known = np.zeros((0, 3)), np.zeros((len(BESIDE), 0, 3)), np.zeros(0, np.int64), 0
 
     def _learn(self) -> None:
         w, tokens = self.field.weights, self.tokens
         n = len(tokens.own)
-        if self.generation != tokens.generation:
-            self.generation, self.known, self.beside = tokens.generation, 0, np.zeros((len(BESIDE), 0, 3))
         if self.known < n:
             if len(self.own) < n:
                 self.own, self.kinds = np.resize(self.own, (2 * n, 3)), np.resize(self.kinds, 2 * n)
@@ -346,9 +353,9 @@ class Tagger:
         numbers = self.tokens.numbers(text)
         self._learn()
         kinds = self.kinds[numbers]
-        s = self.own[numbers]
-        for j, column in enumerate(neighbours(kinds).T):
-            s += self.beside[j][column]
+        s, n, padded = self.own[numbers], len(kinds), np.concatenate((np.zeros(3, np.int64), kinds, np.zeros(3, np.int64)))
+        for j, d in enumerate(BESIDE):
+            s += self.beside[j][padded[3 + d : 3 + d + n]]
         mixed = int((kinds == self.tokens.kinds.get("mixed", -1)).sum())
         return s + self.field.weights[[_hashed(x) for x in file_features(text, mixed)]].sum(axis=0)
 
