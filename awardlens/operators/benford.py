@@ -26,7 +26,10 @@ def benford_statistics(awards: DataFrame, least: int = LEAST_AWARDS) -> DataFram
 
 
 def detect_benford(awards: DataFrame, least: int = LEAST_AWARDS) -> DataFrame:
-    """Every recipient with enough awards, fitting or not; no awards give an empty result."""
+    """Every recipient with enough awards, fitting or not; no awards give an empty result.
+
+    Awards without a recipient or a positive amount are passed over; repeated awards count each; other columns have no effect.
+    """
     names = F.array(*[F.lit(str(d)) for d in range(1, 10)])
     observed = F.map_from_arrays(names, F.array(*[F.col(f"d{d}") / F.col("n") for d in range(1, 10)]))
     expected = F.map_from_arrays(names, F.array(*[F.lit(p) for p in EXPECTED_DIGITS]))

@@ -30,6 +30,11 @@ def earliest_worst(awards: DataFrame, entities: DataFrame, days: int = DAYS) ->
 
 
 def detect_new_entity_sole_source(awards: DataFrame, entities: DataFrame, days: int = DAYS) -> DataFrame:
+    """Recipients with a large award without competition soon after their registration; empty tables give an empty result.
+
+    Awards without a recipient, a positive amount or a date, and entities without a registration date, are passed over.
+    Repeated awards change nothing, as the worst one counts; other columns have no effect.
+    """
     details = json_details(
         days_gap=F.col("days_gap"),
         registration_date=F.date_format("registration_date", "yyyy-MM-dd"),

@@ -42,5 +42,10 @@ def worst_contracts(awards: DataFrame, threshold: float = THRESHOLD) -> DataFram
 
 
 def detect_mod_growth(awards: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """Recipients with a contract that grew far beyond its industry's; no awards give an empty result.
+
+    Awards without a contract, a recipient or a positive amount are passed over; awards without an industry have one of
+    their own. Repeated awards add to their contract's value; other columns have no effect.
+    """
     details = json_details(**{c: F.col(c) for c in ("worst_award_id", "growth_ratio", "naics_code", "naics_avg_ratio", "z_score")})
     return result(worst_contracts(awards, threshold), "mod_growth", details)

@@ -17,18 +17,11 @@ from ..sources.json_records import award_records, entity_records
 from ..sources.listing import latest_snapshot, prime_files
 from ..sources.scratch import scratch_path, written
 from .bindings import AS_OF, AWARDS_SQL, ENTITIES_SQL, NEW_AWARDS_FROM, awards, entities
+from . import landing_queries
 from .incremental import agency_policy, build_snapshot, capped_date_chunks, fiscal_windows, load_windows, refresh_list, seed_plan
+from .policies import AGENCIES, DEFAULTS, POLICY_ROWS, YEARS
 from .store import append_ignore, ranked_per_key, upsert_replace
 
-AGENCIES = [
-    {"code": "75", "name": "FRANCE", "short": "FR", "award_types": ["C"], "award_amount_min": 25000, "seed_strategy": "archive"},
-    {"code": "097", "name": "CHINA", "short": "CN", "award_types": ["A", "B", "C", "D"]},
-    {"code": "12", "name": "BRAZIL", "short": "BR", "award_types": ["D"], "award_amount_min": 0},
-    {"code": "1234", "name": "NOWHERE", "short": "NW", "award_types": []},
-]
-DEFAULTS = {"award_types": ["A", "B", "C", "D"], "award_amount_min": 0, "seed_strategy": "paginate"}
-YEARS = [1999, 2000]
-
 
 def _rounded(df: DataFrame, places: int = 6) -> DataFrame:
     return df.select(*[F.round(c, places).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
@@ -207,6 +200,7 @@ QUERIES = {
     "detector_results": detector_results, "top_entities_by_detector": top_entities_by_detector, "upsert_replace": upsert_replace_awards, "append_ignore": append_ignore_snapshots,
     "entity_worklist": entity_worklist, "new_ueis": new_ueis, "snapshot_build": snapshot_build, "high_watermark_windows": high_watermark_windows, "seed_plan": seed_plan_of_years,
     "capped_date_chunks": capped_chunks, "policy_filter": policy_filter, "award_type_counts": award_type_counts, "joined_sample_count": joined_sample_count,
+    **landing_queries.QUERIES,
     "json_award_mapping": json_award_mapping, "json_entity_mapping": json_entity_mapping, "csv_award_mapping": csv_award_mapping, "latest_snapshot": latest_snapshot_by_agency, "prime_file_selection": prime_file_selection,
 }
 
@@ -242,7 +236,6 @@ def _oracle(*parts: str, select: str) -> str:
     return "WITH RECURSIVE " + ", ".join(parts) + " " + select
 
 
-_POLICY_ROWS = "policy(name, short, types, least, mode) AS (VALUES ('FRANCE', 'FR', ['DELIVERY ORDER'], 25000.0, 'archive'), ('CHINA', 'CN', NULL, 0.0, 'paginate'), ('BRAZIL', 'BR', ['DEFINITIVE CONTRACT'], 0.0, 'paginate'), ('NOWHERE', 'NW', NULL, 0.0, 'paginate'))"
 _CHUNKS_SQL = """daily AS (SELECT upper(award_type) AS g, award_date AS day, COUNT(*) AS n FROM awards GROUP BY 1, 2),
 ends AS (SELECT MIN(day) AS a, MAX(day) AS b FROM daily),
 chunks(g, label, s, e, depth) AS (SELECT DISTINCT g, 'x', a, b, 0 FROM daily, ends
@@ -267,10 +260,10 @@ ORACLES = {
     "entity_worklist": _oracle(AWARDS_SQL, ENTITIES_SQL, select="SELECT DISTINCT recipient_uei AS uei FROM awards WHERE recipient_uei NOT IN (SELECT uei FROM entities) UNION SELECT uei FROM entities JOIN (SELECT recipient_uei, MAX(period_of_performance_end) AS m FROM awards GROUP BY 1) ON recipient_uei = uei WHERE m > DATE '2000-06-01' AND registration_date::TIMESTAMP < TIMESTAMP '2000-06-01' - INTERVAL 30 DAY"),
     "new_ueis": _oracle(AWARDS_SQL, ENTITIES_SQL, select="SELECT DISTINCT recipient_uei AS uei FROM awards WHERE recipient_uei NOT IN (SELECT uei FROM entities)"),
     "snapshot_build": _oracle(ENTITIES_SQL, select=f"SELECT uei, DATE '{AS_OF}' AS snapshot_date, CASE WHEN registration_date >= DATE '1998-01-01' THEN upper(legal_business_name) ELSE legal_business_name END AS legal_business_name FROM entities"),
-    "high_watermark_windows": _oracle(AWARDS_SQL, _POLICY_ROWS, "newest AS (SELECT awarding_agency AS name, MAX(award_date) AS m FROM awards GROUP BY 1)", select=f"SELECT short, 'incr_{AS_OF}' AS label, m - 7 AS start, DATE '{AS_OF}' AS \"end\", 'paginate' AS mode FROM policy JOIN newest USING (name) UNION ALL SELECT short, y::VARCHAR, make_date(y - 1, 10, 1), make_date(y, 9, 30), mode FROM policy ANTI JOIN newest USING (name), (SELECT unnest({YEARS}) AS y)"),
-    "seed_plan": _oracle(AWARDS_SQL, _POLICY_ROWS, "years AS (SELECT DISTINCT year(award_date + INTERVAL 3 MONTH)::INT AS y FROM awards)", select="SELECT short, y::VARCHAR AS label, make_date(y - 1, 10, 1) AS start, make_date(y, 9, 30) AS \"end\", mode FROM policy, years"),
+    "high_watermark_windows": _oracle(AWARDS_SQL, POLICY_ROWS, "newest AS (SELECT awarding_agency AS name, MAX(award_date) AS m FROM awards GROUP BY 1)", select=f"SELECT short, 'incr_{AS_OF}' AS label, m - 7 AS start, DATE '{AS_OF}' AS \"end\", 'paginate' AS mode FROM policy JOIN newest USING (name) UNION ALL SELECT short, y::VARCHAR, make_date(y - 1, 10, 1), make_date(y, 9, 30), mode FROM policy ANTI JOIN newest USING (name), (SELECT unnest({YEARS}) AS y)"),
+    "seed_plan": _oracle(AWARDS_SQL, POLICY_ROWS, "years AS (SELECT DISTINCT year(award_date + INTERVAL 3 MONTH)::INT AS y FROM awards)", select="SELECT short, y::VARCHAR AS label, make_date(y - 1, 10, 1) AS start, make_date(y, 9, 30) AS \"end\", mode FROM policy, years"),
     "capped_date_chunks": _oracle(AWARDS_SQL, _CHUNKS_SQL, select="SELECT g AS \"group\", label, s AS start, e AS \"end\", depth::INT AS depth, r::BIGINT AS rows, r >= 10000 AS capped FROM counted WHERE NOT (r >= 10000 AND e > s AND depth < 12)"),
-    "policy_filter": _oracle(AWARDS_SQL, _POLICY_ROWS, select="SELECT award_id, awarding_agency, award_type, total_obligation FROM awards LEFT JOIN policy ON awarding_agency = name WHERE (types IS NULL OR list_contains(types, upper(award_type))) AND (COALESCE(least, 0) <= 0 OR COALESCE(total_obligation, 0) >= least)"),
+    "policy_filter": _oracle(AWARDS_SQL, POLICY_ROWS, select="SELECT award_id, awarding_agency, award_type, total_obligation FROM awards LEFT JOIN policy ON awarding_agency = name WHERE (types IS NULL OR list_contains(types, upper(award_type))) AND (COALESCE(least, 0) <= 0 OR COALESCE(total_obligation, 0) >= least)"),
     "award_type_counts": _oracle(AWARDS_SQL, select="SELECT award_type, COUNT(*)::BIGINT AS n FROM awards GROUP BY 1"),
     "joined_sample_count": _oracle(AWARDS_SQL, ENTITIES_SQL, select="SELECT awarding_agency, COUNT(*)::BIGINT AS n, COUNT(DISTINCT uei)::BIGINT AS n_entities FROM awards JOIN entities ON uei = recipient_uei GROUP BY 1"),
     "json_award_mapping": _oracle(AWARDS_SQL, select="SELECT award_id, parent_award_id, recipient_uei, CASE WHEN awarding_agency = 'FRANCE' THEN 'FILLED' ELSE awarding_agency END AS awarding_agency, award_type, naics_code, lower(naics_code) AS naics_description, ROUND(CASE WHEN modification_number = '0' OR total_obligation IS NULL THEN total_obligation * 2 ELSE total_obligation END, 2) AS total_obligation, NULL::DATE AS period_of_performance_start, award_date, NULL::INT AS number_of_offers, modification_number FROM awards"),
@@ -281,3 +274,17 @@ ORACLES = {
 p AS (SELECT *, bool_or(file_name LIKE '%PrimeAward%') OVER (PARTITION BY snapshot) AS any_prime FROM f WHERE file_name LIKE '%.csv')
 SELECT snapshot, file_name FROM p WHERE file_name LIKE '%PrimeAward%' OR (NOT any_prime AND file_name LIKE '%Contract%' AND file_name NOT LIKE '%Subaward%')""",
 }
+
+_BENFORD_FIELDS = {"n_transactions": "n", "ks_statistic": "ks", "p_value": "p"}
+_DETAILS = [f"SELECT uei, 'benford', '{k}', ROUND({v}::DOUBLE, 5), NULL FROM pv" for k, v in _BENFORD_FIELDS.items()]
+_DETAILS += [f"SELECT uei, 'benford', 'observed_distribution.{d}', ROUND(d{d} / n::DOUBLE, 5), NULL FROM pv" for d in range(1, 10)]
+_DETAILS += [f"SELECT uei, 'benford', 'expected_distribution.{d}', ROUND(log10(1 + 1.0::DOUBLE / {d}), 5), NULL FROM pv" for d in range(1, 10)]
+_DETAILS += [f"SELECT uei, 'mod_growth', '{k}', ROUND({v}, 5), NULL FROM steep" for k, v in (("growth_ratio", "growth_ratio"), ("naics_avg_ratio", "m"), ("z_score", "z"))]
+_DETAILS += [f"SELECT uei, 'mod_growth', '{k}', NULL::DOUBLE, {v} FROM steep" for k, v in (("worst_award_id", "parent_award_id"), ("naics_code", "naics_code"))]
+_DETAILS += [f"SELECT uei, 'new_entity', '{k}', ROUND({k}::DOUBLE, 5), NULL FROM fresh" for k in ("days_gap", "total_obligation")]
+_DETAILS += [f"SELECT uei, 'new_entity', '{k}', NULL::DOUBLE, {k}::VARCHAR FROM fresh" for k in ("registration_date", "award_date", "competition_type")]
+_DETECTORS = (AWARDS_SQL, ENTITIES_SQL, _DIGITS_SQL, _BENFORD_SQL, _RATIOS_SQL, _GROWTH_SQL, _FRESH_SQL, "steep AS (SELECT * FROM worst WHERE rn = 1)")
+ORACLES |= landing_queries.ORACLES | {
+    "detector_details": _oracle(*_DETECTORS, f"d(uei, detector, field, number, text) AS ({' UNION ALL '.join(_DETAILS)})", select="SELECT * FROM d"),
+    "detector_contract": _oracle(*_DETECTORS, select=" UNION ALL ".join(f"SELECT '{d}' AS detector, COUNT(*)::BIGINT AS rows, 0::BIGINT AS violations FROM {t}" for d, t in (("benford", "benford"), ("mod_growth", "growth"), ("new_entity", "fresh")))),
+}

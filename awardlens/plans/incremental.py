@@ -90,7 +90,11 @@ def snapshot_of(entities: DataFrame, day: Column) -> DataFrame:
 
 
 def build_snapshot(fresh: DataFrame, cached: DataFrame, day: Column) -> DataFrame:
-    """One row per entity and day: those pulled afresh, and of the others what the table holds."""
+    """One row per entity and day: those pulled afresh, and of the others what the table holds.
+
+    Rows that repeat an entity stay as they are, the store takes one of a key; entities without an id are never pulled
+    afresh, so that cached ones stay. Empty tables on either side leave the other.
+    """
     rest = cached.join(fresh.select("uei"), "uei", "left_anti")
     return snapshot_of(fresh, day).unionByName(snapshot_of(rest, day))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -34,6 +35,8 @@ CANDIDATES = {
     "modification_number": ["modification_number"],
 }
 
+HEADERS_AT_ONCE = 8
+
 
 def scan_csv(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """All columns as text: inference would make numbers of ids. Columns that aren't used later aren't parsed.
@@ -88,7 +91,8 @@ def policy_keeps(award_types: Column | str, least_amount: Column | str) -> Colum
 def apply_policy(awards: DataFrame, policy: DataFrame) -> DataFrame:
     """Awards that pass their agency's row of ``policy`` (name, award_types, award_amount_min); others' agencies pass whole.
 
-    The policy has a row per agency, so it is small against the awards; Spark broadcasts it below its size threshold.
+    The policy has a row per agency, so it is small against the awards; Spark broadcasts it below its size threshold. Awards
+    without an agency pass; repeated ones stay; a missing amount is 0. Other columns of the policy have no effect.
     """
     chosen = policy.select(F.col("name").alias("p_name"), F.col("award_types").alias("p_types"), F.col("award_amount_min").alias("p_least"))
     joined = awards.join(chosen, F.col("awarding_agency") == F.col("p_name"), "left")
@@ -103,8 +107,9 @@ def archive_awards(spark: SparkSession, files: list[tuple[str, str]], policy: Da
     group, mapping-0 and so on, and left out; repeated rows stay.
     """
     groups: dict[tuple[str, tuple[str, ...]], list[str]] = {}
-    for path, agency in files:
-        header = csv_header(spark, path)
+    with ThreadPoolExecutor(HEADERS_AT_ONCE) as pool:
+        headers = list(pool.map(lambda f: csv_header(spark, f[0]), files))
+    for (path, agency), header in zip(files, headers, strict=True):
         if header:
             groups.setdefault((agency, header), []).append(path)
     frames = [map_awards(scan_csv(spark, paths), agency, pulled_at, f"mapping-{k}") for k, ((agency, _), paths) in enumerate(sorted(groups.items()))]

@@ -3,6 +3,7 @@ from __future__ import annotations
 import datetime as dt
 import json
 
+import numpy as np
 import pytest
 
 from awardlens.functions.schemas import AWARDS, ENTITIES, RESULT
@@ -120,3 +121,30 @@ def test_empty_input_gives_empty_typed_frames(spark):
 def test_contract_violations_are_found(spark):
     rows = spark.createDataFrame([("a", "x", 1.5, "{}"), ("b", "x", 0.5, "no"), ("c", "x", 0.5, "{}"), ("c", "x", 0.5, "{}")], RESULT)
     assert sorted(r["reason"] for r in contract_violations(rows).collect()) == ["details", "repeated", "repeated", "score"]
+
+
+def test_exact_quantiles(spark):
+    from awardlens.operators.quantiles import exact_quantile
+
+    rng = np.random.default_rng(5)
+    cases = [rng.normal(size=3000), np.repeat([1.0, 2.0, 7.0], [500, 1, 900]), np.array([3.0]), np.concatenate((rng.random(500), np.full(800, 0.5), [1e9, -1e9]))]
+    for values in cases:
+        df = spark.createDataFrame([(float(x), "extra") for x in values] + [(None, None), (float("nan"), None)], "x double, n string")
+        for share in (0.0, 0.05, 0.31, 0.5, 1.0):
+            assert exact_quantile(df, "x", share, few=50) == pytest.approx(np.quantile(values, share), rel=1e-12)
+    assert exact_quantile(spark.createDataFrame([(None,)], "x double"), "x", 0.5) is None
+
+
+def test_detectors_pass_over_nulls_and_ignore_other_columns(spark):
+    names = ["award_id", "parent_award_id", "recipient_uei", "awarding_agency", "naics_code", "total_obligation", "award_date", "competition_type", "modification_number"]
+    kinds = {"total_obligation": "double", "award_date": "date"}
+    schema = ", ".join(f"{c} {kinds.get(c, 'string')}" for c in names) + ", uei int, score string, n long"
+    day = dt.date(2001, 1, 1)
+    rows = [(f"A{i}", f"P{i % 20}", f"U{i % 4}", "x", "1", float(10 + i), day, "NOT COMPETED", str(i % 3)) for i in range(160)]
+    rows += [rows[0], rows[0], (None,) * 9, (None, None, "U0", None, None, 5.0, None, None, None), ("A", "P", "U0", "x", None, float("nan"), day, None, None), ("B", "P", None, "x", None, 5.0, day, None, None)]
+    awards = spark.createDataFrame([(*r, 7, "clash", 9) for r in rows], schema)
+    entities = spark.createDataFrame([(f"U{i}", day, 1) for i in range(3)] + [(None, day, 1), ("U3", None, 1)], "uei string, registration_date date, score int")
+    results = all_detectors(detect_benford(awards), detect_mod_growth(awards), detect_new_entity_sole_source(awards, entities), detect_isolation_outlier(awards, entities, "2002-01-01"))
+    assert contract_violations(results).count() == 0 and results.filter("detector = 'benford'").count() == 4
+    none = awards.limit(0)
+    assert all(d.count() == 0 for d in (detect_benford(none), detect_mod_growth(none), detect_new_entity_sole_source(none, entities), detect_isolation_outlier(none, entities, "2002-01-01")))

@@ -4,15 +4,16 @@ import datetime as dt
 import json
 
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from awardlens.functions import expressions as X
 from awardlens.functions.schemas import AWARDS, ENTITIES, KEYS, SNAPSHOTS
-from awardlens.plans.incremental import agency_policy, build_snapshot, capped_date_chunks, fiscal_windows, load_windows, refresh_list, rows_in_windows, seed_plan
+from awardlens.plans.incremental import agency_policy, build_snapshot, capped_date_chunks, fiscal_windows, load_windows, recipient_sample, refresh_list, rows_in_windows, seed_plan, write_worklist
 from awardlens.plans.store import Store, append_ignore, upsert_replace
-from awardlens.sources.csv_awards import apply_policy, archive_awards, map_awards, policy_keeps
+from awardlens.sources.csv_awards import apply_policy, archive_awards, archive_job, map_awards, policy_keeps, scan_csv
 from awardlens.sources.json_records import award_records, entity_records
-from awardlens.sources.landing import award_recipients, read_awards, row_count, write_typed
+from awardlens.sources.landing import award_recipients, awards_name, land, land_labelled, read_awards, row_count, snapshots_name, write_typed
 from awardlens.sources.listing import latest_snapshot, prime_files
 from awardlens.streaming.ingest import ingest
 
@@ -122,6 +123,75 @@ def test_archive_job(spark, tmp_path):
     assert apply_policy(spark.createDataFrame([], AWARDS), policy).count() == 0
 
 
+def test_quoted_line_breaks_stay_in_one_record(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('award_id_piid,award_description,total_dollars_obligated\nA,"one\ntwo, ""three""",5\n,"lost",1\nB,,7\nC\n', encoding="utf-8")
+    r = {x["award_id"]: x for x in map_awards(scan_csv(spark, str(tmp_path / "a.csv")), "Agency", stamp()).collect()}
+    assert set(r) == {"A", "B", "C"} and r["A"]["award_description"] == 'one\ntwo, "three"'
+    assert (r["A"]["total_obligation"], r["B"]["total_obligation"], r["C"]["total_obligation"]) == (5.0, 7.0, None)
+
+
+def test_archive_job_chooses_members_and_lands_by_label(spark, tmp_path):
+    text = {"P_PrimeAwardSummaries_1.csv": "award_id_piid,award_type\nA,DELIVERY ORDER\nB,PURCHASE ORDER\n", "P_PrimeAwardSummaries_2.csv": "award_id_piid,award_type\nC,DELIVERY ORDER\n", "Contracts_Subawards_1.csv": "award_id_piid\nS\n", "P_PrimeAwardSummaries_3.csv": ""}
+    for name, t in text.items():
+        (tmp_path / name).write_text(t)
+    rows = [("z", name, str(tmp_path / name), "DoD", len(t)) for name, t in text.items()]
+    members = spark.createDataFrame([*rows, rows[0]], "snapshot string, file_name string, path string, agency string, length long")
+    policy = agency_policy(spark, [{"code": "097", "name": "DoD", "short": "DOD", "award_types": ["C"]}], {})
+    landing = str(tmp_path / "landing")
+    assert archive_job(spark, members, policy, stamp(), landing, "FY2024") == {"DOD": 2}
+    assert archive_job(spark, members, policy, stamp(), landing, "FY2024") == {"DOD": 2}  # again, replaced
+    landed = spark.read.parquet(f"{landing}/awards_labelled.parquet")
+    assert {(r["award_id"], r["agency_short"], r["load_label"]) for r in landed.collect()} == {("A", "DOD", "FY2024"), ("C", "DOD", "FY2024")} and landed.count() == 2
+    store = Store(spark, f"file://{tmp_path}/db")
+    assert store.load_all(landing)["awards"] == 2
+    empty = str(tmp_path / "none")
+    assert archive_job(spark, members.filter("file_name like '%Sub%'").withColumn("length", F.lit(0)), policy, stamp(), empty, "x") == {}
+    assert read_awards(spark, f"{empty}/awards_*.parquet").columns == AWARDS.names and row_count(spark, f"{empty}/{awards_name('none', 'empty')}") == 0
+
+
+def test_labelled_windows_replace_only_themselves(spark, tmp_path):
+    rows = lambda *ids: spark.createDataFrame([row(AWARDS, award_id=i) for i in ids], AWARDS)
+    base = str(tmp_path)
+    labelled = lambda df, short, label: df.withColumns({"agency_short": F.lit(short), "load_label": F.lit(label), "other": F.lit(1)})
+    assert land_labelled(labelled(rows("A", "B"), "X", "1").union(labelled(rows("C", None), "Y", "1")), base) == {"X": 2, "Y": 2}
+    assert land_labelled(labelled(rows("D"), "X", "1"), base) == {"X": 1}
+    assert {(r["award_id"], r["agency_short"]) for r in spark.read.parquet(f"{base}/awards_labelled.parquet").collect()} == {("D", "X"), ("C", "Y"), (None, "Y")}
+    assert land(rows("Z"), base, awards_name("HHS", "2024", "archive"), AWARDS) == 1 and (tmp_path / "awards_HHS_2024_archive.parquet").exists()
+    assert snapshots_name("2026-05-01") == "entity_snapshots_2026-05-01.parquet"
+
+
+def test_worklist_and_sample(spark, tmp_path):
+    awards = spark.createDataFrame([row(AWARDS, recipient_uei=u) for u in ["B", "A", "B", "", None, "C"]], AWARDS)
+    out = write_worklist(awards.select(F.col("recipient_uei").alias("uei")), str(tmp_path / "list"))
+    assert [r["uei"] for r in out.collect()] == ["A", "B", "C"]
+    assert recipient_sample(awards, 2).count() == 2 and recipient_sample(awards, 9).count() == 3
+    assert recipient_sample(awards, 2).collect() == recipient_sample(awards.repartition(3), 2).collect()
+    assert write_worklist(out.limit(0), str(tmp_path / "empty")).count() == 0
+
+
+def test_json_records_without_id_are_counted(spark):
+    lines = spark.createDataFrame([(json.dumps({"Award ID": "A", "other": 1}),), (json.dumps({"Award Amount": 1}),), ("no json",), (None,)], "value string")
+    seen = Observation("json")
+    out = award_records(lines, "Agency", stamp(), metric=seen)
+    assert out.count() == 1 and seen.get == {"dropped": 1}
+
+
+def test_a_lost_update_is_noticed(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/db")
+    store.init()
+    rows = spark.createDataFrame([row(ENTITIES, uei="U")], ENTITIES)
+    store.load("entities", rows)
+    now = store._version("entities")
+    plain = store._version
+    seen = iter([(now[0] - 1, "an older one")])
+    store._version = lambda table: next(seen, None) or plain(table)
+    other = "v-0000"  # another writer's pointer of the version that this load is about to publish
+    spark.createDataFrame([(now[0], other)], "version long, folder string").write.mode("append").parquet(f"file://{tmp_path}/db/entities/_pointers_")
+    rows.write.parquet(f"file://{tmp_path}/db/entities/{other}")
+    with pytest.raises(RuntimeError):
+        store._publish("entities", rows)
+
+
 def test_listing(spark):
     rows = spark.createDataFrame([("<Key>FY2024_075_Contracts_Full_20260406.zip<Key>FY2024_075_Contracts_Full_20260506.zip",), ("FY2024_075_Contracts_Delta_20270101.zip",)], "text string")
     assert latest_snapshot(rows).first()["latest"] == "20260506"
@@ -174,8 +244,9 @@ def test_incremental(spark):
     got = {(r["short"], r["label"], r["start"], r["mode"]) for r in windows.collect()}
     assert got == {("a", "incr_2024-06-01", dt.date(2024, 5, 3), "paginate"), ("b", "2024", dt.date(2023, 10, 1), "archive"), ("b", "2025", dt.date(2024, 10, 1), "archive")}
     assert seed_plan(policy, fiscal_windows(spark, [2024])).count() == 2
-    inside = rows_in_windows(awards, spark.createDataFrame([("A", dt.date(2024, 1, 1), dt.date(2024, 12, 31))], "name string, start date, end date"))
-    assert [r["award_id"] for r in inside.collect()] == ["1"]
+    assert [r["award_id"] for r in rows_in_windows(awards, windows, policy).collect()] == ["1"]
+    assert [r["award_id"] for r in rows_in_windows(awards.union(awards), seed_plan(policy, fiscal_windows(spark, [2020])), policy).collect()] == ["2", "2"]
+    assert rows_in_windows(awards.limit(0), windows, policy).count() == 0
     entities = spark.createDataFrame([row(ENTITIES, uei="U1", last_pulled_at=dt.datetime(2024, 1, 1)), row(ENTITIES, uei="U2", last_pulled_at=dt.datetime(2024, 1, 1)), row(ENTITIES, uei="U3")], ENTITIES)
     recipients = spark.createDataFrame([("U1",), ("U9",), ("",)], "uei string")
     assert {r["uei"] for r in refresh_list(recipients, entities, awards, F.lit("2024-06-01")).collect()} == {"U1", "U9"}
@@ -188,3 +259,6 @@ def test_date_chunks(spark):
     out = capped_date_chunks(rows, "d", "g", "2024-01-01", "2024-01-04", "w", cap=25, most_splits=5).orderBy("group", "label").collect()
     got = [(r["group"], r["label"], r["start"].day, r["end"].day, r["rows"], r["capped"]) for r in out]
     assert got == [("g", "waa", 1, 1, 40, True), ("g", "wab", 2, 2, 10, False), ("g", "wb", 3, 4, 20, False), ("h", "w", 1, 4, 0, False)]
+    deep = capped_date_chunks(rows.filter("d is not null").union(rows.filter("g = 'g'").withColumn("g", F.lit(None).cast("string"))), "d", "g", "2023-12-01", "2024-03-01", "w", cap=25, most_splits=2).collect()
+    assert {(r["group"], r["label"], r["depth"], r["rows"], r["capped"]) for r in deep} == {(g, *x) for g in ("g", None) for x in (("waa", 2, 0, False), ("wab", 2, 70, True), ("wb", 1, 0, False))}
+    assert capped_date_chunks(rows.limit(0), "d", "g", "2024-01-01", "2024-01-04", "w").count() == 0
