@@ -2,29 +2,18 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-WORD, SPACE = r"[^\x20\x09-\x0D]+", r"[\x20\x09-\x0D]+"
-
+from ..sources.scratch import scratch_path as table_path
+from ..sources.scratch import written as cut
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``.
+__all__ = ["LOWER", "SPACE", "UPPER", "WORD", "ascii_lower", "cut", "fresh", "read", "remove", "sql_lower", "table_path", "word_count"]
 
-    Where that is unset, a session with local executors only (tests) gets a folder of its own; a cluster raises an error,
-    as its executors couldn't read one another's local files.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = "/tmp/checkpoints/awardlens"
-        spark.sparkContext.setCheckpointDir(base)
-    return base.rstrip("/")
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+WORD, SPACE = r"[^\x20\x09-\x0D]+", r"[\x20\x09-\x0D]+"
 
 
 def fresh(taken: Iterable[str], *names: str) -> list[str]:
@@ -39,24 +28,10 @@ def fresh(taken: Iterable[str], *names: str) -> list[str]:
     return out
 
 
-def table_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: later stages survive lost executors and don't recompute it."""
-    path = table_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def discard(df: DataFrame) -> None:
-    """Delete the scratch table that :func:`cut` wrote for ``df``; only for tables that no later plan reads."""
-    spark = df.sparkSession
-    folders = {f.rpartition("/")[0] for f in df.inputFiles()}
-    for folder in folders:
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a scratch table that no later plan reads."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import remove, table_path
 
 
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
@@ -24,12 +24,20 @@ def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
     they are joined back, so that a node with very many neighbours is no single task's work. Loops and repeated edges
     are allowed; a node with a loop only is its own root. An empty table gives an empty result.
     """
+    spark = edges.sparkSession
     loops = edges.filter("u = v").select(F.col("u").alias("node"))
-    now = cut(edges.filter("u <> v").select("u", "v"), "edges")
+
+    def stored(df: DataFrame) -> tuple[DataFrame, str]:
+        path = table_path(spark, "edges")
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path), path
+
+    now, path = stored(edges.filter("u <> v").select("u", "v"))
     before = None
     for _ in range(most_rounds):
-        now = cut(_stars(_stars(now, True), False), "edges")
+        older, (now, path) = path, stored(_stars(_stars(now, True), False))
         state = tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        remove(spark, older)
         if state == before:
             break
         before = state
