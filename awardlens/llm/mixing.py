@@ -25,24 +25,38 @@ BUCKET_ROWS = 2000
 FILLS = 4
 
 
+def ranked_sources(stats: DataFrame) -> DataFrame:
+    """``stats`` (m_source and more) with m_rank, from 0 in code-point order, null last. Ranges are numbered on their own, then offset."""
+    order = F.col("m_source").asc_nulls_last()
+    ranged = cut(stats.repartitionByRange(order).withColumn("m_range", F.spark_partition_id()), "mix-ranges")
+    earlier = Window.orderBy("m_range").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
+    offsets = ranged.groupBy("m_range").agg(F.count(F.lit(1)).alias("m_n")).select("m_range", F.coalesce(F.sum("m_n").over(earlier), F.lit(0)).alias("m_offset"))
+    own = ranged.withColumn("m_own", F.row_number().over(Window.partitionBy("m_range").orderBy(order)))
+    return own.join(offsets, "m_range").withColumn("m_rank", F.col("m_offset") + F.col("m_own") - 1).drop("m_range", "m_own", "m_offset")
+
+
 def source_targets(sized: DataFrame, source: str, size: str, cycle: tuple[int, ...] = CYCLE, cap: int = CAP) -> DataFrame:
     """One row per source: its rows and size, and its target.
 
     Targets share the sum of all sizes by weight; one that is above ``cap`` times its source's size stops there and the
-    excess goes to the others by weight, until none is above. Sorted by cap over weight, the stopped ones come first, so
-    running sums give the end of that process. The null source comes last; an empty table has no rows.
+    excess goes to the others by weight, until none is above. Each round is one sum over the sources; what is free for a unit of
+    weight only grows, so a source that has stopped stays so. The null source comes last; an empty table has no rows.
     """
     stats = sized.groupBy(F.col(source).alias("m_source")).agg(F.sum(size).alias("m_size"), F.count(F.lit(1)).alias("m_rows"), F.sum(F.col(size) * F.col("m_weight")).alias("m_weighted"))
-    ranked = stats.withColumn("m_rank", F.row_number().over(Window.orderBy(F.col("m_source").asc_nulls_last())) - 1)
-    w = F.element_at(F.array(*[F.lit(float(x)) for x in cycle]), (F.col("m_rank") % len(cycle) + 1).cast("int"))
-    everything = Window.partitionBy()
-    before = Window.orderBy(cap * F.col("m_size") / F.col("m_share"), "m_rank").rowsBetween(Window.unboundedPreceding, -1)
-    out = ranked.withColumn("m_share", w).withColumns({"m_total": F.sum("m_size").over(everything).cast("double"), "m_shares": F.sum("m_share").over(everything), "m_capped_before": F.coalesce(cap * F.sum("m_size").over(before), F.lit(0)).cast("double"), "m_shares_before": F.coalesce(F.sum("m_share").over(before), F.lit(0.0))})
-    full = (cap * F.col("m_size")).cast("double") * (F.col("m_shares") - F.col("m_shares_before")) < F.col("m_share") * (F.col("m_total") - F.col("m_capped_before"))
-    out = out.withColumn("m_full", full)
-    out = out.withColumns({"m_free": F.col("m_total") - F.sum(F.when(F.col("m_full"), cap * F.col("m_size")).otherwise(0)).over(everything), "m_free_shares": F.col("m_shares") - F.sum(F.when(F.col("m_full"), F.col("m_share")).otherwise(0.0)).over(everything)})
-    target = F.when(F.col("m_full"), (cap * F.col("m_size")).cast("double")).otherwise(F.col("m_share") * F.col("m_free") / F.when(F.col("m_free_shares") != 0, F.col("m_free_shares")))
-    return out.withColumn("m_target", target).select("m_source", "m_rank", "m_size", "m_rows", "m_weighted", "m_target")
+    share = F.element_at(F.array(*[F.lit(float(x)) for x in cycle]), (F.col("m_rank") % len(cycle) + 1).cast("int"))
+    ranked = cut(ranked_sources(stats).withColumns({"m_share": share, "m_most": (cap * F.col("m_size")).cast("double")}), "mix-ranked")
+    total = float(ranked.agg(F.coalesce(F.sum("m_size"), F.lit(0))).first()[0])
+    full, stopped = F.lit(False), 0
+    while True:
+        sums = ranked.agg(F.count_if(full), F.coalesce(F.sum(F.when(full, cap * F.col("m_size"))), F.lit(0)), F.coalesce(F.sum(F.when(~full, F.col("m_share"))), F.lit(0.0))).first()
+        free, shares = total - sums[1], sums[2]
+        full = F.col("m_most") * F.lit(shares) < F.col("m_share") * F.lit(free)
+        now = ranked.filter(full).count() if shares else stopped
+        if now == stopped:
+            break
+        stopped = now
+    target = F.when(full, F.col("m_most")).otherwise(F.col("m_share") * F.lit(free) / F.lit(shares)) if shares else F.col("m_most")
+    return ranked.select("m_source", "m_rank", "m_size", "m_rows", "m_weighted", target.alias("m_target"))
 
 
 def uniform(key: Column, seed: str = SEED) -> Column:

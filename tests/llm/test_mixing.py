@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import random
+
 import duckdb
 import pytest
 
@@ -37,6 +39,17 @@ def test_targets_follow_the_rule(spark):
     assert got == pytest.approx(plain_targets(sizes))
 
 
+def test_targets_of_many_sources(spark):
+    rng = random.Random(4)
+    names = [None, *{"".join(rng.choices("abzAZé0😀", k=rng.randint(0, 6))) for _ in range(300)}]
+    sizes = {s: rng.choice([0, 1, 2, 5, 40, 300, 9000]) for s in names}
+    rows = spark.createDataFrame([(s, n) for s, n in sizes.items()], "source string, size long").withColumn("m_weight", F.lit(1.0))
+    found = source_targets(rows.repartition(7), "source", "size").collect()
+    order = sorted(names, key=lambda s: (s is None, s or ""))
+    assert [r["m_source"] for r in sorted(found, key=lambda r: r["m_rank"])] == order
+    assert {r["m_source"]: r["m_target"] for r in found} == pytest.approx(plain_targets(sizes))
+
+
 def test_mix_is_near_its_targets_and_agrees_with_itself(spark):
     docs = spark.createDataFrame([(*r, "x", 1.0) for r in ROWS], "doc_id long, source string, size long, taken string, target double")
     mixed = pareto_mix(docs)
