@@ -246,30 +246,57 @@ counted AS (SELECT c.*, (SELECT COALESCE(SUM(n), 0) FROM daily d WHERE d.g = c.g
 ORACLES = {
     "leading_digit_histogram": _oracle(AWARDS_SQL, _DIGITS_SQL, select="SELECT * FROM hist"),
     "benford_scores": _oracle(AWARDS_SQL, _DIGITS_SQL, _BENFORD_SQL, select="SELECT * FROM benford"),
-    "mod_growth_ratios": _oracle(AWARDS_SQL, _RATIOS_SQL, select="SELECT parent_award_id, uei, naics_code, ROUND(initial_value, 6) AS initial_value, ROUND(final_value, 6) AS final_value, ROUND(growth_ratio, 6) AS growth_ratio FROM ratios"),
+    "mod_growth_ratios": _oracle(AWARDS_SQL, _RATIOS_SQL, select="SELECT parent_award_id, uei, naics_code, ROUND(initial_value, 6) "
+        "AS initial_value, ROUND(final_value, 6) AS final_value, ROUND(growth_ratio, 6) AS growth_ratio FROM ratios"),
     "mod_growth_scores": _oracle(AWARDS_SQL, _RATIOS_SQL, _GROWTH_SQL, select="SELECT * FROM growth"),
     "new_entity_scores": _oracle(AWARDS_SQL, ENTITIES_SQL, _FRESH_SQL, select="SELECT * FROM fresh"),
     "isolation_features": _oracle(AWARDS_SQL, ENTITIES_SQL, _FEATURES_SQL, select="SELECT uei, " + ", ".join(f"ROUND({c}, 6) AS {c}" for c in FEATURES) + " FROM features"),
-    "isolation_features_scaled": _oracle(AWARDS_SQL, ENTITIES_SQL, _FEATURES_SQL, select="SELECT uei, " + ", ".join(f"ROUND(CASE WHEN MAX({c}) OVER () > MIN({c}) OVER () THEN ({c} - MIN({c}) OVER ()) / (MAX({c}) OVER () - MIN({c}) OVER ()) ELSE 0 END, 6) AS {c}" for c in FEATURES) + " FROM full_features"),
+    "isolation_features_scaled": _oracle(AWARDS_SQL, ENTITIES_SQL, _FEATURES_SQL, select="SELECT uei, " + ", ".join(f"ROUND(CASE WHEN MAX({c}) OVER () > MIN({c}) OVER () THEN "
+        f"({c} - MIN({c}) OVER ()) / (MAX({c}) OVER () - MIN({c}) OVER ()) ELSE 0 END, 6) AS {c}" for c in FEATURES) + " FROM full_features"),
     "top_entities_by_detector": _oracle(
         AWARDS_SQL, ENTITIES_SQL, _DIGITS_SQL, _BENFORD_SQL, _RATIOS_SQL, _GROWTH_SQL, _FRESH_SQL,
         select=" UNION ALL ".join(f"SELECT * FROM (SELECT uei, '{d}' AS detector, score FROM {t} ORDER BY score DESC, uei LIMIT 10)" for d, t in (("benford", "benford"), ("mod_growth", "growth"), ("new_entity", "fresh"))),
     ),
-    "upsert_replace": _oracle(AWARDS_SQL, f"batches AS (SELECT *, award_date >= DATE '{NEW_AWARDS_FROM}' AS late FROM pulls), picked AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY pull_id ORDER BY late DESC, pulled_at DESC, l_partkey DESC, l_suppkey DESC) AS rn FROM batches)", select="SELECT pull_id AS award_id, recipient_uei, total_obligation, award_date, pulled_at FROM picked WHERE rn = 1"),
-    "append_ignore": _oracle(ENTITIES_SQL, select=f"SELECT uei, DATE '{AS_OF}' AS snapshot_date, CASE WHEN registration_date < DATE '1998-01-01' THEN legal_business_name ELSE 'renamed' END AS legal_business_name FROM entities"),
-    "entity_worklist": _oracle(AWARDS_SQL, ENTITIES_SQL, select="SELECT DISTINCT recipient_uei AS uei FROM awards WHERE recipient_uei NOT IN (SELECT uei FROM entities) UNION SELECT uei FROM entities JOIN (SELECT recipient_uei, MAX(period_of_performance_end) AS m FROM awards GROUP BY 1) ON recipient_uei = uei WHERE m > DATE '2000-06-01' AND registration_date::TIMESTAMP < TIMESTAMP '2000-06-01' - INTERVAL 30 DAY"),
-    "new_ueis": _oracle(AWARDS_SQL, ENTITIES_SQL, select="SELECT DISTINCT recipient_uei AS uei FROM awards WHERE recipient_uei NOT IN (SELECT uei FROM entities)"),
-    "snapshot_build": _oracle(ENTITIES_SQL, select=f"SELECT uei, DATE '{AS_OF}' AS snapshot_date, CASE WHEN registration_date >= DATE '1998-01-01' THEN upper(legal_business_name) ELSE legal_business_name END AS legal_business_name FROM entities"),
-    "high_watermark_windows": _oracle(AWARDS_SQL, POLICY_ROWS, "newest AS (SELECT awarding_agency AS name, MAX(award_date) AS m FROM awards GROUP BY 1)", select=f"SELECT short, 'incr_{AS_OF}' AS label, m - 7 AS start, DATE '{AS_OF}' AS \"end\", 'paginate' AS mode FROM policy JOIN newest USING (name) UNION ALL SELECT short, y::VARCHAR, make_date(y - 1, 10, 1), make_date(y, 9, 30), mode FROM policy ANTI JOIN newest USING (name), (SELECT unnest({YEARS}) AS y)"),
-    "seed_plan": _oracle(AWARDS_SQL, POLICY_ROWS, "years AS (SELECT DISTINCT year(award_date + INTERVAL 3 MONTH)::INT AS y FROM awards)", select="SELECT short, y::VARCHAR AS label, make_date(y - 1, 10, 1) AS start, make_date(y, 9, 30) AS \"end\", mode FROM policy, years"),
-    "capped_date_chunks": _oracle(AWARDS_SQL, _CHUNKS_SQL, select="SELECT g AS \"group\", label, s AS start, e AS \"end\", depth::INT AS depth, r::BIGINT AS rows, r >= 10000 AS capped FROM counted WHERE NOT (r >= 10000 AND e > s AND depth < 12)"),
-    "policy_filter": _oracle(AWARDS_SQL, POLICY_ROWS, select="SELECT award_id, awarding_agency, award_type, total_obligation FROM awards LEFT JOIN policy ON awarding_agency = name WHERE (types IS NULL OR list_contains(types, upper(award_type))) AND (COALESCE(least, 0) <= 0 OR COALESCE(total_obligation, 0) >= least)"),
+    "upsert_replace": _oracle(AWARDS_SQL, f"batches AS (SELECT *, award_date >= DATE '{NEW_AWARDS_FROM}' AS late FROM pulls), "
+        f"picked AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY pull_id ORDER BY late DESC, pulled_at DESC, l_partkey DESC, "
+        f"l_suppkey DESC) AS rn FROM batches)", select="SELECT pull_id AS award_id, recipient_uei, total_obligation, award_date, "
+            "pulled_at FROM picked WHERE rn = 1"),
+    "append_ignore": _oracle(ENTITIES_SQL, select=f"SELECT uei, DATE '{AS_OF}' AS snapshot_date, CASE WHEN registration_date < "
+        f"DATE '1998-01-01' THEN legal_business_name ELSE 'renamed' END AS legal_business_name FROM entities"),
+    "entity_worklist": _oracle(AWARDS_SQL, ENTITIES_SQL, select="SELECT DISTINCT recipient_uei AS uei FROM awards WHERE "
+        "recipient_uei NOT IN (SELECT uei FROM entities) UNION SELECT uei FROM entities JOIN (SELECT recipient_uei, "
+        "MAX(period_of_performance_end) AS m FROM awards GROUP BY 1) ON recipient_uei = uei WHERE m > DATE '2000-06-01' AND "
+        "registration_date::TIMESTAMP < TIMESTAMP '2000-06-01' - INTERVAL 30 DAY"),
+    "new_ueis": _oracle(AWARDS_SQL, ENTITIES_SQL, select="SELECT DISTINCT recipient_uei AS uei FROM awards WHERE recipient_uei NOT "
+        "IN (SELECT uei FROM entities)"),
+    "snapshot_build": _oracle(ENTITIES_SQL, select=f"SELECT uei, DATE '{AS_OF}' AS snapshot_date, CASE WHEN registration_date >= "
+        f"DATE '1998-01-01' THEN upper(legal_business_name) ELSE legal_business_name END AS legal_business_name FROM entities"),
+    "high_watermark_windows": _oracle(AWARDS_SQL, POLICY_ROWS, "newest AS (SELECT awarding_agency AS name, MAX(award_date) AS m "
+        "FROM awards GROUP BY 1)", select=f"SELECT short, 'incr_{AS_OF}' AS label, m - 7 AS start, DATE '{AS_OF}' AS \"end\", "
+            f"'paginate' AS mode FROM policy JOIN newest USING (name) UNION ALL SELECT short, y::VARCHAR, make_date(y - 1, 10, 1), "
+            f"make_date(y, 9, 30), mode FROM policy ANTI JOIN newest USING (name), (SELECT unnest({YEARS}) AS y)"),
+    "seed_plan": _oracle(AWARDS_SQL, POLICY_ROWS, "years AS (SELECT DISTINCT year(award_date + INTERVAL 3 MONTH)::INT AS y FROM awards)", select="SELECT short, y::VARCHAR AS label, make_date(y - 1, 10, 1) "
+        "AS start, make_date(y, 9, 30) AS \"end\", mode FROM policy, years"),
+    "capped_date_chunks": _oracle(AWARDS_SQL, _CHUNKS_SQL, select="SELECT g AS \"group\", label, s AS start, e AS \"end\", "
+        "depth::INT AS depth, r::BIGINT AS rows, r >= 10000 AS capped FROM counted WHERE NOT (r >= 10000 AND e > s AND depth < 12)"),
+    "policy_filter": _oracle(AWARDS_SQL, POLICY_ROWS, select="SELECT award_id, awarding_agency, award_type, total_obligation FROM "
+        "awards LEFT JOIN policy ON awarding_agency = name WHERE (types IS NULL OR list_contains(types, upper(award_type))) AND "
+        "(COALESCE(least, 0) <= 0 OR COALESCE(total_obligation, 0) >= least)"),
     "award_type_counts": _oracle(AWARDS_SQL, select="SELECT award_type, COUNT(*)::BIGINT AS n FROM awards GROUP BY 1"),
-    "joined_sample_count": _oracle(AWARDS_SQL, ENTITIES_SQL, select="SELECT awarding_agency, COUNT(*)::BIGINT AS n, COUNT(DISTINCT uei)::BIGINT AS n_entities FROM awards JOIN entities ON uei = recipient_uei GROUP BY 1"),
-    "json_award_mapping": _oracle(AWARDS_SQL, select="SELECT award_id, parent_award_id, recipient_uei, CASE WHEN awarding_agency = 'FRANCE' THEN 'FILLED' ELSE awarding_agency END AS awarding_agency, award_type, naics_code, lower(naics_code) AS naics_description, ROUND(CASE WHEN modification_number = '0' OR total_obligation IS NULL THEN total_obligation * 2 ELSE total_obligation END, 2) AS total_obligation, NULL::DATE AS period_of_performance_start, award_date, NULL::INT AS number_of_offers, modification_number FROM awards"),
-    "json_entity_mapping": _oracle(ENTITIES_SQL, select="SELECT uei, legal_business_name, 'TX' AS physical_state, 'Small, ' || substr(uei, 2, 1) AS business_type, registration_date FROM entities"),
-    "csv_award_mapping": _oracle(AWARDS_SQL, select=f"SELECT award_id, recipient_uei, awarding_agency, award_type, 'line one' || chr(10) || 'says \"two\", of ' || award_id AS award_description, total_obligation, award_date, competition_type, NULL::INT AS number_of_offers, modification_number, TIMESTAMP '{AS_OF}' AS pulled_at FROM awards"),
-    "latest_snapshot": _oracle(AWARDS_SQL, select="SELECT awarding_agency, strftime(MAX(award_date) FILTER (award_type = 'DELIVERY ORDER'), '%Y%m%d') AS latest FROM awards GROUP BY 1"),
+    "joined_sample_count": _oracle(AWARDS_SQL, ENTITIES_SQL, select="SELECT awarding_agency, COUNT(*)::BIGINT AS n, COUNT(DISTINCT "
+        "uei)::BIGINT AS n_entities FROM awards JOIN entities ON uei = recipient_uei GROUP BY 1"),
+    "json_award_mapping": _oracle(AWARDS_SQL, select="SELECT award_id, parent_award_id, recipient_uei, CASE WHEN awarding_agency = "
+        "'FRANCE' THEN 'FILLED' ELSE awarding_agency END AS awarding_agency, award_type, naics_code, lower(naics_code) AS "
+        "naics_description, ROUND(CASE WHEN modification_number = '0' OR total_obligation IS NULL THEN total_obligation * 2 ELSE "
+        "total_obligation END, 2) AS total_obligation, NULL::DATE AS period_of_performance_start, award_date, NULL::INT AS "
+        "number_of_offers, modification_number FROM awards"),
+    "json_entity_mapping": _oracle(ENTITIES_SQL, select="SELECT uei, legal_business_name, 'TX' AS physical_state, 'Small, ' || "
+        "substr(uei, 2, 1) AS business_type, registration_date FROM entities"),
+    "csv_award_mapping": _oracle(AWARDS_SQL, select=f"SELECT award_id, recipient_uei, awarding_agency, award_type, 'line one' || "
+        f"chr(10) || 'says \"two\", of ' || award_id AS award_description, total_obligation, award_date, competition_type, "
+        f"NULL::INT AS number_of_offers, modification_number, TIMESTAMP '{AS_OF}' AS pulled_at FROM awards"),
+    "latest_snapshot": _oracle(AWARDS_SQL, select="SELECT awarding_agency, strftime(MAX(award_date) FILTER (award_type = 'DELIVERY "
+        "ORDER'), '%Y%m%d') AS latest FROM awards GROUP BY 1"),
     "prime_file_selection": """WITH f AS (SELECT c_custkey % 50 AS snapshot, ['Contracts_PrimeAwardSummaries_', 'Contracts_Subawards_', 'Contracts_'][(CASE WHEN c_custkey % 50 < 25 THEN c_custkey % 3 ELSE 1 + c_custkey % 2 END + 1)::INT] || c_custkey || CASE WHEN c_custkey % 11 = 0 THEN '.txt' ELSE '.csv' END AS file_name FROM customer),
 p AS (SELECT *, bool_or(file_name LIKE '%PrimeAward%') OVER (PARTITION BY snapshot) AS any_prime FROM f WHERE file_name LIKE '%.csv')
 SELECT snapshot, file_name FROM p WHERE file_name LIKE '%PrimeAward%' OR (NOT any_prime AND file_name LIKE '%Contract%' AND file_name NOT LIKE '%Subaward%')""",
@@ -286,5 +313,6 @@ _DETAILS += [f"SELECT uei, 'new_entity', '{k}', NULL::DOUBLE, {k}::VARCHAR FROM
 _DETECTORS = (AWARDS_SQL, ENTITIES_SQL, _DIGITS_SQL, _BENFORD_SQL, _RATIOS_SQL, _GROWTH_SQL, _FRESH_SQL, "steep AS (SELECT * FROM worst WHERE rn = 1)")
 ORACLES |= landing_queries.ORACLES | {
     "detector_details": _oracle(*_DETECTORS, f"d(uei, detector, field, number, text) AS ({' UNION ALL '.join(_DETAILS)})", select="SELECT * FROM d"),
-    "detector_contract": _oracle(*_DETECTORS, select=" UNION ALL ".join(f"SELECT '{d}' AS detector, COUNT(*)::BIGINT AS rows, 0::BIGINT AS violations FROM {t}" for d, t in (("benford", "benford"), ("mod_growth", "growth"), ("new_entity", "fresh")))),
+    "detector_contract": _oracle(*_DETECTORS, select=" UNION ALL ".join(f"SELECT '{d}' AS detector, COUNT(*)::BIGINT AS rows, "
+        f"0::BIGINT AS violations FROM {t}" for d, t in (("benford", "benford"), ("mod_growth", "growth"), ("new_entity", "fresh")))),
 }

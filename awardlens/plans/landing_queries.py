@@ -179,13 +179,15 @@ ORACLES = {
   COALESCE(short, awarding_agency) AS agency_short, '{AS_OF}' AS load_label, TIMESTAMP '{AS_OF}' AS pulled_at FROM awards LEFT JOIN policy ON awarding_agency = name
   WHERE (types IS NULL OR list_contains(types, upper(award_type))) AND (COALESCE(least, 0) <= 0 OR COALESCE(total_obligation, 0) >= least)""",
     ),
-    "labelled_partitions": _with(AWARDS_SQL, select=f"SELECT awarding_agency AS agency_short, 'FY' || {_FISCAL} AS load_label, COUNT(*)::BIGINT AS rows, MAX(award_date) AS newest FROM awards GROUP BY 1, 2"),
+    "labelled_partitions": _with(AWARDS_SQL, select=f"SELECT awarding_agency AS agency_short, 'FY' || {_FISCAL} AS load_label, "
+        f"COUNT(*)::BIGINT AS rows, MAX(award_date) AS newest FROM awards GROUP BY 1, 2"),
     "snapshot_keys": _with(
         AWARDS_SQL, POLICY_ROWS, _CODES,
         select=f"""SELECT short, y::INT AS year, 'FY' || y || '_' || code || '_Contracts_Full_' || strftime(d, '%Y%m%d') || '.zip' AS key
   FROM (SELECT awarding_agency AS name, {_FISCAL} AS y, MAX(award_date) AS d FROM awards GROUP BY 1, 2) JOIN policy USING (name) JOIN codes USING (short)""",
     ),
-    "rows_of_load_windows": _with(AWARDS_SQL, POLICY_ROWS, _WINDOWS, select="SELECT award_id, awarding_agency, award_date FROM awards a WHERE EXISTS (SELECT 1 FROM windows w WHERE w.name = a.awarding_agency AND a.award_date BETWEEN w.a AND w.b)"),
+    "rows_of_load_windows": _with(AWARDS_SQL, POLICY_ROWS, _WINDOWS, select="SELECT award_id, awarding_agency, award_date FROM awards a "
+        "WHERE EXISTS (SELECT 1 FROM windows w WHERE w.name = a.awarding_agency AND a.award_date BETWEEN w.a AND w.b)"),
     "store_load": _with(
         AWARDS_SQL, ENTITIES_SQL,
         select="""SELECT 'awards' AS name, COUNT(DISTINCT award_id)::BIGINT AS gained, 0::BIGINT AS gained_again FROM awards
@@ -198,6 +200,8 @@ ORACLES = {
         select="""SELECT 'awards' AS name, COUNT(*)::BIGINT AS rows, MIN(award_columns) AS award_columns FROM awards, c
   UNION ALL SELECT unnest(['entities', 'entity_snapshots']), COUNT(*)::BIGINT, MIN(award_columns) FROM entities, c""",
     ),
-    "sampled_recipients": _with(AWARDS_SQL, select=f"SELECT uei FROM (SELECT DISTINCT recipient_uei AS uei FROM awards WHERE recipient_uei <> '') ORDER BY md5(uei), uei LIMIT {SAMPLE}"),
-    "obligation_quantiles": _with(AWARDS_SQL, select=" UNION ALL ".join(f"SELECT {q}::DOUBLE AS share, ROUND(quantile_cont(total_obligation, {q}), 6) AS value FROM awards" for q in SHARES)),
+    "sampled_recipients": _with(AWARDS_SQL, select=f"SELECT uei FROM (SELECT DISTINCT recipient_uei AS uei FROM awards WHERE "
+        f"recipient_uei <> '') ORDER BY md5(uei), uei LIMIT {SAMPLE}"),
+    "obligation_quantiles": _with(AWARDS_SQL, select=" UNION ALL ".join(f"SELECT {q}::DOUBLE AS share, "
+        f"ROUND(quantile_cont(total_obligation, {q}), 6) AS value FROM awards" for q in SHARES)),
 }

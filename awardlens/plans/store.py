@@ -92,6 +92,18 @@ class Store:
         self._publish(table, rows)
         return self.read(table).count() - before
 
+    def vacuum(self, table: str, keep: int = 2) -> int:
+        """Delete the folders of all but the newest ``keep`` versions, which readers may still use; how many went."""
+        if keep < 1 or self._version(table) is None:
+            return 0
+        pointers = self.spark.read.schema("version long, folder string").parquet(f"{self.root}/{table}/_pointers_")
+        old = pointers.orderBy(F.desc("version"), "folder").offset(keep).collect()
+        gone = 0
+        for row in old:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{table}/{row['folder']}")
+            gone += bool(path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True))
+        return gone
+
     def load_all(self, landing: str) -> dict[str, int]:
         """Load what has landed in ``landing``; a missing folder or file loads nothing."""
         self.init()

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.expressions import award_date, blank_to_null, business_types, entity_date
+from ..functions.expressions import award_date, blank_to_null, business_types, entity_date, number, whole_number
 from ..functions.schemas import AWARDS, ENTITIES
 
 RAW_ENTITY = (
@@ -49,7 +49,7 @@ def text_of(key: str) -> Column:
 def _offers(key: str) -> Column:
     """Numbers are cut to whole ones; texts must be whole."""
     v = _Value(key)
-    return F.when(v.kind == "STRING", blank_to_null(v.text).try_cast("int")).otherwise(v.text.try_cast("double").try_cast("int"))
+    return F.when(v.kind == "STRING", whole_number(v.text)).otherwise(v.text.try_cast("double").try_cast("int"))
 
 
 def award_records(records: DataFrame, agency: str, pulled_at: Column, line: str = "value", metric: str = "json") -> DataFrame:
@@ -75,8 +75,8 @@ def award_records(records: DataFrame, agency: str, pulled_at: Column, line: str
         "award_description": text_of("Description"),
         "naics_code": code,
         "naics_description": F.when(name.there, name.text).when(other.there, other.text).otherwise(from_object),
-        "total_obligation": blank_to_null(first_there("Total Obligations", "Award Amount")).try_cast("double"),
-        "base_and_all_options_value": blank_to_null(text_of("Base and All Options Value")).try_cast("double"),
+        "total_obligation": number(first_there("Total Obligations", "Award Amount")),
+        "base_and_all_options_value": number(text_of("Base and All Options Value")),
         "period_of_performance_start": award_date(text_of("Start Date")),
         "period_of_performance_end": award_date(text_of("End Date")),
         "award_date": award_date(first_there("Action Date", "Base Obligation Date")),

@@ -176,6 +176,16 @@ def test_json_records_without_id_are_counted(spark):
     assert out.count() == 1 and seen.get == {"dropped": 1}
 
 
+def test_old_versions_can_be_removed(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/db")
+    assert store.vacuum("entities") == 0
+    store.init()
+    for k in range(4):
+        store.load("entities", spark.createDataFrame([row(ENTITIES, uei=f"U{k}")], ENTITIES))
+    assert store.vacuum("entities") == 3 and store.vacuum("entities") == 0
+    assert store.read("entities").count() == 4 and len([p for p in (tmp_path / "db" / "entities").iterdir() if p.name.startswith("v-")]) == 2
+
+
 def test_a_lost_update_is_noticed(spark, tmp_path):
     store = Store(spark, f"file://{tmp_path}/db")
     store.init()
