@@ -36,7 +36,7 @@ LEAST_SAMPLE = 16  # sampled fingerprints to a leaf
 #: The near-duplicate groups' parameters: shingle words, similarity, bands and their minima, rounds of vantage points.
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 20, 6
-ROUNDS = 2  # of vantage points in each shard, before the members that are left are compared with each other
+ROUNDS = 3  # of vantage points in each shard, before the members that are left are compared with each other
 BLOCK = 1024  # members of a shingle that one task compares with all others
 BROADCAST_ROWS = 1_000_000  # ids and digests of rows to drop or to compare, under 64 MB; more are joined by a shuffle
 
@@ -294,33 +294,54 @@ def _rooted(members: DataFrame, links: DataFrame) -> DataFrame:
     return members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
+def _ranked(sets: DataFrame) -> DataFrame:
+    """(node, n, shared, central, rare): the size of a set, how many of its shingles another has too, and these, the rarest first.
+
+    ``central`` is the sum of their counts: of a group of edited copies the original has the most in common with the others.
+    """
+    each = sets.select("node", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
+    often = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
+    lists = each.join(often, "shingle").groupBy("node").agg(F.sum("c").alias("central"), F.sort_array(F.collect_list(F.struct("c", "shingle"))).alias("s"))
+    rare = F.transform("s", lambda x: x["shingle"])
+    return lists.join(sets.select("node", F.size("shingles").alias("n")), "node").select("node", "n", F.size("s").alias("shared"), "central", rare.alias("rare"))
+
+
 def _links(shards: DataFrame, sets: DataFrame, similarity: float, rounds: int = ROUNDS) -> DataFrame:
     """(u, v): verified links such that all linked pairs that share a shard are connected.
 
-    In each round a shard has another vantage point, and the members not yet connected with it are compared with it on their whole
-    sets. Of the members that are left unconnected, those that share one of their rarest shingles are compared in the end (see
-    :func:`_rest`), but for pairs that the triangle inequality rules out: the share of unequal shingles is a metric, so that
-    linked members lie about equally far from a vantage point.
+    In each round a shard has a vantage point, the most central of the members that aren't connected with an earlier one, and all
+    members that aren't connected with it are compared with it on their whole sets. Of the members that are left
+    unconnected, those that share one of their rarest shingles are compared in the end (see :func:`_rest`), but for pairs
+    that the triangle inequality rules out: the share of unequal shingles is a metric, so that linked members lie about
+    equally far from a vantage point.
     """
     linked = F.col("common") >= F.lit(similarity) * F.col("whole")
     apart = 1 - similarity + 1e-9
-    members = cut(shards, "simhash-members")
-    gaps, links = None, None
+    ranked = cut(_ranked(sets), "simhash-ranked")
+    members = cut(shards.join(ranked.select("node", "central"), "node", "left"), "simhash-members")
+    rooted, links, used, gaps = members.withColumn("root", F.col("node")), None, None, None
     for k in range(rounds):
-        rooted = members if links is None else _rooted(members, links)
-        root = F.col("node" if links is None else "root")
-        points = rooted.groupBy("shard").agg(F.min_by(F.struct(F.col("node").alias("v"), root.alias("v_root")), F.struct(F.xxhash64("node", F.lit(k)), "node")).alias("p")).select("shard", "p.*")
-        met = cut(rooted.join(points, "shard").filter(root != F.col("v_root")).select("shard", F.col("node").alias("u"), "v"), "simhash-met")
+        if used is None:
+            rooted = rooted.withColumn("met", F.lit(False))
+        else:
+            known = rooted.join(used, ["shard", "node"], "left_semi").select("shard", "root").distinct().withColumn("met", F.lit(True))
+            rooted = rooted.join(known, ["shard", "root"], "left").withColumn("met", F.coalesce("met", F.lit(False)))
+        first = F.struct(F.coalesce(-F.col("central"), F.lit(0)).alias("c"), F.xxhash64("node").alias("h"), "node")
+        points = rooted.filter(~F.col("met")).groupBy("shard").agg(F.min_by(F.struct(F.col("node").alias("v"), F.col("root").alias("v_root")), first).alias("p")).select("shard", "p.*")
+        points = cut(points, "simhash-points")
+        met = cut(rooted.join(points, "shard").filter(F.col("root") != F.col("v_root")).select("shard", F.col("node").alias("u"), "v"), "simhash-met")
         seen = cut(_compared(met.select("u", "v").distinct(), sets), "simhash-seen")
         found = seen.filter(linked).select("u", "v")
         links = cut(found if links is None else links.union(found), "simhash-links")
         gap = met.join(seen, ["u", "v"]).select(F.col("u").alias("node"), F.xxhash64("shard", F.lit(k)).alias("point"), (1 - F.col("common") / F.col("whole")).alias("d"))
         gaps = gap if gaps is None else gaps.union(gap)
-    rooted = cut(_rooted(members, links), "simhash-rooted")
+        point = points.select("shard", F.col("v").alias("node"))
+        used = point if used is None else used.union(point)
+        rooted = cut(_rooted(members, links), "simhash-rooted")
     # shards in which all members are connected are done
     open_ = rooted.groupBy("shard").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("shard")
     left = cut(rooted.join(open_, "shard").select("node", "root").distinct(), "simhash-left")
-    rest = _rest(left, sets, similarity)
+    rest = _rest(left, ranked, similarity)
     far = cut(gaps.join(left.select("node"), "node", "left_semi").groupBy("node").agg(F.map_from_entries(F.collect_set(F.struct("point", "d"))).alias("gaps")), "simhash-gaps")
     both = rest.join(far.select(F.col("node").alias("u"), F.col("gaps").alias("a")), "u", "left").join(far.select(F.col("node").alias("v"), F.col("gaps").alias("b")), "v", "left")
     ruled_out = F.exists(F.map_keys("a"), lambda point: F.abs(F.col("a")[point] - F.try_element_at("b", point)) > apart)
@@ -328,24 +349,27 @@ def _links(shards: DataFrame, sets: DataFrame, similarity: float, rounds: int =
     return cut(links.union(_compared(rest, sets).filter(linked).select("u", "v")), "simhash-links")
 
 
-def _rest(left: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+def _rest(left: DataFrame, ranked: DataFrame, similarity: float) -> DataFrame:
     """(u, v): the pairs of ``left`` (node, root) of unequal roots that may be similar, each once.
 
     In one order of all shingles, the rarest first, similar sets have one in common among the first of each: of n shingles the
     first n - similarity * n + 1. Documents that share a template only have these among what is their own. Shingles of one
-    document come first in that order and are never joined. The members of a shingle meet in blocks of ``BLOCK``, so that
-    a frequent one is no single task's work.
+    document come first in that order and are never joined. What two sets have in common is no more than what either
+    shares with any other, which bounds their similarity from above. The members of a shingle meet in blocks of
+    ``BLOCK``, so that a frequent one is no single task's work.
     """
-    each = left.join(sets, "node").select("node", "root", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
-    often = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
-    shared = each.join(often, "shingle").groupBy("node", "root", "n").agg(F.sort_array(F.collect_list(F.struct("c", "shingle"))).alias("s"))
-    first = F.col("n") - F.ceil(F.col("n") * F.lit(similarity - 1e-9)) + 1 - (F.col("n") - F.size("s"))
-    met = cut(shared.select("node", "root", "n", F.explode(F.slice("s", F.lit(1), F.greatest(first, F.lit(0)).cast("int"))).alias("x")).select("node", "root", "n", "x.shingle"), "simhash-rare")
+    rows = left.join(ranked, "node")
+    first = F.col("n") - F.ceil(F.col("n") * F.lit(similarity - 1e-9)) + 1 - (F.col("n") - F.col("shared"))
+    met = rows.select("node", "root", "n", "shared", F.explode(F.slice("rare", F.lit(1), F.greatest(first, F.lit(0)).cast("int"))).alias("shingle"))
+    met = cut(met, "simhash-rare")
     blocks = met.groupBy("shingle").agg(F.count(F.lit(1)).alias("c"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("shingle", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks"))
     met = met.join(blocks, "shingle")
-    a = met.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).select("shingle", "block", F.col("node").alias("u"), F.col("root").alias("u_root"), F.col("n").alias("u_n"))
-    b = met.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("shingle", "block", F.col("node").alias("v"), F.col("root").alias("v_root"), F.col("n").alias("v_n"))
+    side = lambda x: [F.col(c).alias(f"{x}_{c}") for c in ("root", "n", "shared")]
+    a = met.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).select("shingle", "block", F.col("node").alias("u"), *side("u"))
+    b = met.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("shingle", "block", F.col("node").alias("v"), *side("v"))
+    both, sizes = F.least("u_shared", "v_shared"), F.col("u_n") + F.col("v_n")
     may = (F.col("u") < F.col("v")) & (F.col("u_root") != F.col("v_root")) & (F.least("u_n", "v_n") >= F.lit(similarity) * F.greatest("u_n", "v_n"))
+    may &= both >= F.lit(similarity - 1e-9) * (sizes - both)
     return a.join(b, ["shingle", "block"]).filter(may).select("u", "v").distinct()
 
 

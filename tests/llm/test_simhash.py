@@ -192,7 +192,7 @@ def test_rare_shingles_meet_in_blocks(spark, monkeypatch):
     names = [f"{i:03d}" for i in range(len(held))]
     sets = spark.createDataFrame([(n, sorted(h)) for n, h in zip(names, held, strict=True)], "node string, shingles array<long>")
     left = spark.createDataFrame([(n, n) for n in names], "node string, root string")
-    got = {(r["u"], r["v"]) for r in S._rest(left, sets, 0.8).collect()}
+    got = {(r["u"], r["v"]) for r in S._rest(left, S._ranked(sets), 0.8).collect()}
     want = {(a, b) for a, x in zip(names, held, strict=True) for b, y in zip(names, held, strict=True) if a < b and len(x & y) >= 0.8 * len(x | y)}
     assert len(want) > 5 and want <= got
 
@@ -202,3 +202,26 @@ def test_clashing_columns_and_ties(spark):
     out = S.without_near_duplicates(docs)
     assert out.columns == docs.columns and [r["doc_id"] for r in out.collect()] == [1]
     assert {(r["doc_id"], r["component_id"]) for r in S.simhash_components(docs).collect()} == {(1, 1), (2, 1)}
+
+
+def test_a_large_group_of_edited_copies_makes_few_pairs(spark, monkeypatch):
+    rng = random.Random(15)
+    original = [f"w{k}" for k in range(400)]
+    rows = [(0, " ".join(original))]
+    for i in range(1, 400):
+        edited = list(original)
+        for _ in range(rng.randint(1, 16)):
+            edited[rng.randrange(400)] = f"e{rng.randrange(10**6)}"
+        rows.append((i, " ".join(edited)))
+    counts = []
+    plain = S._rest
+    monkeypatch.setattr(S, "_rest", lambda *a: (counts.append(plain(*a).count()), plain(*a))[1])
+    kept = sorted(r["doc_id"] for r in S.without_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    sets = [set(S.shingle_hashes(t, 5)[0].tolist()) for _, t in rows]
+    label = list(range(400))
+    for i in range(400):
+        for j in range(i):
+            if label[i] != label[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                low, high = sorted((label[i], label[j]))
+                label = [low if x == high else x for x in label]
+    assert kept == sorted(set(label)) and counts[0] < 4000
