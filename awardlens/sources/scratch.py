@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,8 +26,32 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+_collected: ContextVar[list[str] | None] = ContextVar("collected", default=None)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if (held := _collected.get()) is not None:
+        held.append(path)
+    return path
+
+
+@contextmanager
+def collected() -> Iterator[list[str]]:
+    """The scratch paths that are made within the block, to be removed once no plan reads them."""
+    held: list[str] = []
+    token = _collected.set(held)
+    try:
+        yield held
+    finally:
+        _collected.reset(token)
+
+
+def remove(spark: SparkSession, *paths: str) -> None:
+    """Delete scratch tables that no later plan reads."""
+    for path in paths:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
