@@ -7,10 +7,11 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import collected, remove
 from ..sources.scratch import scratch_path as table_path
 from ..sources.scratch import written as cut
 
-__all__ = ["LOWER", "SPACE", "UPPER", "WORD", "ascii_lower", "cut", "fresh", "read", "remove", "sql_lower", "table_path", "word_count"]
+__all__ = ["LOWER", "SPACE", "UPPER", "WORD", "ascii_lower", "collected", "cut", "fresh", "read", "remove", "sql_lower", "table_path", "word_count"]
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD, SPACE = r"[^\x20\x09-\x0D]+", r"[\x20\x09-\x0D]+"
@@ -28,12 +29,6 @@ def fresh(taken: Iterable[str], *names: str) -> list[str]:
     return out
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a scratch table that no later plan reads."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
-
-
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

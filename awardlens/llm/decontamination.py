@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, cut, fresh, table_path
+from .common import ascii_lower, collected, cut, fresh, remove, table_path
 
 #: What counts as a word of a lower-cased text, and what lies between words.
 TERM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -185,7 +185,10 @@ def phrase_matches(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", te
 
 def decontaminate(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` without the documents in which a window of a test item occurs; see :func:`phrase_matches`."""
-    gone = cut(phrase_hits(docs, bench, id_col, text_col, **options).select(*DOCUMENT), "decon-gone")
+    with collected() as held:
+        hits = phrase_hits(docs, bench, id_col, text_col, **options).select(*DOCUMENT)
+    gone = cut(hits, "decon-gone")
+    remove(docs.sparkSession, *held)
     (digest,) = fresh([*docs.columns, *DOCUMENT], "d_hash")
     rows = docs.withColumn(digest, F.xxhash64(f"`{text_col}`"))
     return rows.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, _matching(rows, id_col, digest, gone), "left_anti").drop(digest)

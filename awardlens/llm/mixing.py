@@ -21,6 +21,7 @@ CYCLE = (5, 2, 1)
 CAP = 3
 SEED = "mix-1"
 BUCKET_ROWS = 2000
+BROADCAST_ROWS = 500_000  # numbers of documents in the cuts' buckets; more are joined by a shuffle
 #: Times that what is left of a source's words is filled with the next documents that fit; the last may end on either side.
 FILLS = 4
 
@@ -101,6 +102,9 @@ def pareto_mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sourc
     inside = ready.filter(F.col("m_bucket") == F.col("m_cut"))
     # by the source's mean odds the ranks of all its documents spread evenly over the parts
     even = F.col("m_q") * F.col("m_mean") / (1 - F.col("m_mean"))
+    # the rows of that bucket are written and numbered, so that only their numbers and sizes move from here on
+    bucket = cut(inside.withColumn("m_no", F.monotonically_increasing_id()), "mix-bucket")
+    inside = bucket.select("m_no", "m_rank", "m_rows", "m_id", "m_words", "m_q", "m_left", "m_base", "m_mean")
     inside = inside.withColumns({"m_gap": F.col("m_left") - F.col("m_base"), "m_more": F.lit(0).cast("long"), "m_piece": F.floor(buckets * (even / (1 + even)))})
     pieces = Window.partitionBy("m_rank").orderBy("m_piece").rowsBetween(Window.unboundedPreceding, -1)
     order = Window.partitionBy("m_rank", "m_piece").orderBy("m_q", "m_words", F.col("m_id").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
@@ -114,7 +118,9 @@ def pareto_mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sourc
         inside = cut(inside.drop("m_ahead", "m_fits"), "mix-inside")
         used = inside.groupBy("m_rank").agg(F.sum(F.col("m_new") * F.col("m_words")).alias("m_used"))
         inside = inside.join(used, "m_rank").withColumns({"m_gap": F.col("m_gap") - F.col("m_used"), "m_more": F.col("m_more") + F.col("m_new")}).drop("m_used", "m_new")
+    state = inside.select("m_no", "m_more")
+    inside = bucket.join(F.broadcast(state) if state.count() <= BROADCAST_ROWS else state, "m_no").drop("m_no")
     outside = ready.filter(~F.coalesce(F.col("m_bucket") == F.col("m_cut"), F.lit(False))).withColumn("m_more", (F.coalesce(F.col("m_bucket") < F.col("m_cut"), F.lit(False)) & (F.col("m_bucket") >= 0)).cast("long"))
-    out = outside.unionByName(inside.drop("m_gap", "m_piece"))
+    out = outside.unionByName(inside)
     copies = F.col("m_whole") + F.col("m_more")
     return out.select("m_row.*", F.col("m_size").alias("source_size"), F.col("m_target").alias("target"), copies.alias("copies"), (copies * F.col("m_words")).alias("taken"))

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, fresh
+from .common import collected, cut, fresh, remove
 from .components import components
 
 SEED = 42
@@ -410,15 +410,18 @@ def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: s
 
     Of rows that repeat both id and text one stays. All columns are kept.
     """
-    groups = cut(near_duplicate_groups(docs, id_col, text_col, words, similarity).withColumn("text_md5", F.coalesce("text_md5", F.lit(""))), "simhash-members")
+    with collected() as held:
+        groups = cut(near_duplicate_groups(docs, id_col, text_col, words, similarity).withColumn("text_md5", F.coalesce("text_md5", F.lit(""))), "simhash-members")
     order = F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("i"), F.col("text_md5").alias("t"))
     first = groups.groupBy("group_key").agg(F.min(order).alias("first"))
     twice = groups.groupBy("group_key", id_col, "text_md5").agg(F.count(F.lit(1)).alias("n"))
     gone = twice.join(first, "group_key").filter(~(F.col(id_col).eqNullSafe(F.col("first.i")) & (F.col("text_md5") == F.col("first.t"))))
     gone = cut(gone.select(F.col(id_col).alias("g_id"), F.col("text_md5").alias("g_md5")), "simhash-gone")
+    all_once = twice.filter("n > 1").isEmpty()
+    remove(docs.sparkSession, *held)
     match = F.col(id_col).eqNullSafe(gone["g_id"]) & (F.coalesce(F.md5(text_col), F.lit("")) == gone["g_md5"])
     out = docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, match, "left_anti")
-    if twice.filter("n > 1").isEmpty():
+    if all_once:
         return out
     (once,) = fresh(docs.columns, "g_row")
     kept = out.withColumn(once, F.struct(F.col(id_col), F.coalesce(F.md5(text_col), F.lit(""))))
