@@ -16,7 +16,7 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,7 +28,7 @@ DICTIONARY_BYTES = 4096  # of trained content, and of frequent fragments
 GRAM, OFTENER, SIGMAS = 5, 4.0, 4.0
 HAND, COVER_K, COVER_D = 16, 64, 6  # fragments a sample; the trainer's segment and match lengths
 MOST_DOCS, MOST_BYTES = 3072, 16 << 10  # of either label, for training; each of at most so many bytes
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES, SLICE_ROWS = 2 << 20, 256  # texts are taken out of Arrow a slice at a time
 LEAST, MOST = -8, 16  # distances beyond count as these
 STEPS = (1, 2, 3, 4, 6, 8)
 
@@ -268,12 +268,14 @@ def toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     (text,) = fresh(kept, "toxic_text")
     schema = docs.select(*kept).schema.add("toxic_score", "double").add("toxic_windows", "long")
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         distances = Distances(model.toxic, model.ordinary)
         for batch in batches:
-            counts = distances.histograms(batch.pop(text).tolist())
-            z = (features(counts) - model.mean) / model.scale
-            logit = np.clip(z @ model.weights[:-1] + model.weights[-1], -30, 30)
-            yield batch.assign(toxic_score=1 / (1 + np.exp(-logit)), toxic_windows=counts[:, 2 - LEAST :].sum(axis=1))
-
-    return docs.select(*kept, F.col("text").alias(text)).mapInPandas(score, schema)
+            texts = batch.column(len(kept))
+            parts = [distances.histograms(texts.slice(at, SLICE_ROWS).to_pylist()) for at in range(0, batch.num_rows, SLICE_ROWS)]
+            counts = np.concatenate(parts) if parts else np.zeros((0, MOST - LEAST + 1), np.int64)
+            logit = np.clip((features(counts) - model.mean) / model.scale @ model.weights[:-1] + model.weights[-1], -30, 30)
+            said = [pa.array(1 / (1 + np.exp(-logit))), pa.array(counts[:, 2 - LEAST :].sum(axis=1))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], *said], names=[*kept, "toxic_score", "toxic_windows"])
+
+    return docs.select(*kept, F.col("text").alias(text)).mapInArrow(score, schema)
