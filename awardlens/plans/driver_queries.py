@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.expressions import EXPECTED_DIGITS
-from ..functions.schemas import AWARDS, KEYS, SNAPSHOTS
+from ..functions.schemas import AWARDS, SNAPSHOTS
 from ..operators.benford import benford_statistics, detect_benford, digit_histogram
 from ..operators.fresh_vendor import detect_new_entity_sole_source, earliest_worst
 from ..operators.growth import detect_mod_growth, growth_ratios, worst_contracts
@@ -20,7 +20,7 @@ from .bindings import AS_OF, AWARDS_SQL, ENTITIES_SQL, NEW_AWARDS_FROM, awards,
 from . import landing_queries
 from .incremental import agency_policy, build_snapshot, capped_date_chunks, fiscal_windows, load_windows, refresh_list, seed_plan
 from .policies import AGENCIES, DEFAULTS, POLICY_ROWS, YEARS
-from .store import append_ignore, ranked_per_key, upsert_replace
+from .store import Store, ranked_per_key
 
 
 def _rounded(df: DataFrame, places: int = 6) -> DataFrame:
@@ -81,15 +81,22 @@ def _pulls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def upsert_replace_awards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _pulls(spark, sf_dir)
-    batch = lambda late: rows.filter(F.col("late") == late).select(*AWARDS.names)
-    return upsert_replace(batch(False), batch(True), KEYS["awards"], "pulled_at").select("award_id", "recipient_uei", "total_obligation", "award_date", "pulled_at")
+    """The awards table of a store after two loads: the pulls up to 2000, and later ones of partly the same awards."""
+    rows, store = written(_pulls(spark, sf_dir).select("late", *AWARDS.names), "pulls"), Store(spark, scratch_path(spark, "store"))
+    store.init()
+    for late in (False, True):
+        store.load("awards", rows.filter(F.col("late") == late))
+    return store.read("awards").select("award_id", "recipient_uei", "total_obligation", "award_date", "pulled_at")
 
 
 def append_ignore_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     old = build_snapshot(entities(spark, sf_dir).filter("registration_date < date '1998-01-01'"), entities(spark, sf_dir).limit(0), F.lit(AS_OF))
     new = build_snapshot(entities(spark, sf_dir).withColumn("legal_business_name", F.lit("renamed")), entities(spark, sf_dir).limit(0), F.lit(AS_OF))
-    return append_ignore(old, new, KEYS["entity_snapshots"]).select("uei", "snapshot_date", "legal_business_name")
+    store = Store(spark, scratch_path(spark, "store"))
+    store.init()
+    for rows in (old, new):
+        store.load("entity_snapshots", rows)
+    return store.read("entity_snapshots").select("uei", "snapshot_date", "legal_business_name")
 
 
 def entity_worklist(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,27 +1,34 @@
-"""Keyed tables on versioned Parquet: replace and ignore upserts that can be repeated.
+"""Keyed tables on bucketed, versioned Parquet: replace and ignore upserts that can be repeated.
 
-A version is a folder that is written whole and then named in a pointer table; readers take the newest pointer, so that a
-table is never overwritten while it is read, and a failed job leaves the version before. Of two loads that publish the same
-version one is told to run again.
+A table's rows are dealt to buckets by a hash of their key. A load writes its rows once, as one more layer of the buckets
+that they fall in, and publishes a version that names the layers of every bucket; no other row is read or written. Readers
+merge: of a key's rows that of the newest layer counts. A bucket with too many layers is compacted, on its own. A version
+is a file that only one writer can make (:mod:`.versions`); a writer that comes second looks at the version that came
+first and publishes on top of it, so that no load is lost. A failed job leaves the version before.
 """
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.schemas import AWARDS_LANDING, ENTITIES, KEYS, SNAPSHOTS, TABLES, aligned
 from ..sources.landing import read_or_empty
+from .versions import VersionLog
 
+BUCKETS, MOST_LAYERS = 32, 4
 
-def newest_per_key(rows: DataFrame, keys: list[str], newest: str | None) -> DataFrame:
-    """One row per key: the greatest ``newest`` (null least), then the greatest of the other columns in their order."""
-    others = [c for c in rows.columns if c not in keys and c != newest]
+
+def newest_per_key(rows: DataFrame, keys: list[str], newest: str | None, within: tuple[str, ...] = ()) -> DataFrame:
+    """One row per key: the greatest ``newest`` (null least), then the greatest of the other columns in their order.
+
+    Columns of ``within`` follow from the key; rows that are partitioned by them aren't shuffled again.
+    """
+    others = [c for c in rows.columns if c not in keys and c != newest and c not in within]
     order = F.struct(*([F.col(newest).alias("n")] if newest else []), *[F.col(c).alias(f"o{i}") for i, c in enumerate(others)])
-    best = rows.filter(" and ".join(f"{k} is not null" for k in keys)).groupBy(*keys).agg(F.max_by(F.struct(*rows.columns), order).alias("row"))
+    best = rows.filter(" and ".join(f"{k} is not null" for k in keys)).groupBy(*within, *keys).agg(F.max_by(F.struct(*rows.columns), order).alias("row"))
     return best.select("row.*")
 
 
@@ -44,65 +51,150 @@ def ranked_per_key(rows: DataFrame, keys: list[str], *order) -> DataFrame:
 
 
 class Store:
-    """The tables awards, entities and entity_snapshots under a folder."""
+    """The tables awards, entities and entity_snapshots under a folder.
+
+    ``buckets`` holds for tables that this store creates; a table keeps the number that it was created with.
+    """
 
     NEWEST = {"awards": "pulled_at", "entities": "last_pulled_at", "entity_snapshots": None}
+    IGNORES = {"entity_snapshots"}  # existing rows win
 
-    def __init__(self, spark: SparkSession, root: str) -> None:
-        self.spark, self.root = spark, root.rstrip("/")
+    def __init__(self, spark: SparkSession, root: str, buckets: int = BUCKETS, most_layers: int = MOST_LAYERS) -> None:
+        self.spark, self.root, self.buckets, self.most_layers = spark, root.rstrip("/"), buckets, most_layers
 
     def init(self) -> str:
         """Create the tables that aren't there yet; the folder is returned."""
-        for table, schema in TABLES.items():
-            if self._version(table) is None:
-                self._publish(table, self.spark.createDataFrame([], schema))
+        for table in TABLES:
+            log = self._log(table)
+            if not log.numbers():
+                log.publish(1, {"buckets": self.buckets, "rows": 0, "layers": {}, "batches": {}})
         return self.root
 
-    def _version(self, table: str) -> tuple[int, str] | None:
-        try:
-            row = self.spark.read.schema("version long, folder string").parquet(f"{self.root}/{table}/_pointers_").orderBy(F.desc("version"), "folder").first()
-        except AnalysisException:
-            return None
-        return (row["version"], row["folder"]) if row else None
-
-    def _publish(self, table: str, rows: DataFrame) -> None:
-        now = self._version(table)
-        folder = f"v-{uuid.uuid4().hex}"
-        aligned(rows, TABLES[table]).write.parquet(f"{self.root}/{table}/{folder}")
-        pointer = self.spark.createDataFrame([(now[0] + 1 if now else 1, folder)], "version long, folder string")
-        pointer.coalesce(1).write.mode("append").parquet(f"{self.root}/{table}/_pointers_")
-        if self._version(table)[1] != folder:  # readers see the other one; ours was made from the version before it
-            raise RuntimeError(f"another load of {table} was published at the same time; load again")
+    def _log(self, table: str) -> VersionLog:
+        return VersionLog(self.spark, f"{self.root}/{table}/_versions")
+
+    def version(self, table: str) -> tuple[int, dict]:
+        """Number and content of the newest version. Content: number of buckets, rows, layers of each bucket (name and number of the version that brought it, oldest first), last batch of each stream."""
+        return self._log(table).newest() or (0, {"buckets": self.buckets, "rows": 0, "layers": {}, "batches": {}})
+
+    def _layers(self, table: str, layers: dict[str, list], columns: list[str] | None = None) -> DataFrame:
+        """The rows of the named layers with ``bucket`` and ``brought``, the number of the version that brought a layer."""
+        base = f"{self.root}/{table}"
+        schema = TABLES[table]
+        columns = columns or schema.names
+        paths = [f"{base}/layer={name}/bucket={bucket}" for bucket, held in sorted(layers.items()) for name, _ in held]
+        if not paths:
+            return self.spark.createDataFrame([], schema).select(*columns, F.lit(0).alias("bucket"), F.lit(0).cast("long").alias("brought"))
+        rows = self.spark.read.schema(schema).option("basePath", base).parquet(*paths).select(*columns, "layer", F.col("bucket").cast("int").alias("bucket"))
+        names = sorted({(name, number) for held in layers.values() for name, number in held})
+        if len({number for _, number in names}) == 1:
+            return rows.drop("layer").withColumn("brought", F.lit(names[0][1]).cast("long"))
+        numbers = self.spark.createDataFrame(names, "layer string, brought long")  # at most most_layers + 1 to a bucket
+        return rows.join(F.broadcast(numbers), "layer").drop("layer")
+
+    def _merged(self, table: str, layers: dict[str, list], columns: list[str] | None = None) -> DataFrame:
+        """The current rows of the named layers, with their bucket. Only buckets of several layers are merged, by the keys of all layers but the first."""
+        keys, wanted = KEYS[table], columns or TABLES[table].names
+        single = {b: held for b, held in layers.items() if len(held) == 1 or table in self.IGNORES}  # ignored keys were never written
+        several = {b: held for b, held in layers.items() if b not in single}
+        out = self._layers(table, single, wanted).drop("brought")
+        if not several:
+            return out
+        rows = self._layers(table, several, list(dict.fromkeys([*keys, *wanted])))
+        later = self._layers(table, {b: held[1:] for b, held in several.items()}, keys)
+        top = later.groupBy("bucket", *keys).agg(F.max("brought").alias("top"))
+        held = rows.join(top, ["bucket", *keys], "left").filter("top is null or brought = top")
+        return out.unionByName(held.select(*wanted, "bucket"))
 
     def read(self, table: str) -> DataFrame:
         """The newest version, or an empty table."""
-        now = self._version(table)
-        if now is None:
-            return self.spark.createDataFrame([], TABLES[table])
-        return self.spark.read.schema(TABLES[table]).parquet(f"{self.root}/{table}/{now[1]}")
-
-    def load(self, table: str, incoming: DataFrame) -> int:
-        """Upsert rows (snapshots are appended where new); how many rows the table has more than before."""
-        existing, incoming = self.read(table), aligned(incoming, TABLES[table])
-        before = existing.count()
-        if table == "entity_snapshots":
-            rows = append_ignore(existing, incoming, KEYS[table])
-        else:
-            rows = upsert_replace(existing, incoming, KEYS[table], self.NEWEST[table])
-        self._publish(table, rows)
-        return self.read(table).count() - before
+        return self._merged(table, self.version(table)[1]["layers"]).drop("bucket")
+
+    def lookup(self, table: str, keys: DataFrame) -> DataFrame:
+        """The rows of the given keys (as many as a load has): only their buckets are read."""
+        layers, n = (self.version(table)[1][k] for k in ("layers", "buckets"))
+        wanted = keys.select(*KEYS[table], self._bucket(table, n).alias("bucket")).distinct()
+        touched = {str(r["bucket"]) for r in wanted.select("bucket").distinct().collect()}
+        return self._merged(table, {b: held for b, held in layers.items() if b in touched}).join(wanted, [*KEYS[table], "bucket"], "left_semi").drop("bucket")
+
+    @staticmethod
+    def _bucket(table: str, n: int) -> Column:
+        return F.pmod(F.xxhash64(*KEYS[table]), F.lit(n)).cast("int")
+
+    def _write(self, table: str, rows: DataFrame) -> tuple[str, dict[str, int]]:
+        """Write rows (with their bucket) as a layer; its name, and how many rows of it each bucket has."""
+        name = uuid.uuid4().hex
+        path = f"{self.root}/{table}/layer={name}"
+        rows.write.partitionBy("bucket").parquet(path)
+        counts = self.spark.read.schema("bucket int").parquet(path).groupBy("bucket").count().collect()  # one row a bucket
+        return name, {str(r["bucket"]): r["count"] for r in counts}
+
+    def load(self, table: str, incoming: DataFrame, source: str | None = None, batch: int = 0) -> int:
+        """Upsert rows (snapshots are appended where new); how many rows the table has more than before.
+
+        The rows are written once, whatever others publish meanwhile; only for snapshots, where existing rows win, they are
+        written again if others came first. With ``source``, a batch whose number isn't above the last one that was
+        published for it changes nothing: it has been loaded before.
+        """
+        log, keys = self._log(table), KEYS[table]
+        number, content = self.version(table)
+        if source is not None and content["batches"].get(source, -1) >= batch:
+            return 0
+        rows = aligned(incoming, TABLES[table]).withColumn("bucket", self._bucket(table, content["buckets"])).repartition("bucket")
+        rows = newest_per_key(rows, keys, self.NEWEST[table], within=("bucket",))
+        layer = counts = None
+        while True:
+            here = {b: content["layers"][b] for b in (counts or content["layers"]) if b in content["layers"]}
+            existing = self._merged(table, here, keys)
+            if table in self.IGNORES:
+                layer, counts = self._write(table, rows.join(existing, [*keys, "bucket"], "left_anti"))
+                gained = sum(counts.values())
+            else:
+                if layer is None:
+                    layer, counts = self._write(table, rows)
+                    existing = self._merged(table, {b: content["layers"][b] for b in counts if b in content["layers"]}, keys)
+                mine = self._layers(table, {b: [(layer, 0)] for b in counts}, keys).drop("brought")
+                gained = mine.join(existing, [*keys, "bucket"], "left_anti").count()
+            if not counts and source is None:
+                return 0
+            layers = content["layers"] | {b: [*content["layers"].get(b, []), (layer, number + 1)] for b in counts}
+            batches = content["batches"] | ({source: batch} if source is not None else {})
+            if log.publish(number + 1, content | {"rows": content["rows"] + gained, "layers": layers, "batches": batches}):
+                self.compact(table)
+                return gained
+            number, content = self.version(table)
+            if source is not None and content["batches"].get(source, -1) >= batch:
+                return 0
+
+    def compact(self, table: str) -> int:
+        """Merge the layers of each bucket that has more than ``most_layers``; how many buckets that were."""
+        log = self._log(table)
+        number, content = self.version(table)
+        full = {b: held for b, held in content["layers"].items() if len(held) > self.most_layers}
+        if not full:
+            return 0
+        layer, _ = self._write(table, self._merged(table, full).repartition("bucket"))
+        while True:
+            same = {b for b, held in full.items() if content["layers"].get(b, [])[: len(held)] == held}  # or another has compacted it
+            layers = content["layers"] | {b: [(layer, full[b][-1][1]), *content["layers"][b][len(full[b]) :]] for b in same}
+            if not same or log.publish(number + 1, content | {"layers": layers}):
+                return len(same)
+            number, content = self.version(table)
 
     def vacuum(self, table: str, keep: int = 2) -> int:
-        """Delete the folders of all but the newest ``keep`` versions, which readers may still use; how many went."""
-        if keep < 1 or self._version(table) is None:
-            return 0
-        pointers = self.spark.read.schema("version long, folder string").parquet(f"{self.root}/{table}/_pointers_")
-        old = pointers.orderBy(F.desc("version"), "folder").offset(keep).collect()
-        gone = 0
-        for row in old:
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{table}/{row['folder']}")
-            gone += bool(path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True))
-        return gone
+        """Forget all but the newest ``keep`` versions, which readers may still use, and delete what only those had; how many versions went.
+
+        Layers that no version has named yet are left alone: another writer may be about to.
+        """
+        log = self._log(table)
+        numbers = log.numbers()
+        old, new = numbers[:-keep] if keep >= 1 else [], numbers[-keep:]
+        named = lambda these: {(n, b) for v in these for b, held in log.read(v)["layers"].items() for n, _ in held}
+        for name, bucket in sorted(named(old) - named(new)):
+            log.fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(log.folder.getParent(), f"layer={name}/bucket={bucket}"), True)
+        for number in old:
+            log.forget(number)
+        return len(old)
 
     def load_all(self, landing: str) -> dict[str, int]:
         """Load what has landed in ``landing``; a missing folder or file loads nothing."""

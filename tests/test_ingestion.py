@@ -176,32 +176,6 @@ def test_json_records_without_id_are_counted(spark):
     assert out.count() == 1 and seen.get == {"dropped": 1}
 
 
-def test_old_versions_can_be_removed(spark, tmp_path):
-    store = Store(spark, f"file://{tmp_path}/db")
-    assert store.vacuum("entities") == 0
-    store.init()
-    for k in range(4):
-        store.load("entities", spark.createDataFrame([row(ENTITIES, uei=f"U{k}")], ENTITIES))
-    assert store.vacuum("entities") == 3 and store.vacuum("entities") == 0
-    assert store.read("entities").count() == 4 and len([p for p in (tmp_path / "db" / "entities").iterdir() if p.name.startswith("v-")]) == 2
-
-
-def test_a_lost_update_is_noticed(spark, tmp_path):
-    store = Store(spark, f"file://{tmp_path}/db")
-    store.init()
-    rows = spark.createDataFrame([row(ENTITIES, uei="U")], ENTITIES)
-    store.load("entities", rows)
-    now = store._version("entities")
-    plain = store._version
-    seen = iter([(now[0] - 1, "an older one")])
-    store._version = lambda table: next(seen, None) or plain(table)
-    other = "v-0000"  # another writer's pointer of the version that this load is about to publish
-    spark.createDataFrame([(now[0], other)], "version long, folder string").write.mode("append").parquet(f"file://{tmp_path}/db/entities/_pointers_")
-    rows.write.parquet(f"file://{tmp_path}/db/entities/{other}")
-    with pytest.raises(RuntimeError):
-        store._publish("entities", rows)
-
-
 def test_listing(spark):
     rows = spark.createDataFrame([("<Key>FY2024_075_Contracts_Full_20260406.zip<Key>FY2024_075_Contracts_Full_20260506.zip",), ("FY2024_075_Contracts_Delta_20270101.zip",)], "text string")
     assert latest_snapshot(rows).first()["latest"] == "20260506"

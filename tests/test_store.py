@@ -1,0 +1,191 @@
+"""The store: layers and buckets, writers that race, batches that run again, compaction and the removal of old versions."""
+
+from __future__ import annotations
+
+import threading
+from datetime import date, datetime
+from pathlib import Path
+
+import pytest
+from pyspark.sql import functions as F
+
+from awardlens.functions.schemas import ENTITIES, KEYS, SNAPSHOTS
+from awardlens.plans.store import Store, append_ignore, upsert_replace
+from awardlens.plans.versions import VersionLog
+
+
+def entities(spark, names: dict, day: int = 1):
+    rows = [{f.name: None for f in ENTITIES} | {"uei": u, "legal_business_name": n, "last_pulled_at": datetime(2026, 1, day)} for u, n in names.items()]
+    return spark.createDataFrame([tuple(r.values()) for r in rows], ENTITIES)
+
+
+def snapshots(spark, names: dict):
+    rows = [{f.name: None for f in SNAPSHOTS} | {"uei": u, "snapshot_date": date(2026, 1, 1), "legal_business_name": n} for u, n in names.items()]
+    return spark.createDataFrame([tuple(r.values()) for r in rows], SNAPSHOTS)
+
+
+def held(store, table="entities") -> dict:
+    rows = store.read(table).select("uei", "legal_business_name").collect()
+    assert len(rows) == len({r["uei"] for r in rows}) == store.version(table)[1]["rows"]
+    return {r["uei"]: r["legal_business_name"] for r in rows}
+
+
+def files(folder: Path) -> dict[str, int]:
+    return {str(p): p.stat().st_mtime_ns for p in folder.rglob("*.parquet")}
+
+
+def made(spark, tmp_path, **how) -> Store:
+    store = Store(spark, f"file://{tmp_path}/db", **how)
+    store.init()
+    return store
+
+
+def test_a_number_is_given_once(spark, tmp_path):
+    log = VersionLog(spark, f"file://{tmp_path}/log")
+    assert log.newest() is None and log.publish(1, {"by": "a"}) and not log.publish(1, {"by": "b"})
+    assert log.newest() == (1, {"by": "a"})
+    won = []
+    racers = [threading.Thread(target=lambda k=k: won.append(k) if VersionLog(spark, f"file://{tmp_path}/log").publish(2, {"by": k}) else None) for k in range(8)]
+    for r in racers:
+        r.start()
+    for r in racers:
+        r.join()
+    assert won == [log.newest()[1]["by"]] and [p.name for p in (tmp_path / "log").iterdir() if p.name.startswith("_")] == []
+
+
+def test_loads_match_plain_upserts(spark, tmp_path):
+    store = made(spark, tmp_path, buckets=4, most_layers=2)
+    want, frozen = entities(spark, {}), snapshots(spark, {})
+    for k in range(5):
+        part = {f"U{i}": f"{k}" for i in range(k * 5, k * 5 + 12)}
+        rows, shots = entities(spark, part), snapshots(spark, part)
+        before = want.count()
+        want = upsert_replace(want, rows, KEYS["entities"], "last_pulled_at")
+        frozen = append_ignore(frozen, shots, KEYS["entity_snapshots"])
+        assert store.load("entities", rows) == want.count() - before == store.load("entity_snapshots", shots)
+        for table, plain in (("entities", want), ("entity_snapshots", frozen)):
+            assert store.read(table).exceptAll(plain).count() == plain.exceptAll(store.read(table)).count() == 0
+            assert all(len(layers) <= 2 for layers in store.version(table)[1]["layers"].values())
+    held(store), held(store, "entity_snapshots")
+
+
+def test_a_load_touches_only_its_buckets(spark, tmp_path):
+    store = made(spark, tmp_path, buckets=16)
+    store.load("entities", entities(spark, {f"U{i}": "old" for i in range(400)}))
+    before = files(tmp_path)
+    assert store.load("entities", entities(spark, {"U7": "new", "V1": "new"})) == 1
+    after = files(tmp_path)
+    assert all(after[p] == t for p, t in before.items())  # nothing was rewritten
+    added = {Path(p).parent.name for p in after if p not in before}
+    assert 1 <= len(added) <= 2 and len(after) - len(before) <= 2
+    assert {**{f"U{i}": "old" for i in range(400)}, "U7": "new", "V1": "new"} == held(store)
+
+
+def test_reads_prune_buckets(spark, tmp_path):
+    store = made(spark, tmp_path, buckets=16)
+    store.load("entities", entities(spark, {f"U{i}": "old" for i in range(400)}))
+    store.load("entities", entities(spark, {"U7": "new"}))
+    found = store.lookup("entities", spark.createDataFrame([("U7",), ("none",)], "uei string"))
+    assert [r["legal_business_name"] for r in found.collect()] == ["new"]
+    assert {p.split("bucket=")[1].split("/")[0] for p in found.inputFiles()} <= {str(r["b"]) for r in spark.createDataFrame([("U7",), ("none",)], "uei string").select(F.pmod(F.xxhash64("uei"), F.lit(16)).alias("b")).collect()}
+
+
+@pytest.mark.parametrize("first", [0, 1])
+def test_racing_loads_keep_all_rows(spark, tmp_path, first):
+    """Both loads look at the same version; the one that publishes second does so on top of the other, in either order."""
+    names = [{"A": "a", "both": "a"}, {"B": "b", "both": "b"}]
+    mine, other = names[first], names[1 - first]
+    store, rival = made(spark, tmp_path), Store(spark, f"file://{tmp_path}/db")
+    store.load("entities", entities(spark, {"old": "x"}))
+    plain, once = store._write, []
+
+    def late(table, rows):
+        out = plain(table, rows)
+        if not once:
+            once.append(rival.load("entities", entities(spark, other)))
+        return out
+
+    store._write = late
+    assert store.load("entities", entities(spark, mine)) == 1 and once == [2]
+    assert held(store) == {"old": "x"} | other | mine
+
+
+def test_racing_appends_keep_the_first(spark, tmp_path):
+    store, rival = made(spark, tmp_path), Store(spark, f"file://{tmp_path}/db")
+    plain, once = store._write, []
+
+    def late(table, rows):
+        out = plain(table, rows)
+        if not once:
+            once.append(rival.load(table, snapshots(spark, {"A": "first", "B": "first"})))
+        return out
+
+    store._write = late
+    assert store.load("entity_snapshots", snapshots(spark, {"B": "second", "C": "second"})) == 1
+    assert held(store, "entity_snapshots") == {"A": "first", "B": "first", "C": "second"}
+
+
+def test_loads_at_the_same_time(spark, tmp_path):
+    made(spark, tmp_path, buckets=4, most_layers=2)
+    gained, wrong = [], []
+
+    def run(k: int) -> None:
+        try:
+            gained.append(Store(spark, f"file://{tmp_path}/db", most_layers=2).load("entities", entities(spark, {f"U{k}-{i}": str(k) for i in range(20)})))
+        except Exception as e:  # noqa: BLE001
+            wrong.append(e)
+
+    threads = [threading.Thread(target=run, args=(k,)) for k in range(5)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert not wrong and gained == [20] * 5
+    assert held(Store(spark, f"file://{tmp_path}/db")) == {f"U{k}-{i}": str(k) for k in range(5) for i in range(20)}
+
+
+def test_a_batch_that_runs_again_changes_nothing(spark, tmp_path):
+    store = made(spark, tmp_path)
+    assert store.load("entities", entities(spark, {"A": "1"}), source="s", batch=0) == 1
+    assert store.load("entities", entities(spark, {"A": "2"}), source="s", batch=1) == 0
+    number = store.version("entities")[0]
+    assert store.load("entities", entities(spark, {"A": "1", "B": "1"}), source="s", batch=0) == 0
+    assert store.load("entities", entities(spark, {"A": "1"}), source="s", batch=1) == 0
+    assert store.version("entities")[0] == number and held(store) == {"A": "2"}
+    assert store.load("entities", entities(spark, {"B": "1"}), source="other", batch=0) == 1
+
+
+def test_compaction_keeps_what_comes_meanwhile(spark, tmp_path):
+    store = made(spark, tmp_path, buckets=1, most_layers=9)
+    for k in range(4):
+        store.load("entities", entities(spark, {"A": str(k), f"B{k}": str(k)}))
+    compactor, plain = Store(spark, f"file://{tmp_path}/db", most_layers=2), Store._write
+    compactor._write = lambda table, rows: (plain(compactor, table, rows), store.load("entities", entities(spark, {"A": "last"})))[0]
+    assert compactor.compact("entities") == 1
+    assert len(store.version("entities")[1]["layers"]["0"]) == 2
+    assert held(store) == {"A": "last"} | {f"B{k}": str(k) for k in range(4)}
+
+
+def test_odd_loads(spark, tmp_path):
+    store = made(spark, tmp_path)
+    number = store.version("entities")[0]
+    assert store.load("entities", entities(spark, {})) == 0 and store.version("entities")[0] == number
+    assert store.load("entities", entities(spark, {None: "no key"})) == 0 and held(store) == {}
+    twice = entities(spark, {"A": "early"}, 1).union(entities(spark, {"A": "late"}, 2))
+    assert store.load("entities", twice.withColumns({"bucket": F.lit(9), "layer": F.lit("x")})) == 1 and held(store) == {"A": "late"}
+    assert Store(spark, f"file://{tmp_path}/none").read("awards").count() == 0
+
+
+def test_old_versions_can_be_removed(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/db", buckets=1, most_layers=2)
+    assert store.vacuum("entities") == 0
+    store.init()
+    for k in range(4):
+        store.load("entities", entities(spark, {f"U{k}": "x"}))
+    pending = store._write("entities", entities(spark, {"P": "not yet published"}).withColumn("bucket", F.lit(0)))[0]
+    versions = store.version("entities")[0]
+    assert store.vacuum("entities") == versions - 2 and store.vacuum("entities") == 0
+    assert held(store) == {f"U{k}": "x" for k in range(4)}
+    named = {n for layers in store.version("entities")[1]["layers"].values() for n, _ in layers}
+    layers = {p.parent.parent.name.removeprefix("layer=") for p in tmp_path.rglob("*.parquet")}
+    assert named | {pending} <= layers and len(layers) <= 5
