@@ -309,9 +309,10 @@ def _ranked(sets: DataFrame) -> DataFrame:
 def _links(shards: DataFrame, sets: DataFrame, similarity: float, rounds: int = ROUNDS) -> DataFrame:
     """(u, v): verified links such that all linked pairs that share a shard are connected.
 
-    In each round a shard has a vantage point, the most central of the members that aren't connected with an earlier one, and all
-    members that aren't connected with it are compared with it on their whole sets. Of the members that are left
-    unconnected, those that share one of their rarest shingles are compared in the end (see :func:`_rest`), but for pairs
+    First each class meets one vantage point only, the most central member of its largest shard: copies share most of their
+    shards, and one of these connects them. In each round after that a shard has a vantage point, the most central of the
+    members that aren't connected with an earlier one, and all members that aren't connected with it are compared with it on
+    their whole sets. Of the members that are left unconnected, those that share one of their rarest shingles are compared in the end (see :func:`_rest`), but for pairs
     that the triangle inequality rules out: the share of unequal shingles is a metric, so that linked members lie about
     equally far from a vantage point.
     """
@@ -319,8 +320,10 @@ def _links(shards: DataFrame, sets: DataFrame, similarity: float, rounds: int =
     apart = 1 - similarity + 1e-9
     ranked = cut(_ranked(sets), "simhash-ranked")
     members = cut(shards.join(ranked.select("node", "central"), "node", "left"), "simhash-members")
-    rooted, links, used, gaps = members.withColumn("root", F.col("node")), None, None, None
-    for k in range(rounds):
+    sizes = members.groupBy("shard").agg(F.count(F.lit(1)).alias("size"))
+    largest = members.join(sizes, "shard").groupBy("node").agg(F.max_by(F.struct("shard", "central"), F.struct("size", "shard")).alias("m")).select("node", "m.*")
+    rooted, links, used, gaps = largest.withColumn("root", F.col("node")), None, None, None
+    for k in range(rounds + 1):
         if used is None:
             rooted = rooted.withColumn("met", F.lit(False))
         else:
@@ -336,7 +339,8 @@ def _links(shards: DataFrame, sets: DataFrame, similarity: float, rounds: int =
         gap = met.join(seen, ["u", "v"]).select(F.col("u").alias("node"), F.xxhash64("shard", F.lit(k)).alias("point"), (1 - F.col("common") / F.col("whole")).alias("d"))
         gaps = gap if gaps is None else gaps.union(gap)
         point = points.select("shard", F.col("v").alias("node"))
-        used = point if used is None else used.union(point)
+        if k:  # the first meeting was of a shard's part only
+            used = point if used is None else used.union(point)
         rooted = cut(_rooted(members, links), "simhash-rooted")
     # shards in which all members are connected are done
     open_ = rooted.groupBy("shard").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("shard")
