@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expressions import AWARD_TYPES, award_date, column
 from ..functions.schemas import AWARDS
+from .csv_blocks import csv_records
 from .landing import land_labelled
 from .listing import prime_files
 
@@ -41,14 +42,18 @@ HEADERS_AT_ONCE = 8
 def scan_csv(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """All columns as text: inference would make numbers of ids. Columns that aren't used later aren't parsed.
 
-    Quoted values may hold line breaks, commas and doubled quotes, so that a file is read by one task; archives come in
-    members of bounded size. Rows that are too short have nulls at their end.
+    Quoted values may hold line breaks, commas and doubled quotes; a file is nevertheless read by as many tasks as it has
+    blocks (:mod:`.csv_blocks`). Rows that are too short have nulls at their end, further values are passed over.
     """
-    return spark.read.option("header", True).option("mode", "PERMISSIVE").option("escape", '"').option("multiLine", True).csv(path)
+    header = csv_header(spark, path)
+    if not header:
+        return spark.read.option("header", True).csv(path)
+    columns = ", ".join(f"`{c.replace('`', '``')}` string" for c in header)
+    return csv_records(spark, path).select(F.from_csv("record", columns, {"escape": '"', "mode": "PERMISSIVE"}).alias("r")).select("r.*")
 
 
-def csv_header(spark: SparkSession, path: str) -> tuple[str, ...]:
-    """The columns that a file's first line names; none for an empty file."""
+def csv_header(spark: SparkSession, path: str | list[str]) -> tuple[str, ...]:
+    """The columns that a file's first line names, of several files the first one's; none for an empty file."""
     return tuple(spark.read.option("header", True).option("escape", '"').csv(path).columns)
 
 
