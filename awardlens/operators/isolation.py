@@ -1,11 +1,13 @@
 """Multivariate isolation: recipients that few random cuts set apart from the others.
 
 Trees are grown in parallel on hashed samples of bounded size; the forest, whose size doesn't depend on the input, then
-scores every recipient in Arrow batches.
+scores every recipient in Arrow batches. Samples, features and cuts follow from MD5 digests of recipient, tree and node,
+points lie on a grid of whole numbers and depths are whole billionths, so that any engine can replay the forest.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 
@@ -22,6 +24,7 @@ from .results import positive_awards, result
 
 FEATURES = ["log_total_dollars", "award_count", "unique_agencies_count", "naics_diversity", "competition_ratio", "modification_frequency", "entity_age_days"]
 CONTAMINATION, TREES, SAMPLE, SEED = 0.05, 100, 256, 42
+GRID, NANO = 1_000_000_000, 1_000_000_000  # steps of a scaled feature; units of a depth
 Forest = list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
 
 
@@ -59,60 +62,69 @@ def path_correction(n: np.ndarray) -> np.ndarray:
     return np.where(n > 2, 2 * (np.log(np.maximum(n - 1, 1)) + np.euler_gamma) - 2 * (n - 1) / np.maximum(n, 1), np.where(n == 2, 1.0, 0.0))
 
 
-def _grow(points: np.ndarray, rng: np.random.Generator, limit: int) -> list[tuple[int, float, int, int, float]]:
-    """Nodes (feature or -1, cut, left, right, depth with correction) of one tree; cuts are uniform within the range."""
-    nodes: list[tuple[int, float, int, int, float]] = [(-1, 0.0, 0, 0, 0.0)]
-    waiting = [(0, points, 0)]
+def _grow(points: np.ndarray, tree: int, seed: int, limit: int) -> list[tuple[int, float, int, int, int]]:
+    """Rows (feature or -1, cut, left, right, depth with correction) of one tree; cuts lie within the node's range.
+
+    Node 1 is the root, 2 k and 2 k + 1 are the halves of node k; the digest of a node's number picks its feature and cut.
+    """
+    rows: list[tuple[int, float, int, int, int]] = [(-1, 0.0, 0, 0, 0)]
+    waiting = [(0, 1, points, 0)]
     while waiting:
-        at, part, depth = waiting.pop()
+        at, node, part, depth = waiting.pop()
         low, high = part.min(axis=0), part.max(axis=0)
         open_ = np.flatnonzero(high > low)
         if depth >= limit or len(part) < 2 or not len(open_):
-            nodes[at] = (-1, 0.0, 0, 0, depth + float(path_correction(np.array(len(part)))))
+            rows[at] = (-1, 0.0, 0, 0, depth * NANO + math.floor(float(path_correction(np.array(len(part)))) * NANO + 0.5))
             continue
-        f = int(rng.choice(open_))
-        cut = float(rng.uniform(low[f], high[f]))
+        digest = hashlib.md5(f"{seed}:{tree}:{node}".encode()).hexdigest()
+        f = int(open_[int(digest[:8], 16) % len(open_)])
+        cut = float(low[f] + (high[f] - low[f]) * (int(digest[8:21], 16) / 2.0**52))
         side = part[:, f] <= cut
-        left, right = len(nodes), len(nodes) + 1
-        nodes += [(-1, 0.0, 0, 0, 0.0)] * 2
-        nodes[at] = (f, cut, left, right, 0.0)
-        waiting += [(left, part[side], depth + 1), (right, part[~side], depth + 1)]
-    return nodes
+        left, right = len(rows), len(rows) + 1
+        rows += [(-1, 0.0, 0, 0, 0)] * 2
+        rows[at] = (f, cut, left, right, 0)
+        waiting += [(left, 2 * node, part[side], depth + 1), (right, 2 * node + 1, part[~side], depth + 1)]
+    return rows
+
+
+def _gridded(points: pd.DataFrame) -> np.ndarray:
+    return np.floor(points[FEATURES].to_numpy(float) * GRID + 0.5)
 
 
 def forest(points: DataFrame, n: int, trees: int = TREES, sample: int = SAMPLE, seed: int = SEED) -> Forest:
-    """Trees over samples chosen by hashes of recipient and tree: rows are kept first and multiplied after."""
+    """Trees over samples chosen by digests of recipient and tree (one for four trees): rows are kept first and multiplied after."""
     size = min(sample, n)
     share = 1.0 if n <= size else min(1.0, (size + 6 * math.sqrt(size)) / n)
-    each = F.sequence(F.lit(0), F.lit(trees - 1))
-    h = lambda t: F.pmod(F.xxhash64(F.col("uei"), t, F.lit(seed)), F.lit(1 << 40))
-    kept = points.withColumn("tree", F.explode(F.filter(each, lambda t: h(t) <= int(share * (1 << 40)))))
-    kept = kept.withColumn("rank", F.row_number().over(Window.partitionBy("tree").orderBy(h(F.col("tree")), "uei"))).filter(F.col("rank") <= size)
+    most = f"{min(math.ceil(share * (1 << 32)), (1 << 32) - 1):08x}"
+    digests = F.transform(F.sequence(F.lit(0), F.lit((trees - 1) // 4)), lambda g: F.md5(F.concat("uei", F.lit(f":{seed}:"), g.cast("string"))))
+    each = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(t.alias("tree"), F.substr(F.get("digests", F.floor(t / 4).cast("int")), 1 + 8 * (t % 4), F.lit(8)).alias("h")))
+    chosen = points.withColumn("digests", digests).withColumn("chosen", F.explode(F.filter(each, lambda x: x["h"] <= most))).select("uei", *FEATURES, "chosen.*")
+    kept = chosen.withColumn("rank", F.row_number().over(Window.partitionBy("tree").orderBy("h", "uei"))).filter(F.col("rank") <= size)
 
     def build(group: pd.DataFrame) -> pd.DataFrame:
         t = int(group["tree"].iloc[0])
-        nodes = _grow(group.sort_values("uei")[FEATURES].to_numpy(float), np.random.default_rng((seed, t)), max(1, math.ceil(math.log2(max(size, 2)))))
-        return pd.DataFrame([(t, k, *node) for k, node in enumerate(nodes)], columns=["tree", "node", "feature", "cut", "left", "right", "depth"])
+        rows = _grow(_gridded(group), t, seed, max(1, math.ceil(math.log2(max(size, 2)))))
+        return pd.DataFrame([(t, k, *row) for k, row in enumerate(rows)], columns=["tree", "node", "feature", "cut", "left", "right", "depth"])
 
-    table = kept.groupBy("tree").applyInPandas(build, "tree long, node long, feature long, cut double, left long, right long, depth double").toPandas().sort_values(["tree", "node"])
+    table = kept.groupBy("tree").applyInPandas(build, "tree long, node long, feature long, cut double, left long, right long, depth long").toPandas().sort_values(["tree", "node"])
     return [tuple(g[c].to_numpy() for c in ("feature", "cut", "left", "right", "depth")) for _, g in table.groupby("tree")]
 
 
 def anomaly_scores(points: DataFrame, n: int, trees: int = TREES, sample: int = SAMPLE, seed: int = SEED) -> DataFrame:
-    """(uei, raw): minus 2^(-mean depth / expected depth); higher is more normal."""
+    """(uei, raw): minus 2^(-mean depth / expected depth) to nine places; higher is more normal."""
     grown, scale = forest(points, n, trees, sample, seed), max(float(path_correction(np.array(min(sample, n)))), 1e-9)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            x = batch[FEATURES].to_numpy(float)
-            total, rows = np.zeros(len(x)), np.arange(len(x))
+            x = _gridded(batch)
+            total, rows = np.zeros(len(x), np.int64), np.arange(len(x))
             for feature, cut, left, right, depth in grown:
                 at = np.zeros(len(x), int)
                 while (going := feature[at] >= 0).any():
                     r, node = rows[going], at[going]
                     at[going] = np.where(x[r, feature[node]] <= cut[node], left[node], right[node])
                 total += depth[at]
-            yield pd.DataFrame({"uei": batch["uei"], "raw": -np.exp2(-total / max(len(grown), 1) / scale)})
+            yield pd.DataFrame({"uei": batch["uei"], "raw": np.round(-np.exp2(-(total / NANO / max(len(grown), 1)) / scale), 9)})
 
     return points.mapInPandas(run, "uei string, raw double")
 

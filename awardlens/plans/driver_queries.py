@@ -10,7 +10,7 @@ from ..functions.schemas import AWARDS, SNAPSHOTS
 from ..operators.benford import benford_statistics, detect_benford, digit_histogram
 from ..operators.fresh_vendor import detect_new_entity_sole_source, earliest_worst
 from ..operators.growth import detect_mod_growth, growth_ratios, worst_contracts
-from ..operators.isolation import FEATURES, detect_isolation_outlier, imputed, recipient_features, scaled
+from ..operators.isolation import CONTAMINATION, FEATURES, detect_isolation_outlier, imputed, recipient_features, scaled
 from ..operators.results import all_detectors, top
 from ..sources.csv_awards import apply_policy, map_awards, scan_csv
 from ..sources.json_records import award_records, entity_records
@@ -18,6 +18,7 @@ from ..sources.listing import latest_snapshot, prime_files
 from ..sources.scratch import scratch_path, written
 from .bindings import AS_OF, AWARDS_SQL, ENTITIES_SQL, NEW_AWARDS_FROM, awards, entities
 from . import landing_queries
+from .forest_sql import FOREST_SQL
 from .incremental import agency_policy, build_snapshot, capped_date_chunks, fiscal_windows, load_windows, refresh_list, seed_plan
 from .policies import AGENCIES, DEFAULTS, POLICY_ROWS, YEARS
 from .store import Store, ranked_per_key
@@ -60,12 +61,16 @@ def isolation_features_scaled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def isolation_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return detect_isolation_outlier(awards(spark, sf_dir), entities(spark, sf_dir), AS_OF)
+    """The forest's outliers with the numbers of their details."""
+    found = detect_isolation_outlier(awards(spark, sf_dir), entities(spark, sf_dir), AS_OF)
+    told = found.select("uei", "score", F.from_json("details", f"feature_vector struct<{', '.join(f'{c}: double' for c in FEATURES)}>, raw_anomaly_score double, contamination_param double").alias("d"))
+    return _rounded(told.select("uei", "score", "d.raw_anomaly_score", "d.contamination_param", "d.feature_vector.*"))
 
 
 def detector_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, e = written(awards(spark, sf_dir), "awards"), entities(spark, sf_dir)
-    return all_detectors(detect_benford(a), detect_mod_growth(a), detect_new_entity_sole_source(a, e), detect_isolation_outlier(a, e, AS_OF))
+    rows = all_detectors(detect_benford(a), detect_mod_growth(a), detect_new_entity_sole_source(a, e), detect_isolation_outlier(a, e, AS_OF))
+    return _rounded(rows.select("uei", "detector", "score"))
 
 
 def top_entities_by_detector(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -260,6 +265,11 @@ ORACLES = {
     "isolation_features": _oracle(AWARDS_SQL, ENTITIES_SQL, _FEATURES_SQL, select="SELECT uei, " + ", ".join(f"ROUND({c}, 6) AS {c}" for c in FEATURES) + " FROM features"),
     "isolation_features_scaled": _oracle(AWARDS_SQL, ENTITIES_SQL, _FEATURES_SQL, select="SELECT uei, " + ", ".join(f"ROUND(CASE WHEN MAX({c}) OVER () > MIN({c}) OVER () THEN "
         f"({c} - MIN({c}) OVER ()) / (MAX({c}) OVER () - MIN({c}) OVER ()) ELSE 0 END, 6) AS {c}" for c in FEATURES) + " FROM full_features"),
+    "isolation_outliers": _oracle(AWARDS_SQL, ENTITIES_SQL, _FEATURES_SQL, FOREST_SQL, select=f"SELECT uei, score, ROUND(raw, 6) AS raw_anomaly_score, {CONTAMINATION}::DOUBLE AS contamination_param, " + ", ".join(f"ROUND({c}, 6) AS {c}" for c in FEATURES) + " FROM forest_rows"),
+    "detector_results": _oracle(
+        AWARDS_SQL, ENTITIES_SQL, _DIGITS_SQL, _BENFORD_SQL, _RATIOS_SQL, _GROWTH_SQL, _FRESH_SQL, _FEATURES_SQL, FOREST_SQL,
+        select=" UNION ALL ".join(f"SELECT uei, '{d}' AS detector, score FROM {t}" for d, t in (("benford", "benford"), ("mod_growth", "growth"), ("new_entity", "fresh"), ("isolation", "forest_rows"))),
+    ),
     "top_entities_by_detector": _oracle(
         AWARDS_SQL, ENTITIES_SQL, _DIGITS_SQL, _BENFORD_SQL, _RATIOS_SQL, _GROWTH_SQL, _FRESH_SQL,
         select=" UNION ALL ".join(f"SELECT * FROM (SELECT uei, '{d}' AS detector, score FROM {t} ORDER BY score DESC, uei LIMIT 10)" for d, t in (("benford", "benford"), ("mod_growth", "growth"), ("new_entity", "fresh"))),
