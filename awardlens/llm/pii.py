@@ -33,6 +33,7 @@ CARD = r"(?<![\w])(?:\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4}|\d{4}[ -]\d{6}[ -]\d{5}|\d
 ANY = "|".join((EMAIL, IPV4, SSN, PHONE, ISO_DATE, SLASH_DATE, DOT_DATE, CARD))
 DAYS = 73049  # 1900-01-01 to 2099-12-31; 319 * 229 is the next product of two like factors
 DAY_FACTORS = (319, 229)
+MOST_STEPS = 80  # of a walk to a day above 12; 0.4 to the 80th is 1e-32
 
 
 def feistel(kind: str, left: Column, right: Column, a: Column | int, b: Column | int, key: str, inverse: bool = False, rounds: int = ROUNDS) -> Column:
@@ -105,10 +106,16 @@ def _card(value: Column, key: str, inverse: bool) -> Column:
 
 
 def _phone(value: Column, key: str, inverse: bool) -> Column:
+    """Area and exchange codes begin with 2 to 9; each stays on its side of 200, so that a number in use becomes another such number."""
+
     def permuted(d: Column) -> Column:
         body = F.right(d, F.lit(10))
-        new = feistel("phone", F.substr(body, F.lit(1), F.lit(6)).cast("long"), F.substr(body, F.lit(7), F.lit(4)).cast("long"), 1_000_000, 10_000, key, inverse)
-        return _refill(value, _let(new, lambda x: F.concat(F.substr(d, F.lit(1), F.length(d) - 10), _pad(x["l"], 6), _pad(x["r"], 4))))
+        area, exchange = (F.substr(body, F.lit(k), F.lit(3)).cast("long") for k in (1, 4))
+        least, many = (lambda code, x=x: F.when(code >= 200, x[0]).otherwise(x[1]) for x in ((200, 0), (800, 200)))
+        code = (area - least(area)) * many(exchange) + exchange - least(exchange)
+        new = feistel("phone", code, F.substr(body, F.lit(7), F.lit(4)).cast("long"), many(area) * many(exchange), F.lit(10_000), key, inverse)
+        back = lambda x: F.concat(_pad(F.floor(x["l"] / many(exchange)) + least(area), 3), _pad(x["l"] % many(exchange) + least(exchange), 3))
+        return _refill(value, _let(new, lambda x: F.concat(F.substr(d, F.lit(1), F.length(d) - 10), back(x), _pad(x["r"], 4))))
 
     return _let(_digits(value), permuted)
 
@@ -137,21 +144,27 @@ def _ipv4(value: Column, key: str, inverse: bool) -> Column:
     return _let(F.split(value, r"\."), permuted)
 
 
-def _day(date: Column, key: str, inverse: bool) -> Column:
-    """A date permuted within 1900-2099. The network covers two numbers more; from those it walks on to the next."""
+def _day(date: Column, key: str, inverse: bool, day_first: bool) -> Column:
+    """A date permuted within 1900-2099, or within the days above 12 of these (``day_first``).
+
+    The network covers two numbers more; from those, and from days that aren't meant, it walks on to the next. Two in five
+    days are 12 and below: no walk is ``MOST_STEPS`` long.
+    """
     a, b = DAY_FACTORS
+    since = F.lit("1900-01-01").cast("date")
 
     def walk(x: Column, _i: Column) -> Column:
         new = feistel("date", F.floor(x / b), x % b, a, b, key, inverse)
-        return F.when((_i == 0) | (x >= DAYS), _let(new, lambda y: (y["l"] * b + y["r"]).cast("long"))).otherwise(x)
+        outside = (x >= DAYS) | (F.dayofmonth(F.date_add(since, x.cast("int"))) <= 12) if day_first else x >= DAYS
+        return F.when((_i == 0) | outside, _let(new, lambda y: (y["l"] * b + y["r"]).cast("long"))).otherwise(x)
 
-    start = F.datediff(date, F.lit("1900-01-01").cast("date")).cast("long")
-    return F.date_add(F.lit("1900-01-01").cast("date"), F.aggregate(F.sequence(F.lit(0), F.lit(2)), start, walk).cast("int"))
+    start = F.datediff(date, since).cast("long")
+    return F.date_add(since, F.aggregate(F.sequence(F.lit(0), F.lit(MOST_STEPS if day_first else 2)), start, walk).cast("int"))
 
 
-def _date(value: Column, layout: str, key: str, inverse: bool) -> Column:
+def _date(value: Column, layout: str, key: str, inverse: bool, day_first: bool = False) -> Column:
     parsed = F.try_to_date(value, layout)
-    return F.when(parsed.isNotNull(), F.date_format(_day(parsed, key, inverse), layout))
+    return F.when(parsed.isNotNull(), F.date_format(_day(parsed, key, inverse, day_first), layout))
 
 
 def _email(value: Column, key: str) -> Column:
@@ -161,7 +174,7 @@ def _email(value: Column, key: str) -> Column:
 def pseudonym(value: Column, key: str, inverse: bool = False) -> Column:
     """The pseudonym of one value that :data:`ANY` matched; values that fail their validation stay."""
     whole = lambda pattern: value.rlike(f"^(?:{pattern})$")
-    slash = F.coalesce(_date(value, "MM/dd/yyyy", key, inverse), _date(value, "dd/MM/yyyy", key, inverse), value)
+    slash = F.coalesce(_date(value, "MM/dd/yyyy", key, inverse), _date(value, "dd/MM/yyyy", key, inverse, day_first=True), value)
     return (
         F.when(value.contains("@"), value if inverse else _email(value, key))
         .when(whole(IPV4), _ipv4(value, key, inverse))
@@ -182,7 +195,8 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", inverse: boo
     null with 0 values, an empty one empty. Texts may be of any length; repeated rows get equal results, an empty table
     an empty one. Any text may hold the marker characters used inside; they come back unchanged. Numbers that fail
     their check (Luhn, calendar, octets) are no personal data here and stay. ``inverse`` brings permuted values back;
-    e-mail digests can't be reversed, and a slashed date that is only valid day first may come back month first.
+    e-mail digests can't be reversed. A slashed date is month first where it can be; those that are only valid day first are
+    permuted among themselves, so that different texts stay different and each is read back by its own layout.
     """
     if not key:
         raise ValueError("pseudonyms need a key")

@@ -39,8 +39,8 @@ def test_matches_a_plain_version(spark):
     left, right = plain_feistel("ssn", 122 * 99 + 44, 6788, 898 * 99, 9999)
     area = left // 99 + 1
     assert r[1]["text"] == f"ssn {area + (area >= 666):03d}-{left % 99 + 1:02d}-{right + 1:04d}"
-    left, right = plain_feistel("phone", 301555, 3824, 10**6, 10**4)
-    assert r[2]["text"] == f"call ({left // 1000:03d}) {left % 1000:03d}-{right:04d}"
+    left, right = plain_feistel("phone", 101 * 800 + 355, 3824, 640_000, 10**4)
+    assert r[2]["text"] == f"call ({left // 800 + 200:03d}) {left % 800 + 200:03d}-{right:04d}"
     left, right = plain_feistel("card", 1111111, 1111111, 10**7, 10**7)
     digits = re.sub(r"\D", "", r[3]["text"])
     assert digits[:15] == f"4{left:07d}{right:07d}" and luhn(digits) and re.fullmatch(r"pay \d{4} \d{4} \d{4} \d{4}", r[3]["text"])
@@ -76,6 +76,29 @@ def test_marks_in_texts_and_round_trip(spark):
     assert P.pseudonymise(spark.createDataFrame([], "doc_id int, text string"), KEY).count() == 0
 
 
+@pytest.mark.parametrize("layout", ["MM/dd/yyyy", "dd/MM/yyyy", "dd.MM.yyyy", "yyyy-MM-dd"])
+def test_distinct_dates_stay_distinct_in_all_layouts(spark, layout):
+    """All dates of 1900-2099 as texts, of slashed ones those of both layouts together: no two share a pseudonym, and each comes back."""
+    every = spark.range(0, P.DAYS).select(F.date_add(F.lit("1900-01-01").cast("date"), F.col("id").cast("int")).alias("day"))
+    texts = every.select(F.date_format("day", layout).alias("doc_id"))
+    if "/" in layout:
+        texts = texts.union(every.select(F.date_format("day", "MM/dd/yyyy" if layout[0] == "d" else "dd/MM/yyyy").alias("doc_id"))).distinct()
+    texts = texts.repartition(8)
+    out = P.pseudonymise(texts.withColumn("text", F.col("doc_id")), KEY)
+    back = P.pseudonymise(out.drop("pii_values"), KEY, inverse=True).withColumnRenamed("text", "back").drop("pii_values")
+    n, distinct, same, kept = out.join(back, "doc_id").agg(F.count(F.lit(1)), F.count_distinct("text"), F.count_if(F.col("back") == F.col("doc_id")), F.count_if(F.length("text") == 10)).first()
+    assert n == distinct == same == kept == texts.count() >= P.DAYS
+
+
+def test_phones_stay_valid_and_distinct(spark):
+    rows = spark.range(3000).select(F.col("id").alias("doc_id"), F.format_string("%03d-%03d-%04d", F.col("id") * 7 % 800 + 200, F.col("id") % 800 + 200, F.col("id") * 3 % 10000).alias("text"))
+    out = P.pseudonymise(rows, KEY)
+    assert out.filter(F.col("text").rlike(r"^[2-9]\d\d-[2-9]\d\d-\d{4}$")).count() == 3000 == out.select("text").distinct().count()
+    assert P.pseudonymise(out.drop("pii_values"), KEY, inverse=True).select("doc_id", "text").exceptAll(rows).count() == 0
+    odd = run(spark, "000-123-4567 and 199-999-0000")[0]["text"]
+    assert re.fullmatch(r"[01]\d\d-[01]\d\d-\d{4} and [01]\d\d-[2-9]\d\d-\d{4}", odd)
+
+
 def plain_value(v, key=KEY):
     """A matched value's pseudonym, digit by digit in Python."""
     digits = re.sub("[^0-9]", "", v)
@@ -84,13 +107,13 @@ def plain_value(v, key=KEY):
         left = iter(new)
         return "".join(next(left) if c in "0123456789" else c for c in v)
 
-    def date(layout):
+    def date(layout, most=0):
         try:
             day = datetime.datetime.strptime(v, layout).date()
         except ValueError:
             return None
         n, first = (day - datetime.date(1900, 1, 1)).days, True
-        while first or n >= P.DAYS:
+        while first or n >= P.DAYS or (datetime.date(1900, 1, 1) + datetime.timedelta(days=n)).day <= most:
             left, right = plain_feistel("date", n // P.DAY_FACTORS[1], n % P.DAY_FACTORS[1], *P.DAY_FACTORS, key)
             n, first = left * P.DAY_FACTORS[1] + right, False
         return (datetime.date(1900, 1, 1) + datetime.timedelta(days=n)).strftime(layout)
@@ -108,12 +131,14 @@ def plain_value(v, key=KEY):
         area = left // 99 + 1
         return refill(f"{area + (area >= 666):03d}{left % 99 + 1:02d}{right + 1:04d}")
     if whole(P.PHONE):
-        left, right = plain_feistel("phone", int(digits[-10:-4]), int(digits[-4:]), 10**6, 10**4, key)
-        return refill(f"{digits[:-10]}{left:06d}{right:04d}")
+        codes = [int(digits[-10:-7]), int(digits[-7:-4])]
+        (least, many), (least2, many2) = ((200, 800) if c >= 200 else (0, 200) for c in codes)
+        left, right = plain_feistel("phone", (codes[0] - least) * many2 + codes[1] - least2, int(digits[-4:]), many * many2, 10**4, key)
+        return refill(f"{digits[:-10]}{left // many2 + least:03d}{left % many2 + least2:03d}{right:04d}")
     if whole(P.ISO_DATE):
         return date("%Y-%m-%d") or v
     if whole(P.SLASH_DATE):
-        return date("%m/%d/%Y") or date("%d/%m/%Y") or v
+        return date("%m/%d/%Y") or date("%d/%m/%Y", 12) or v
     if whole(P.DOT_DATE):
         return date("%d.%m.%Y") or v
     if not luhn(digits):
