@@ -11,6 +11,7 @@ from ..operators.benford import benford_statistics, detect_benford, digit_histog
 from ..operators.fresh_vendor import detect_new_entity_sole_source, earliest_worst
 from ..operators.growth import detect_mod_growth, growth_ratios, worst_contracts
 from ..operators.isolation import CONTAMINATION, FEATURES, detect_isolation_outlier, imputed, recipient_features, scaled
+from ..operators.maintained import combined, state_changes
 from ..operators.results import all_detectors, top
 from ..sources.csv_awards import apply_policy, map_awards, scan_csv
 from ..sources.json_records import award_records, entity_records
@@ -94,6 +95,17 @@ def upsert_replace_awards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.read("awards").select("award_id", "recipient_uei", "total_obligation", "award_date", "pulled_at")
 
 
+def maintained_digit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digit counts per recipient after two loads, summed from what either load changed."""
+    rows, store = written(_pulls(spark, sf_dir).select("late", *AWARDS.names), "pulls"), Store(spark, scratch_path(spark, "store"))
+    store.init()
+    parts = []
+    for late in (False, True):
+        store.load("awards", rows.filter(F.col("late") == late))
+        parts.append(state_changes(store.changes("awards", store.version("awards")[0])))
+    return combined(*parts)
+
+
 def append_ignore_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     old = build_snapshot(entities(spark, sf_dir).filter("registration_date < date '1998-01-01'"), entities(spark, sf_dir).limit(0), F.lit(AS_OF))
     new = build_snapshot(entities(spark, sf_dir).withColumn("legal_business_name", F.lit("renamed")), entities(spark, sf_dir).limit(0), F.lit(AS_OF))
@@ -210,6 +222,7 @@ QUERIES = {
     "leading_digit_histogram": leading_digit_histogram, "benford_scores": benford_scores, "mod_growth_ratios": mod_growth_ratios, "mod_growth_scores": mod_growth_scores,
     "new_entity_scores": new_entity_scores, "isolation_features": isolation_features, "isolation_features_scaled": isolation_features_scaled, "isolation_outliers": isolation_outliers,
     "detector_results": detector_results, "top_entities_by_detector": top_entities_by_detector, "upsert_replace": upsert_replace_awards, "append_ignore": append_ignore_snapshots,
+    "maintained_digit_counts": maintained_digit_counts,
     "entity_worklist": entity_worklist, "new_ueis": new_ueis, "snapshot_build": snapshot_build, "high_watermark_windows": high_watermark_windows, "seed_plan": seed_plan_of_years,
     "capped_date_chunks": capped_chunks, "policy_filter": policy_filter, "award_type_counts": award_type_counts, "joined_sample_count": joined_sample_count,
     **landing_queries.QUERIES,
@@ -278,6 +291,10 @@ ORACLES = {
         f"picked AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY pull_id ORDER BY late DESC, pulled_at DESC, l_partkey DESC, "
         f"l_suppkey DESC) AS rn FROM batches)", select="SELECT pull_id AS award_id, recipient_uei, total_obligation, award_date, "
             "pulled_at FROM picked WHERE rn = 1"),
+    "maintained_digit_counts": _oracle(AWARDS_SQL, f"batches AS (SELECT *, award_date >= DATE '{NEW_AWARDS_FROM}' AS late FROM pulls), "
+        f"picked AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY pull_id ORDER BY late DESC, pulled_at DESC, l_partkey DESC, l_suppkey DESC) AS rn FROM batches), "
+        f"held AS (SELECT recipient_uei AS uei, {_DIGIT} AS d FROM picked WHERE rn = 1 AND recipient_uei IS NOT NULL AND total_obligation > 0)",
+        select=f"SELECT uei, COUNT(*)::BIGINT AS n, {', '.join(f'COUNT(*) FILTER (d = {d})::BIGINT AS d{d}' for d in range(1, 10))} FROM held WHERE d BETWEEN 1 AND 9 GROUP BY uei"),
     "append_ignore": _oracle(ENTITIES_SQL, select=f"SELECT uei, DATE '{AS_OF}' AS snapshot_date, CASE WHEN registration_date < "
         f"DATE '1998-01-01' THEN legal_business_name ELSE 'renamed' END AS legal_business_name FROM entities"),
     "entity_worklist": _oracle(AWARDS_SQL, ENTITIES_SQL, select="SELECT DISTINCT recipient_uei AS uei FROM awards WHERE "

@@ -181,6 +181,20 @@ class Store:
                 return len(same)
             number, content = self.version(table)
 
+    def changes(self, table: str, number: int) -> DataFrame:
+        """(keys, before, after) of the rows that version ``number`` brought: the whole rows as structs, before null where the key is new.
+
+        Only the layers of that load, and of the version before the buckets that it fell in, are read. A compaction, and
+        the version that creates a table, bring nothing. Both versions must still be there.
+        """
+        log, keys, columns = self._log(table), KEYS[table], TABLES[table].names
+        now, old = log.read(number)["layers"], (log.read(number - 1)["layers"] if number > 1 else {})
+        known = {name for held in old.values() for name, _ in held}
+        brought = {b: new for b, held in now.items() if (new := [x for x in held if x[1] == number and x[0] not in known])}
+        after = self._layers(table, brought).select(*keys, "bucket", F.struct(*columns).alias("after"))
+        before = self._merged(table, {b: old[b] for b in brought if b in old}).select(*keys, "bucket", F.struct(*columns).alias("before"))
+        return after.join(before, [*keys, "bucket"], "left").select(*keys, "before", "after")
+
     def vacuum(self, table: str, keep: int = 2) -> int:
         """Forget all but the newest ``keep`` versions, which readers may still use, and delete what only those had; how many versions went.
 

@@ -189,3 +189,33 @@ def test_old_versions_can_be_removed(spark, tmp_path):
     named = {n for layers in store.version("entities")[1]["layers"].values() for n, _ in layers}
     layers = {p.parent.parent.name.removeprefix("layer=") for p in tmp_path.rglob("*.parquet")}
     assert named | {pending} <= layers and len(layers) <= 5
+
+
+def awards(spark, rows: list[tuple]):
+    from awardlens.functions.schemas import AWARDS
+
+    made = [{f.name: None for f in AWARDS} | {"award_id": a, "recipient_uei": u, "total_obligation": x, "pulled_at": datetime(2026, 1, 1)} for a, u, x in rows]
+    return spark.createDataFrame([tuple(r.values()) for r in made], AWARDS)
+
+
+def test_changes_and_maintained_counts_equal_a_recomputation(spark, tmp_path):
+    from awardlens.operators.benford import digit_histogram
+    from awardlens.operators.maintained import DIGITS, combined, state_changes
+
+    store, parts = made(spark, tmp_path, buckets=3, most_layers=2), []
+    loads = [
+        [("a", "U", 10.0), ("b", "U", 25.0), ("c", "V", 3.0), ("z", None, 9.0)],
+        [("a", "U", 31.0), ("b", "W", 25.0), ("d", "V", -4.0)],  # another amount, another recipient, nothing positive
+        [("a", "U", 31.0), ("c", "V", None)],  # the same again; an amount that goes
+        [("e", "X", 77.0), ("b", "W", 80.0)],
+    ]
+    for rows in loads:
+        before = store.version("awards")[0]
+        store.load("awards", awards(spark, rows))
+        parts += [state_changes(store.changes("awards", n)) for n in range(before + 1, store.version("awards")[0] + 1)]
+        want = digit_histogram(store.read("awards")).select("uei", "n", *DIGITS)
+        got = combined(*parts).select("uei", "n", *DIGITS)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    first = store.changes("awards", 3).orderBy("award_id").collect()
+    assert [(r["award_id"], r["before"] and r["before"]["recipient_uei"], r["after"]["recipient_uei"]) for r in first] == [("a", "U", "U"), ("b", "U", "W"), ("d", None, "V")]
+    assert store.changes("awards", 1).count() == 0
