@@ -358,14 +358,15 @@ def _rest(left: DataFrame, ranked: DataFrame, similarity: float) -> DataFrame:
 
     In one order of all shingles, the rarest first, similar sets have one in common among the first of each: of n shingles the
     first n - similarity * n + 1. Documents that share a template only have these among what is their own. Shingles of one
-    document come first in that order and are never joined. What two sets have in common is no more than what either
-    shares with any other, which bounds their similarity from above. The members of a shingle meet in blocks of
+    document come first in that order and are never joined. At the first shingle that two sets have in common, what they share
+    is no more than what either has left of those that it shares with any other, which bounds their similarity from above;
+    where they meet at a later one the bound may fail, but they have met before. The members of a shingle meet in blocks of
     ``BLOCK``, so that a frequent one is no single task's work.
     """
     rows = left.join(ranked, "node")
     first = F.col("n") - F.ceil(F.col("n") * F.lit(similarity - 1e-9)) + 1 - (F.col("n") - F.col("shared"))
-    met = rows.select("node", "root", "n", "shared", F.explode(F.slice("rare", F.lit(1), F.greatest(first, F.lit(0)).cast("int"))).alias("shingle"))
-    met = cut(met, "simhash-rare")
+    met = rows.select("node", "root", "n", "shared", F.posexplode(F.slice("rare", F.lit(1), F.greatest(first, F.lit(0)).cast("int"))).alias("place", "shingle"))
+    met = cut(met.select("node", "root", "n", (F.col("shared") - F.col("place")).alias("shared"), "shingle"), "simhash-rare")
     blocks = met.groupBy("shingle").agg(F.count(F.lit(1)).alias("c"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("shingle", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks"))
     met = met.join(blocks, "shingle")
     side = lambda x: [F.col(c).alias(f"{x}_{c}") for c in ("root", "n", "shared")]
