@@ -262,7 +262,8 @@ def align(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str =
     """Per row of ``docs`` the id, n_a, n_b, n_groups, n_links, groups_sha256, and its linked pairs (first id * size of the second vocabulary + second id) with how often each is linked.
 
     Texts that are null, empty or that either side doesn't give back byte for byte have no tokens: zeros, an empty text for
-    the digest, no pairs. Whole texts are aligned, long ones piece by piece; repeated rows give equal results.
+    the digest, no pairs. Whole texts are aligned, long ones piece by piece; repeated rows give equal results, an empty table
+    an empty one. Other columns are left out, whatever they are called.
     """
     fields = docs.select(F.col(f"`{id_col}`").alias("doc_id")).schema
     for name, kind in (("n_a", "long"), ("n_b", "long"), ("n_groups", "long"), ("n_links", "long"), ("groups_sha256", "string")):

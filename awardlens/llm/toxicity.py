@@ -262,7 +262,8 @@ def toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     """All rows and columns of ``docs`` with toxic_score (0 to 1) and toxic_windows, the windows that the toxic dictionary shortens by 2 bytes or more.
 
     Whole texts are scored, window by window, in pieces of bounded size. Null, empty and blank texts have no windows and
-    get the model's score for that; repeated rows get equal scores. Columns of these names are replaced.
+    get the model's score for that; repeated rows get equal scores, an empty table gives an empty one. Columns of these
+    names are replaced.
     """
     kept = [c for c in docs.columns if c.lower() not in ("toxic_score", "toxic_windows")]
     (text,) = fresh(kept, "toxic_text")
