@@ -14,11 +14,11 @@ from __future__ import annotations
 
 import re
 import struct
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -440,9 +440,16 @@ def padded(text: bytes) -> bytes:
 
 ENCODED = "n_bytes long, media binary"
 DECODED = "height int, width int, rgb binary, payload binary, feature string, error string"
+DECODED_TYPES = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.string(), pa.string())
 
 
-def _limited(batch: pd.DataFrame, sizes: list[int]) -> Iterator[slice]:
+def _beside(batch: pa.RecordBatch, part: slice, kept: Sequence[str], names: Sequence[str], added: Sequence[pa.Array]) -> pa.RecordBatch:
+    """A slice of a batch's first columns, as they are (ids beside nulls stay whole numbers), and further columns."""
+    columns = [c.slice(part.start, part.stop - part.start) for c in batch.columns[: len(kept)]]
+    return pa.RecordBatch.from_arrays([*columns, *added], names=[*kept, *names])
+
+
+def _limited(batch: pa.RecordBatch, sizes: list[int]) -> Iterator[slice]:
     """Slices of a batch of about ``BATCH_BYTES`` each, so that memory follows the largest row, not the batch."""
     held, start = 0, 0
     for i, n in enumerate(sizes, 1):
@@ -461,14 +468,15 @@ def encode_texts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     keep = [f for f in docs.schema.fields if f.name not in {text_col, "n_bytes", "media"}]
     (source,) = fresh([*(f.name for f in keep), "n_bytes", "media"], "j_text")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data = [(t or "").encode("utf-8", "surrogatepass") for t in batch[source]]
+            data = [t or b"" for t in batch.column(batch.num_columns - 1).to_pylist()]
             for part in _limited(batch, [len(x) for x in data]):
-                yield batch.iloc[part].drop(columns=source).assign(n_bytes=[len(x) for x in data[part]], media=[encode(padded(x)) for x in data[part]])
+                added = pa.array([len(x) for x in data[part]], pa.int64()), pa.array([encode(padded(x)) for x in data[part]], pa.binary())
+                yield _beside(batch, part, [f.name for f in keep], ("n_bytes", "media"), added)
 
     kinds = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in keep] + [ENCODED])
-    return docs.select(*[F.col(f"`{f.name}`") for f in keep], F.col(f"`{text_col}`").alias(source)).mapInPandas(run, kinds)
+    return docs.select(*[F.col(f"`{f.name}`") for f in keep], F.col(f"`{text_col}`").cast("binary").alias(source)).mapInArrow(run, kinds)
 
 
 def decode_media(files: DataFrame, media_col: str = "media", tensors: bool = True) -> DataFrame:
@@ -491,15 +499,17 @@ def decode_media(files: DataFrame, media_col: str = "media", tensors: bool = Tru
         except (ValueError, IndexError, KeyError, TypeError, OverflowError, ZeroDivisionError, MemoryError) as e:  # what damaged files lead to
             return (None,) * 5 + (f"{type(e).__name__}: {e}"[:200],)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    kept = [f.name for f in keep]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in _limited(batch, [len(x or b"") for x in batch[media_col]]):
-                out = batch.iloc[part].reset_index(drop=True)
-                rows = pd.DataFrame([decoded(x) for x in out[media_col]], columns=names)
-                yield pd.concat([out, rows.astype({"height": "Int32", "width": "Int32"})], axis=1)
+            data = batch.column(kept.index(media_col)).to_pylist()
+            for part in _limited(batch, [len(x or b"") for x in data]):
+                rows = zip(*[decoded(x) for x in data[part]], strict=True)
+                yield _beside(batch, part, kept, names, [pa.array(column, t) for column, t in zip(rows, DECODED_TYPES, strict=True)])
 
     kinds = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in keep] + [DECODED])
-    return files.select(*[F.col(f"`{f.name}`") for f in keep]).mapInPandas(run, kinds)
+    return files.select(*[F.col(f"`{f.name}`") for f in keep]).mapInArrow(run, kinds)
 
 
 def store_media(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:

@@ -17,7 +17,7 @@ def op1_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
         "n_bytes",
         F.octet_length("payload").cast("long").alias("payload_bytes"),
         F.sha2("payload", 256).alias("payload_sha256"),
-        F.crc32(F.right("payload", F.lit(32))).alias("tail_crc32"),
+        F.crc32(F.substring("payload", -32, 32)).alias("tail_crc32"),  # right() would count characters
         F.octet_length("media").cast("long").alias("media_bytes"),
         F.sha2("media", 256).alias("media_sha256"),
         "feature",

@@ -139,6 +139,20 @@ def test_columns(spark, tmp_path):
         assert len(r["rgb"]) == 3 * r["height"] * r["width"]
 
 
+def test_contract_columns_count_bytes_of_any_text_and_keep_ids(spark, tmp_path):
+    """Texts that fill their last unit end in characters of several bytes; bytes that are no UTF-8 stay; ids beside a null one don't become doubles."""
+    texts = {1: "é" * 288, 2: "日本語" * 64, 3: "a" * 551 + "\U0001f600" * 6, (1 << 53) + 1: "ñ" * 285, None: "x" * 570 + "é" * 3, 4: None}
+    data = {k: (t or "").encode() for k, t in texts.items()} | {5: b"a\xff\xfe\x80" * 144}
+    rows = spark.createDataFrame([(k, bytearray(v)) for k, v in data.items()], "doc_id long, b binary").coalesce(1)
+    rows.selectExpr("doc_id", "cast(b as string) text").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in op1_progressive_jpeg(spark, str(tmp_path)).drop("rgb").collect()}
+    assert set(got) == set(data)
+    for k, v in data.items():
+        payload = J.padded(v)
+        want = (len(v), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
+        assert (got[k]["n_bytes"], got[k]["payload_bytes"], got[k]["payload_sha256"], got[k]["tail_crc32"]) == want, k
+
+
 def plain_feature(rgb, height, width):
     """The feature as told, pixel by pixel."""
     pixel = lambda y, x: rgb[3 * (y * width + x) : 3 * (y * width + x) + 3]
