@@ -24,8 +24,10 @@ def _text(*parts) -> Column:
 
 def awards(spark: SparkSession, sf_dir: str, pulls: bool = False) -> DataFrame:
     """Line items as awards. With ``pulls`` ids have two parts and so repeat, and the rows' parts are kept to order them by."""
-    rows = _table(spark, sf_dir, "lineitem").join(_table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(_table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
-    rows = rows.join(_table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(_table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    keys = {"orders": ("l_orderkey", "o_orderkey"), "part": ("l_partkey", "p_partkey"), "supplier": ("l_suppkey", "s_suppkey"), "nation": ("s_nationkey", "n_nationkey")}
+    rows = _table(spark, sf_dir, "lineitem")
+    for name in ("part", "supplier", "nation", "orders") if pulls else keys:  # pulls are left partitioned by order, in which they are ranked
+        rows = rows.join(_table(spark, sf_dir, name), F.col(keys[name][0]) == F.col(keys[name][1]))
     priority, number = F.col("o_orderpriority"), F.col("l_linenumber")
     competition = F.lit(None).cast("string")
     for key, text in COMPETITION.items():
@@ -45,7 +47,7 @@ def awards(spark: SparkSession, sf_dir: str, pulls: bool = False) -> DataFrame:
         "modification_number": F.when(number == 1, "0").when(number != 7, F.concat(F.lit("P0000"), (number - 1).cast("string"))),
         "pulled_at": F.col("l_shipdate").cast("timestamp_ntz"),
     }
-    extra = ["l_partkey", "l_suppkey"] if pulls else []
+    extra = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"] if pulls else []
     return rows.select(*[made.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in AWARDS], *extra)
 
 

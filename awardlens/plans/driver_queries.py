@@ -83,7 +83,7 @@ def top_entities_by_detector(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _pulls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per id and batch (years up to 2000, then later ones): the latest pull, then the greatest part and supplier."""
     rows = awards(spark, sf_dir, pulls=True).withColumn("late", F.col("award_date") >= NEW_AWARDS_FROM)
-    return ranked_per_key(rows, ["award_id", "late"], F.desc("pulled_at"), F.desc("l_partkey"), F.desc("l_suppkey"))
+    return ranked_per_key(rows, ["l_orderkey", "l_linenumber", "late"], F.desc("pulled_at"), F.desc("l_partkey"), F.desc("l_suppkey"))
 
 
 def upsert_replace_awards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,7 +102,7 @@ def maintained_digit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = []
     for late in (False, True):
         store.load("awards", rows.filter(F.col("late") == late))
-        parts.append(state_changes(store.changes("awards", store.version("awards")[0])))
+        parts.append(state_changes(store.changes("awards", store.version("awards")[0], ["recipient_uei", "total_obligation"])))
     return combined(*parts)
 
 

@@ -19,17 +19,17 @@ from ..sources.landing import read_or_empty
 from .versions import VersionLog
 
 BUCKETS, MOST_LAYERS = 32, 4
+TASK_ROWS = 250_000  # about as many rows of a load meet in one task
 
 
 def newest_per_key(rows: DataFrame, keys: list[str], newest: str | None, within: tuple[str, ...] = ()) -> DataFrame:
     """One row per key: the greatest ``newest`` (null least), then the greatest of the other columns in their order.
 
-    Columns of ``within`` follow from the key; rows that are partitioned by them aren't shuffled again.
+    Columns of ``within`` follow from the key; rows that are partitioned by them aren't shuffled again, and stay sorted by them.
     """
     others = [c for c in rows.columns if c not in keys and c != newest and c not in within]
-    order = F.struct(*([F.col(newest).alias("n")] if newest else []), *[F.col(c).alias(f"o{i}") for i, c in enumerate(others)])
-    best = rows.filter(" and ".join(f"{k} is not null" for k in keys)).groupBy(*within, *keys).agg(F.max_by(F.struct(*rows.columns), order).alias("row"))
-    return best.select("row.*")
+    order = [F.col(c).desc_nulls_last() for c in ([newest] if newest else []) + others]
+    return ranked_per_key(rows.filter(" and ".join(f"{k} is not null" for k in keys)), [*within, *keys], *(order or [F.lit(0)]))
 
 
 def upsert_replace(existing: DataFrame, incoming: DataFrame, keys: list[str], newest: str | None = None) -> DataFrame:
@@ -121,6 +121,12 @@ class Store:
     def _bucket(table: str, n: int) -> Column:
         return F.pmod(F.xxhash64(*KEYS[table]), F.lit(n)).cast("int")
 
+    def _dealt(self, table: str, rows: DataFrame, n: int, total: int) -> DataFrame:
+        """Rows with their bucket, each bucket dealt to as many tasks as ``total`` rows in ``n`` buckets need; rows of one key meet in one (``store_part``)."""
+        parts = max(1, -(-total // (n * TASK_ROWS)))
+        part = F.col("bucket") * parts + F.pmod(F.xxhash64(F.lit("part"), *KEYS[table]), F.lit(parts)).cast("int")
+        return rows.withColumn("bucket", self._bucket(table, n)).withColumn("store_part", part).repartitionById(n * parts, "store_part")
+
     def _write(self, table: str, rows: DataFrame) -> tuple[str, dict[str, int]]:
         """Write rows (with their bucket) as a layer; its name, and how many rows of it each bucket has."""
         name = uuid.uuid4().hex
@@ -132,7 +138,7 @@ class Store:
     def load(self, table: str, incoming: DataFrame, source: str | None = None, batch: int = 0) -> int:
         """Upsert rows (snapshots are appended where new); how many rows the table has more than before.
 
-        The rows are written once, whatever others publish meanwhile; only for snapshots, where existing rows win, they are
+        The rows are counted and written once, whatever others publish meanwhile; only for snapshots, where existing rows win, they are
         written again if others came first. With ``source``, a batch whose number isn't above the last one that was
         published for it changes nothing: it has been loaded before.
         """
@@ -140,18 +146,22 @@ class Store:
         number, content = self.version(table)
         if source is not None and content["batches"].get(source, -1) >= batch:
             return 0
-        rows = aligned(incoming, TABLES[table]).withColumn("bucket", self._bucket(table, content["buckets"])).repartition("bucket")
-        rows = newest_per_key(rows, keys, self.NEWEST[table], within=("bucket",))
+        total = incoming.count()
+
+        def dealt(rows: DataFrame) -> DataFrame:
+            return newest_per_key(self._dealt(table, rows, content["buckets"], total), keys, self.NEWEST[table], within=("bucket", "store_part")).drop("store_part")
+
+        rows = aligned(incoming, TABLES[table])
         layer = counts = None
         while True:
             here = {b: content["layers"][b] for b in (counts or content["layers"]) if b in content["layers"]}
             existing = self._merged(table, here, keys)
             if table in self.IGNORES:
-                layer, counts = self._write(table, rows.join(existing, [*keys, "bucket"], "left_anti"))
+                layer, counts = self._write(table, dealt(rows.join(existing, keys, "left_anti")))
                 gained = sum(counts.values())
             else:
                 if layer is None:
-                    layer, counts = self._write(table, rows)
+                    layer, counts = self._write(table, dealt(rows))
                     existing = self._merged(table, {b: content["layers"][b] for b in counts if b in content["layers"]}, keys)
                 mine = self._layers(table, {b: [(layer, 0)] for b in counts}, keys).drop("brought")
                 gained = mine.join(existing, [*keys, "bucket"], "left_anti").count()
@@ -173,7 +183,7 @@ class Store:
         full = {b: held for b, held in content["layers"].items() if len(held) > self.most_layers}
         if not full:
             return 0
-        layer, _ = self._write(table, self._merged(table, full).repartition("bucket"))
+        layer, _ = self._write(table, self._dealt(table, self._merged(table, full), content["buckets"], content["rows"]).drop("store_part"))
         while True:
             same = {b for b, held in full.items() if content["layers"].get(b, [])[: len(held)] == held}  # or another has compacted it
             layers = content["layers"] | {b: [(layer, full[b][-1][1]), *content["layers"][b][len(full[b]) :]] for b in same}
@@ -181,18 +191,19 @@ class Store:
                 return len(same)
             number, content = self.version(table)
 
-    def changes(self, table: str, number: int) -> DataFrame:
-        """(keys, before, after) of the rows that version ``number`` brought: the whole rows as structs, before null where the key is new.
+    def changes(self, table: str, number: int, columns: list[str] | None = None) -> DataFrame:
+        """(keys, before, after) of the rows that version ``number`` brought: the rows as structs, whole or of ``columns``, before null where the key is new.
 
         Only the layers of that load, and of the version before the buckets that it fell in, are read. A compaction, and
         the version that creates a table, bring nothing. Both versions must still be there.
         """
-        log, keys, columns = self._log(table), KEYS[table], TABLES[table].names
+        log, keys, columns = self._log(table), KEYS[table], columns or TABLES[table].names
+        wanted = list(dict.fromkeys([*keys, *columns]))
         now, old = log.read(number)["layers"], (log.read(number - 1)["layers"] if number > 1 else {})
         known = {name for held in old.values() for name, _ in held}
         brought = {b: new for b, held in now.items() if (new := [x for x in held if x[1] == number and x[0] not in known])}
-        after = self._layers(table, brought).select(*keys, "bucket", F.struct(*columns).alias("after"))
-        before = self._merged(table, {b: old[b] for b in brought if b in old}).select(*keys, "bucket", F.struct(*columns).alias("before"))
+        after = self._layers(table, brought, wanted).select(*keys, "bucket", F.struct(*columns).alias("after"))
+        before = self._merged(table, {b: old[b] for b in brought if b in old}, wanted).select(*keys, "bucket", F.struct(*columns).alias("before"))
         return after.join(before, [*keys, "bucket"], "left").select(*keys, "before", "after")
 
     def vacuum(self, table: str, keep: int = 2) -> int:

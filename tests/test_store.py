@@ -219,3 +219,20 @@ def test_changes_and_maintained_counts_equal_a_recomputation(spark, tmp_path):
     first = store.changes("awards", 3).orderBy("award_id").collect()
     assert [(r["award_id"], r["before"] and r["before"]["recipient_uei"], r["after"]["recipient_uei"]) for r in first] == [("a", "U", "U"), ("b", "U", "W"), ("d", None, "V")]
     assert store.changes("awards", 1).count() == 0
+
+
+def test_a_load_deals_a_bucket_to_as_many_tasks_as_its_rows_need(spark, tmp_path, monkeypatch):
+    """A bucket's rows are no single task's work: none writes more than about its share, and keys still meet."""
+    from awardlens.plans import store as module
+
+    monkeypatch.setattr(module, "TASK_ROWS", 100)
+    rows = spark.range(4000).selectExpr("concat('A', id % 2000) as award_id", "cast(id as string) as award_description", "timestamp_ntz'2024-01-01' as pulled_at")
+    store = Store(spark, str(tmp_path), buckets=2)
+    store.init()
+    assert store.load("awards", rows) == 2000
+    files = [r["n"] for r in store.read("awards").groupBy(F.input_file_name()).agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert len(files) == 40 and max(files) <= 100
+    got = {r["award_id"]: r["award_description"] for r in store.read("awards").collect()}
+    assert got == {f"A{k}": max(str(k), str(k + 2000)) for k in range(2000)}
+    narrow = store.changes("awards", 2, ["award_description"]).filter("award_id = 'A7'").first()
+    assert narrow["after"].asDict() == {"award_description": "7"} and narrow["before"] is None
