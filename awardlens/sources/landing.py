@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions.schemas import AWARDS, AWARDS_LANDING, aligned
-from .scratch import written
+from .scratch import exists, remove
 
 
 def read_or_empty(spark: SparkSession, path: str | list[str], schema: StructType, skip_corrupt: bool = False) -> DataFrame:
@@ -69,13 +71,22 @@ def land_labelled(awards: DataFrame, base: str) -> dict[str, int]:
     """Write awards (with agency_short and load_label) of any number of agencies and windows in one job, a folder for each.
 
     The rows written come back by agency. Only the folders that ``awards`` has rows for are replaced, so that a window can be
-    loaded again; no rows leave a typed empty table.
+    loaded again; no rows leave a typed empty table. The rows are written once; which folders they went to is observed
+    meanwhile, and these are counted by their footers.
     """
     spark, path = awards.sparkSession, f"{base.rstrip('/')}/awards_labelled.parquet"
     columns = [F.col(f.name).try_cast(f.dataType).alias(f.name) for f in AWARDS]
-    rows = written(awards.select(*columns, "agency_short", "load_label"), "landed")
-    if rows.isEmpty():
+    before, seen = exists(spark, path), Observation()
+    rows = awards.select(*columns, F.col("agency_short").cast("string").alias("agency_short"), F.col("load_label").cast("string").alias("load_label"))
+    rows = rows.observe(seen, F.collect_set(F.to_json(F.struct("agency_short", "load_label"))).alias("folders"))
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("agency_short", "load_label").parquet(path)
+    folders = [json.loads(f) for f in seen.get["folders"]]
+    if not folders:
+        if not before:
+            remove(spark, path)
         write_typed(spark.createDataFrame([], AWARDS), f"{base.rstrip('/')}/{awards_name('none', 'empty')}", AWARDS)
         return {}
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("agency_short", "load_label").parquet(path)
-    return {r["agency_short"]: r["n"] for r in rows.groupBy("agency_short").agg(F.count(F.lit(1)).alias("n")).collect()}
+    now = spark.createDataFrame([(f.get("agency_short") or None, f.get("load_label") or None) for f in folders], "a string, l string").distinct()
+    held = spark.read.schema("agency_short string, load_label string").parquet(path).groupBy("agency_short", "load_label").count()
+    match = F.col("agency_short").eqNullSafe(F.col("a")) & F.col("load_label").eqNullSafe(F.col("l"))
+    return {r["agency_short"]: r["n"] for r in held.join(now, match, "left_semi").groupBy("agency_short").agg(F.sum("count").alias("n")).collect()}

@@ -47,6 +47,11 @@ def collected() -> Iterator[list[str]]:
         _collected.reset(token)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+
+
 def remove(spark: SparkSession, *paths: str) -> None:
     """Delete scratch tables that no later plan reads."""
     for path in paths:

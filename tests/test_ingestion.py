@@ -246,3 +246,21 @@ def test_date_chunks(spark):
     deep = capped_date_chunks(rows.filter("d is not null").union(rows.filter("g = 'g'").withColumn("g", F.lit(None).cast("string"))), "d", "g", "2023-12-01", "2024-03-01", "w", cap=25, most_splits=2).collect()
     assert {(r["group"], r["label"], r["depth"], r["rows"], r["capped"]) for r in deep} == {(g, *x) for g in ("g", None) for x in (("waa", 2, 0, False), ("wab", 2, 70, True), ("wb", 1, 0, False))}
     assert capped_date_chunks(rows.limit(0), "d", "g", "2024-01-01", "2024-01-04", "w").count() == 0
+
+
+def test_labelled_rows_are_written_once(spark, tmp_path):
+    """Only the labelled table is written (a copy beside it doubled the bytes), and earlier windows of an agency aren't counted."""
+    from unittest import mock
+
+    labels = lambda ids, label: rows_of(spark, ids).withColumns({"agency_short": F.lit("X"), "load_label": F.lit(label)})
+    base = str(tmp_path / "landing")
+    with mock.patch("awardlens.sources.scratch.scratch_path", side_effect=AssertionError("a scratch table")):
+        assert land_labelled(labels(["A", "B"], "2024-01-01"), base) == {"X": 2}
+        assert land_labelled(labels(["C"], "2024-02-01"), base) == {"X": 1}
+        assert land_labelled(labels([], "2024-03-01"), base) == {}
+    assert spark.read.parquet(f"{base}/awards_labelled.parquet").count() == 3
+    assert land_labelled(labels([], "2024-03-01"), str(tmp_path / "none")) == {} and not (tmp_path / "none" / "awards_labelled.parquet").exists()
+
+
+def rows_of(spark, ids):
+    return spark.createDataFrame([(i,) for i in ids], "award_id string").select(*[(F.col("award_id") if f.name == "award_id" else F.lit(None).cast(f.dataType)).alias(f.name) for f in AWARDS])
