@@ -58,7 +58,9 @@ def isolation_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def isolation_features_scaled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(scaled(imputed(recipient_features(awards(spark, sf_dir), entities(spark, sf_dir), AS_OF))))
+    """Features are written once, as the median and the ends are taken over all of them."""
+    features = written(recipient_features(awards(spark, sf_dir), entities(spark, sf_dir), AS_OF), "isolation-ages")
+    return _rounded(scaled(written(imputed(features), "isolation-features")))
 
 
 def isolation_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
