@@ -47,7 +47,9 @@ def _landed(spark: SparkSession, sf_dir: str) -> str:
 def archive_landing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All awards as archive members (prime files of two headers, subaward files, a readme), through the archive job, as landed."""
     base = scratch_path(spark, "archives")
-    rows = awards(spark, sf_dir).repartition("awarding_agency")
+    # written once, near one another by agency: Spark splits large agencies, so that none is a single task's work
+    needed = ["award_id", "awarding_agency", "award_type", "total_obligation", "award_date", "modification_number"]
+    rows = written(awards(spark, sf_dir).select(*needed).hint("rebalance", "awarding_agency"), "archived")
     text = F.concat(F.lit('first line\n"second", '), F.col("award_id")).alias("transaction_description")
     for name, columns in HEADERS.items():
         own = rows.filter(F.col("awarding_agency") < "NATION_2" if name == "first" else F.col("awarding_agency") >= "NATION_2")
