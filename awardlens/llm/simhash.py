@@ -5,12 +5,14 @@ fingerprint's home is one leaf; it also visits leaves beyond a ball's boundary t
 only, as a pair needs to meet once. Within a leaf a further vantage-point tree prunes branches by triangle bounds. Leaves
 give a forest of their links, not all pairs, so that large groups of near copies stay small.
 
-Similar documents (share of common word shingles 0.8 and more): at that similarity fingerprints differ in 10 of 64 bits and
-more, and a tree prunes nothing at such a radius, as unrelated ones lie 32 apart, give or take 4. Documents therefore meet
-in shards of equal minimum-hash bands. In each shard vantage points are compared with all members on whole shingle sets; of the
+Similar documents (share of common word shingles 0.8 and more): all documents' fingerprints are first dealt to vantage-point
+shards as above; what these link is verified on whole shingle sets. At a similarity of 0.8 fingerprints differ in 10 of 64
+bits and more, and a tree prunes nothing at such a radius, as unrelated ones lie 32 apart, give or take 4. What the
+fingerprints left apart therefore meets in shards of equal minimum-hash bands as well. In each shard vantage points, whose
+fingerprints are nearest to those of the most members, are compared with all members on whole shingle sets; of the
 members that aren't connected by then, those that share one of their rarest shingles are compared, save those that sizes or
 the triangle inequality rule out. Documents that share a band are thus linked whenever they are similar; those that share
-none (0.2 % at 0.8, fewer above) are compared if both are left over in shards and share a rare shingle.
+none (0.2 % at 0.8, fewer above) are compared if their fingerprints are linked, or both are left over in shards and share a rare shingle.
 """
 
 from __future__ import annotations
@@ -38,6 +40,8 @@ WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 20, 6
 ROUNDS = 3  # of vantage points in each shard, before the members that are left are compared with each other
 BLOCK = 1024  # members of a shingle that one task compares with all others
+CENTRED = 8  # members from which a shard's centre is taken
+BROADCAST_PAIRS = 250_000  # pairs of digests to compare, under 32 MB; more are joined by a shuffle
 BROADCAST_ROWS = 1_000_000  # ids and digests of rows to drop or to compare, under 64 MB; more are joined by a shuffle
 
 
@@ -268,11 +272,11 @@ def _signatures(docs: DataFrame, id_col: str, text_col: str, words: int, bands:
                 hashes, joined = shingle_hashes(text, words)
                 bins = minima(hashes, bands * rows).reshape(bands, rows) if len(hashes) else np.zeros((0, rows), np.uint64)
                 keys = [xxhash.xxh64_intdigest(b.tobytes(), k) - (1 << 63) for k, b in enumerate(bins)]
-                out.append((xxhash.xxh3_128_hexdigest(joined), keys))
-            yield pd.DataFrame({"s_id": batch["s_id"], "s_hash": batch["s_hash"], "sequence": [r[0] for r in out], "bands": [r[1] for r in out]})
+                out.append((xxhash.xxh3_128_hexdigest(joined), keys, fingerprint(hashes)))
+            yield pd.DataFrame({"s_id": batch["s_id"], "s_hash": batch["s_hash"], "sequence": [r[0] for r in out], "bands": [r[1] for r in out], "fp": [r[2] for r in out]})
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("s_id"), F.md5(text_col).alias("s_hash"), F.col(text_col).alias("s_text")).mapInPandas(run, f"s_id {kind}, s_hash string, sequence string, bands array<long>")
+    return docs.select(F.col(id_col).alias("s_id"), F.md5(text_col).alias("s_hash"), F.col(text_col).alias("s_text")).mapInPandas(run, f"s_id {kind}, s_hash string, sequence string, bands array<long>, fp long")
 
 
 def _shards(classes: DataFrame) -> DataFrame:
@@ -282,9 +286,31 @@ def _shards(classes: DataFrame) -> DataFrame:
     return dealt.join(shared.select("shard"), "shard")
 
 
+def _fingerprint_pairs(classes: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(u, v): pairs of classes by which all of equal or near fingerprints are connected, found in vantage-point shards; one pair a class."""
+    points = cut(classes.groupBy("fp").agg(F.min("node").alias("point")), "simhash-prints")
+    same = classes.join(points, "fp").filter("node <> point").select(F.col("node").alias("u"), F.col("point").alias("v"))
+    ties = hamming_links(points.select("fp"), radius)
+    named = lambda c: points.select(F.col("fp").alias(c), F.col("point").alias(f"{c}_node"))
+    near = ties.join(named("u"), "u").join(named("v"), "v").select(F.col("u_node").alias("u"), F.col("v_node").alias("v"))
+    return same.union(near)
+
+
+def _held(sets: DataFrame, few: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """The rows of ``sets`` whose node is one of ``few`` (written before): the others aren't shuffled."""
+    return sets.join(F.broadcast(few) if few.count() <= most else few, "node", "left_semi")
+
+
 def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(u, v, common, whole): sizes of the intersection and the union of both classes' shingle sets."""
-    both = pairs.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("b")), "v")
+    """(u, v, common, whole): sizes of the intersection and the union of both classes' shingle sets.
+
+    Few pairs come to the sets; of the second classes' sets only those that are asked for are shuffled.
+    """
+    pairs = cut(pairs, "simhash-pairs")
+    own = F.broadcast(pairs) if pairs.count() <= BROADCAST_PAIRS else pairs
+    points = cut(pairs.select(F.col("v").alias("node")).distinct(), "simhash-asked")
+    first = sets.select(F.col("node").alias("u"), F.col("shingles").alias("a")).join(own, "u")
+    both = first.join(_held(sets, points, BROADCAST_PAIRS).select(F.col("node").alias("v"), F.col("shingles").alias("b")), "v")
     common = F.size(F.array_intersect("a", "b"))
     return both.select("u", "v", common.alias("common"), (F.size("a") + F.size("b") - common).alias("whole"))
 
@@ -295,21 +321,36 @@ def _rooted(members: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _ranked(sets: DataFrame) -> DataFrame:
-    """(node, n, shared, central, rare): the size of a set, how many of its shingles another has too, and these, the rarest first.
-
-    ``central`` is the sum of their counts: of a group of edited copies the original has the most in common with the others.
-    """
-    each = sets.select("node", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
+    """(node, n, shared, rare): the size of a set, how many of its shingles another of ``sets`` has too, and these, the rarest first."""
+    each = sets.select("node", F.explode("shingles").alias("shingle"))
     often = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
-    lists = each.join(often, "shingle").groupBy("node").agg(F.sum("c").alias("central"), F.sort_array(F.collect_list(F.struct("c", "shingle"))).alias("s"))
+    lists = each.join(often, "shingle").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("c", "shingle"))).alias("s"))
     rare = F.transform("s", lambda x: x["shingle"])
-    return lists.join(sets.select("node", F.size("shingles").alias("n")), "node").select("node", "n", F.size("s").alias("shared"), "central", rare.alias("rare"))
+    return lists.join(sets.select("node", F.size("shingles").alias("n")), "node").select("node", "n", F.size("s").alias("shared"), rare.alias("rare"))
 
 
-def _links(shards: DataFrame, sets: DataFrame, similarity: float, rounds: int = ROUNDS) -> DataFrame:
+def _centred(shards: DataFrame, prints: DataFrame | None) -> DataFrame:
+    """(node, shard, size, far): by how many bits a member's fingerprint differs from its shard's centre, the bits that most members have.
+
+    Of a group of edited copies the original is nearest to the centre. Small shards have none, nor have shards without ``prints`` (node, fp).
+    """
+    sizes = shards.groupBy("shard").agg(F.count(F.lit(1)).alias("size"))
+    if prints is None:
+        return shards.join(sizes, "shard").select("node", "shard", "size", F.lit(0).alias("far"))
+    large = shards.join(sizes.filter(F.col("size") >= CENTRED), "shard").join(prints.select("node", "fp"), "node")
+    counts = large.groupBy("shard").agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.shiftright("fp", b).bitwiseAND(F.lit(1))).alias(f"b{b}") for b in range(64)])
+    centre = F.lit(0).cast("long")
+    for b in range(64):
+        centre = centre.bitwiseOR(F.when(F.col(f"b{b}") * 2 > F.col("n"), F.lit((1 << b) - (1 << 64) * (b == 63)).cast("long")).otherwise(F.lit(0).cast("long")))
+    far = large.join(counts.select("shard", centre.alias("centre")), "shard").select("shard", "node", F.bit_count(F.col("fp").bitwiseXOR(F.col("centre"))).alias("far"))
+    return shards.join(sizes, "shard").join(far, ["shard", "node"], "left").select("node", "shard", "size", F.coalesce("far", F.lit(0)).alias("far"))
+
+
+def _links(shards: DataFrame, sets: DataFrame, similarity: float, rounds: int = ROUNDS, near: DataFrame | None = None, prints: DataFrame | None = None) -> DataFrame:
     """(u, v): verified links such that all linked pairs that share a shard are connected.
 
-    First each class meets one vantage point only, the most central member of its largest shard: copies share most of their
+    The pairs of ``near``, whose fingerprints (``prints``) are linked, come first. Then each class meets one vantage point only,
+    the most central member of its largest shard that it isn't connected with: copies share most of their
     shards, and one of these connects them. In each round after that a shard has a vantage point, the most central of the
     members that aren't connected with an earlier one, and all members that aren't connected with it are compared with it on
     their whole sets. Of the members that are left unconnected, those that share one of their rarest shingles are compared in the end (see :func:`_rest`), but for pairs
@@ -318,18 +359,19 @@ def _links(shards: DataFrame, sets: DataFrame, similarity: float, rounds: int =
     """
     linked = F.col("common") >= F.lit(similarity) * F.col("whole")
     apart = 1 - similarity + 1e-9
-    ranked = cut(_ranked(sets), "simhash-ranked")
-    members = cut(shards.join(ranked.select("node", "central"), "node", "left"), "simhash-members")
-    sizes = members.groupBy("shard").agg(F.count(F.lit(1)).alias("size"))
-    largest = members.join(sizes, "shard").groupBy("node").agg(F.max_by(F.struct("shard", "central"), F.struct("size", "shard")).alias("m")).select("node", "m.*")
-    rooted, links, used, gaps = largest.withColumn("root", F.col("node")), None, None, None
+    members = cut(_centred(shards, prints), "simhash-members")
+    largest = members.groupBy("node").agg(F.max_by(F.struct("shard", "far"), F.struct("size", "shard")).alias("m")).select("node", "m.*")
+    members, links, used, gaps = members.drop("size"), None, None, None
+    if near is not None:
+        links = cut(_compared(near, sets).filter(linked).select("u", "v"), "simhash-links")
+    rooted = largest.withColumn("root", F.col("node")) if links is None else cut(_rooted(largest, links), "simhash-rooted")
     for k in range(rounds + 1):
         if used is None:
             rooted = rooted.withColumn("met", F.lit(False))
         else:
             known = rooted.join(used, ["shard", "node"], "left_semi").select("shard", "root").distinct().withColumn("met", F.lit(True))
             rooted = rooted.join(known, ["shard", "root"], "left").withColumn("met", F.coalesce("met", F.lit(False)))
-        first = F.struct(F.coalesce(-F.col("central"), F.lit(0)).alias("c"), F.xxhash64("node").alias("h"), "node")
+        first = F.struct("far", F.xxhash64("node").alias("h"), "node")
         points = rooted.filter(~F.col("met")).groupBy("shard").agg(F.min_by(F.struct(F.col("node").alias("v"), F.col("root").alias("v_root")), first).alias("p")).select("shard", "p.*")
         points = cut(points, "simhash-points")
         met = cut(rooted.join(points, "shard").filter(F.col("root") != F.col("v_root")).select("shard", F.col("node").alias("u"), "v"), "simhash-met")
@@ -345,6 +387,7 @@ def _links(shards: DataFrame, sets: DataFrame, similarity: float, rounds: int =
     # shards in which all members are connected are done
     open_ = rooted.groupBy("shard").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("shard")
     left = cut(rooted.join(open_, "shard").select("node", "root").distinct(), "simhash-left")
+    ranked = cut(_ranked(_held(sets, cut(left.select("node").distinct(), "simhash-open"))), "simhash-ranked")
     rest = _rest(left, ranked, similarity)
     far = cut(gaps.join(left.select("node"), "node", "left_semi").groupBy("node").agg(F.map_from_entries(F.collect_set(F.struct("point", "d"))).alias("gaps")), "simhash-gaps")
     both = rest.join(far.select(F.col("node").alias("u"), F.col("gaps").alias("a")), "u", "left").join(far.select(F.col("node").alias("v"), F.col("gaps").alias("b")), "v", "left")
@@ -393,16 +436,18 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     in minima. Repeated rows stay. Other columns are left out.
     """
     signed = cut(_signatures(docs, id_col, text_col, words, BANDS, ROWS), "simhash-signatures")
-    classes = cut(signed.groupBy(F.col("sequence").alias("node")).agg(F.min("s_id").alias("least"), F.min(F.struct(F.col("s_id").isNull().alias("n"), F.col("s_id").alias("i"), F.col("s_hash").alias("h"))).alias("one"), F.first("bands").alias("bands")), "simhash-classes")
+    classes = cut(signed.groupBy(F.col("sequence").alias("node")).agg(F.min("s_id").alias("least"), F.min(F.struct(F.col("s_id").isNull().alias("n"), F.col("s_id").alias("i"), F.col("s_hash").alias("h"))).alias("one"), F.first("bands").alias("bands"), F.first("fp").alias("fp")), "simhash-classes")
     shards = cut(_shards(classes), "simhash-shards")
-    wanted = cut(shards.select("node").distinct().join(classes.select("node", F.col("one.i").alias("w_id"), F.col("one.h").alias("w_hash")), "node"), "simhash-wanted")
+    near = cut(_fingerprint_pairs(classes), "simhash-near")
+    asked = shards.select("node").union(near.select("u")).union(near.select("v")).distinct()
+    wanted = cut(asked.join(classes.select("node", F.col("one.i").alias("w_id"), F.col("one.h").alias("w_hash")), "node"), "simhash-wanted")
     few = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
     # one text of each class: ids may be null or repeated with other texts, so the text's digest is compared as well
     match = (F.md5("s_text") == wanted["w_hash"]) & F.col("s_id").eqNullSafe(wanted["w_id"])
     texts = docs.select(F.col(id_col).alias("s_id"), F.col(text_col).alias("s_text")).join(few, match).select("node", "s_text")
     sets = _shingle_sets(texts, words)
     sets = cut(sets.groupBy("node").agg(F.first("shingles").alias("shingles")), "simhash-sets")
-    links = _links(shards, sets, similarity)
+    links = _links(shards, sets, similarity, near=near, prints=classes)
     roots = cut(components(links), "simhash-roots")
     joined = classes.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     least = joined.groupBy("root").agg(F.min("least").alias("group_id"))

@@ -225,3 +225,30 @@ def test_a_large_group_of_edited_copies_makes_few_pairs(spark, monkeypatch):
                 low, high = sorted((label[i], label[j]))
                 label = [low if x == high else x for x in label]
     assert kept == sorted(set(label)) and counts[0] < 4000
+
+
+def test_near_fingerprints_link_similar_documents_without_a_common_band(spark, monkeypatch):
+    plain = S._shards
+    monkeypatch.setattr(S, "_shards", lambda classes: plain(classes).limit(0))
+    rng = random.Random(21)
+    rows = []
+    for i in range(60):
+        words = [f"w{rng.randrange(9000)}" for _ in range(600)]
+        edited = list(words)
+        edited[rng.randrange(600)] = "edit"
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(edited))]
+    texts = dict(rows)
+    linked = {2 * i + 1 for i in range(60) if (plain_fingerprint(texts[2 * i], 5) ^ plain_fingerprint(texts[2 * i + 1], 5)).bit_count() <= S.RADIUS}
+    assert len(linked) > 20 and all(similarity(texts[k - 1], texts[k]) >= 0.8 for k in linked)
+    kept = {r["doc_id"] for r in S.without_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == set(texts) - linked
+
+
+def test_fingerprints_alone_link_nothing_and_the_original_is_nearest_to_the_centre(spark):
+    hashes = np.random.default_rng(2).integers(0, 1 << 62, (40, 100)).tolist()
+    sets = spark.createDataFrame([(f"{k:02d}", h) for k, h in enumerate(hashes)], "node string, shingles array<long>")
+    shards = spark.createDataFrame([(f"{k:02d}", 1 + k // 20) for k in range(40)], "node string, shard long")
+    prints = spark.createDataFrame([(f"{k:02d}", -1 ^ (1 << k if k % 20 else 0)) for k in range(40)], "node string, fp long")
+    near = spark.createDataFrame([(f"{k:02d}", "00") for k in range(1, 40)], "u string, v string")
+    assert S._links(shards, sets, 0.8, near=near, prints=prints).count() == 0
+    assert {(r["node"], r["far"], r["size"]) for r in S._centred(shards, prints).collect()} == {(f"{k:02d}", int(k % 20 > 0), 20) for k in range(40)}
