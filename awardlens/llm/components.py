@@ -32,16 +32,20 @@ def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
         df.write.parquet(path)
         return spark.read.schema(df.schema).parquet(path), path
 
+    def state_of(df: DataFrame) -> tuple:
+        return tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+
     now, path = stored(edges.filter("u <> v").select("u", "v"))
-    before = None
-    for _ in range(most_rounds):
+    before = state_of(now)
+    for _ in range(most_rounds if before[0] else 0):
         older, (now, path) = path, stored(_stars(_stars(now, True), False))
-        state = tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        state = state_of(now)
         remove(spark, older)
         if state == before:
             break
         before = state
     else:
-        raise RuntimeError("the components didn't settle")
+        if before[0]:  # no edges need no round
+            raise RuntimeError("the components didn't settle")
     linked = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return linked.union(now.select(F.col("v").alias("node"), F.col("v").alias("root"))).union(loops.select("node", F.col("node").alias("root"))).groupBy("node").agg(F.min("root").alias("root"))

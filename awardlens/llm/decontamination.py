@@ -33,19 +33,30 @@ def terms(text: Column) -> Column:
     return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), BETWEEN), "")
 
 
-def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
+def _hashed_terms(text: Column) -> Column:
+    return F.transform(terms(text), lambda w: F.xxhash64(w))
+
+
+def _of_terms(rows: DataFrame, few: DataFrame) -> DataFrame:
+    """The rows whose term is one of ``few`` (written before); all rows if these are too many to broadcast."""
+    return rows.join(F.broadcast(few), "term", "left_semi") if few.count() <= BROADCAST_ROWS else rows
+
+
+def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, only: DataFrame | None = None) -> DataFrame:
     """The positional index of ``docs``, stored under ``path`` (a new folder of the shared one by default) and read back.
 
     A null or wordless text has no postings; null ids are allowed, as a document is known by its id and a hash of its text.
     Rows that repeat both repeat their postings, which changes no match. An empty table gives an empty index. The
-    stored table can be read again by ``spark.read.parquet`` and handed to :func:`phrase_matches`.
+    stored table can be read again by ``spark.read.parquet`` and handed to :func:`phrase_matches`. With ``only`` (term,
+    written before) it is for one look-up of these terms; it then lacks other terms' postings, unless the wanted ones are very many.
     """
     path = path or table_path(docs.sparkSession, "decon-index")
-    hashed = F.transform(terms(F.col("p_text")), lambda w: F.xxhash64(w))
+    hashed = _hashed_terms(F.col("p_text"))
     rows = docs.select(F.col(f"`{id_col}`").alias("p_id"), F.col(f"`{text_col}`").alias("p_text"))
     rows = rows.select("p_id", F.xxhash64("p_text").alias("p_hash"), hashed.alias("w"))
     pairs = F.arrays_zip(F.col("w").alias("term"), F.slice("w", 2, F.greatest(F.size("w"), F.lit(1))).alias("next"))
     postings = rows.select("p_id", "p_hash", F.posexplode(pairs).alias("p_pos", "x")).select("x.term", "x.next", *DOCUMENT, "p_pos")
+    postings = postings if only is None else _of_terms(postings, only)
     postings.sortWithinPartitions("term").write.parquet(path)
     return docs.sparkSession.read.schema(postings.schema).parquet(path)
 
@@ -63,15 +74,15 @@ def test_items(bench: DataFrame, item_col: str, text_col: str) -> DataFrame:
     return items.withColumns({"b_item": key, "b_size": F.size("b_words")}).dropDuplicates(["b_item"])
 
 
-def windows(items: DataFrame, index: DataFrame, window: int) -> DataFrame:
+def windows(items: DataFrame, words: DataFrame, window: int) -> DataFrame:
     """(b_item, start, near) of the windows that may occur: near has (n, term, a_pos, next) of each word, the rarest first.
 
-    Frequencies are those of the whole corpus, summed within tasks before they meet. A window with a word that the corpus
+    ``words`` has a row with its term for each word of the corpus, as an index does; words that no item has may be missing. Frequencies are those of the whole corpus, summed within tasks before they meet. A window with a word that the corpus
     lacks is left out.
     """
     flat = items.select("b_item", "b_size", F.posexplode(F.transform("b_words", lambda w: F.xxhash64(w))).alias("a_pos", "term"))
     wanted = flat.select("term").distinct()
-    frequencies = index.groupBy("term").agg(F.count(F.lit(1)).alias("n")).join(wanted, "term")
+    frequencies = words.groupBy("term").agg(F.count(F.lit(1)).alias("n")).join(wanted, "term")
     flat = flat.join(frequencies, "term", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     ordered = Window.partitionBy("b_item").orderBy("a_pos")
     flat = flat.withColumn("next", F.lead("term").over(ordered))
@@ -85,17 +96,21 @@ def _met(index: DataFrame, few: DataFrame, on: list[str]) -> DataFrame:
     return index.join(F.broadcast(few) if few.count() <= BROADCAST_ROWS else few, on)
 
 
-def candidates(index: DataFrame, items: DataFrame, window: int, lists: int = LISTS) -> DataFrame:
-    """(p_id, p_hash, b_item, diagonal): where the postings of a window's ``lists`` rarest terms meet at the right distances.
+def anchors_of(items: DataFrame, words: DataFrame, window: int, lists: int = LISTS) -> DataFrame:
+    """(b_item, term, a_pos, a_next, others), written: the ``lists`` rarest terms of each window, whose postings are to be intersected.
 
     The first list is that of the rarest word but the window's last, so that the word after it belongs to the window, too.
     """
-    found = windows(items, index, window).withColumn("last", F.col("start") + F.size("near") - 1)
+    found = windows(items, words, window).withColumn("last", F.col("start") + F.size("near") - 1)
     found = found.withColumn("first", F.filter("near", lambda x: (x["a_pos"] < F.col("last")) | (F.size("near") == 1))[0])
     others = F.filter("near", lambda x: (x["a_pos"] < F.col("first.a_pos")) | (x["a_pos"] > F.col("first.a_pos") + 1))
     others = F.transform(F.slice(others, 1, lists - 1), lambda x: F.struct(x["term"].alias("term"), x["a_pos"].alias("a_pos")))
     anchors = found.select("b_item", "first.term", "first.a_pos", F.when(F.size("near") > 1, F.col("first.next")).alias("a_next"), others.alias("others"))
-    anchors = cut(anchors.distinct(), "decon-anchors")
+    return cut(anchors.distinct(), "decon-anchors")
+
+
+def candidates(index: DataFrame, anchors: DataFrame) -> DataFrame:
+    """(p_id, p_hash, b_item, diagonal): where the postings of a window's rarest terms (:func:`anchors_of`) meet at the right distances."""
     key = [*DOCUMENT, "b_item", "diagonal", "others"]
     rarest = _met(index, anchors, ["term"]).filter(F.col("a_next").isNull() | (F.col("next") == F.col("a_next")))
     rarest = rarest.withColumn("diagonal", F.col("p_pos") - F.col("a_pos")).select(*key).distinct()
@@ -122,11 +137,19 @@ def phrase_hits(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_
     """(p_id, p_hash, d_items, d_hits) of the documents in which a window of an item occurs.
 
     Documents are known by their id and the hash of their text. d_items are the distinct items that occur, d_hits the hit
-    word positions from 0. ``index`` is that of ``docs``, if it is stored already. Only texts of candidates are read.
+    word positions from 0. ``index`` is that of ``docs``, if it is stored already; without it the items' words are counted in
+    the texts, and an index is made of those terms only whose postings are looked up. Only texts of candidates are compared.
     """
-    index = build_index(docs, id_col, text_col) if index is None else index
     items = cut(test_items(bench, item_col, bench_text_col), "decon-items")
-    found = candidates(index, items, window).groupBy(*DOCUMENT, "b_item").agg(F.collect_list("diagonal").alias("diagonals"))
+    if index is not None:
+        anchors = anchors_of(items, index, window)
+    else:
+        own = cut(items.select(F.explode(F.transform("b_words", lambda w: F.xxhash64(w))).alias("term")).distinct(), "decon-wanted")
+        words = docs.select(F.explode(_hashed_terms(F.col(f"`{text_col}`"))).alias("term"))
+        anchors = anchors_of(items, _of_terms(words, own), window)
+        looked_up = anchors.select("term").union(anchors.select(F.explode("others.term")))
+        index = build_index(docs, id_col, text_col, only=cut(looked_up.distinct(), "decon-terms"))
+    found = candidates(index, anchors).groupBy(*DOCUMENT, "b_item").agg(F.collect_list("diagonal").alias("diagonals"))
     found = cut(found.join(items.select("b_item", "item_id", "b_words"), "b_item").drop("b_item"), "decon-candidates")
     keys = cut(found.select(*DOCUMENT).distinct(), "decon-keys")
     few = F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys

@@ -315,11 +315,29 @@ def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("u", "v", common.alias("common"), (F.size("a") + F.size("b") - common).alias("whole"))
 
 
-def _rooted(members: DataFrame, links: DataFrame) -> DataFrame:
-    roots = components(links)
+def _rooted(members: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """``members`` with their root; those that ``roots`` hasn't are their own."""
+    if roots is None:
+        return members.withColumn("root", F.col("node"))
     return members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
+def _grown(roots: DataFrame | None, found: DataFrame) -> DataFrame:
+    """(node, root), written: the least node that each can reach over the links ``found`` (u, v) and those before, of nodes that aren't their own.
+
+    ``roots`` is this table before ``found``. Only links between its components are followed, so that earlier ones aren't gone over again.
+    """
+    if roots is not None:
+        for c in ("u", "v"):
+            found = found.join(roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root")), c, "left").withColumn(c, F.coalesce(f"{c}_root", c)).select("u", "v")
+    pairs = found.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    moved = cut(components(pairs).filter("node <> root"), "simhash-moved")
+    if roots is None:
+        return moved
+    later = roots.join(moved.select(F.col("node").alias("root"), F.col("root").alias("later")), "root", "left")
+    return cut(later.select("node", F.coalesce("later", "root").alias("root")).unionByName(moved), "simhash-roots")
+
+
 def _ranked(sets: DataFrame) -> DataFrame:
     """(node, n, shared, rare): the size of a set, how many of its shingles another of ``sets`` has too, and these, the rarest first."""
     each = sets.select("node", F.explode("shingles").alias("shingle"))
@@ -347,7 +365,7 @@ def _centred(shards: DataFrame, prints: DataFrame | None) -> DataFrame:
 
 
 def _links(shards: DataFrame, sets: DataFrame, similarity: float, rounds: int = ROUNDS, near: DataFrame | None = None, prints: DataFrame | None = None) -> DataFrame:
-    """(u, v): verified links such that all linked pairs that share a shard are connected.
+    """(u, v): each class that is linked and the least class that it is connected with over verified links; all linked pairs that share a shard are connected.
 
     The pairs of ``near``, whose fingerprints (``prints``) are linked, come first. Then each class meets one vantage point only,
     the most central member of its largest shard that it isn't connected with: copies share most of their
@@ -361,10 +379,10 @@ def _links(shards: DataFrame, sets: DataFrame, similarity: float, rounds: int =
     apart = 1 - similarity + 1e-9
     members = cut(_centred(shards, prints), "simhash-members")
     largest = members.groupBy("node").agg(F.max_by(F.struct("shard", "far"), F.struct("size", "shard")).alias("m")).select("node", "m.*")
-    members, links, used, gaps = members.drop("size"), None, None, None
+    members, roots, used, gaps = members.drop("size"), None, None, None
     if near is not None:
-        links = cut(_compared(near, sets).filter(linked).select("u", "v"), "simhash-links")
-    rooted = largest.withColumn("root", F.col("node")) if links is None else cut(_rooted(largest, links), "simhash-rooted")
+        roots = _grown(None, _compared(near, sets).filter(linked).select("u", "v"))
+    rooted = largest.withColumn("root", F.col("node")) if roots is None else cut(_rooted(largest, roots), "simhash-rooted")
     for k in range(rounds + 1):
         if used is None:
             rooted = rooted.withColumn("met", F.lit(False))
@@ -376,14 +394,13 @@ def _links(shards: DataFrame, sets: DataFrame, similarity: float, rounds: int =
         points = cut(points, "simhash-points")
         met = cut(rooted.join(points, "shard").filter(F.col("root") != F.col("v_root")).select("shard", F.col("node").alias("u"), "v"), "simhash-met")
         seen = cut(_compared(met.select("u", "v").distinct(), sets), "simhash-seen")
-        found = seen.filter(linked).select("u", "v")
-        links = cut(found if links is None else links.union(found), "simhash-links")
+        roots = _grown(roots, seen.filter(linked).select("u", "v"))
         gap = met.join(seen, ["u", "v"]).select(F.col("u").alias("node"), F.xxhash64("shard", F.lit(k)).alias("point"), (1 - F.col("common") / F.col("whole")).alias("d"))
         gaps = gap if gaps is None else gaps.union(gap)
         point = points.select("shard", F.col("v").alias("node"))
         if k:  # the first meeting was of a shard's part only
             used = point if used is None else used.union(point)
-        rooted = cut(_rooted(members, links), "simhash-rooted")
+        rooted = cut(_rooted(members, roots), "simhash-rooted")
     # shards in which all members are connected are done
     open_ = rooted.groupBy("shard").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("shard")
     left = cut(rooted.join(open_, "shard").select("node", "root").distinct(), "simhash-left")
@@ -393,7 +410,7 @@ def _links(shards: DataFrame, sets: DataFrame, similarity: float, rounds: int =
     both = rest.join(far.select(F.col("node").alias("u"), F.col("gaps").alias("a")), "u", "left").join(far.select(F.col("node").alias("v"), F.col("gaps").alias("b")), "v", "left")
     ruled_out = F.exists(F.map_keys("a"), lambda point: F.abs(F.col("a")[point] - F.try_element_at("b", point)) > apart)
     rest = cut(both.filter(~F.coalesce(ruled_out, F.lit(False))).select("u", "v"), "simhash-rest")
-    return cut(links.union(_compared(rest, sets).filter(linked).select("u", "v")), "simhash-links")
+    return _grown(roots, _compared(rest, sets).filter(linked).select("u", "v")).select(F.col("node").alias("u"), F.col("root").alias("v"))
 
 
 def _rest(left: DataFrame, ranked: DataFrame, similarity: float) -> DataFrame:
@@ -447,8 +464,7 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     texts = docs.select(F.col(id_col).alias("s_id"), F.col(text_col).alias("s_text")).join(few, match).select("node", "s_text")
     sets = _shingle_sets(texts, words)
     sets = cut(sets.groupBy("node").agg(F.first("shingles").alias("shingles")), "simhash-sets")
-    links = _links(shards, sets, similarity, near=near, prints=classes)
-    roots = cut(components(links), "simhash-roots")
+    roots = _links(shards, sets, similarity, near=near, prints=classes).select(F.col("u").alias("node"), F.col("v").alias("root"))
     joined = classes.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     least = joined.groupBy("root").agg(F.min("least").alias("group_id"))
     named = cut(joined.join(least, "root").select(F.col("node").alias("sequence"), F.col("root").alias("group_key"), "group_id"), "simhash-groups")

@@ -6,6 +6,7 @@ import re
 from pyspark.sql import functions as F
 
 from awardlens.llm import decontamination as D
+from awardlens.llm.common import collected
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -108,3 +109,15 @@ def test_decontaminated_documents_and_empty_tables(spark):
     assert out.count() == clean and out.columns == ["doc_id", "text"]
     assert D.phrase_matches(d.limit(0), b).count() == 0
     assert D.decontaminate(d.drop("d_hits"), b.limit(0)).count() == len(docs)
+
+
+def test_decontamination_stores_only_postings_that_are_looked_up(spark):
+    words = [f"w{i}" for i in range(40)]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(f"x{i}" for i in range(500))), (3, "w0 w1"), (4, None)], "doc_id long, text string")
+    bench = spark.createDataFrame([("a", " ".join(words[5:17])), ("b", "w0 w1"), ("c", "absent " * 10)], "item_id string, text string")
+    with collected() as held:
+        hits = {r["p_id"]: (sorted(r["d_items"]), sorted(r["d_hits"])) for r in D.phrase_hits(docs, bench).collect()}
+    assert hits == {1: (["a", "b"], [0, 1, *range(5, 17)]), 3: (["b"], [0, 1])}
+    (path,) = [p for p in held if "/decon-index-" in p]
+    assert 0 < spark.read.parquet(path).count() <= 16  # of 542 words
+    assert [r["doc_id"] for r in D.decontaminate(docs, bench).orderBy("doc_id").collect()] == [2, 4]

@@ -252,3 +252,28 @@ def test_fingerprints_alone_link_nothing_and_the_original_is_nearest_to_the_cent
     near = spark.createDataFrame([(f"{k:02d}", "00") for k in range(1, 40)], "u string, v string")
     assert S._links(shards, sets, 0.8, near=near, prints=prints).count() == 0
     assert {(r["node"], r["far"], r["size"]) for r in S._centred(shards, prints).collect()} == {(f"{k:02d}", int(k % 20 > 0), 20) for k in range(40)}
+
+
+def test_components_grow_by_the_links_between_them_alone(spark, monkeypatch):
+    rng = random.Random(12)
+    links = [(f"n{rng.randrange(120):03}", f"n{rng.randrange(120):03}") for _ in range(100)]
+    followed, plain = [], S.components
+    monkeypatch.setattr(S, "components", lambda edges: (followed.append(edges.count()), plain(edges))[1])
+    roots, sizes = None, [50, 0, 30, 20]
+    for n in sizes:
+        part, links = links[:n], links[n:] + links[:n]
+        roots = S._grown(roots, spark.createDataFrame(part, "u string, v string"))
+    want = {r["node"]: r["root"] for r in plain(spark.createDataFrame(links, "u string, v string")).collect() if r["node"] != r["root"]}
+    rows = [(r["node"], r["root"]) for r in roots.collect()]
+    assert len(rows) == len(want) and dict(rows) == want
+    assert followed[1] == 0 and followed[2] <= 30 and followed[3] <= 20  # not those of earlier rounds again
+
+
+def test_components_that_are_stars_already_take_one_round(spark, monkeypatch):
+    from awardlens.llm import components as C
+
+    rounds, plain = [], C._stars
+    monkeypatch.setattr(C, "_stars", lambda edges, large: (rounds.append(large), plain(edges, large))[1])
+    assert {(r["node"], r["root"]) for r in C.components(spark.createDataFrame([(5, 1), (4, 1), (7, 6)], "u long, v long")).collect()} == {(1, 1), (4, 1), (5, 1), (6, 6), (7, 6)}
+    assert rounds == [True, False]
+    assert C.components(spark.createDataFrame([(3, 3)], "u long, v long")).collect()[0]["root"] == 3 and rounds == [True, False]
