@@ -22,12 +22,28 @@ def _text(*parts) -> Column:
     return F.concat_ws("-", *[F.col(p).cast("string") if isinstance(p, str) else p for p in parts])
 
 
-def awards(spark: SparkSession, sf_dir: str, pulls: bool = False) -> DataFrame:
-    """Line items as awards. With ``pulls`` ids have two parts and so repeat, and the rows' parts are kept to order them by."""
-    keys = {"orders": ("l_orderkey", "o_orderkey"), "part": ("l_partkey", "p_partkey"), "supplier": ("l_suppkey", "s_suppkey"), "nation": ("s_nationkey", "n_nationkey")}
-    rows = _table(spark, sf_dir, "lineitem")
-    for name in ("part", "supplier", "nation", "orders") if pulls else keys:  # pulls are left partitioned by order, in which they are ranked
-        rows = rows.join(_table(spark, sf_dir, name), F.col(keys[name][0]) == F.col(keys[name][1]))
+#: The tables that line items are joined with, and by which keys.
+PARTS = {"orders": ("l_orderkey", "o_orderkey"), "part": ("l_partkey", "p_partkey"), "supplier": ("l_suppkey", "s_suppkey"), "nation": ("s_nationkey", "n_nationkey")}
+
+
+def awards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as awards."""
+    return as_awards(with_parts(spark, sf_dir, line_items(spark, sf_dir), *PARTS))
+
+
+def line_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "lineitem")
+
+
+def with_parts(spark: SparkSession, sf_dir: str, rows: DataFrame, *names: str) -> DataFrame:
+    """Line items joined with the named tables; those without a match in one are left out."""
+    for name in names:
+        rows = rows.join(_table(spark, sf_dir, name), F.col(PARTS[name][0]) == F.col(PARTS[name][1]))
+    return rows
+
+
+def as_awards(rows: DataFrame, pulls: bool = False) -> DataFrame:
+    """Awards of line items with all their parts; with ``pulls`` under ids of two parts, which repeat, and with their column ``late``."""
     priority, number = F.col("o_orderpriority"), F.col("l_linenumber")
     competition = F.lit(None).cast("string")
     for key, text in COMPETITION.items():
@@ -47,7 +63,7 @@ def awards(spark: SparkSession, sf_dir: str, pulls: bool = False) -> DataFrame:
         "modification_number": F.when(number == 1, "0").when(number != 7, F.concat(F.lit("P0000"), (number - 1).cast("string"))),
         "pulled_at": F.col("l_shipdate").cast("timestamp_ntz"),
     }
-    extra = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"] if pulls else []
+    extra = ["late"] if pulls else []
     return rows.select(*[made.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in AWARDS], *extra)
 
 

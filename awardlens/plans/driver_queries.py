@@ -17,7 +17,7 @@ from ..sources.csv_awards import apply_policy, map_awards, scan_csv
 from ..sources.json_records import award_records, entity_records
 from ..sources.listing import latest_snapshot, prime_files
 from ..sources.scratch import scratch_path, written
-from .bindings import AS_OF, AWARDS_SQL, ENTITIES_SQL, NEW_AWARDS_FROM, awards, entities
+from .bindings import AS_OF, AWARDS_SQL, ENTITIES_SQL, NEW_AWARDS_FROM, as_awards, awards, entities, line_items, with_parts
 from . import landing_queries
 from .forest_sql import FOREST_SQL
 from .incremental import agency_policy, build_snapshot, capped_date_chunks, fiscal_windows, load_windows, refresh_list, seed_plan
@@ -83,14 +83,20 @@ def top_entities_by_detector(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _pulls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per id and batch (years up to 2000, then later ones): the latest pull, then the greatest part and supplier."""
-    rows = awards(spark, sf_dir, pulls=True).withColumn("late", F.col("award_date") >= NEW_AWARDS_FROM)
-    return ranked_per_key(rows, ["l_orderkey", "l_linenumber", "late"], F.desc("pulled_at"), F.desc("l_partkey"), F.desc("l_suppkey"))
+    """One row per id and batch (years up to 2000, then later ones): the latest pull, then the greatest part and supplier.
+
+    Line items are dealt by order and ranked as they are; the first ones meet their orders there, as all rows of an id have one order,
+    and awards, several times as wide, are made of these. Suppliers and nations are few enough to be broadcast after the shuffle.
+    """
+    rows = with_parts(spark, sf_dir, with_parts(spark, sf_dir, line_items(spark, sf_dir), "part").repartition("l_orderkey"), "supplier", "nation")
+    rows = rows.withColumn("late", F.to_date("l_shipdate") >= NEW_AWARDS_FROM)
+    first = ranked_per_key(rows, ["l_orderkey", "l_linenumber", "late"], F.desc(F.col("l_shipdate").cast("timestamp_ntz")), F.desc("l_partkey"), F.desc("l_suppkey"))
+    return as_awards(with_parts(spark, sf_dir, first, "orders"), pulls=True)
 
 
 def upsert_replace_awards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The awards table of a store after two loads: the pulls up to 2000, and later ones of partly the same awards."""
-    rows, store = written(_pulls(spark, sf_dir).select("late", *AWARDS.names), "pulls"), Store(spark, scratch_path(spark, "store"))
+    rows, store = written(_pulls(spark, sf_dir).select("late", *AWARDS.names), "pulls", compression="zstd"), Store(spark, scratch_path(spark, "store"))
     store.init()
     for late in (False, True):
         store.load("awards", rows.filter(F.col("late") == late))
@@ -99,7 +105,7 @@ def upsert_replace_awards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def maintained_digit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digit counts per recipient after two loads, summed from what either load changed."""
-    rows, store = written(_pulls(spark, sf_dir).select("late", *AWARDS.names), "pulls"), Store(spark, scratch_path(spark, "store"))
+    rows, store = written(_pulls(spark, sf_dir).select("late", *AWARDS.names), "pulls", compression="zstd"), Store(spark, scratch_path(spark, "store"))
     store.init()
     parts = []
     for late in (False, True):

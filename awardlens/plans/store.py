@@ -131,7 +131,7 @@ class Store:
         """Write rows (with their bucket) as a layer; its name, and how many rows of it each bucket has."""
         name = uuid.uuid4().hex
         path = f"{self.root}/{table}/layer={name}"
-        rows.write.partitionBy("bucket").parquet(path)
+        rows.write.partitionBy("bucket").option("compression", "zstd").parquet(path)
         counts = self.spark.read.schema("bucket int").parquet(path).groupBy("bucket").count().collect()  # one row a bucket
         return name, {str(r["bucket"]): r["count"] for r in counts}
 
@@ -163,8 +163,9 @@ class Store:
                 if layer is None:
                     layer, counts = self._write(table, dealt(rows))
                     existing = self._merged(table, {b: content["layers"][b] for b in counts if b in content["layers"]}, keys)
-                mine = self._layers(table, {b: [(layer, 0)] for b in counts}, keys).drop("brought")
-                gained = mine.join(existing, [*keys, "bucket"], "left_anti").count()
+                held = {b for b in counts if b in content["layers"]}  # all rows of the other buckets are new
+                mine = self._layers(table, {b: [(layer, 0)] for b in held}, keys).drop("brought")
+                gained = sum(n for b, n in counts.items() if b not in held) + (mine.join(existing, [*keys, "bucket"], "left_anti").count() if held else 0)
             if not counts and source is None:
                 return 0
             layers = content["layers"] | {b: [*content["layers"].get(b, []), (layer, number + 1)] for b in counts}
@@ -202,9 +203,16 @@ class Store:
         now, old = log.read(number)["layers"], (log.read(number - 1)["layers"] if number > 1 else {})
         known = {name for held in old.values() for name, _ in held}
         brought = {b: new for b, held in now.items() if (new := [x for x in held if x[1] == number and x[0] not in known])}
-        after = self._layers(table, brought, wanted).select(*keys, "bucket", F.struct(*columns).alias("after"))
-        before = self._merged(table, {b: old[b] for b in brought if b in old}, wanted).select(*keys, "bucket", F.struct(*columns).alias("before"))
-        return after.join(before, [*keys, "bucket"], "left").select(*keys, "before", "after")
+        new, held = ({b: x for b, x in brought.items() if (b in old) is there} for there in (False, True))
+        row = F.struct(*columns)
+        # a bucket that the version before hadn't has no predecessors to look for
+        only = self._layers(table, new, wanted).select(*keys, F.when(F.lit(False), row).alias("before"), row.alias("after"))
+        if not held:
+            return only
+        after = self._layers(table, held, wanted).select(*keys, "bucket", row.alias("after"))
+        before = self._merged(table, {b: old[b] for b in held}, wanted).select(*keys, "bucket", row.alias("before"))
+        both = after.join(before, [*keys, "bucket"], "left").select(*keys, "before", "after")
+        return both.unionByName(only) if new else both
 
     def vacuum(self, table: str, keep: int = 2) -> int:
         """Forget all but the newest ``keep`` versions, which readers may still use, and delete what only those had; how many versions went.

@@ -236,3 +236,24 @@ def test_a_load_deals_a_bucket_to_as_many_tasks_as_its_rows_need(spark, tmp_path
     assert got == {f"A{k}": max(str(k), str(k + 2000)) for k in range(2000)}
     narrow = store.changes("awards", 2, ["award_description"]).filter("award_id = 'A7'").first()
     assert narrow["after"].asDict() == {"award_description": "7"} and narrow["before"] is None
+
+
+def test_a_first_load_looks_for_no_predecessors(spark, tmp_path):
+    store = made(spark, tmp_path, buckets=4)
+    assert store.load("entities", entities(spark, {"A": "1", "B": "1"})) == 2
+    first = store.changes("entities", store.version("entities")[0], ["legal_business_name"])
+    assert "Join" not in first._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r["uei"], r["before"], r["after"][0]) for r in first.collect()) == [("A", None, "1"), ("B", None, "1")]
+    # of a later load some buckets are new
+    more = {"A": "2"} | {f"N{i}": "2" for i in range(9)}
+    assert store.load("entities", entities(spark, more, day=2)) == 9
+    later = store.changes("entities", store.version("entities")[0], ["legal_business_name"])
+    assert {r["uei"]: (r["before"] and r["before"][0], r["after"][0]) for r in later.collect()} == {k: ("1" if k == "A" else None, "2") for k in more}
+    held(store)
+
+
+def test_pulls_are_ranked_before_awards_are_made_of_them(spark):
+    from awardlens.plans.driver_queries import _pulls
+
+    plan = _pulls(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "AS award_id" not in plan[plan.index("Window") :] and plan.index("o_orderkey") < plan.index("Window")
