@@ -24,7 +24,8 @@ SAMPLE_DOCS, SAMPLE_FEATURES = 8192, 1 << 23  # most documents, and their featur
 DIMENSIONS = 1 << 20
 LEAST_DOCS = 4  # a hashed feature counts if so many sampled documents have it
 THRESHOLD = 0.5
-CACHED_WORDS = 1 << 20
+CACHED_WORDS = 1 << 16  # of a task, some 10 MB
+TEXTS_AT_ONCE = 256  # whose distinct words a task holds
 
 BLOCK = 1000  # words within which distinct ones are counted
 
@@ -99,7 +100,8 @@ def abusive_words(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
 
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"words": [[b"", *_plain(set(_bytes(t).split()))] for t in batch["q_text"]]})  # b"" counts documents
+            for at in range(0, len(batch), TEXTS_AT_ONCE):
+                yield pd.DataFrame({"words": [[b"", *_plain(set(_bytes(t).split()))] for t in batch["q_text"].iloc[at : at + TEXTS_AT_ONCE]]})  # b"" counts documents
 
     found = texts.join(few, F.col("q_id") == F.col("l_id"), "left_semi").mapInPandas(spread, "words array<binary>")
     counts = cut(found.select(F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= TOXIC_DOCS), "quality-words")
@@ -123,10 +125,13 @@ def abusive_words(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
 def heuristic_votes(docs: DataFrame, id_col: str, text_col: str, abusive: frozenset[bytes] = frozenset()) -> DataFrame:
     """(id, votes) per row."""
 
+    def one(data: bytes) -> str:
+        words = data.split()
+        return vote(data, words, measures(data, words), abusive)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            texts = [(data, data.split()) for data in map(_bytes, batch["q_text"])]
-            yield pd.DataFrame({"q_id": batch["q_id"], "votes": [vote(data, words, measures(data, words), abusive) for data, words in texts]})
+            yield pd.DataFrame({"q_id": batch["q_id"], "votes": [one(_bytes(t)) for t in batch["q_text"]]})
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(f"`{id_col}`").alias("q_id"), F.col(f"`{text_col}`").alias("q_text")).mapInPandas(run, f"q_id {kind}, votes string")
@@ -257,9 +262,13 @@ def score(docs: DataFrame, scorer: Scorer, text_col: str = "text") -> DataFrame:
         weights = np.zeros(DIMENSIONS, np.float32)
         weights[used] = values
         own, cache = Scorer(weights, bias), _Features()
+
+        def one(data: bytes) -> float:  # words of one text at a time: those of a whole batch are ten times its size
+            words = data.split()
+            return own.score(feature_ids(words, measures(data, words), cache))
+
         for batch in batches:
-            texts = [(data, data.split()) for data in map(_bytes, batch[text_col])]
-            yield batch.assign(bad_score=[own.score(feature_ids(words, measures(data, words), cache)) for data, words in texts])
+            yield batch.assign(bad_score=[one(_bytes(t)) for t in batch[text_col]])
 
     return docs.select(*[F.col(f"`{f.name}`") for f in fields]).mapInPandas(run, ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + ["bad_score double"]))
 

@@ -2,10 +2,12 @@ from __future__ import annotations
 
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from awardlens.llm import quality as Q
@@ -179,3 +181,19 @@ def test_bounds_of_the_sample(spark):
         _, scorer, voted = Q.train(d, lab, **options)
         assert voted.count() == 300 and np.isfinite(scorer.weights).all()
     assert not Q.train(d, lab, sample_features=0)[1].weights.any()
+
+
+def test_workers_hold_the_words_of_few_texts(spark, monkeypatch):
+    """However many new words a batch has, a task holds those of one text, and a bounded cache."""
+    taken, d = [], spark.createDataFrame([], "doc_id long, text string")
+    monkeypatch.setattr(type(d), "mapInPandas", lambda self, f, schema: taken.append(f) or self)
+    Q.score(d, Q.Scorer(np.zeros(Q.DIMENSIONS, np.float32), 0.0))
+    Q.heuristic_votes(d, "doc_id", "text")
+    texts = [" ".join(f"w{i}x{k}" for k in range(100)) for i in range(4000)]
+    batch = pd.DataFrame({"doc_id": range(4000), "text": texts, "q_id": range(4000), "q_text": texts})
+    for f, most in zip(taken, (30e6, 5e6), strict=True):
+        tracemalloc.start()
+        assert [len(x) for x in f(iter([batch]))] == [4000]
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < most, peak
