@@ -45,7 +45,9 @@ def number(value: Column | str) -> Column:
 
 
 def whole_number(value: Column | str) -> Column:
-    return blank_to_null(value).try_cast("int")
+    """Texts with characters that no whole number has are null without a cast, as each failed one raises an error within Spark."""
+    text = blank_to_null(value)
+    return F.when(~text.rlike(r"[^0-9+\-\x00-\x20\x7F]"), text.try_cast("int"))
 
 
 def business_types(items: Column | str) -> Column:

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.expressions import AWARD_TYPES, award_date, column
+from ..functions.expressions import AWARD_TYPES, award_date, column, whole_number
 from ..functions.schemas import AWARDS
 from .csv_blocks import csv_records
 from .landing import land_labelled
@@ -69,7 +69,8 @@ def map_awards(raw: DataFrame, agency: str | Column, pulled_at: Column, metric:
         if source is None:
             return F.lit(None).cast(kind)
         text = F.nullif(F.col(f"`{source}`"), F.lit(""))
-        return award_date(text) if kind.typeName() == "date" else text.try_cast(kind)
+        made = {"date": award_date, "integer": whole_number}.get(kind.typeName())
+        return made(text) if made else text.try_cast(kind)
 
     named = {f.name: target(f.name, f.dataType) for f in AWARDS if f.name != "pulled_at"}
     named["awarding_agency"] = F.coalesce(named["awarding_agency"], F.lit(agency) if isinstance(agency, str) else agency)

@@ -264,3 +264,15 @@ def test_labelled_rows_are_written_once(spark, tmp_path):
 
 def rows_of(spark, ids):
     return spark.createDataFrame([(i,) for i in ids], "award_id string").select(*[(F.col("award_id") if f.name == "award_id" else F.lit(None).cast(f.dataType)).alias(f.name) for f in AWARDS])
+
+
+def test_whole_numbers_are_not_tried_on_other_texts(spark, tmp_path):
+    """A failed cast costs an error within Spark; results stay."""
+    texts = [" 12 ", "+3", "-4", "\t5\n", "3.0", "x", "1e3", "2147483648", "--1", "1 2", "", "null", None, "٣", "\x7f6"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    rows = [(r["a"], r["b"]) for r in df.select(X.whole_number("t").alias("a"), F.expr("try_cast(nullif(nullif(t, ''), 'null') AS int)").alias("b")).collect()]
+    assert [a for a, _ in rows] == [b for _, b in rows] == [12, 3, -4, 5, *[None] * 10, 6]
+    raw = spark.createDataFrame([("A1", "x"), ("A2", "7")], "award_id_piid string, number_of_offers_received string")
+    mapped = map_awards(raw, "FILLED", stamp())
+    assert [r["number_of_offers"] for r in mapped.orderBy("award_id").collect()] == [None, 7]
+    assert "RLIKE" in mapped.select("number_of_offers")._jdf.queryExecution().optimizedPlan().toString()
