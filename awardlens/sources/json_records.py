@@ -21,16 +21,27 @@ RAW_ENTITY = (
 )
 
 
+#: The keys of award records; all are taken from a record in one pass over it.
+KEYS = (
+    "generated_internal_id", "Award ID", "award_id", "parent_award_id", "Parent Award ID", "Parent IDV Agency Name", "Recipient Name", "Recipient UEI", "recipient_uei",
+    "Awarding Agency", "Awarding Sub Agency", "Contract Award Type", "Award Type", "Description", "naics_description", "NAICS Description", "Total Obligations", "Award Amount",
+    "Base and All Options Value", "Start Date", "End Date", "Action Date", "Base Obligation Date", "Extent Competed", "Number of Offers Received", "Mod Number", "modification_number",
+)
+RAW_AWARD = f"struct<{', '.join(f'`{k}`: string' for k in KEYS)}, NAICS: struct<code: string, description: string>>"
+
+
 class _Value:
-    """A record's value under a key: its text, and whether it counts as there."""
+    """A record's value under a key: its text, and whether it counts as there.
+
+    Its kind is looked up only where the text leaves open whether the value is zero or false.
+    """
 
     def __init__(self, key: str) -> None:
-        path = f'$["{key}"]'
-        part = F.try_variant_get("v", path, "variant")
-        self.text = F.try_variant_get("v", path, "string")
-        self.kind = F.schema_of_variant(part)
-        zero = ~self.kind.isin("STRING") & (self.text.try_cast("double") == 0)
-        self.there = F.coalesce(self.text.isNotNull() & (self.text != "") & ~zero & (self.text != "{}") & ~((self.kind == "BOOLEAN") & (self.text == "false")), F.lit(False))
+        self.text = F.col(f"r.`{key}`")
+        self.kind = F.schema_of_variant(F.try_variant_get("v", f'$["{key}"]', "variant"))
+        zero = (self.kind != "STRING") & (self.text.try_cast("double") == 0)
+        nothing = F.substring(self.text, 1, 1).isin("0", "-", "f") & (F.coalesce(zero, F.lit(False)) | ((self.text == "false") & (self.kind == "BOOLEAN")))
+        self.there = F.coalesce((self.text != "") & (self.text != "{}") & ~nothing, F.lit(False))
 
 
 def first_there(*keys: str) -> Column:
@@ -57,12 +68,12 @@ def award_records(records: DataFrame, agency: str, pulled_at: Column, line: str
 
     The latter are observed under ``metric`` as dropped. Nulls are no records; repeated ones stay; other columns are left out.
     """
-    naics, kind = F.col("v_naics"), F.schema_of_variant(F.try_variant_get("v", '$["NAICS"]', "variant"))
-    nested = kind.startswith("OBJECT")
-    # the generator keeps the optimiser from repeating the parse in every column
-    rows = records.select(F.explode(F.array(F.try_parse_json(line))).alias("v")).filter("v is not null").withColumn("v_naics", F.try_variant_get("v", '$["NAICS"]', "string"))
-    code = F.when(nested, F.try_variant_get("v", '$["NAICS"].code', "string")).otherwise(blank_to_null(naics))
-    from_object = F.when(nested, F.try_variant_get("v", '$["NAICS"].description', "string"))
+    # the generators keep the optimiser from repeating the parse, and the pass over a record, in every column
+    rows = records.select(F.explode(F.array(F.try_parse_json(line))).alias("v")).filter("v is not null")
+    rows = rows.select("v", F.explode(F.array(F.try_variant_get("v", "$", RAW_AWARD))).alias("r"))
+    nested = F.col("r.NAICS").isNotNull()  # an object
+    code = F.when(nested, F.col("r.NAICS.code")).otherwise(blank_to_null(F.try_variant_get("v", '$["NAICS"]', "string")))
+    from_object = F.when(nested, F.col("r.NAICS.description"))
     name, other = _Value("naics_description"), _Value("NAICS Description")
     made = {
         "award_id": first_there("generated_internal_id", "Award ID", "award_id"),

@@ -276,3 +276,18 @@ def test_whole_numbers_are_not_tried_on_other_texts(spark, tmp_path):
     mapped = map_awards(raw, "FILLED", stamp())
     assert [r["number_of_offers"] for r in mapped.orderBy("award_id").collect()] == [None, 7]
     assert "RLIKE" in mapped.select("number_of_offers")._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_json_keys_are_taken_in_one_pass(spark):
+    records = [
+        {"generated_internal_id": v, "Award ID": "next", "Total Obligations": v, "Award Amount": 7, "NAICS": n, "naics_description": v, "NAICS Description": "d", "Number of Offers Received": v}
+        for v, n in [(0, "5"), ("0", {}), (-0.0, {"code": 1}), (0.00, None), (False, ["x"]), ("false", 3), ({}, "{a}"), ("{}", ""), (None, {"code": {"a": 1}}), ("", "null"), (1.5, True), ([], 0)]
+    ]
+    lines = spark.createDataFrame([(json.dumps(r),) for r in records], "value string")
+    out = award_records(lines, "FILLED", stamp())
+    assert [r["award_id"] for r in out.collect()] == ["next", "0", "next", "next", "next", "false", "next", "next", "next", "next", "1.5", "[]"]
+    assert [r["total_obligation"] for r in out.collect()] == [7, 0, 7, 7, 7, None, 7, 7, 7, 7, 1.5, None]
+    assert [r["naics_code"] for r in out.collect()] == ["5", None, "1", None, '["x"]', "3", "{a}", None, '{"a":1}', None, "true", "0"]
+    assert [r["number_of_offers"] for r in out.collect()] == [0, 0, 0, 0, *[None] * 6, 1, None]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert '$["Description"]' not in plan  # no path is looked up only for its text
