@@ -291,3 +291,10 @@ def test_json_keys_are_taken_in_one_pass(spark):
     assert [r["number_of_offers"] for r in out.collect()] == [0, 0, 0, 0, *[None] * 6, 1, None]
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert '$["Description"]' not in plan  # no path is looked up only for its text
+
+
+def test_leading_digits_by_product_are_those_of_ten_digits(spark):
+    values = [float(f"{m}e{e}") for e in (-320, -291, -8, -1, 0, 1, 5, 22, 290, 307) for m in ("1", "9.9999999995", "9.99999999949", "1.9999999996", "1.99999999", "2", "2.00000001", "4.2", "8.99999999951")] + [5e-324, 1.7e308, 0.1 + 0.2, 999999.99, 20_000.01]
+    rows = spark.createDataFrame([(v,) for v in values], "x double").select("x", X.leading_digit("x").alias("d"), F.format_string("%.9e", "x").alias("text"))
+    assert [(r["x"], r["d"]) for r in rows.collect()] == [(r["x"], int(r["text"][0])) for r in rows.collect()]
+    assert "FLOOR" in rows._jdf.queryExecution().optimizedPlan().toString()  # formatting is the exception
