@@ -33,15 +33,15 @@ RAW_AWARD = f"struct<{', '.join(f'`{k}`: string' for k in KEYS)}, NAICS: struct<
 class _Value:
     """A record's value under a key: its text, and whether it counts as there.
 
-    Its kind is looked up only where the text leaves open whether the value is zero or false.
+    Its kind is looked up only where the text leaves open whether the value is a text or a number but 0.
     """
 
     def __init__(self, key: str) -> None:
         self.text = F.col(f"r.`{key}`")
         self.kind = F.schema_of_variant(F.try_variant_get("v", f'$["{key}"]', "variant"))
-        zero = (self.kind != "STRING") & (self.text.try_cast("double") == 0)
-        nothing = F.substring(self.text, 1, 1).isin("0", "-", "f") & (F.coalesce(zero, F.lit(False)) | ((self.text == "false") & (self.kind == "BOOLEAN")))
-        self.there = F.coalesce((self.text != "") & (self.text != "{}") & ~nothing, F.lit(False))
+        open_ = F.substring(self.text, 1, 1).isin("0", "-", "t", "f", "[", "{")
+        counts = (self.kind == "STRING") | F.coalesce(self.text.try_cast("double") != 0, F.lit(False))
+        self.there = F.coalesce((self.text != "") & (self.text != "{}") & (~open_ | counts), F.lit(False))
 
 
 def first_there(*keys: str) -> Column:
