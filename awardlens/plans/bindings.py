@@ -22,8 +22,10 @@ def _text(*parts) -> Column:
     return F.concat_ws("-", *[F.col(p).cast("string") if isinstance(p, str) else p for p in parts])
 
 
+BROADCAST_IDS = 2_000_000  # of suppliers, some 80 MB
+
 #: The tables that line items are joined with, and by which keys.
-PARTS = {"orders": ("l_orderkey", "o_orderkey"), "part": ("l_partkey", "p_partkey"), "supplier": ("l_suppkey", "s_suppkey"), "nation": ("s_nationkey", "n_nationkey")}
+PARTS = {"part": ("l_partkey", "p_partkey"), "orders": ("l_orderkey", "o_orderkey"), "supplier": ("l_suppkey", "s_suppkey"), "nation": ("s_nationkey", "n_nationkey")}
 
 
 def awards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,13 +34,18 @@ def awards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def line_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "lineitem")
+    """Line items with ``obligation``, made before they are shuffled, as less is shuffled then."""
+    amount = F.when((F.col("l_linenumber") == 6) & (F.col("l_returnflag") == "R"), -F.col("l_extendedprice")).otherwise(F.col("l_extendedprice"))
+    return _table(spark, sf_dir, "lineitem").withColumn("obligation", F.when(F.col("l_quantity") != 1, amount))
 
 
 def with_parts(spark: SparkSession, sf_dir: str, rows: DataFrame, *names: str) -> DataFrame:
     """Line items joined with the named tables; those without a match in one are left out."""
     for name in names:
-        rows = rows.join(_table(spark, sf_dir, name), F.col(PARTS[name][0]) == F.col(PARTS[name][1]))
+        table = _table(spark, sf_dir, name)
+        if name == "supplier" and table.count() <= BROADCAST_IDS:  # else all line items are shuffled once more for them; footers count
+            table = F.broadcast(table)
+        rows = rows.join(table, F.col(PARTS[name][0]) == F.col(PARTS[name][1]))
     return rows
 
 
@@ -56,7 +63,7 @@ def as_awards(rows: DataFrame, pulls: bool = False) -> DataFrame:
         "awarding_agency": F.col("n_name"),
         "award_type": F.when(F.col("l_linestatus") == "O", TYPES["O"]).otherwise("Definitive Contract"),
         "naics_code": F.col("p_type"),
-        "total_obligation": F.when(F.col("l_quantity") != 1, F.when((number == 6) & (F.col("l_returnflag") == "R"), -F.col("l_extendedprice")).otherwise(F.col("l_extendedprice"))),
+        "total_obligation": F.col("obligation"),
         "award_date": day,
         "period_of_performance_end": F.date_add(day, F.col("l_quantity").cast("int")),
         "competition_type": competition,

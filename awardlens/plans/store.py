@@ -16,10 +16,13 @@ from pyspark.sql import functions as F
 
 from ..functions.schemas import AWARDS_LANDING, ENTITIES, KEYS, SNAPSHOTS, TABLES, aligned
 from ..sources.landing import read_or_empty
+from ..sources.scratch import collected, frugal, remove, written
 from .versions import VersionLog
 
 BUCKETS, MOST_LAYERS = 32, 4
 TASK_ROWS = 250_000  # about as many rows of a load meet in one task
+FILE_TASK_ROWS = 1_000_000  # rows that a task writes to all buckets at least, as each makes a file a bucket; a tenth where cores would be idle
+REPEATED = 1_000_000  # digests of keys that a load may repeat, to be broadcast
 
 
 def newest_per_key(rows: DataFrame, keys: list[str], newest: str | None, within: tuple[str, ...] = ()) -> DataFrame:
@@ -135,21 +138,49 @@ class Store:
         counts = self.spark.read.schema("bucket int").parquet(path).groupBy("bucket").count().collect()  # one row a bucket
         return name, {str(r["bucket"]): r["count"] for r in counts}
 
+    def _newest(self, table: str, rows: DataFrame, n: int) -> DataFrame:
+        """The newest row of each key, with its bucket.
+
+        Whole rows are moved only where their key may come again: of all rows a digest of the key is (equal keys have equal
+        ones), and those whose digest is single stay in the tasks that read them. Where more than a tenth of the rows have keys
+        that come again, or these are more than ``REPEATED``, all rows are dealt by bucket.
+        """
+        keys, newest = KEYS[table], self.NEWEST[table]
+        rows = rows.filter(" and ".join(f"{k} is not null" for k in keys)).withColumn("store_digest", F.xxhash64(F.lit("load"), *keys))
+        counts = rows.groupBy("store_digest").count()
+        several = F.col("count") > 1
+        total, moved, repeated = counts.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("count", F.when(several, F.col("count")))], F.count_if(several)).first()
+        if moved > total // 10 or repeated > REPEATED:
+            return newest_per_key(self._dealt(table, rows.drop("store_digest"), n, total), keys, newest, within=("bucket", "store_part")).drop("store_part")
+        single, tasks = rows, max(1, total // FILE_TASK_ROWS, min(self.spark.sparkContext.defaultParallelism, total * 10 // FILE_TASK_ROWS))
+        if repeated:
+            again = written(counts.filter(several).select("store_digest"), "repeated-keys")
+            single = rows.join(F.broadcast(again), "store_digest", "left_anti")
+            single = single.unionByName(newest_per_key(rows.join(F.broadcast(again), "store_digest", "left_semi"), keys, newest, within=("store_digest",)))
+        return single.drop("store_digest").withColumn("bucket", self._bucket(table, n)).coalesce(tasks)
+
     def load(self, table: str, incoming: DataFrame, source: str | None = None, batch: int = 0) -> int:
         """Upsert rows (snapshots are appended where new); how many rows the table has more than before.
 
-        The rows are counted and written once, whatever others publish meanwhile; only for snapshots, where existing rows win, they are
+        The rows are read twice, for digests of their keys and to be written, and have to be the same then; they are written once,
+        whatever others publish meanwhile; only for snapshots, where existing rows win, they are
         written again if others came first. With ``source``, a batch whose number isn't above the last one that was
         published for it changes nothing: it has been loaded before.
         """
+        with frugal(self.spark), frugal(incoming.sparkSession), collected() as held:  # a stream's batches have a session of their own
+            try:
+                return self._load(table, incoming, source, batch)
+            finally:
+                remove(self.spark, *held)
+
+    def _load(self, table: str, incoming: DataFrame, source: str | None, batch: int) -> int:
         log, keys = self._log(table), KEYS[table]
         number, content = self.version(table)
         if source is not None and content["batches"].get(source, -1) >= batch:
             return 0
-        total = incoming.count()
 
         def dealt(rows: DataFrame) -> DataFrame:
-            return newest_per_key(self._dealt(table, rows, content["buckets"], total), keys, self.NEWEST[table], within=("bucket", "store_part")).drop("store_part")
+            return self._newest(table, rows, content["buckets"])
 
         rows = aligned(incoming, TABLES[table])
         layer = counts = None

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions.schemas import AWARDS, AWARDS_LANDING, aligned
-from .scratch import exists, remove
+from .scratch import exists, frugal, remove
 
 
 def read_or_empty(spark: SparkSession, path: str | list[str], schema: StructType, skip_corrupt: bool = False) -> DataFrame:
@@ -41,9 +41,8 @@ def write_typed(df: DataFrame, path: str, schema: StructType, partition_by: tupl
     if partition_by:
         extra = [c for c in partition_by if c not in schema.names]
         typed = df.select(*[F.col(f.name).try_cast(f.dataType).alias(f.name) for f in schema], *extra)
-        typed.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
-    else:
-        typed.write.mode("overwrite").parquet(path)
+    with frugal(df.sparkSession):
+        typed.write.mode("overwrite").option("compression", "zstd").partitionBy(*partition_by).parquet(path)
 
 
 def row_count(spark: SparkSession, path: str) -> int:
@@ -79,7 +78,8 @@ def land_labelled(awards: DataFrame, base: str) -> dict[str, int]:
     before, seen = exists(spark, path), Observation()
     rows = awards.select(*columns, F.col("agency_short").cast("string").alias("agency_short"), F.col("load_label").cast("string").alias("load_label"))
     rows = rows.observe(seen, F.collect_set(F.to_json(F.struct("agency_short", "load_label"))).alias("folders"))
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("agency_short", "load_label").parquet(path)
+    with frugal(spark):
+        rows.write.mode("overwrite").options(partitionOverwriteMode="dynamic", compression="zstd").partitionBy("agency_short", "load_label").parquet(path)
     folders = [json.loads(f) for f in seen.get["folders"]]
     if not folders:
         if not before:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -26,6 +27,34 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+#: What holds within :func:`frugal`: files of a shuffle go as the execution that made them ends, not when the driver's garbage is
+#: collected; a task keeps so many files of a partitioned table open before it sorts (and spills) rows instead.
+FRUGAL = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.maxConcurrentOutputFileWriters": "64"}
+_frugal: dict[int, tuple[int, dict[str, str]]] = {}
+_lock = threading.Lock()
+
+
+@contextmanager
+def frugal(spark: SparkSession) -> Iterator[None]:
+    """What is executed within leaves no shuffle files and spills no partitioned writes; the session's settings return after the last of all threads."""
+    session = spark._jsparkSession.hashCode()
+    with _lock:
+        inside, before = _frugal.get(session) or (0, {k: spark.conf.get(k) for k in FRUGAL})
+        _frugal[session] = inside + 1, before
+        for k, v in FRUGAL.items():
+            spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        with _lock:
+            inside, before = _frugal.pop(session)
+            if inside > 1:
+                _frugal[session] = inside - 1, before
+            else:
+                for k, v in before.items():
+                    spark.conf.set(k, v)
+
+
 _collected: ContextVar[list[str] | None] = ContextVar("collected", default=None)
 
 
@@ -62,5 +91,6 @@ def remove(spark: SparkSession, *paths: str) -> None:
 def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     """``df`` written to the shared folder and read back: what follows survives lost executors and doesn't compute it again."""
     path = scratch_path(df.sparkSession, name)
-    df.write.options(**options).parquet(path)
+    with frugal(df.sparkSession):
+        df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

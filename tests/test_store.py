@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import threading
 from datetime import date, datetime
 from pathlib import Path
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from awardlens.functions.schemas import ENTITIES, KEYS, SNAPSHOTS
 from awardlens.plans.store import Store, append_ignore, upsert_replace
 from awardlens.plans.versions import VersionLog
+from awardlens.sources.scratch import FRUGAL, frugal
 
 
 def entities(spark, names: dict, day: int = 1):
@@ -257,3 +259,42 @@ def test_pulls_are_ranked_before_awards_are_made_of_them(spark):
 
     plan = _pulls(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "AS award_id" not in plan[plan.index("Window") :] and plan.index("o_orderkey") < plan.index("Window")
+
+
+def shuffled(spark) -> set[str]:
+    found = spark._jsc.sc().env().blockManager().diskBlockManager().getAllFiles().iterator()
+    names = set()
+    while found.hasNext():
+        names.add(found.next().getName())
+    return {n for n in names if n.startswith("shuffle_")}
+
+
+def moves(df) -> bool:
+    """Whether whole rows are shuffled by the plan of ``df``."""
+    return bool(re.search(r"(?<!Broadcast)Exchange", df._jdf.queryExecution().executedPlan().toString()))
+
+
+@pytest.mark.parametrize("keys, most, deals", [("id", 9, False), ("id % 990", 20, True), ("id % 990", 5, True), ("id % 500", 2000, True)])
+def test_a_load_moves_only_rows_whose_keys_come_again(spark, tmp_path, monkeypatch, keys, most, deals):
+    """Rows of single keys are written by the tasks that read them; whatever repeats, the newest row of a key counts."""
+    monkeypatch.setattr("awardlens.plans.store.REPEATED", most)
+    rows = spark.range(1000).selectExpr(f"if(id = 5, null, concat('A', {keys})) as award_id", "cast(id as string) as award_description", "timestamp_ntz'2024-01-01' + make_interval(0, 0, 0, 0, 0, 0, id) as pulled_at")
+    store = Store(spark, f"file://{tmp_path}/db", buckets=4)
+    store.init()
+    assert moves(store._newest("awards", rows, 4)) == deals
+    want = {r["k"]: r["m"] for r in rows.groupBy(F.col("award_id").alias("k")).agg(F.max(F.col("award_description").cast("int")).alias("m")).collect() if r["k"]}
+    assert store.load("awards", rows) == len(want) and store.load("awards", rows) == 0
+    got = store.read("awards").select("award_id", "award_description").collect()
+    assert len(got) == len(want) and {r[0]: int(r[1]) for r in got} == want
+
+
+def test_a_load_leaves_no_shuffle_files_and_no_settings(spark, tmp_path):
+    rows = spark.range(2000).selectExpr("concat('A', id % 1500) as award_id", "repeat(cast(id as string), 40) as award_description", "timestamp_ntz'2024-01-01' as pulled_at")
+    store = Store(spark, f"file://{tmp_path}/db", buckets=4)
+    store.init()
+    before, was = shuffled(spark), {k: spark.conf.get(k) for k in FRUGAL}
+    assert store.load("awards", rows) == 1500 and store.load("awards", rows) == 0
+    assert not shuffled(spark) - before
+    with frugal(spark), frugal(spark):
+        assert {k: spark.conf.get(k) for k in FRUGAL} == FRUGAL
+    assert {k: spark.conf.get(k) for k in FRUGAL} == was
