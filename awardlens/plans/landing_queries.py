@@ -14,7 +14,7 @@ from ..operators.quantiles import exact_quantile
 from ..operators.results import all_detectors, contract_violations
 from ..sources.csv_awards import archive_job
 from ..sources.landing import award_recipients, awards_name, land, land_labelled, read_awards, row_count, snapshots_name
-from ..sources.scratch import scratch_path, written
+from ..sources.scratch import collected, frugal, remove, scratch_path, written
 from ..streaming.ingest import ingest
 from .bindings import AS_OF, AWARDS_SQL, ENTITIES_SQL, awards, entities
 from .incremental import agency_policy, build_snapshot, fiscal_windows, load_windows, recipient_sample, rows_in_windows, write_worklist
@@ -23,6 +23,7 @@ from .store import Store
 
 SHARES = (0.0, 0.05, 0.5, 0.95, 1.0)
 SAMPLE = 25
+ARCHIVE_TASK_ROWS = 4_000_000  # that a task deals to files by agency, if every core has one
 #: Archive headers: the columns of prime files, by which half of the agencies' names they are for.
 HEADERS = {
     "first": {"contract_award_unique_key": "award_id", "award_type": "award_type", "total_dollars_obligated": "total_obligation", "action_date": "award_date"},
@@ -45,24 +46,33 @@ def _landed(spark: SparkSession, sf_dir: str) -> str:
 
 
 def archive_landing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All awards as archive members (prime files of two headers, subaward files, a readme), through the archive job, as landed."""
+    """All awards as archive members (prime files of two headers, subaward files, a readme), through the archive job, as landed.
+
+    The awards are written once, and not shuffled by agency: a task keeps a file open for each. They go once they are archived,
+    and the archives once they have landed.
+    """
     base = scratch_path(spark, "archives")
-    # written once, near one another by agency: Spark splits large agencies, so that none is a single task's work
     needed = ["award_id", "awarding_agency", "award_type", "total_obligation", "award_date", "modification_number"]
-    rows = written(awards(spark, sf_dir).select(*needed).hint("rebalance", "awarding_agency"), "archived")
+    with collected() as made:
+        rows = written(awards(spark, sf_dir).select(*needed), "archived", compression="zstd")
+    rows = rows.coalesce(max(spark.sparkContext.defaultParallelism, rows.count() // ARCHIVE_TASK_ROWS))
     text = F.concat(F.lit('first line\n"second", '), F.col("award_id")).alias("transaction_description")
     for name, columns in HEADERS.items():
         own = rows.filter(F.col("awarding_agency") < "NATION_2" if name == "first" else F.col("awarding_agency") >= "NATION_2")
         out = own.select(*[F.col(c).cast("string").alias(k) for k, c in columns.items()], text, F.col("awarding_agency").alias("agency"))
-        out.write.option("header", True).option("escape", '"').partitionBy("agency").csv(f"{base}/{name}_PrimeAwardSummaries")
+        with frugal(spark):
+            out.write.option("header", True).option("escape", '"').partitionBy("agency").csv(f"{base}/{name}_PrimeAwardSummaries")
     subs = rows.filter("modification_number = '0'").select(F.concat(F.lit("sub"), "award_id").alias("award_id_piid"), F.col("awarding_agency").alias("agency"))
-    subs.write.option("header", True).partitionBy("agency").csv(f"{base}/Contracts_Subawards")
+    with frugal(spark):
+        subs.write.option("header", True).partitionBy("agency").csv(f"{base}/Contracts_Subawards")
+    remove(spark, *made)
     listing = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(base).select("path", "length")
     part = F.split("path", "/")
     agency = F.url_decode(F.regexp_extract("path", "agency=([^/]*)/", 1))
     members = listing.filter(F.element_at(part, -1).startswith("part-")).select(agency.alias("snapshot"), agency.alias("agency"), F.concat_ws("_", F.element_at(part, -3), F.element_at(part, -1)).alias("file_name"), "path", "length")
     landing = scratch_path(spark, "landing")
     archive_job(spark, members, agency_policy(spark, AGENCIES, DEFAULTS), _stamp(), landing, AS_OF)
+    remove(spark, base)
     landed = spark.read.parquet(f"{landing}/awards_labelled.parquet")
     return landed.select("award_id", F.col("awarding_agency"), "award_type", "award_description", "total_obligation", "award_date", "agency_short", F.col("load_label").cast("string").alias("load_label"), "pulled_at")
 
