@@ -23,7 +23,7 @@ from .store import Store
 
 SHARES = (0.0, 0.05, 0.5, 0.95, 1.0)
 SAMPLE = 25
-ARCHIVE_TASK_ROWS = 4_000_000  # that a task deals to files by agency, if every core has one
+ARCHIVE_TASK_ROWS = 1_000_000  # that a task deals to files by agency at least; never more tasks than cores, as every file's header is read on its own
 #: Archive headers: the columns of prime files, by which half of the agencies' names they are for.
 HEADERS = {
     "first": {"contract_award_unique_key": "award_id", "award_type": "award_type", "total_dollars_obligated": "total_obligation", "action_date": "award_date"},
@@ -55,7 +55,7 @@ def archive_landing(spark: SparkSession, sf_dir: str) -> DataFrame:
     needed = ["award_id", "awarding_agency", "award_type", "total_obligation", "award_date", "modification_number"]
     with collected() as made:
         rows = written(awards(spark, sf_dir).select(*needed), "archived", compression="zstd")
-    rows = rows.coalesce(max(spark.sparkContext.defaultParallelism, rows.count() // ARCHIVE_TASK_ROWS))
+    rows = rows.coalesce(max(1, min(spark.sparkContext.defaultParallelism, rows.count() // ARCHIVE_TASK_ROWS)))
     text = F.concat(F.lit('first line\n"second", '), F.col("award_id")).alias("transaction_description")
     for name, columns in HEADERS.items():
         own = rows.filter(F.col("awarding_agency") < "NATION_2" if name == "first" else F.col("awarding_agency") >= "NATION_2")
